@@ -308,30 +308,33 @@ def weight_diagnostics(df: DataFrame, weight: str = "weight", by: str = "site",
     return base.join(grouped_quantiles(df, weight, by, {"p50": .5, "p90": .9, "p95": .95, "p99": .99}), by)
 
 
-def grouped_quantiles(df: DataFrame, x: str, by: str, probs: Mapping[str, float]) -> DataFrame:
+def grouped_quantiles(df: DataFrame, x: str, by, probs: Mapping[str, float]) -> DataFrame:
     """Exact interpolated quantiles of x per group, by counting ranks over range slices of x.
 
     Slices come from one sketch over all rows, so a group holding most rows is
-    still spread over every slice; only order statistics travel further.
+    still spread over every slice; equal values are counted before any ordering.
     """
-    cuts = [float(c) for c in (df.agg(F.percentile_approx(x, [i / 256 for i in range(1, 256)], 10_000)).first()[0] or [])]
-    d = df.filter(F.col(x).isNotNull()).select(by, F.col(x).alias("_x")).groupBy(by, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    slice_ = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("_x"))) if cuts else F.lit(0)
-    d = d.withColumn("_s", slice_)
-    per = d.groupBy(by, "_s").agg(F.sum("_c").alias("_n"))
-    off = per.select(by, "_s", F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy("_s").rowsBetween(
-        W.unboundedPreceding, -1)), F.lit(0)).alias("_off"), F.sum("_n").over(W.partitionBy(by)).alias("_tot"))
-    ranked = d.join(off, [by, "_s"]).withColumn("_hi", F.col("_off") + F.sum("_c").over(
-        W.partitionBy(by, "_s").orderBy("_x").rowsBetween(W.unboundedPreceding, 0))).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    by = [by] if isinstance(by, str) else list(by)
+    cuts = df.agg(F.percentile_approx(x, [i / 256 for i in range(1, 256)], 10_000)).first()[0] or []
+    cuts = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array(F.lit(0.0))
+    d = df.filter(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x")).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    d = d.withColumn("_s", F.size(F.filter(cuts, lambda c: c < F.col("_x"))))
+    per = d.groupBy(*by, "_s").agg(F.sum("_c").alias("_n"))
+    before = W.partitionBy(*by).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    off = per.select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col("_s").alias("_t"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                     F.sum("_n").over(W.partitionBy(*by)).alias("_tot"))
+    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by] + [F.col("_s") == F.col("_t")]
+    j = d.join(off, cond).select(*by, "_s", "_x", "_c", "_off", "_tot")
+    run = W.partitionBy(*by, "_s").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
+    ranked = j.withColumn("_hi", F.col("_off") + F.sum("_c").over(run)).withColumn("_lo", F.col("_hi") - F.col("_c"))
     aggs = []
     for name, p in probs.items():
         h = F.lit(p) * (F.col("_tot") - 1)
-        lo_i, hi_i = F.floor(h), F.ceil(h)
-        aggs += [F.max(F.when((F.col("_lo") <= lo_i) & (lo_i < F.col("_hi")), F.col("_x"))).alias(f"{name}_l"),
-                 F.max(F.when((F.col("_lo") <= hi_i) & (hi_i < F.col("_hi")), F.col("_x"))).alias(f"{name}_h"),
-                 F.max(h - F.floor(h)).alias(f"{name}_f")]
-    q = ranked.groupBy(by).agg(*aggs)
-    return q.select(by, *[(F.col(f"{n}_l") + (F.col(f"{n}_h") - F.col(f"{n}_l")) * F.col(f"{n}_f")).alias(n) for n in probs])
+        aggs += [F.max(F.when((F.col("_lo") <= e) & (e < F.col("_hi")), F.col("_x"))).alias(f"{name}_{t}")
+                 for t, e in (("l", F.floor(h)), ("h", F.ceil(h)))]
+        aggs.append(F.max(h - F.floor(h)).alias(f"{name}_f"))
+    q = ranked.groupBy(*by).agg(*aggs)
+    return q.select(*by, *[(F.col(f"{n}_l") + (F.col(f"{n}_h") - F.col(f"{n}_l")) * F.col(f"{n}_f")).alias(n) for n in probs])
 
 
 def weighted_imbalance(df: DataFrame, p: int, weight: str = "weight", by: str = "site", z: str = "z") -> DataFrame:

@@ -12,7 +12,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def session(cpus=8):
     from pyspark.sql import SparkSession
     return (SparkSession.builder.master(f"local[{cpus}]").appName("sitemosaic-tests").config("spark.sql.shuffle.partitions", "8")
-            .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+            .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
             .config("spark.local.dir", os.environ.get("SPARK_SCRATCH", "/tmp")).getOrCreate())
 
 
