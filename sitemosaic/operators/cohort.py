@@ -315,7 +315,7 @@ def grouped_quantiles(df: DataFrame, x: str, by, probs: Mapping[str, float]) ->
     still spread over every slice; equal values are counted before any ordering.
     """
     by = [by] if isinstance(by, str) else list(by)
-    cuts = df.agg(F.percentile_approx(x, [i / 256 for i in range(1, 256)], 10_000)).first()[0] or []
+    cuts = df.agg(F.percentile_approx(x, [i / 64 for i in range(1, 64)], 10_000)).first()[0] or []
     cuts = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array(F.lit(0.0))
     d = df.filter(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x")).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
     d = d.withColumn("_s", F.size(F.filter(cuts, lambda c: c < F.col("_x"))))
