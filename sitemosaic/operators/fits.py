@@ -99,7 +99,8 @@ def fit_density_ratio(data: DataFrame, ks: list[Key], moments: dict[Key, np.ndar
                       floors: dict | None = None) -> list[Fitted]:
     """Exponential tilt exp(-z'g) of the arm's rows to the target moment; sums are divided by all source rows."""
     ms = [Model(k, k[1], None if all_rows else k[2], k[3], family="tilt", radius=radius) for k in ks]
-    return fit_models(data, ms, x, lam=lam, moments=moments, norm="all", nlambda=nlambda, rule=rule, cv_folds=cv_folds, lambda_floor=floors)
+    return fit_models(data, ms, x, lam=lam, moments=moments, norm="all", nlambda=nlambda, rule=rule, cv_folds=cv_folds, lambda_floor=floors,
+                      tol=1e-10 if lam == 0.0 else C.SOLVER_TOL)
 
 
 def target_moments(data: DataFrame, ks: list[Key], x: str = "z", target: str = C.TARGET) -> dict[Key, np.ndarray]:

@@ -7,6 +7,7 @@ the rows as column expressions.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import constants as C
@@ -136,9 +137,10 @@ def weighted_aipw(data: DataFrame, rows: DataFrame, ps: dict[str, Fitted], orr:
     sp_models = [Model(("ps", g), None if pooled else g, None, family="binomial", response="a") for g in gs]
     or_models = [Model(("or", g), None if pooled else g, arm, family=family) for g in gs]
     beta = np.stack([ps[g].beta for g in gs] + [orr[g].beta for g in gs])
-    _, nu, _, _, grad, hess = unpack(accumulate(data, sp_models + or_models, beta, "w"), p + 1)
-    flat = accumulate(data, [Model((m.key, "x"), m.site, m.arm, family="gaussian") for m in sp_models + or_models], np.zeros_like(beta), "w")
-    _, _, _, _, _, plain = unpack(flat, p + 1)
+    both = sp_models + or_models
+    flat = [Model((m.key, "x"), m.site, m.arm, family="gaussian") for m in both]
+    _, nu, _, _, grad, hess = unpack(accumulate(data, both + flat, np.concatenate([beta, np.zeros_like(beta)]), "w"), p + 1)
+    plain = hess[len(both):]
     out, table = {}, {}
     for i, g in enumerate(gs):
         s, vec = stats[g], {}
@@ -175,8 +177,8 @@ def weighted_aipw(data: DataFrame, rows: DataFrame, ps: dict[str, Fitted], orr:
 
     infl = (F.col("weight") * (F.col("phi") - F.col("est")) / F.col("d") + correction("ps", F.col("a"), F.col("raw_ps"))
             + F.when(F.col("sel") == 1, F.col("ratio") * correction("or", F.col("y"), F.col("raw_or"))).otherwise(0.0))
-    res = j.withColumn("influence", infl)
-    return res.drop(*names[:-3], "ratio"), table
+    # read again by the density part, the arm contrast and the bootstrap
+    return j.withColumn("influence", infl).drop(*names[:-3], "ratio").persist(StorageLevel.MEMORY_AND_DISK), table
 
 
 # -- density influence ------------------------------------------------------------------------
@@ -201,8 +203,9 @@ def density_influence(data: DataFrame, rows: DataFrame, fits: list[Fitted], p: i
     gs = sorted(stats)
     ms = [Model(("t", g), g, None, family="tilt") for g in gs]
     beta = np.stack([by[g].beta for g in gs])
-    _, nu, _, _, _, hess = unpack(accumulate(data, ms, beta, "z"), p + 1)
-    _, _, _, _, _, plain = unpack(accumulate(data, [Model(("x", g), g, None, family="gaussian") for g in gs], np.zeros_like(beta), "z"), p + 1)
+    flat = [Model(("x", g), g, None, family="gaussian") for g in gs]
+    _, nu, _, _, _, hess = unpack(accumulate(data, ms + flat, np.concatenate([beta, np.zeros_like(beta)]), "z"), p + 1)
+    plain = hess[len(ms):]
     tgt = rows.filter(F.col("site") == C.TARGET)
     tmean = tgt.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]).first()
     tm = np.array([tmean[f"m{i}"] for i in range(p + 1)])

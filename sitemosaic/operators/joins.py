@@ -15,6 +15,14 @@ def sized(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
 
 
+def small(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """A bounded table (coefficients, moments, weights) as a local relation, so later plans neither recompute nor nest it."""
+    t = df.limit(limit + 1).toArrow()
+    if t.num_rows > limit:
+        raise ValueError(f"more than {limit} rows in a table that must stay small")
+    return df.sparkSession.createDataFrame([tuple(r.values()) for r in t.to_pylist()], df.schema)
+
+
 def pair_violations(results: DataFrame, method: str, benchmark: str, by: Sequence[str]) -> DataFrame:
     """Keys without exactly one row of each method."""
     r = results.filter(F.col("method").isin(method, benchmark))

@@ -115,7 +115,7 @@ def _null_state(models, sums, p1, norm, moment):
 
 def fit_models(data: DataFrame, models: list[Model], x: str = "w", lam: float | list | None = 0.0, moments: dict | None = None,
                standardize: bool = False, norm: str = "used", nlambda: int = C.LAMBDA_GRID_SIZE, rule: str = "min", cv_folds: int = C.CV_FOLDS,
-               ratio: float | None = None, tol: float = 1e-8, max_passes: int = 60, lambda_floor: dict | None = None,
+               ratio: float | None = None, tol: float = C.SOLVER_TOL, max_passes: int = 60, lambda_floor: dict | None = None,
                on_fail: str = "raise", min_class: int = 0, degenerate: str = "constant") -> list[Fitted]:
     """Fit all models. lam: a number (one fit each), or None (penalty path with cross-validation).
 

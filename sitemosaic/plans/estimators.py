@@ -70,57 +70,58 @@ def site_table(scores: DataFrame, value: str = "phi", by: Sequence[str] = ("site
 
 
 # -- meta-analysis of a site table -------------------------------------------------------------
+def _dl(p, e, k):
+    """q, tau2, i2 from power sums of precisions p and estimates e (one aggregate, no join)."""
+    s0, s1 = F.sum(p), F.sum(p * e)
+    q = F.greatest(F.sum(p * e * e) - s1 * s1 / s0, F.lit(0.0))
+    c = s0 - F.sum(p * p) / s0
+    tau = F.when((k > 1) & (c > 0), F.greatest(F.lit(0.0), (q - (k - 1)) / c)).otherwise(0.0)
+    i2 = F.when(q > k - 1, (q - (k - 1)) / q * 100).otherwise(0.0)
+    return q, tau, i2
+
+
 def dl_heterogeneity(site_est: DataFrame, by: Sequence[str] = (), estimate: str = "estimate", variance: str = "variance",
                      var_floor: float = C.VARIANCE_FLOOR) -> DataFrame:
-    """Q, C, tau2, I2 and the fixed-effects mean; one grouped aggregate of power sums over at most K+1 rows."""
-    p = 1 / F.greatest(F.col(variance), F.lit(var_floor))
-    e = F.col(estimate)
-    g = site_est.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum(p).alias("total_precision"), (F.sum(p * e) / F.sum(p)).alias("fe_estimate"), F.sum(p * p).alias("_p2"))
-    j = site_est.join(g, list(by)) if by else site_est.crossJoin(g)
-    q = j.groupBy(*by).agg(F.sum(p * (e - F.col("fe_estimate")) * (e - F.col("fe_estimate"))).alias("q"))
-    out = g.join(q, list(by)) if by else g.crossJoin(q)
-    c = F.col("total_precision") - F.col("_p2") / F.col("total_precision")
-    df = F.col("k") - 1
-    tau = F.when((F.col("k") > 1) & (c > 0), F.greatest(F.lit(0.0), (F.col("q") - df) / c)).otherwise(0.0)
-    i2 = F.when(F.col("q") > df, (F.col("q") - df) / F.col("q") * 100).otherwise(0.0)
-    return out.select(*by, "k", "q", tau.alias("tau2"), i2.alias("i2"), "total_precision", "fe_estimate")
+    """Q, tau2, I2, total precision and the fixed-effects mean of the site estimates."""
+    p, e, k = 1 / F.greatest(F.col(variance), F.lit(var_floor)), F.col(estimate), F.count(F.lit(1))
+    q, tau, i2 = _dl(p, e, k)
+    return site_est.groupBy(*by).agg(k.alias("k"), q.alias("q"), tau.alias("tau2"), i2.alias("i2"), F.sum(p).alias("total_precision"),
+                                     (F.sum(p * e) / F.sum(p)).alias("fe_estimate"))
 
 
 def sample_size_weighted(site_est: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    by = list(by)
-    het = dl_heterogeneity(site_est, by)
-    tot = site_est.groupBy(*by).agg(F.sum("n").alias("_N"))
-    side = het.join(tot, by) if by else het.crossJoin(tot)
-    j = site_est.join(side, by) if by else site_est.crossJoin(side)
-    w = F.col("n") / F.col("_N")
-    return j.groupBy(*by).agg(
-        F.sum(w * F.col("estimate")).alias("estimate"), F.sum(w * w * F.col("variance")).alias("var_fixed_effects"),
-        F.sum(w * w * (F.col("variance") + F.col("tau2"))).alias("var_random_effects"), F.first("tau2").alias("tau2"), F.first("q").alias("q"), F.first("i2").alias("i2"),
-        F.sum("n").alias("n")).withColumns({"variance": F.greatest(F.col("var_random_effects"), F.lit(C.VARIANCE_FLOOR)), "method": F.lit("sample_size")})
+    n, e, v, k = F.col("n").cast("double"), F.col("estimate"), F.col("variance"), F.count(F.lit(1))
+    q, tau, i2 = _dl(1 / F.greatest(v, F.lit(C.VARIANCE_FLOOR)), e, k)
+    tot = F.sum(n)
+    g = site_est.groupBy(*by).agg((F.sum(n * e) / tot).alias("estimate"), (F.sum(n * n * v) / (tot * tot)).alias("var_fixed_effects"),
+                                  (F.sum(n * n) / (tot * tot)).alias("_w2"), tau.alias("tau2"), q.alias("q"), i2.alias("i2"), F.sum("n").alias("n"))
+    g = g.withColumn("var_random_effects", F.col("var_fixed_effects") + F.col("tau2") * F.col("_w2")).drop("_w2")
+    return g.withColumns({"variance": F.greatest(F.col("var_random_effects"), F.lit(C.VARIANCE_FLOOR)), "method": F.lit("sample_size")})
+
+
+def _precisions(site_est: DataFrame, by: Sequence[str], var_floor: float) -> DataFrame:
+    het = dl_heterogeneity(site_est, by, var_floor=var_floor).select(*by, "q", "tau2", "i2")
+    j = site_est.join(het, list(by)) if by else site_est.crossJoin(het)
+    return j.withColumn("_prec", 1 / (F.greatest(F.col("variance"), F.lit(var_floor)) + F.col("tau2")))
 
 
 def inverse_variance_weights(site_est: DataFrame, by: Sequence[str] = (), var_floor: float = C.VARIANCE_FLOOR) -> DataFrame:
     """Adds block_weight: random-effects weights when tau2 > 0, else fixed-effects ones."""
-    by = list(by)
-    het = dl_heterogeneity(site_est, by, var_floor=var_floor)
-    v = F.greatest(F.col("variance"), F.lit(var_floor))
-    j = (site_est.join(het, by) if by else site_est.crossJoin(het)).withColumn("_p", 1 / (v + F.col("tau2")))
-    tot = j.groupBy(*by).agg(F.sum("_p").alias("_total"))
-    j = j.join(tot, by) if by else j.crossJoin(tot)
-    return j.withColumn("block_weight", F.col("_p") / F.col("_total")).drop("_p")
+    j = _precisions(site_est, by, var_floor)
+    tot = j.groupBy(*by).agg(F.sum("_prec").alias("_total"))
+    j = j.join(tot, list(by)) if by else j.crossJoin(tot)
+    return j.withColumn("block_weight", F.col("_prec") / F.col("_total")).drop("_prec", "_total")
 
 
 def inverse_variance_weighted(site_est: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    by = list(by)
-    w = inverse_variance_weights(site_est, by)
-    b = F.col("block_weight")
-    m = w.groupBy(*by).agg(F.sum(b * F.col("estimate")).alias("estimate_"), (1 / F.first("_total")).alias("model_variance"))
-    j = w.join(m, by) if by else w.crossJoin(m)
+    j = _precisions(site_est, by, C.VARIANCE_FLOOR)
+    r, e, tot = F.col("_prec"), F.col("estimate"), F.sum("_prec")
     theta = F.greatest(F.col("v_ot"), F.lit(C.VARIANCE_FLOOR))
+    est = F.sum(r * e) / tot
+    between = F.sum(r * r * e * e) - 2 * est * F.sum(r * r * e) + est * est * F.sum(r * r)
     g = j.groupBy(*by).agg(
-        F.first("estimate_").alias("estimate"), F.first("model_variance").alias("model_variance"), F.sum(b * b * theta / F.col("n")).alias("within_site_var"),
-        F.sum(b * b * (F.col("estimate") - F.col("estimate_")) * (F.col("estimate") - F.col("estimate_"))).alias("between_site_var"),
-        F.first("tau2").alias("tau2"), F.first("q").alias("q"), F.first("i2").alias("i2"), F.sum("n").alias("n"))
+        est.alias("estimate"), (1 / tot).alias("model_variance"), (F.sum(r * r * theta / F.col("n")) / (tot * tot)).alias("within_site_var"),
+        F.greatest(between / (tot * tot), F.lit(0.0)).alias("between_site_var"), F.first("tau2").alias("tau2"), F.first("q").alias("q"), F.first("i2").alias("i2"), F.sum("n").alias("n"))
     pooled = F.col("within_site_var") + F.col("between_site_var")
     return g.withColumns({"variance": F.greatest(F.col("model_variance"), pooled, F.lit(C.VARIANCE_FLOOR)), "method": F.lit("inverse_variance")})
 
@@ -133,8 +134,9 @@ def site_method_arms(scores: DataFrame, method: str) -> dict[int, ArmResult]:
         s = scores.select("obs_id", "site", F.col(f"phi{arm}").alias("phi"))
         if method == "target_only":
             s = s.filter(F.col("site") == C.TARGET)
-        t = site_table(s)
-        rows = {r["site"]: r for r in t.collect()}
+        rows = {r["site"]: r for r in site_table(s).collect()}
+        # from here on the site table has one row per site
+        t = scores.sparkSession.createDataFrame(list(rows.values()), "site string, n long, estimate double, v_ot double, variance double")
         n = sum(r["n"] for r in rows.values())
         means = t.select("site", F.col("estimate").alias("_m"))
         infl = s.join(means, "site").select("site", "obs_id", (F.col("phi") - F.col("_m")).alias("influence"))
@@ -157,16 +159,25 @@ def block_variance(infl: DataFrame, weights: dict[str, float]) -> float:
     return float(sum(weights[r["site"]] ** 2 * r["v"] for r in g.collect()))
 
 
-def tilted_aipw_arm(data: DataFrame, arm: int, family: str, p: int) -> ArmResult:
-    """Unpenalised nuisances, exponential tilt of the arm to the target, size weights, shared target influence."""
+def tilted_fits(data: DataFrame, family: str) -> dict:
+    """Unpenalised propensity, outcome and tilt of every site and both arms, in three lockstep fits."""
     sites = fi.sites_of(data)
     sources = [s for s in sites if s != C.TARGET]
-    ps = {f.model.site: f for f in fi.fit_glm(data, fi.keys("ps", sites, (1,), [()]), "binomial", "a")}
-    orr = {f.model.site: f for f in fi.fit_glm(data, fi.keys("or", sites, (arm,), [()]), family)}
-    dk = fi.keys("dr", sources, (arm,), [()])
+    dk = fi.keys("dr", sources, (1, 0), [()])
     mom = fi.target_moments(data, dk)
-    dr = {f.model.site: f for f in fi.fit_density_ratio(data, dk, mom, 0.0, float("inf"))}
-    zbar = mom[dk[0]]
+    by = lambda fits: {(f.model.key[1], f.model.key[2]): f for f in fits}
+    return {"sites": sites, "ps": by(fi.fit_glm(data, fi.keys("ps", sites, (1,), [()]), "binomial", "a")),
+            "or": by(fi.fit_glm(data, fi.keys("or", sites, (1, 0), [()]), family)),
+            "dr": by(fi.fit_density_ratio(data, dk, mom, 0.0, float("inf"))), "zbar": mom[dk[0]]}
+
+
+def tilted_aipw_arm(data: DataFrame, arm: int, family: str, p: int, fits: dict | None = None) -> ArmResult:
+    """Unpenalised nuisances, exponential tilt of the arm to the target, size weights, shared target influence."""
+    f = fits or tilted_fits(data, family)
+    sites, zbar = f["sites"], f["zbar"]
+    sources = [s for s in sites if s != C.TARGET]
+    ps, orr = {s: f["ps"][(s, 1)] for s in sites}, {s: f["or"][(s, arm)] for s in sites}
+    dr = {s: f["dr"][(s, arm)] for s in sources}
     tab = inf._vectors(data.sparkSession, {s: {"tilt": dr[s].beta if s in dr else np.zeros(p + 1)} for s in sites}, ["tilt"]).withColumnRenamed("g", "site")
     rows = data.drop("weight").join(sized(tab, len(sites), 8 * (p + 4)), "site").withColumn("_lw", -linear_predictor("z", "tilt", p))
     rows = normalize_log_weights(rows, "_lw", ["site"], "weight").drop("_lw", "tilt")
@@ -198,18 +209,17 @@ def tilted_aipw_arm(data: DataFrame, arm: int, family: str, p: int) -> ArmResult
     return ArmResult("tilted_aipw", arm, est, max(block_variance(infl, wt), C.VARIANCE_FLOOR), infl, wt, n_all)
 
 
-def _base_fits(data, sites, arm, family, pooled=False, **kw):
-    gs = ["*"] if pooled else sites
-    ps = {f.model.key[1]: f for f in fi.fit_propensity(data, fi.keys("ps", gs, (1,), [()]), **kw)}
-    orr = {f.model.key[1]: f for f in fi.fit_outcome(data, fi.keys("or", gs, (arm,), [()]), family, **kw)}
-    return ps, orr
+def base_fits(data: DataFrame, groups: list[str], family: str, **kw) -> dict:
+    """Penalised propensity and both arms' outcome per group ("*" is all rows together)."""
+    ps = {f.model.key[1]: f for f in fi.fit_propensity(data, fi.keys("ps", groups, (1,), [()]), **kw)}
+    orr = {(f.model.key[1], f.model.key[2]): f for f in fi.fit_outcome(data, fi.keys("or", groups, (1, 0), [()]), family, **kw)}
+    return {"ps": ps, **{a: {g: orr[(g, a)] for g in groups} for a in (1, 0)}}
 
 
-def federated_dr_arm(data: DataFrame, weighted: DataFrame, dr: list, arm: int, family: str, p: int, **kw) -> ArmResult:
+def federated_dr_arm(data: DataFrame, weighted: DataFrame, dr: list, arm: int, family: str, p: int, base: dict) -> ArmResult:
     """Density-weighted site AIPW, inverse-variance pooling of the sites with a finite positive variance."""
-    sites = fi.sites_of(data)
-    ps, orr = _base_fits(data, sites, arm, family, **kw)
-    r, table = inf.weighted_aipw(data, weighted, ps, orr, p, family, arm)
+    sites = sorted(base["ps"])
+    r, table = inf.weighted_aipw(data, weighted, base["ps"], base[arm], p, family, arm)
     src, tgt = inf.density_influence(data, r, dr, p)
     si = src.select("site", "obs_id", (F.col("influence") + F.col("density_part")).alias("influence"))
     ti = r.filter(F.col("site") == C.TARGET).select("site", "obs_id", "influence")
@@ -228,10 +238,9 @@ def federated_dr_arm(data: DataFrame, weighted: DataFrame, dr: list, arm: int, f
                      {"dropped_sites": [s for s in sites if s not in valid], "weights": w})
 
 
-def pooled_dr_arm(data: DataFrame, weighted: DataFrame, dr: list, arm: int, family: str, p: int, **kw) -> ArmResult:
+def pooled_dr_arm(data: DataFrame, weighted: DataFrame, dr: list, arm: int, family: str, p: int, base: dict) -> ArmResult:
     """One weighted AIPW over all rows with per-source density corrections and site-stratified variance."""
-    ps, orr = _base_fits(data, fi.sites_of(data), arm, family, pooled=True, **kw)
-    r, table = inf.weighted_aipw(data, weighted, ps, orr, p, family, arm, pooled=True)
+    r, table = inf.weighted_aipw(data, weighted, base["ps"], base[arm], p, family, arm, pooled=True)
     n_all = table["*"]["n"]
     n = {x["site"]: x["count"] for x in data.groupBy("site").count().collect()}
     src, tgt = inf.density_influence(data, r, dr, p, total=n_all)
@@ -255,7 +264,8 @@ def combine_arms(r1: ArmResult, r0: ArmResult) -> tuple[DataFrame, DataFrame]:
     j = a.join(b, ["site", "obs_id"], "full_outer").join(sized(wf, len(r1.weights), 48), "site")
     bad = F.when(F.col("i1").isNull() | F.col("i0").isNull(), F.raise_error(F.lit("the arms have different rows")))
     tau = F.coalesce(bad.cast("double"), F.col("w1") * F.col("i1") - F.col("w0") * F.col("i0"))
-    j = j.select("site", "obs_id", (F.col("w1") * F.col("i1")).alias("u1"), (F.col("w0") * F.col("i0")).alias("u0"), tau.alias("influence"))
+    # read twice: analytic variance and bootstrap
+    j = j.select("site", "obs_id", (F.col("w1") * F.col("i1")).alias("u1"), (F.col("w0") * F.col("i0")).alias("u0"), tau.alias("influence")).persist()
     g = j.groupBy("site").agg(*[(F.var_pop(c) / F.count(F.lit(1))).alias(f"v_{c}") for c in ("u1", "u0", "influence")])
     v = g.agg(F.sum("v_u1").alias("v1"), F.sum("v_u0").alias("v0"), F.greatest(F.sum("v_influence"), F.lit(C.VARIANCE_FLOOR)).alias("variance_analytic"))
     cov = (F.col("v1") + F.col("v0") - F.col("variance_analytic")) / 2
@@ -287,13 +297,16 @@ def compare_methods(obs: DataFrame, methods: Sequence[str] = METHODS, family: st
                 r = site_method_arms(scores, m)
                 arms[m] = (r[1], r[0])
     if "tilted_aipw" in methods:
-        arms["tilted_aipw"] = (tilted_aipw_arm(data, 1, family, p), tilted_aipw_arm(data, 0, family, p))
+        tf = tilted_fits(data, family)
+        arms["tilted_aipw"] = (tilted_aipw_arm(data, 1, family, p, tf), tilted_aipw_arm(data, 0, family, p, tf))
     if set(methods) & {"federated_dr", "pooled_dr"}:
-        weighted, dr = inf.density_ratio_weights(data, [s for s in fi.sites_of(data) if s != C.TARGET], **kw)
+        sites = fi.sites_of(data)
+        weighted, dr = inf.density_ratio_weights(data, [s for s in sites if s != C.TARGET], **kw)
         weighted = weighted.persist()
-        for m, fn in (("federated_dr", federated_dr_arm), ("pooled_dr", pooled_dr_arm)):
+        for m, fn, groups in (("federated_dr", federated_dr_arm, sites), ("pooled_dr", pooled_dr_arm, ["*"])):
             if m in methods:
-                arms[m] = (fn(data, weighted, dr, 1, family, p, **kw), fn(data, weighted, dr, 0, family, p, **kw))
+                bf = base_fits(data, groups, family, **kw)
+                arms[m] = (fn(data, weighted, dr, 1, family, p, bf), fn(data, weighted, dr, 0, family, p, bf))
     both = [combine_arms(*arms[m]) for m in methods]
     res = reduce(DataFrame.unionByName, [x for x, _ in both])
     if variance == "bootstrap":
