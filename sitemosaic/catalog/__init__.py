@@ -1,3 +1,3 @@
 """Registered queries and their reference SQL."""
-from . import prep_queries, metrics_queries  # noqa: F401
+from . import metrics_queries, model_queries, prep_queries  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
