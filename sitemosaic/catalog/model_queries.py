@@ -1,5 +1,6 @@
 """Queries: nuisance fits (N), row scores (I), estimators (E), resampling (B)."""
 import math
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -225,12 +226,12 @@ def n13(spark, d):
     return rnd(t.withColumns({"lambda": F.round("lambda", 9), "i": F.col("i").cast("int")}), skip=("lambda",))
 
 
-CVS = "c AS (SELECT site, CAST(fold AS INTEGER) AS fold, power(2e0, -l) AS lambda, avg(power(y_num - 1.5e0 - x1 * power(2e0, -l) / 8, 2)) + CASE WHEN l = 7 AND fold = 2 THEN 'inf'::DOUBLE ELSE 0 END AS s FROM f, range(9) r(l) GROUP BY site, fold, l)"
+CVS = "c AS (SELECT site, CAST(fold AS INTEGER) AS fold, power(2e0, -l) AS la, avg(power(y_num - 1.5e0 - x1 * power(2e0, -l) / 8, 2)) + CASE WHEN l = 7 AND fold = 2 THEN 'inf'::DOUBLE ELSE 0 END AS s FROM f, range(9) r(l) GROUP BY site, fold, l)"
 
 
-@query("N14_select_lambda", f"""{WITH}, {fold_sql(5)}, {CVS}, g AS (SELECT site, lambda, avg(s) AS m, stddev_samp(s) / sqrt(5) AS se FROM c GROUP BY ALL HAVING count(*) FILTER (WHERE isfinite(s)) = 5),
- b AS (SELECT site, min(m) AS bm, arg_min(se, m) AS bs, arg_min(lambda, m) AS lmin FROM g GROUP BY site)
- SELECT g.site, lmin AS lambda_min, max(lambda) AS lambda_1se, {R('any_value(bm)', 'mean')} FROM g JOIN b ON b.site = g.site WHERE m <= bm + bs GROUP BY ALL""")
+@query("N14_select_lambda", f"""{WITH}, {fold_sql(5)}, {CVS}, g AS (SELECT site, la, avg(s) AS m, stddev_samp(s) / sqrt(5) AS se FROM c GROUP BY ALL HAVING count(*) FILTER (WHERE isfinite(s)) = 5),
+ b AS (SELECT site, min(m) AS bm, arg_min(se, m) AS bs, arg_min(la, m) AS lmin FROM g GROUP BY site)
+ SELECT g.site, lmin AS lambda_min, max(la) AS lambda_1se, {R('any_value(bm)', 'mean')} FROM g JOIN b ON b.site = g.site WHERE m <= bm + bs GROUP BY ALL""")
 def n14(spark, d):
     o = obs(spark, d, folds=5)
     e = o.select("site", "fold", "y", F.col("w")[0].alias("x"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("l"))
@@ -352,12 +353,12 @@ MOM = """mt AS (SELECT arm, outer_fold, fold, count(*) AS n_t, avg(phi) AS mu_t,
  mm AS (SELECT * FROM mp JOIN ms USING (arm, outer_fold, fold, src) JOIN mt USING (arm, outer_fold, fold))"""
 
 
-def moment_rows(m, sources, *cols):
+def moment_rows(m, sources, *cols, digits=7):
     j = F.posexplode(F.array(*[F.lit(s) for s in sources])).alias("j", "src")
     keys = [c for c in ("arm", "outer_fold", "fold") if c in m.columns]
     at = lambda c: F.get(c, F.col("j"))
-    return rnd(m.select("*", j).select(*keys, "src", *[(F.round(at(c), 7) if c not in ("n_s",) else at(c)).alias(c) if c in ("mu_pred", "delta", "v_t", "v_s", "c_ot", "n_s", "mu_s", "wald", "penalty", "eta")
-                                                       else F.col(c) for c in cols]), 7)
+    return rnd(m.select("*", j).select(*keys, "src", *[(F.round(at(c), digits) if c not in ("n_s",) else at(c)).alias(c) if c in ("mu_pred", "delta", "v_t", "v_s", "c_ot", "n_s", "mu_s", "wald", "penalty", "eta")
+                                                       else F.col(c) for c in cols]), digits)
 
 
 @query("I6_source_score", f"{KN}, {MOM} SELECT arm, outer_fold, fold, src, n_s, {R('de', 'delta', 7)}, {R('v_s', 'v_s', 5)} FROM mm WHERE fold = outer_fold")
@@ -644,13 +645,13 @@ def e11(spark, d):
 def e12(spark, d):
     s = known(spark, d)
     m = we.wald_discrepancy(mo.pool_moments(cf.inner_moments(s, (2,)), 4), 2.0)
-    return rnd(moment_rows(m, s.sources, "wald", "penalty"))
+    return moment_rows(m, s.sources, "wald", "penalty", digits=6)
 
 
 def solved(spark, d, rule, lam, merged=True):
     s = known(spark, d, merged=merged)
     w = we.solve_weights(mo.pool_moments(cf.inner_moments(s, (2,)), len(s.sources)), lam, rule)
-    return rnd(moment_rows(w, s.sources, "wald", "eta"), 6)
+    return moment_rows(w, s.sources, "wald", "eta", digits=6)
 
 
 @query("E13_solve_weights", f"{K1}, {TAU}, {solve_sql(lam='2e0')} SELECT 2 AS arm, outer_fold, src, {R('wald', 'wald')}, {R('eta', 'eta')} FROM eta")
@@ -713,9 +714,8 @@ def sep_sql() -> str:
     """Arm-wise weights, then the difference of the arms' pseudo-values."""
     out = []
     for arm in (1, 0):
-        t = f"{arm_sql(arm)}, {solve_sql()}, {PHI.split(', rs AS')[0].rsplit('),', 1)[0] + ')'}"
+        t = f"{arm_sql(arm)}, {solve_sql()}, {PHI.split(',' + chr(10) + ' rs AS')[0]}"
         for n in ("tg2", "pj2", "co2", "mt2", "mp2", "ms2", "mm2", "pl", "q0", "q1", "q2", "pv"):
-            import re
             t = re.sub(rf"\b{n}\b", f"{n}_{arm}", t)
         t = re.sub(r"\beta AS \(", f"eta_{arm} AS (", t)
         t = t.replace("JOIN eta USING", f"JOIN eta_{arm} eta USING")
@@ -804,8 +804,8 @@ def boot_inputs(spark, d):
     b = base(spark, d)
     infl = b.select(F.lit("mean").alias("method"), "site", "obs_id", F.col("y_num").alias("influence"))
     n = b.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
-    tot = n.agg(F.sum("n").alias("N"))
-    return infl, n.crossJoin(tot).select(F.lit("mean").alias("method"), "site", (F.col("n") / F.col("N")).alias("weight"))
+    tot = n.agg(F.sum("n").alias("total"))
+    return infl, n.crossJoin(tot).select(F.lit("mean").alias("method"), "site", (F.col("n") / F.col("total")).alias("weight"))
 
 
 @query("B1_multiplier_bootstrap_se")
