@@ -602,8 +602,7 @@ def e8(spark, d):
  SELECT 'sample_size' AS method, {R('mu1 - mu0', 'estimate')}, {R('mu1', 'mu1')}, {R('mu0', 'mu0')}, {R('vt', 'variance_analytic', 8)}, {R('sqrt(v1)', 'mu1_se')}, {R('sqrt(v0)', 'mu0_se')}, {R('(v1 + v0 - vt) / 2', 'cross_arm_covariance', 9)},
  {R('(v1 + v0 - vt) / 2 / sqrt(v1 * v0)', 'cross_arm_correlation')}, CAST(n AS BIGINT) AS n FROM a""")
 def e9(spark, d):
-    arms = es.site_method_arms(xf_scores(spark, d).persist(), "sample_size")
-    r, _ = es.combine_arms(arms[1], arms[0])
+    r, _ = es.combine_arms(*es.site_method_arms(xf_scores(spark, d).persist(), ["sample_size"])["sample_size"])
     return rnd(r.withColumns({"variance_analytic": F.round("variance_analytic", 8), "cross_arm_covariance": F.round("cross_arm_covariance", 9)}), skip=("variance_analytic", "cross_arm_covariance"))
 
 

@@ -216,7 +216,7 @@ def f4(spark, d):
  SELECT obs_id, st.outer_fold, {R('(coalesce(v, fill) - m) / s', 'v')}, {R('(x2 - m2) / s2', 'x2')} FROM f, st JOIN fl USING (outer_fold)""")
 def f5(spark, d):
     b = base(spark, d).select("obs_id", "site", "a", F.when(F.col("x1") >= 0, F.col("x1")).alias("v"), "x2")
-    f = fo.assign_folds(b, 3)
+    f = fo.assign_folds(b, 3).persist()
     return rnd(co.fold_preprocess(f, ["v", "x2"], 3).select("obs_id", "outer_fold", "v", "x2"))
 
 

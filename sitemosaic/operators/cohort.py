@@ -9,7 +9,9 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .. import constants as C
 from ..functions import clip, col
@@ -308,18 +310,28 @@ def weight_diagnostics(df: DataFrame, weight: str = "weight", by: str = "site",
     return base.join(grouped_quantiles(df, weight, by, {"p50": .5, "p90": .9, "p95": .95, "p99": .99}), by)
 
 
-def grouped_quantiles(df: DataFrame, x: str, by, probs: Mapping[str, float]) -> DataFrame:
+def range_slice(x: str, cuts: Sequence[float]) -> Column:
+    """Number of cut points below x, by vectorised binary search."""
+    edges = np.array(sorted({float(c) for c in cuts}))
+
+    @F.pandas_udf(T.IntegerType())
+    def slice_of(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, v.to_numpy(), side="left").astype("int32"))
+
+    return slice_of(F.col(x))
+
+
+def grouped_quantiles(df: DataFrame, x: str, by, probs: Mapping[str, float], slices: int = 256) -> DataFrame:
     """Exact interpolated quantiles of x per group, by counting ranks over range slices of x.
 
     Slices come from one sketch over all rows, so a group holding most rows is
     still spread over every slice; equal values are counted before any ordering.
     """
     by = [by] if isinstance(by, str) else list(by)
-    cuts = df.agg(F.percentile_approx(x, [i / 64 for i in range(1, 64)], 10_000)).first()[0] or []
-    cuts = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array(F.lit(0.0))
-    d = df.filter(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x")).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    d = d.withColumn("_s", F.size(F.filter(cuts, lambda c: c < F.col("_x"))))
-    per = d.groupBy(*by, "_s").agg(F.sum("_c").alias("_n"))
+    cuts = df.agg(F.percentile_approx(x, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
+    keyed = df.filter(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x")).withColumn("_s", range_slice("_x", cuts))
+    per = keyed.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    d = keyed.groupBy(*by, "_s", "_x").agg(F.count(F.lit(1)).alias("_c"))
     before = W.partitionBy(*by).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     off = per.select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col("_s").alias("_t"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
                      F.sum("_n").over(W.partitionBy(*by)).alias("_tot"))

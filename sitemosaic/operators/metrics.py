@@ -417,8 +417,9 @@ def delta(base: DataFrame, cand: DataFrame, keys: Sequence[str], cols: Sequence[
 def robust_spread(r: DataFrame, keys: Sequence[str], trim: float = 0.05) -> DataFrame:
     """Sample, trimmed and MAD spread of the estimates, and tail frequencies of bias/se."""
     keys = list(keys)
-    r = r.select(*keys, finite("estimate").alias("x"), finite("se").alias("s"), finite("bias").alias("b")).dropna()
-    q = grouped_quantiles(r, "x", keys, {"lo": trim, "hi": 1 - trim, "med": 0.5})
+    r = r.select(*keys, finite("estimate").alias("x"), finite("se").alias("s"), finite("bias").alias("b")).dropna().persist()
+    # one row per group, read by both later passes
+    q = grouped_quantiles(r, "x", keys, {"lo": trim, "hi": 1 - trim, "med": 0.5}).persist()
     z = F.col("b") / F.col("s")
     j = r.join(q, keys).withColumns({"z": z, "ad": F.abs(F.col("x") - F.col("med"))})
     mad = grouped_quantiles(j.select(*keys, "ad"), "ad", keys, {"mad": 0.5})

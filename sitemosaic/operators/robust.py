@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .cohort import range_slice
+
 
 def pool_fold_moments(f: DataFrame, by: Sequence[str] = ("site",)) -> DataFrame:
     """Fold (n, mean, variance) to a site mean and the variance of that mean, between-fold part included."""
@@ -75,8 +77,7 @@ def quorum_intervals(iv: DataFrame, m: int, by: Sequence[str] = (), slices: int
                                             F.struct(F.col("upper").alias("v"), F.lit(0).alias("s"), F.lit(1).alias("e")))).alias("x")).select(*by, "x.*")
     pts = ends.groupBy(*by, "v").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
     cuts = ends.agg(F.percentile_approx("v", [i / slices for i in range(1, slices)], 1000)).first()[0] or [0.0]
-    cuts = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))])
-    pts = pts.withColumn("_k", F.size(F.filter(cuts, lambda c: c < F.col("v"))))
+    pts = pts.withColumn("_k", range_slice("v", cuts))
     per = pts.groupBy(*by, "_k").agg((F.sum("s") - F.sum("e")).alias("net"))
     off = per.select(*by, "_k", F.coalesce(F.sum("net").over(W.partitionBy(*by).orderBy("_k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     w = W.partitionBy(*by, "_k").orderBy("v")

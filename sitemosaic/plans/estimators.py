@@ -127,29 +127,36 @@ def inverse_variance_weighted(site_est: DataFrame, by: Sequence[str] = ()) -> Da
 
 
 # -- one arm of the score-based methods -----------------------------------------------------------
-def site_method_arms(scores: DataFrame, method: str) -> dict[int, ArmResult]:
-    """target_only, sample_size and inverse_variance for both arms from shared site scores."""
+def site_method_arms(scores: DataFrame, methods: Sequence[str]) -> dict[str, tuple[ArmResult, ArmResult]]:
+    """target_only, sample_size and inverse_variance of both arms from shared site scores.
+
+    One pass over the rows gives the site table of both arms; the rest works on its
+    2 (K + 1) rows with the arm as a key.
+    """
+    arm = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"phi{a}").alias("phi")) for a in (1, 0)])).alias("s")
+    long = scores.select("obs_id", "site", arm).select("obs_id", "site", "s.*")
+    rows = site_table(long, by=("arm", "site")).collect()
+    spark = scores.sparkSession
+    t = spark.createDataFrame(rows, "arm int, site string, n long, estimate double, v_ot double, variance double")
+    infl = long.join(sized(t.select("arm", "site", F.col("estimate").alias("_m")), len(rows), 64), ["arm", "site"]).select(
+        "arm", "site", "obs_id", (F.col("phi") - F.col("_m")).alias("influence"))
+    n = sum(r["n"] for r in rows if r["arm"] == 1)
+    agg = {"sample_size": sample_size_weighted, "inverse_variance": inverse_variance_weighted}
     out = {}
-    for arm in (1, 0):
-        s = scores.select("obs_id", "site", F.col(f"phi{arm}").alias("phi"))
-        if method == "target_only":
-            s = s.filter(F.col("site") == C.TARGET)
-        rows = {r["site"]: r for r in site_table(s).collect()}
-        # from here on the site table has one row per site
-        t = scores.sparkSession.createDataFrame(list(rows.values()), "site string, n long, estimate double, v_ot double, variance double")
-        n = sum(r["n"] for r in rows.values())
-        means = t.select("site", F.col("estimate").alias("_m"))
-        infl = s.join(means, "site").select("site", "obs_id", (F.col("phi") - F.col("_m")).alias("influence"))
-        if method == "target_only":
-            r = rows[C.TARGET]
-            out[arm] = ArmResult(method, arm, r["estimate"], max(r["variance"], C.VARIANCE_FLOOR), infl, {C.TARGET: 1.0}, n)
-            continue
-        agg = (sample_size_weighted if method == "sample_size" else inverse_variance_weighted)(t).first()
-        if method == "sample_size":
-            w = {k: r["n"] / n for k, r in rows.items()}
+    for m in methods:
+        if m == "target_only":
+            one = {r["arm"]: r for r in rows if r["site"] == C.TARGET}
+            pair = [ArmResult(m, a, one[a]["estimate"], max(one[a]["variance"], C.VARIANCE_FLOOR),
+                              infl.filter((F.col("arm") == a) & (F.col("site") == C.TARGET)).drop("arm"), {C.TARGET: 1.0}, one[a]["n"]) for a in (1, 0)]
         else:
-            w = {r["site"]: r["block_weight"] for r in inverse_variance_weights(t).collect()}
-        out[arm] = ArmResult(method, arm, agg["estimate"], agg["variance"], infl, w, n, {k: agg[k] for k in ("tau2", "q", "i2")})
+            g = {r["arm"]: r for r in agg[m](t, ("arm",)).collect()}
+            if m == "sample_size":
+                w = {(r["arm"], r["site"]): r["n"] / n for r in rows}
+            else:
+                w = {(r["arm"], r["site"]): r["block_weight"] for r in inverse_variance_weights(t, ("arm",)).collect()}
+            pair = [ArmResult(m, a, g[a]["estimate"], g[a]["variance"], infl.filter(F.col("arm") == a).drop("arm"), {s: x for (b, s), x in w.items() if b == a}, n,
+                              {k: g[a][k] for k in ("tau2", "q", "i2")}) for a in (1, 0)]
+        out[m] = tuple(pair)
     return out
 
 
@@ -292,10 +299,7 @@ def compare_methods(obs: DataFrame, methods: Sequence[str] = METHODS, family: st
     arms: dict[str, tuple[ArmResult, ArmResult]] = {}
     if set(methods) & {"target_only", "sample_size", "inverse_variance"}:
         scores = crossfit_site_scores(data, k, family, nuisance, **kw).persist()
-        for m in methods:
-            if m in ("target_only", "sample_size", "inverse_variance"):
-                r = site_method_arms(scores, m)
-                arms[m] = (r[1], r[0])
+        arms |= site_method_arms(scores, [m for m in methods if m in ("target_only", "sample_size", "inverse_variance")])
     if "tilted_aipw" in methods:
         tf = tilted_fits(data, family)
         arms["tilted_aipw"] = (tilted_aipw_arm(data, 1, family, p, tf), tilted_aipw_arm(data, 0, family, p, tf))
