@@ -736,6 +736,12 @@ def e19b(spark, d):
     return res_cols(cf.aggregate_tate(known(spark, d), "joint_tate")[0], "method")
 
 
+@query("E20_weight_layer")
+def e20(spark, d):
+    from ..plans.weight_layer import weight_layer
+    return rnd(weight_layer(known(spark, d), lam=2.0), 12)
+
+
 OPT = cf.Options(k=3, nlambda=6)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from .. import constants as C
 from ..functions import clip, col
-from .quantiles import exact_quantiles
+from .quantiles import BRACKET_ROWS, exact_quantiles
 
 NUMERIC_TOKEN = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
@@ -321,14 +321,20 @@ def range_slice(x: str, cuts: Sequence[float]) -> Column:
     return slice_of(F.col(x))
 
 
-def grouped_quantiles(df: DataFrame, x: str, by, probs: Mapping[str, float], slices: int = 256) -> DataFrame:
+def grouped_quantiles(df: DataFrame, x: str, by, probs: Mapping[str, float], slices: int = 256,
+                      direct_rows: int = BRACKET_ROWS) -> DataFrame:
     """Exact interpolated quantiles of x per group, by counting ranks over range slices of x.
 
     Slices come from one sketch over all rows, so a group holding most rows is
     still spread over every slice; equal values are counted before any ordering.
+    Tables of at most `direct_rows` rows use the built-in aggregate.
     """
     by = [by] if isinstance(by, str) else list(by)
-    cuts = df.agg(F.percentile_approx(x, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
+    first = df.agg(F.count(x), F.percentile_approx(x, [i / slices for i in range(1, slices)], 10_000)).first()
+    if first[0] <= direct_rows:
+        q = df.groupBy(*by).agg(F.percentile(x, list(probs.values())).alias("_q"))
+        return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+    cuts = first[1] or []
     keyed = df.filter(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x")).withColumn("_s", range_slice("_x", cuts))
     per = keyed.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_n"))
     d = keyed.groupBy(*by, "_s", "_x").agg(F.count(F.lit(1)).alias("_c"))
