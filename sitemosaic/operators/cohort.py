@@ -154,7 +154,9 @@ def one_hot(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence[st
         guard = {c: F.when(F.col(c).isin(list(levels[c])), F.col(c)).otherwise(
             F.raise_error(F.concat(F.lit(f"unknown level in {c}: "), F.coalesce(F.col(c), F.lit("NULL")))).cast("string"))
             for c in cols}
-    out = df.withColumns(guard) if guard else df
+    out = df
+    for c, g in guard.items():
+        out = out.filter(g.isNotNull())  # evaluated even when no column of c survives
     hot = [F.when(F.col(c) == l, 1.0).otherwise(0.0).alias(f"{c}_{l}") for c in cols for l in list(levels[c])[1:]]
     return out.select(*[c for c in df.columns if c not in cols], *hot)
 
