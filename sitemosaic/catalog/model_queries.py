@@ -488,7 +488,8 @@ def i16(spark, d):
     r, _ = inf.weighted_aipw(data, w, ps, orr, 1, "gaussian", 1)
     s, t = inf.density_influence(data, r, dr, 1)
     part = s.select("obs_id", F.col("site").alias("source"), F.lit("source").alias("part"), "density_part")
-    return rnd(part.unionByName(t.select("obs_id", "source", F.lit("target").alias("part"), "density_part")), 8)
+    t = t.select("obs_id", F.explode("parts").alias("m")).select("obs_id", "m.source", F.lit("target").alias("part"), "m.density_part")
+    return rnd(part.unionByName(t), 8)
 
 
 @query("I17_solve_curvature")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from .. import constants as C
 from ..functions import clip, col
+from .joins import attach
 from .quantiles import BRACKET_ROWS, exact_quantiles
 
 NUMERIC_TOKEN = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
@@ -238,19 +239,15 @@ def normalize_log_weights(df: DataFrame, log_weight: str, by: Sequence[str] = ()
     top = df.groupBy(*by).agg(F.max(log_weight).alias("_top"))
     floor = F.lit(C.LOG_SMALLEST_NORMAL)
 
-    def with_stats(x, stats):
-        return x.join(stats, by) if by else x.crossJoin(stats)
-
-    shifted = with_stats(df, top).withColumn("_w", F.exp(F.greatest(F.col(log_weight) - F.col("_top"), floor)))
+    shifted = attach(df, top, by).withColumn("_w", F.exp(F.greatest(F.col(log_weight) - F.col("_top"), floor)))
     mean = shifted.groupBy(*by).agg(F.avg("_w").alias("_m"))
-    return with_stats(shifted, mean).withColumn(out, F.col("_w") / F.col("_m")).drop("_top", "_w", "_m")
+    return attach(shifted, mean, by).withColumn(out, F.col("_w") / F.col("_m")).drop("_top", "_w", "_m")
 
 
 def unit_norm(df: DataFrame, column: str, by: Sequence[str] = (), out: str | None = None) -> DataFrame:
     by = list(by)
     n = df.groupBy(*by).agg(F.sqrt(F.sum(F.col(column) * F.col(column))).alias("_n"))
-    j = df.join(n, by) if by else df.crossJoin(n)
-    return j.withColumn(out or column, F.when(F.col("_n") > 0, F.col(column) / F.col("_n")).otherwise(F.col(column))).drop("_n")
+    return attach(df, n, by).withColumn(out or column, F.when(F.col("_n") > 0, F.col(column) / F.col("_n")).otherwise(F.col(column))).drop("_n")
 
 
 def weighted_mean(x, w=None) -> Column:

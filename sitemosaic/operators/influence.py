@@ -182,13 +182,12 @@ def weighted_aipw(data: DataFrame, rows: DataFrame, ps: dict[str, Fitted], orr:
 
 
 # -- density influence ------------------------------------------------------------------------
-def density_influence(data: DataFrame, rows: DataFrame, fits: list[Fitted], p: int, total: float | None = None,
-                      totals: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+def density_influence(data: DataFrame, rows: DataFrame, fits: list[Fitted], p: int, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Source and target parts of the estimated density weights' influence.
 
     rows: output of weighted_aipw with tilt_eta and raw_weight. Source part per
-    source row; target part as one row per (obs_id, source). total: pooled row count,
-    for which the source fraction n_j / total applies.
+    source row; target rows keep their columns and get `parts`, one entry per source.
+    total: pooled row count, for which the source fraction n_j / total applies.
     """
     src = rows.filter(F.col("site") != C.TARGET)
     norm, c = F.col("raw_weight"), F.col("phi") - F.col("est")
@@ -224,8 +223,8 @@ def density_influence(data: DataFrame, rows: DataFrame, fits: list[Fitted], p: i
     j = src.join(sized(vec.withColumnRenamed("src", "site"), len(gs), 8 * (p + 8)), "site")
     part = F.exp(-F.col("tilt_eta")) * _dotx("dn_dir", p, "z") - F.col("dn_off") + F.col("dn_norm") * (norm - 1)
     source = j.withColumn("density_part", part).drop("dn_dir", "dn_off", "dn_norm", "dn_t")
-    # one row per (target row, source): the sources' vectors travel as one array
-    packed = vec.agg(F.collect_list(F.struct("src", "dn_dir", "dn_t")).alias("_v"))
-    target = tgt.crossJoin(packed).select("obs_id", F.explode(F.transform("_v", lambda m: F.struct(
-        m["src"].alias("source"), (m["dn_t"] - linear_predictor("z", m["dn_dir"], p)).alias("density_part")))).alias("s")).select("obs_id", "s.*")
+    # the sources' vectors travel to the target rows as one array: no row is repeated
+    packed = vec.agg(F.sort_array(F.collect_list(F.struct("src", "dn_dir", "dn_t"))).alias("_v"))
+    parts = F.transform("_v", lambda m: F.struct(m["src"].alias("source"), (m["dn_t"] - linear_predictor("z", m["dn_dir"], p)).alias("density_part")))
+    target = tgt.crossJoin(F.broadcast(packed)).withColumn("parts", parts).drop("_v")
     return source, target

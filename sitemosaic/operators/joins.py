@@ -23,6 +23,18 @@ def small(df: DataFrame, limit: int = 200_000) -> DataFrame:
     return df.sparkSession.createDataFrame([tuple(r.values()) for r in t.to_pylist()], df.schema)
 
 
+def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], limit: int = 100_000) -> DataFrame:
+    """Group statistics onto rows. Few groups (counted first) are broadcast, so a hot group is never shuffled;
+    many groups use an ordinary join, which adaptive execution splits."""
+    by = list(by)
+    if not by:
+        return df.crossJoin(stats)
+    t = stats.limit(limit + 1).toArrow()
+    if t.num_rows > limit:
+        return df.join(stats, by)
+    return df.join(F.broadcast(df.sparkSession.createDataFrame([tuple(r.values()) for r in t.to_pylist()], stats.schema)), by)
+
+
 def pair_violations(results: DataFrame, method: str, benchmark: str, by: Sequence[str]) -> DataFrame:
     """Keys without exactly one row of each method."""
     r = results.filter(F.col("method").isin(method, benchmark))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from .. import constants as C
 from ..functions import finite, group_key as key_expr, parse_bool
 from .cohort import grouped_quantiles
+from .joins import attach
 
 SETTING_COLUMNS = ("experiment", "outcome_family", "config", "deviation_mechanism", "estimand_scope", "p", "K", "n_site",
                    "n_folds", "rho", "cutoff")
@@ -421,7 +422,7 @@ def robust_spread(r: DataFrame, keys: Sequence[str], trim: float = 0.05) -> Data
     # one row per group, read by both later passes
     q = grouped_quantiles(r, "x", keys, {"lo": trim, "hi": 1 - trim, "med": 0.5}).persist()
     z = F.col("b") / F.col("s")
-    j = r.join(q, keys).withColumns({"z": z, "ad": F.abs(F.col("x") - F.col("med"))})
+    j = attach(r, q, keys).withColumns({"z": z, "ad": F.abs(F.col("x") - F.col("med"))})
     mad = grouped_quantiles(j.select(*keys, "ad"), "ad", keys, {"mad": 0.5})
     g = j.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("empirical_sd"),

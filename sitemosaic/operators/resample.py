@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import constants as C
 from .gram import _matrix
+from .joins import attach
 
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -69,7 +70,7 @@ def multiplier_draws(influence: DataFrame, weights: DataFrame, b: int = C.BOOTST
         raise ValueError("at least two replicates are required")
     keys = [*by, "site"]
     m = influence.groupBy(*keys).agg(F.avg("influence").alias("_m"), F.count(F.lit(1)).alias("_n"))
-    j = influence.join(m, keys)
+    j = attach(influence, m, keys)
     g = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys])
     v = F.array((F.col("influence") - F.col("_m")) / F.col("_n"))
     sums = _draw_sums(j.select("obs_id", g.alias("g"), v.alias("v")), "g", "v", b, seed, "sign")
@@ -166,6 +167,6 @@ def multiplier_draws_sql(influence: DataFrame, weights: DataFrame, b: int, seed:
     keys = [*by, "site"]
     m = influence.groupBy(*keys).agg(F.avg("influence").alias("_m"), F.count(F.lit(1)).alias("_n"))
     x = (F.col("influence") - F.col("_m")) / F.col("_n")
-    s = influence.join(m, keys).groupBy(*keys).agg(*[F.sum(sign_from_md5(seed, F.lit(i), "obs_id") * x).alias(f"d{i}") for i in range(b)])
+    s = attach(influence, m, keys).groupBy(*keys).agg(*[F.sum(sign_from_md5(seed, F.lit(i), "obs_id") * x).alias(f"d{i}") for i in range(b)])
     long = s.select(*keys, F.posexplode(F.array(*[F.col(f"d{i}") for i in range(b)])).alias("draw", "s"))
     return long.join(weights, keys).groupBy(*by, "draw").agg(F.sum(F.col("s") * F.col("weight")).alias("total"))

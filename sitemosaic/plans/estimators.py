@@ -235,9 +235,9 @@ def federated_dr_arm(data: DataFrame, weighted: DataFrame, dr: list, arm: int, f
     valid = [s for s in sites if np.isfinite(table[s]["estimate"]) and np.isfinite(var[s]) and var[s] > 0]
     prec = sum(1 / var[s] for s in valid)
     w = {s: 1 / var[s] / prec for s in valid}
-    wf = weight_frame(data.sparkSession, "w", w).select(F.col("site").alias("source"), "weight")
-    extra = tgt.join(sized(wf, len(w), 32), "source").groupBy("obs_id").agg(F.sum(F.col("density_part") * F.col("weight")).alias("e"))
-    shared = ti.join(extra, "obs_id", "left").select("site", "obs_id", (F.col("influence") * w.get(C.TARGET, 0.0) + F.coalesce("e", F.lit(0.0))).alias("influence"))
+    wmap = F.create_map(*[F.lit(v) for kv in w.items() for v in kv])
+    extra = F.aggregate("parts", F.lit(0.0), lambda t, m: t + m["density_part"] * F.coalesce(wmap[m["source"]], F.lit(0.0)))
+    shared = tgt.select("site", "obs_id", (F.col("influence") * w.get(C.TARGET, 0.0) + extra).alias("influence"))
     infl = shared.unionByName(si.filter(F.col("site").isin(valid)))
     blocks = {C.TARGET: 1.0} | {s: w[s] for s in valid if s != C.TARGET}
     est = sum(w[s] * table[s]["estimate"] for s in valid)
@@ -253,8 +253,8 @@ def pooled_dr_arm(data: DataFrame, weighted: DataFrame, dr: list, arm: int, fami
     src, tgt = inf.density_influence(data, r, dr, p, total=n_all)
     nf = weight_frame(data.sparkSession, "n", {s: n_all / c for s, c in n.items()}).select("site", F.col("weight").alias("_f"))
     si = src.join(sized(nf, len(n), 32), "site").select("site", "obs_id", (F.col("influence") + F.col("_f") * F.col("density_part")).alias("influence"))
-    extra = tgt.groupBy("obs_id").agg((F.sum("density_part") * (n_all / n[C.TARGET])).alias("e"))
-    ti = r.filter(F.col("site") == C.TARGET).join(extra, "obs_id").select("site", "obs_id", (F.col("influence") + F.col("e")).alias("influence"))
+    extra = F.aggregate("parts", F.lit(0.0), lambda t, m: t + m["density_part"]) * (n_all / n[C.TARGET])
+    ti = tgt.select("site", "obs_id", (F.col("influence") + extra).alias("influence"))
     infl, w = ti.unionByName(si), {s: c / n_all for s, c in n.items()}
     return ArmResult("pooled_dr", arm, table["*"]["estimate"], max(block_variance(infl, w), C.VARIANCE_FLOOR), infl, w, n_all)
 

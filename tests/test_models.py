@@ -325,3 +325,40 @@ def test_weight_bootstrap_fixed_draws_match_brute_force(saved):
         v = (1 - e.sum(axis=1)) * g["phi"].to_numpy(float) + (e * np.array(g["psi"].to_list())).sum(axis=1) if s == "t" else e[:, saved.sources.index(s)] * g["corr"].to_numpy(float)
         want += (mass[k] * v[:, None]).sum(axis=0) / mass[k].sum(axis=0)
     assert np.allclose(d.sort_values("draw")["fixed"], want, atol=1e-10)
+
+
+def test_density_influence_is_the_numerical_derivative(spark):
+    """Only the density weights react to the masses; nuisances and direct masses stay fixed."""
+    x, site, a, y = toy(400, 11, ("t", "s1"), 2)
+    x[site == "s1", 0] += 0.4
+    f = prepare(frame(spark, x, site, a, y))
+    w, dr = inf.density_ratio_weights(f, ["s1"], lam=0.0)
+    ps = {s: fi.fit_glm(f, fi.keys("ps", [s], (1,), [()]), "binomial", "a")[0] for s in ("t", "s1")}
+    orr = {s: fi.fit_glm(f, fi.keys("or", [s], (1,), [()]), "binomial")[0] for s in ("t", "s1")}
+    r, t = inf.weighted_aipw(f, w, ps, orr, 2, "binomial", 1)
+    src, tgt = inf.density_influence(f, r, dr, 2)
+    phi = {v.obs_id: v.phi for v in r.filter("site = 's1'").collect()}
+    s_ids, t_ids = np.flatnonzero(site == "s1"), np.flatnonzero(site == "t")
+    d, dt, ph = np.c_[np.ones(len(s_ids)), x[s_ids]], np.c_[np.ones(len(t_ids)), x[t_ids]], np.array([phi[i] for i in s_ids])
+
+    def estimate(ms, mt):
+        m0, b = (mt[:, None] * dt).sum(axis=0) / mt.sum(), np.zeros(3)
+        for _ in range(80):
+            e = np.exp(-d @ b) * ms / ms.sum()
+            step = np.linalg.solve((d * e[:, None]).T @ d, m0 - d.T @ e)
+            b -= step * min(1.0, 1.0 / max(np.abs(step).max(), 1e-12))
+        tilt = np.exp(-d @ b)
+        wt = np.clip(tilt / ((ms * tilt).sum() / ms.sum()), *C.DR_WEIGHT_CLIP)
+        return (wt * ph).sum() / wt.sum()
+
+    assert np.isclose(t["s1"]["estimate"], estimate(np.ones(len(s_ids)), np.ones(len(t_ids))))
+    gs = {v.obs_id: v.density_part for v in src.collect()}
+    gt = {v.obs_id: v.parts[0]["density_part"] for v in tgt.collect()}
+    for k in range(0, 150, 29):
+        for ids, got, which in ((s_ids, gs, 0), (t_ids, gt, 1)):
+            def moved(h):
+                m = [np.ones(len(s_ids)), np.ones(len(t_ids))]
+                m[which][k] += h
+                return estimate(*m)
+            num = (moved(1e-4) - moved(-1e-4)) / 2e-4 * len(ids)
+            assert np.isclose(got[ids[k]], num, rtol=1e-3, atol=1e-5), (which, k)
