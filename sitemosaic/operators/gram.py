@@ -44,14 +44,23 @@ class Model:
     weight: bool = False             # multiply by the row weight column
 
 
+ROWS_PER_TASK = 500_000
+
+
 def prepare(obs: DataFrame, fold: str = "fold", cv: str = "cv", weight: str | None = None) -> DataFrame:
-    """The columns a pass reads, cached with spill to disk."""
+    """The columns a pass reads, cached with spill to disk and read by as many tasks as the row count warrants.
+
+    Counting fills the cache; merging cached partitions is narrow, so small data does
+    not pay for hundreds of tasks in every pass and large data keeps its own partitions.
+    """
     cols = obs.columns
     f = F.col(fold).cast("int") if fold in cols else F.lit(0)
     c = F.col(cv).cast("int") if cv in cols else F.lit(0)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    return obs.select("obs_id", "site", F.col("a").cast("int").alias("a"), F.col("y").cast("double").alias("y"), "w", "z", f.alias("fold"),
+    data = obs.select("obs_id", "site", F.col("a").cast("int").alias("a"), F.col("y").cast("double").alias("y"), "w", "z", f.alias("fold"),
                       c.alias("cv"), w.alias("weight")).persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = max(obs.sparkSession.sparkContext.defaultParallelism, -(-data.count() // ROWS_PER_TASK))
+    return data.coalesce(tasks)
 
 
 def _matrix(col) -> np.ndarray:
