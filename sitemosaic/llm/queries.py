@@ -37,3 +37,10 @@ def op1(spark, d):
 def op4(spark, d):
     from . import token_counts as t
     return t.over_limit(t.count_tokens(table(spark, d, "documents"), t.read_model(vocabulary("word_bpe_49k.json"))), 2048)
+
+
+@query("op10_huffman_ids")
+def op10(spark, d):
+    from . import huffman, token_counts
+    path = huffman.write_ids(table(spark, d, "documents"), token_counts.read_model(vocabulary("word_bpe_49k.json")), end_id=1)
+    return huffman.read_ids(spark, path).select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

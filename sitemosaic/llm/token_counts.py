@@ -35,6 +35,7 @@ class WordModel:
             raise ValueError("only word BPE files with NFC, white space and lower-case normalization are known here")
         self.source = source
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.small = max([*spec["model"]["vocab"].values(), *self.special.values()]) < 1 << 16
         self.pattern = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
 
     def normal(self):
@@ -52,6 +53,10 @@ class WordModel:
             return text.lower(), ids
         return run
 
+    def cuts(self, text: str) -> list[str]:
+        """The pieces of a text around its special strings."""
+        return re.split(self.pattern, text)
+
     def encoder(self):
         """word (UTF-8) -> ids."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
