@@ -33,6 +33,12 @@ def op1(spark, d):
     return out.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op3_simhash")
+def op3(spark, d):
+    from . import simhash
+    return simhash.near_duplicates(table(spark, d, "documents"))
+
+
 @query("op4_token_counts")
 def op4(spark, d):
     from . import token_counts as t
