@@ -45,6 +45,27 @@ def op4(spark, d):
     return t.over_limit(t.count_tokens(table(spark, d, "documents"), t.read_model(vocabulary("word_bpe_49k.json"))), 2048)
 
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, list_aggregate(w[p:p + n - 1], 'string_agg', ' ') AS g FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS p FROM i WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, p, list_aggregate(w[p:p + n - 1], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, ns WHERE len(w) >= n)),
+m AS (SELECT DISTINCT doc_id, n, p, g FROM dw WHERE (n, g) IN (SELECT (n, g) FROM iw)),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY doc_id),
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM m JOIN iw USING (n, g) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
+@query("op9_decontamination", OP9_SQL)
+def op9(spark, d):
+    from . import decontaminate as t
+    out = t.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), t.contaminated().alias("contaminated"))
+
+
 @query("op10_huffman_ids")
 def op10(spark, d):
     from . import huffman, token_counts
