@@ -73,6 +73,13 @@ def marks(df: DataFrame, k: int, window: int) -> DataFrame:
     return kept(grams(df, "h", k, "g"), "g", window - k + 1, "kept")
 
 
+def exploded(df: DataFrame, columns: list, array, name: str, pos: bool = False) -> DataFrame:
+    """columns, (pos,) and a row for every element. The outer form: the optimizer would push an inner one's non-empty test down
+    through all the steps that make the array, and so make it twice."""
+    made = F.posexplode_outer(array).alias("pos", name) if pos else F.explode_outer(array).alias(name)
+    return df.select(*columns, made).filter(F.col(name).isNotNull())
+
+
 def small(df: DataFrame) -> DataFrame:
     """A checkpointed table of few narrow rows is broadcast, a larger one is not."""
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
@@ -85,7 +92,7 @@ def item_windows(items: DataFrame, key: str, text: str, window: int) -> tuple[Da
     out = None
     for n in [*short, window]:
         part = base.filter(F.size("words") == n if n < window else F.size("words") >= window)
-        part = grams(part, "h", n, "grams").select("item", "words", F.posexplode("grams").alias("pos", "gram"))
+        part = exploded(grams(part, "h", n, "grams"), ["item", "words"], "grams", "gram", pos=True)
         part = part.select(F.lit(n).alias("n"), "gram", "item", F.slice("words", F.col("pos") + 1, F.lit(n)).alias("window"))
         out = part if out is None else out.unionByName(part)
     return checkpoint(out.distinct()), short
@@ -104,14 +111,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     if not 1 <= k <= window:
         raise ValueError("k must be between 1 and the window")
     windows, short = item_windows(items, item_key, item_text, window)
-    listed = checkpoint(marks(hashed(items, item_text), k, window).select(F.explode("kept").alias("mark")).distinct())
+    listed = checkpoint(exploded(marks(hashed(items, item_text), k, window), [], "kept", "mark").distinct())
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("body")).withColumns({"t1": F.xxhash64("body"), "t2": F.xxhash64(F.lit(1), "body")})
 
     # which texts share a kept hash (or a short item's gram)
     own = hashed(named, "body", "t1", "t2")
-    seen = marks(own, k, window).select("t1", "t2", F.explode("kept").alias("mark")).join(small(listed), "mark", "left_semi").select("t1", "t2")
+    seen = exploded(marks(own, k, window), ["t1", "t2"], "kept", "mark").join(small(listed), "mark", "left_semi").select("t1", "t2")
     for n in short:
-        exact = grams(own, "h", n, "grams").select("t1", "t2", F.explode(F.array_distinct("grams")).alias("gram"))
+        exact = exploded(grams(own, "h", n, "grams"), ["t1", "t2"], F.array_distinct("grams"), "gram")
         seen = seen.unionByName(exact.join(windows.filter(F.col("n") == n).select("gram").distinct(), "gram", "left_semi").select("t1", "t2"))
     seen = checkpoint(seen.distinct())
 
@@ -119,7 +126,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     texts = checkpoint(hashed(named.join(small(seen), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]), "body", "t1", "t2"))
     at = None
     for n in [*short, window]:
-        part = grams(texts, "h", n, "grams").select("t1", "t2", F.lit(n).alias("n"), F.posexplode("grams").alias("pos", "gram"))
+        part = exploded(grams(texts, "h", n, "grams"), ["t1", "t2", F.lit(n).alias("n")], "grams", "gram", pos=True)
         at = part if at is None else at.unionByName(part)
     at = at.join(windows.select("n", "gram").distinct(), ["n", "gram"], "left_semi")
     found = at.join(texts.select("t1", "t2", "words"), ["t1", "t2"]).select("t1", "t2", "n", "pos", "gram", F.slice("words", F.col("pos") + 1, F.col("n")).alias("window"))
