@@ -33,6 +33,13 @@ def op1(spark, d):
     return out.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op2_language_id")
+def op2(spark, d):
+    from . import langid
+    docs = table(spark, d, "documents")
+    return langid.predict(docs, langid.fit(docs)).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 @query("op3_simhash")
 def op3(spark, d):
     from . import simhash
@@ -45,6 +52,29 @@ def op4(spark, d):
     return t.over_limit(t.count_tokens(table(spark, d, "documents"), t.read_model(vocabulary("word_bpe_49k.json"))), 2048)
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+URL_TERMS = ("adult", "bets", "casino", "spam")
+OP6_SQL = r"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+c AS (SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '\.html$', ''), '/+$', '') AS canon FROM u),
+l AS (SELECT DISTINCT canon FROM c WHERE host <> '' AND regexp_matches(host, '(^|[.-])(adult|bets|casino|spam)([.-]|$)')),
+r AS (SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM c)
+SELECT page_id, host, path, rule, host <> '' AND l.canon IS NOT NULL AS listed,
+    CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN host <> '' AND l.canon IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM r LEFT JOIN l ON r.canon = l.canon"""
+
+
+@query("op6_url_filter", OP6_SQL)
+def op6(spark, d):
+    from . import url_filter as t
+    pages = table(spark, d, "pages")
+    return t.judge(pages, t.listed_by_terms(pages, URL_TERMS), URL_RULES)
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
