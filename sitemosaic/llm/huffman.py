@@ -241,7 +241,7 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id", key_type: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x + int(unpack_ints(s).sum()) for x, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.int64())], ["part", "n"])
 
     docs = blocks.select("part", "before", "keys", "sizes", "points", "bits").mapInArrow(run, f"part int, key {key_type}, inside bigint, n bigint, ids binary")
-    # one row per written part: at most as many as there were shuffle partitions
+    # one row of two numbers per written part: at most as many as there were shuffle partitions
     parts = blocks.select("part", "before", "sizes").mapInArrow(totals, "part int, n bigint").groupBy("part").agg(F.max("n").alias("ids"))
     parts = parts.select(F.col("part").alias("of"), (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("offset"))
-    return docs.join(parts, docs.part == parts.of).select(F.col("key").alias(key), (F.col("offset") + F.col("inside")).alias("start"), "ids")
+    return docs.join(F.broadcast(parts), docs.part == parts.of).select(F.col("key").alias(key), (F.col("offset") + F.col("inside")).alias("start"), "ids")
