@@ -52,6 +52,14 @@ def op4(spark, d):
     return t.over_limit(t.count_tokens(table(spark, d, "documents"), t.read_model(vocabulary("word_bpe_49k.json"))), 2048)
 
 
+@query("op5_tiff_pages")
+def op5(spark, d):
+    from . import tiff
+    pages = tiff.pages(tiff.payloads(table(spark, d, "documents")))
+    return pages.select("doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"),
+                        F.crc32(F.expr("substring(pixels, -64, 64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "error")
+
+
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 URL_TERMS = ("adult", "bets", "casino", "spam")
 OP6_SQL = r"""
@@ -75,6 +83,12 @@ def op6(spark, d):
     return t.judge(pages, t.listed_by_terms(pages, URL_TERMS), URL_RULES)
 
 
+@query("op8_html_text")
+def op8(spark, d):
+    from . import html_text
+    return html_text.extract(table(spark, d, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
