@@ -79,19 +79,16 @@ def lzw(data: bytes) -> bytes:
         put(known[word], width)
         known[more] = after
         after += 1
-        if after >= (1 << width) - 1:
-            width += 1
-        if after >= 4094:
-            put(256, min(width, 12))
+        width += after == 1 << width
+        if after >= 4095:
+            put(256, width)
             known = {bytes((i,)): i for i in range(256)}
             width, after = 9, 258
         word = data[i:i + 1]
     if word:
         put(known[word], width)
-        after += 1
-        if after >= (1 << width) - 1 and width < 12:
-            width += 1
-    put(257, width)
+        width += after + 1 == 1 << width
+    put(257, min(width, 12))
     if bits:
         out.append(held << (8 - bits) & 255)
     return bytes(out)
