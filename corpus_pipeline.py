@@ -1,15 +1,67 @@
-"""A corpus pipeline of the library's operators; each stage is written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline of the library's operators; each stage is written as Parquet and read again as the next one's documents.
+
+Every stage works on all documents that its predecessor kept, and its decisions take effect. Rows without doc_id stay where a decision is
+made by doc_id: they cannot be told apart, so nothing is decided about them. Null texts count as empty; an empty table stays empty.
+"""
 from __future__ import annotations
 
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sitemosaic.llm import bpe, decontaminate, langid, simhash, suffix_dedup
+from sitemosaic.llm.common import checkpoint, shared_dir, table
+
+LEAST_SCORE = 0.5  # a text whose best language scores less is rejected
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters and texts of no language that the documents' labels teach; all stay if there is no label."""
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs
+    columns = docs.columns
+    out = langid.predict(docs, model, passed=tuple(c for c in columns if c != "doc_id"))
+    return out.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays: the one with the least doc_id."""
+    named = docs.filter(F.col("doc_id").isNotNull())
+    first = simhash.near_duplicates(named).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every occurrence of a string of 400 bytes that occurs again is cut from the texts; n_chars follows the text."""
+    spans = suffix_dedup.repeated_spans(docs)
+    out = suffix_dedup.remove(docs, spans, passed=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+    out = out.withColumn("text", F.coalesce("kept_text", F.lit("")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a benchmark item covers a twentieth of the words or more go."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(decontaminate.contaminated())
+    found = checkpoint(found.select("doc_id").distinct())
+    return docs.join(decontaminate.small(found), "doc_id", "left_anti").select(docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text (little-endian unsigned 32-bit integers), and digests of the ids and of the bytes that they decode to."""
+    import public_tokenizers
+    ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
+    out = bpe.decode(bpe.encode(docs, ranks), ranks)
+    return out.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
-from sitemosaic.llm.common import shared_dir, table
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]
+ORACLE_SQL = None  # SQL has no counterpart of the trained model, the fingerprints or the tokenizer
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

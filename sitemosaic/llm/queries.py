@@ -83,6 +83,14 @@ def op6(spark, d):
     return t.judge(pages, t.listed_by_terms(pages, URL_TERMS), URL_RULES)
 
 
+@query("op7_suffix_dedup")
+def op7(spark, d):
+    from . import suffix_dedup as t
+    docs = table(spark, d, "documents")
+    out = t.remove(docs, t.repeated_spans(docs))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op8_html_text")
 def op8(spark, d):
     from . import html_text
