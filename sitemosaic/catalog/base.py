@@ -1,15 +1,13 @@
 """Inputs shared by the registered queries, derived from the given tables."""
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import TARGET
 from ..operators.folds import assign_folds
+from ..storage import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,10 +29,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder (a temporary one only where none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = root or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return os.path.join(root, f"sitemosaic-{uuid.uuid4().hex}")
+    """A new folder below the cluster's shared folder."""
+    return new_folder(spark)
 
 
 def R(expr: str, name: str, digits: int = 6) -> str:

@@ -24,10 +24,10 @@ def full(r):
 
 
 # -- J -------------------------------------------------------------------------------
-@query("J1_pair_methods", f"{RES}, {full_sql()} SELECT config, sim_id, {R('a.bias', 'bias', 9)}, {R('b.bias', 'benchmark_bias', 9)} FROM full_ a JOIN full_ b USING (config, sim_id) "
+@query("J1_pair_methods", f"{RES} SELECT config, sim_id, {R('a.bias', 'bias', 9)}, {R('b.bias', 'benchmark_bias', 9)} FROM res a JOIN res b USING (config, sim_id) "
        "WHERE a.method = 'one_round' AND b.method = 'target_only'")
 def j1(spark, d):
-    return rnd(jo.pair_methods(full(results(spark, d)), "one_round", "target_only", ["config", "sim_id"]), 9)
+    return rnd(jo.pair_methods(results(spark, d), "one_round", "target_only", ["config", "sim_id"]), 9)
 
 
 @query("J2_pair_target", f"{RES} SELECT sim_id, rho, cutoff, {R('a.estimate', 'estimate', 9)}, {R('b.bias', 'target_only_bias', 9)} FROM res a JOIN res b USING (sim_id, rho, cutoff) "

@@ -62,17 +62,20 @@ def s4(spark, d):
     return out.withColumn("K", F.col("K").cast("long"))
 
 
-@query("S5_write_results")
+@query("S5_write_results", f"WITH {RESULTS_SQL} SELECT method, config, {R('avg(estimate)', 'estimate')}, {R('avg(se)', 'se')} FROM res GROUP BY method, config")
 def s5(spark, d):
     r = results(spark, d).groupBy("method", "config").agg(F.avg("estimate").alias("estimate"), F.avg("se").alias("se"))
     path = scratch(spark)
     write_results(r, path)
-    return spark.read.parquet(path + "/results")
+    return rnd(spark.read.parquet(path + "/results"))
 
 
-@query("S6_table_fingerprint")
+@query("S6_table_fingerprint", f"""{WITH}, h AS (SELECT md5(concat_ws(chr(31), 'v' || a, 'v' || nation, 'v' || obs_id, coalesce('v' || nullif(seg, 'BUILDING'), 'n'), 'v' || site)) AS h FROM base),
+ n AS (SELECT CAST(('0x' || h[1:12]) AS BIGINT) AS x, CAST(('0x' || h[13:24]) AS BIGINT) AS y FROM h)
+ SELECT count(*) AS n_rows, bit_xor(x) AS xor_hash, CAST(sum(y) AS BIGINT) AS sum_hash FROM n""")
 def s6(spark, d):
-    return table_fingerprint(base(spark, d))
+    b = base(spark, d).select("obs_id", "site", "a", "nation", F.when(F.col("seg") != "BUILDING", F.col("seg")).alias("seg"))
+    return table_fingerprint(b).withColumn("sum_hash", F.col("sum_hash").cast("long"))
 
 
 # -- P -------------------------------------------------------------------------------
@@ -260,11 +263,11 @@ def f11(spark, d):
 
 
 @query("F12_cell_diagnostics", f"""{WITH}, c AS (SELECT site, count(*) FILTER (WHERE a = 0 AND y_bin = 0) AS c1, count(*) FILTER (WHERE a = 0 AND y_bin = 1) AS c2,
- count(*) FILTER (WHERE a = 1 AND y_bin = 0) AS c3, count(*) FILTER (WHERE a = 1 AND y_bin = 1) AS c4 FROM base WHERE nation > 2 OR y_bin = 0 GROUP BY site)
+ count(*) FILTER (WHERE a = 1 AND y_bin = 0) AS c3, count(*) FILTER (WHERE a = 1 AND y_bin = 1) AS c4 FROM base GROUP BY site)
  SELECT min(least(c1, c2, c3, c4)) AS min_cell, min(CASE WHEN site = 't' THEN least(c1, c2, c3, c4) END) AS min_target_cell,
  CAST(sum((c1 < 8)::INT + (c2 < 8)::INT + (c3 < 8)::INT + (c4 < 8)::INT) AS BIGINT) AS cells_below FROM c""")
 def f12(spark, d):
-    b = base(spark, d).filter("nation > 2 OR y_bin = 0").select("site", "a", F.col("y_bin").alias("y"))
+    b = base(spark, d).select("site", "a", F.col("y_bin").alias("y"))
     return co.cell_diagnostics(b)
 
 

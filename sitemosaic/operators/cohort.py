@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from .. import constants as C
 from ..functions import clip, col
 from .joins import attach
-from .quantiles import BRACKET_ROWS, exact_quantiles
+from .quantiles import exact_quantiles
 
 NUMERIC_TOKEN = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
@@ -136,16 +136,12 @@ def impute_mode(df: DataFrame, cols: Sequence[str], train_pred: Column | None =
 
 
 # -- encoding ------------------------------------------------------------------
-def one_hot(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None,
-            max_levels: int = 1000) -> DataFrame:
-    """Treatment coding: one 0/1 column per level but the first. With a fixed dictionary, unknown levels fail."""
+def one_hot(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Treatment coding: one 0/1 column per level but the first, so the levels are part of the result's schema.
+    With a fixed dictionary, unknown levels fail."""
     if levels is None:
         long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("l"))
                                              for c in cols])).alias("s")).select("s.*").filter("l IS NOT NULL").distinct()
-        rows = long.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
-        wide = [r["c"] for r in rows if r["n"] > max_levels]
-        if wide:
-            raise ValueError(f"too many levels to one-hot encode: {wide}")
         found: dict[str, list[str]] = {c: [] for c in cols}
         for r in long.collect():
             found[r["c"]].append(r["l"])
@@ -306,7 +302,7 @@ def weight_diagnostics(df: DataFrame, weight: str = "weight", by: str = "site",
         F.count(F.lit(1)).alias("n"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess"), F.max(w).alias("max_weight"),
         (F.max(w) / F.sum(w)).alias("max_share"), F.count_if(w <= caps[0]).alias("at_lower"),
         F.count_if(w >= caps[1]).alias("at_upper"))
-    return base.join(grouped_quantiles(df, weight, by, {"p50": .5, "p90": .9, "p95": .95, "p99": .99}), by)
+    return attach(base, grouped_quantiles(df, weight, by, {"p50": .5, "p90": .9, "p95": .95, "p99": .99}), [by])
 
 
 def range_slice(x: str, cuts: Sequence[float]) -> Column:
@@ -320,20 +316,17 @@ def range_slice(x: str, cuts: Sequence[float]) -> Column:
     return slice_of(F.col(x))
 
 
-def grouped_quantiles(df: DataFrame, x: str, by, probs: Mapping[str, float], slices: int = 256,
-                      direct_rows: int = BRACKET_ROWS) -> DataFrame:
-    """Exact interpolated quantiles of x per group, by counting ranks over range slices of x.
+def grouped_quantiles(df: DataFrame, x: str, by, probs: Mapping[str, float], slice_rows: int = 100_000) -> DataFrame:
+    """Exact interpolated quantiles of x per group, by counting ranks over range slices of x; NULL for a group without values.
 
-    Slices come from one sketch over all rows, so a group holding most rows is
-    still spread over every slice; equal values are counted before any ordering.
-    Tables of at most `direct_rows` rows use the built-in aggregate.
+    Slices of about `slice_rows` rows come from one sketch over all rows, so a group
+    holding most rows is still spread over every slice; equal values are counted
+    before any ordering. Keys may be NULL.
     """
     by = [by] if isinstance(by, str) else list(by)
-    first = df.agg(F.count(x), F.percentile_approx(x, [i / slices for i in range(1, slices)], 10_000)).first()
-    if first[0] <= direct_rows:
-        q = df.groupBy(*by).agg(F.percentile(x, list(probs.values())).alias("_q"))
-        return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
-    cuts = first[1] or []
+    rows = df.agg(F.count(x)).first()[0]
+    slices = min(10_000, max(2, -(-rows // slice_rows)))
+    cuts = df.agg(F.percentile_approx(x, [i / slices for i in range(1, slices)], 10 * slices)).first()[0] or []
     keyed = df.filter(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x")).withColumn("_s", range_slice("_x", cuts))
     per = keyed.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_n"))
     d = keyed.groupBy(*by, "_s", "_x").agg(F.count(F.lit(1)).alias("_c"))
@@ -350,7 +343,9 @@ def grouped_quantiles(df: DataFrame, x: str, by, probs: Mapping[str, float], sli
         aggs += [F.max(F.when((F.col("_lo") <= e) & (e < F.col("_hi")), F.col("_x"))).alias(f"{name}_{t}")
                  for t, e in (("l", F.floor(h)), ("h", F.ceil(h)))]
         aggs.append(F.max(h - F.floor(h)).alias(f"{name}_f"))
-    q = ranked.groupBy(*by).agg(*aggs)
+    q = ranked.groupBy(*by).agg(*aggs).withColumnsRenamed({k: f"_q_{k}" for k in by})
+    every = df.select(*by).distinct()
+    q = every.join(q, [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in by], "left")
     return q.select(*by, *[(F.col(f"{n}_l") + (F.col(f"{n}_h") - F.col(f"{n}_l")) * F.col(f"{n}_f")).alias(n) for n in probs])
 
 

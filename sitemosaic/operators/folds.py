@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as C
+from .joins import attach
 
 PREFIX_DIGITS = 3
 
@@ -46,7 +47,7 @@ def assign_group_folds(obs: DataFrame, k: int, seed: int = 7, group: str = "grou
     """
     units = obs.groupBy("site", group).agg(F.count(F.lit(1)).alias("_n"))
     folds = assign_folds(units, k, seed, strata=("site",), id_col=group, out=out).drop("_n")
-    return obs.join(folds, ["site", group])
+    return attach(obs, folds, ["site", group])
 
 
 def fold_view(obs: DataFrame, keep: Sequence[int] | None = None, drop: Sequence[int] | None = None, fold: str = "fold") -> DataFrame:

@@ -124,7 +124,7 @@ def _pass_function(bc, derivatives: bool):
             for (cs, ca, cf, cc), end in zip(cells, ends):
                 idx = order[start:end]
                 start = end
-                match = ((site == -1) | (site == cs)) & ((drop >> int(cf)) & 1 == 0)
+                match = ((site == -1) | (site == cs)) & (~drop[:, int(cf)] if cf < drop.shape[1] else True)
                 match &= np.where(held, cv == cc, (cv == 0) | (cv != cc))
                 if not match.any():
                     continue
@@ -141,7 +141,7 @@ def _pass_function(bc, derivatives: bool):
                         eta = x @ beta[mm].T
                         yy = (a[r] if resp == "a" else y[r]).astype(float)[:, None]
                         if plug_kind:
-                            factor = _row_factor(plug_kind, pfam, plug_radius, x @ s["plug"][s["plug_at"][mm, int(cf)]].T)
+                            factor = _row_factor(plug_kind, pfam, plug_radius, x @ s["plug"][s["plug_at"][mm, int(cf) if cf < s["plug_at"].shape[1] else 0]].T)
                         else:
                             factor = np.ones_like(eta)
                         if weighted:
@@ -175,16 +175,17 @@ def accumulate(data: DataFrame, models: list[Model], beta: np.ndarray, x: str =
         part = models[lo:lo + chunk]
         labels = sorted({k.site for k in part if k.site is not None})
         codes = {v: i for i, v in enumerate(labels)}
+        folds = 1 + max([0, *(f for k in part for f in (*k.drop, *(x for x, _ in k.plug or ())))])
         any_site = any(k.site is None for k in part)
         kinds: dict[tuple, int] = {}
         kind = [kinds.setdefault((k.family, k.response, k.plug_kind, k.plug_family, k.radius, k.plug_radius, k.weight), len(kinds)) for k in part]
         state = {
             "codes": codes, "site": np.array([-1 if k.site is None else codes[k.site] for k in part]),
             "arm": np.array([-1 if k.arm is None else k.arm for k in part]), "cv": np.array([k.cv for k in part]),
-            "drop": np.array([sum(1 << f for f in k.drop) for k in part], dtype=np.int64), "held": np.array([held and k.cv > 0 for k in part]),
+            "drop": np.array([[f in k.drop for f in range(folds)] for k in part], dtype=bool), "held": np.array([held and k.cv > 0 for k in part]),
             "kind": np.array(kind), "kinds": {v: k for k, v in kinds.items()}, "beta": beta[lo:lo + chunk]}
         if any(k.plug for k in part):
-            table, at, seen = [np.zeros(p1)], np.zeros((len(part), 64), dtype=np.int64), {}
+            table, at, seen = [np.zeros(p1)], np.zeros((len(part), folds), dtype=np.int64), {}
             for i, k in enumerate(part):
                 for f, coef in (k.plug or ()):
                     if id(coef) not in seen:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import linear_predictor
+from ..storage import checkpoint
 
 BROADCAST_BYTES = 64 << 20
 
@@ -15,24 +16,20 @@ def sized(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
 
 
-def small(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """A bounded table (coefficients, moments, weights) as a local relation, so later plans neither recompute nor nest it."""
-    t = df.limit(limit + 1).toArrow()
-    if t.num_rows > limit:
-        raise ValueError(f"more than {limit} rows in a table that must stay small")
-    return df.sparkSession.createDataFrame([tuple(r.values()) for r in t.to_pylist()], df.schema)
+def settled(df: DataFrame) -> DataFrame:
+    """A derived table (moments, weights) that later plans read instead of computing it again; it never passes through the driver."""
+    return checkpoint(df)
 
 
-def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], limit: int = 100_000) -> DataFrame:
-    """Group statistics onto rows. Few groups (counted first) are broadcast, so a hot group is never shuffled;
-    many groups use an ordinary join, which adaptive execution splits."""
+def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Group statistics onto the rows of their group, whose key may be NULL. Adaptive execution picks the join from the real sizes
+    and splits a hot group."""
     by = list(by)
     if not by:
         return df.crossJoin(stats)
-    t = stats.limit(limit + 1).toArrow()
-    if t.num_rows > limit:
-        return df.join(stats, by)
-    return df.join(F.broadcast(df.sparkSession.createDataFrame([tuple(r.values()) for r in t.to_pylist()], stats.schema)), by)
+    right = stats.withColumnsRenamed({k: f"_of_{k}" for k in by})
+    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by]
+    return df.join(right, on).drop(*[f"_of_{k}" for k in by])
 
 
 def pair_violations(results: DataFrame, method: str, benchmark: str, by: Sequence[str]) -> DataFrame:

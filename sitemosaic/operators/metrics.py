@@ -13,8 +13,13 @@ from ..functions import finite, group_key as key_expr, parse_bool
 from .cohort import grouped_quantiles
 from .joins import attach
 
-SETTING_COLUMNS = ("experiment", "outcome_family", "config", "deviation_mechanism", "estimand_scope", "p", "K", "n_site",
-                   "n_folds", "rho", "cutoff")
+# Columns that tell settings apart, where a table has them.
+SETTING_COLUMNS = (
+    "experiment", "dgp_type", "dgp_version", "dgp_configuration", "working_dimension", "truth_method", "outcome_family", "config", "heterogeneity_type",
+    "estimand_type", "p", "K", "rho", "cutoff", "n_site", "n_folds", "nlambda_init", "nuisance_lambda_rule", "target_nuisance_method", "source_validation_method",
+    "source_nuisance_method", "aggregation_mode", "calibration_layout", "roce_variance_method", "compiled_nuisance_solver", "nuisance_cv_certificate", "nuisance_tol",
+    "nuisance_training_policy", "roce_crossfit_levels", "calibration_recipe", "target_propensity_initialization", "target_training_radius", "target_inference_radius",
+    "baseline_inference_policy", "n_bootstrap", "n_weight_bootstrap", "M_tau", "M_tau_inference", "estimand_scope", "deviation_mechanism")
 
 # --- fixed values: names of the quality flags, in reporting order, and their classes ---
 IMPLEMENTATION_FLAGS = (

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
 from ..operators import fits as fi
-from ..operators.folds import assign_cv_folds, assign_folds
+from ..operators.folds import assign_cv_folds, assign_folds, assign_group_folds
 from ..operators.gram import prepare
-from ..operators.joins import sized, small
+from ..operators.joins import settled, sized
 from ..operators.moments import fold_moments, joint_moments, pool_joint_moments, pool_moments
 from ..operators.resample import fixed_weight_draws, reweighted_moments
 from ..operators.scores import long_arms, score_coefficients, score_rows
-from ..operators.validation import validate_cohort, validate_folds, validate_radius
+from ..operators.validation import assert_groups_in_fold, validate_cohort, validate_folds, validate_radius
 from ..operators.weights import select_weight_lambda, solve_joint_weights, solve_weights, wald_discrepancy
 
 
@@ -71,7 +71,16 @@ def fit_and_score(obs: DataFrame, o: Options, validate: bool = True) -> Saved:
         validate_cohort(obs, o.family)
         for a in (1, 0):
             validate_folds(obs, o.k, a)
-    if "fold" not in obs.columns:
+    if o.layers == 2 and o.k < 3:
+        raise ValueError("weights learned on the other folds' scores need at least three folds")
+    grouped = "group_id" in obs.columns and not obs.filter(F.col("group_id").isNotNull()).isEmpty()
+    if "fold" in obs.columns:
+        if grouped:
+            assert_groups_in_fold(obs)
+    elif grouped:  # repeated units stay together; a row without a group is a unit of its own
+        unit = F.coalesce(F.concat(F.lit("g"), F.col("group_id").cast("string")), F.concat(F.lit("o"), F.col("obs_id").cast("string")))
+        obs = assign_group_folds(obs.withColumn("_unit", unit), o.k, o.seed, "_unit").drop("_unit")
+    else:
         obs = assign_folds(obs, o.k, o.seed)
     data = prepare(assign_cv_folds(obs))
     sizes = {r["site"]: r["count"] for r in data.groupBy("site").count().collect()}
@@ -145,6 +154,8 @@ def learn_joint_weights(saved: Saved, lam=None, screening: str | None = None) ->
     _, inner = split_scores(saved.scores)
     k = len(saved.sources)
     o = saved.options
+    if (o.cutoff_lambda if lam is None else lam) == "cv":
+        raise ValueError("the two-arm weights take a number as cutoff, not cross-validation")
     return solve_joint_weights(pool_joint_moments(joint_moments(inner, saved.sources), k), o.cutoff_lambda if lam is None else lam, screening or o.screening)
 
 
@@ -177,12 +188,19 @@ def stratified_variance(phi: DataFrame, by: Sequence[str] = (), value: str = "va
 
 def aggregate_arm(saved: Saved, arm: int, lam=None, screening: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(result row, weights) of one arm's mean, or of the contrast with weights learned on it (arm 2)."""
-    w = small(learn_weights(saved, (arm,), lam, screening))
+    w = settled(learn_weights(saved, (arm,), lam, screening))
     outer, _ = split_scores(saved.scores)
     phi = pseudo_values(long_arms(outer, (arm,)), w, saved.sources, saved.sizes, n_eta=saved.options.k)
     return stratified_variance(phi), w
 
 
+def _by_arm(joint: DataFrame, k: int, extra: Sequence[str] = ()) -> DataFrame:
+    """The two halves of joint weights as rows of arm 1 and arm 0."""
+    cut = lambda c, a: F.slice(c, 1 if a == 1 else k + 1, k).alias(c)
+    s = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), *[cut(c, a) for c in ("wald", "penalty", "included", "eta")]) for a in (1, 0)]))
+    return joint.select("outer_fold", "lam", *extra, s.alias("s")).select("s.arm", "outer_fold", "lam", *extra, "s.wald", "s.penalty", "s.included", "s.eta")
+
+
 def aggregate_tate(saved: Saved, mode: str | None = None, lam=None, screening: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(result row, weights by outer fold and arm)."""
     mode = mode or saved.options.aggregation
@@ -194,13 +212,10 @@ def aggregate_tate(saved: Saved, mode: str | None = None, lam=None, screening: s
     if mode == "separate_arms":
         w = learn_weights(saved, (1, 0), lam, screening).select("arm", "outer_fold", "lam", "wald", "penalty", "included", "eta")
     elif mode == "joint_tate":
-        j = learn_joint_weights(saved, lam, screening)
-        cut = lambda c, a: F.slice(c, 1 if a == 1 else k + 1, k).alias(c)
-        s = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), *[cut(c, a) for c in ("wald", "penalty", "included", "eta")]) for a in (1, 0)]))
-        w = j.select("outer_fold", "lam", s.alias("s")).select("s.arm", "outer_fold", "lam", "s.wald", "s.penalty", "s.included", "s.eta")
+        w = _by_arm(learn_joint_weights(saved, lam, screening), k)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    w = small(w)
+    w = settled(w)
     # both arms' values of a row are summed with opposite signs
     phi = pseudo_values(long_arms(outer, (1, 0)), w, saved.sources, saved.sizes, ("arm", "outer_fold"), 2 * saved.options.k)
     tau = phi.groupBy("obs_id", "site").agg(F.sum(F.when(F.col("arm") == 1, F.col("value")).otherwise(-F.col("value"))).alias("value"))
@@ -225,16 +240,27 @@ def reaggregate(saved: Saved, cutoff: float | None = None, radius: float | None
 
 
 def sensitivity_grid(saved: Saved, cutoffs: Sequence[float], radii: Sequence[float]) -> DataFrame:
-    """TATE for every cutoff x inference radius: one score table per radius, all cutoffs in one job."""
+    """TATE for every cutoff x inference radius, in the fitted aggregation mode: one score table per radius, all cutoffs in one job."""
     from functools import reduce
-    k, parts = len(saved.sources), []
+    k, parts, mode, rule = len(saved.sources), [], saved.options.aggregation, saved.options.screening
+    if mode not in ("common_tate", "separate_arms", "joint_tate"):
+        raise ValueError(f"unknown mode {mode!r}")
+    arms = (2,) if mode == "common_tate" else (1, 0)
+    keys = ("outer_fold",) if mode == "common_tate" else ("arm", "outer_fold")
+
+    def grid(m):
+        return m.withColumn("cutoff", F.explode(F.array(*[F.lit(float(c)) for c in cutoffs]))).withColumn("lam_c", 1 / F.col("cutoff"))
+
     for r in sorted(set(radii)):
         s = replace(saved, scores=rescore(saved, r))
-        m = pool_moments(inner_moments(s, (2,)), k)
-        m = m.withColumn("cutoff", F.explode(F.array(*[F.lit(float(c)) for c in cutoffs]))).withColumn("lam_c", 1 / F.col("cutoff"))
-        w = solve_weights(m, "lam_c", saved.options.screening)
-        outer, _ = split_scores(s.scores)
-        phi = pseudo_values(long_arms(outer, (2,)), small(w), saved.sources, saved.sizes, n_eta=saved.options.k * len(cutoffs), extra=("cutoff",))
+        outer, inner = split_scores(s.scores)
+        if mode == "joint_tate":
+            w = _by_arm(solve_joint_weights(grid(pool_joint_moments(joint_moments(inner, saved.sources), k)), "lam_c", rule), k, ("cutoff",))
+        else:
+            w = solve_weights(grid(pool_moments(inner_moments(s, arms), k)), "lam_c", rule)
+        phi = pseudo_values(long_arms(outer, arms), settled(w), saved.sources, saved.sizes, keys, saved.options.k * len(arms) * len(cutoffs), extra=("cutoff",))
+        if mode != "common_tate":
+            phi = phi.groupBy("obs_id", "site", "cutoff").agg(F.sum(F.when(F.col("arm") == 1, F.col("value")).otherwise(-F.col("value"))).alias("value"))
         parts.append(stratified_variance(phi, ["cutoff"]).withColumn("radius", F.lit(float(r))))
     return reduce(DataFrame.unionByName, parts)
 
@@ -269,9 +295,11 @@ def result_rows(result: DataFrame, label: str | None = None) -> DataFrame:
 def weight_bootstrap(saved: Saved, b: int = C.WEIGHT_BOOTSTRAP_REPLICATES, seed: int = 1, relearn: bool = True, lam=None) -> DataFrame:
     """(draw, fixed, relearned) estimates under exponential row masses; nuisance models stay fixed."""
     from ..operators.resample import _draw_sums
+    if saved.options.aggregation != "common_tate" or (saved.options.cutoff_lambda if lam is None else lam) == "cv":
+        raise ValueError("the weight bootstrap is defined for weights of the contrast with a fixed cutoff")
     outer, inner = split_scores(saved.scores)
     lo = long_arms(outer, (2,))
-    w = small(learn_weights(saved, (2,), lam).select("outer_fold", "eta"))
+    w = settled(learn_weights(saved, (2,), lam).select("outer_fold", "eta"))
     k, n = len(saved.sources), saved.n_all
     pseudo = pseudo_values(lo, w, saved.sources, saved.sizes, n_eta=saved.options.k)
     # back to the scale of site means

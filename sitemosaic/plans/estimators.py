@@ -13,7 +13,7 @@ from ..functions import clip_outcome, clip_propensity, linear_predictor, logisti
 from ..operators import fits as fi, influence as inf, resample as rs
 from ..operators.cohort import normalize_log_weights
 from ..operators.gram import prepare
-from ..operators.joins import sized
+from ..operators.joins import attach, sized
 from ..operators.scores import aipw
 
 METHODS = ("target_only", "sample_size", "inverse_variance", "tilted_aipw", "federated_dr", "pooled_dr")
@@ -70,10 +70,16 @@ def site_table(scores: DataFrame, value: str = "phi", by: Sequence[str] = ("site
 
 
 # -- meta-analysis of a site table -------------------------------------------------------------
-def _dl(p, e, k):
-    """q, tau2, i2 from power sums of precisions p and estimates e (one aggregate, no join)."""
-    s0, s1 = F.sum(p), F.sum(p * e)
-    q = F.greatest(F.sum(p * e * e) - s1 * s1 / s0, F.lit(0.0))
+def centred(site_est: DataFrame, by: Sequence[str], precision, estimate: str = "estimate") -> DataFrame:
+    """Adds _gap: the estimate minus the precision-weighted mean of its group. Squares of gaps do not cancel as power sums do."""
+    mean = site_est.groupBy(*by).agg((F.sum(precision * F.col(estimate)) / F.sum(precision)).alias("_mean"))
+    return attach(site_est, mean, by).withColumn("_gap", F.col(estimate) - F.col("_mean")).drop("_mean")
+
+
+def _dl(p, k):
+    """q, tau2, i2 from precisions p and the gaps to their mean."""
+    s0 = F.sum(p)
+    q = F.sum(p * F.col("_gap") * F.col("_gap"))
     c = s0 - F.sum(p * p) / s0
     tau = F.when((k > 1) & (c > 0), F.greatest(F.lit(0.0), (q - (k - 1)) / c)).otherwise(0.0)
     i2 = F.when(q > k - 1, (q - (k - 1)) / q * 100).otherwise(0.0)
@@ -84,16 +90,17 @@ def dl_heterogeneity(site_est: DataFrame, by: Sequence[str] = (), estimate: str
                      var_floor: float = C.VARIANCE_FLOOR) -> DataFrame:
     """Q, tau2, I2, total precision and the fixed-effects mean of the site estimates."""
     p, e, k = 1 / F.greatest(F.col(variance), F.lit(var_floor)), F.col(estimate), F.count(F.lit(1))
-    q, tau, i2 = _dl(p, e, k)
-    return site_est.groupBy(*by).agg(k.alias("k"), q.alias("q"), tau.alias("tau2"), i2.alias("i2"), F.sum(p).alias("total_precision"),
+    q, tau, i2 = _dl(p, k)
+    return centred(site_est, by, p, estimate).groupBy(*by).agg(k.alias("k"), q.alias("q"), tau.alias("tau2"), i2.alias("i2"), F.sum(p).alias("total_precision"),
                                      (F.sum(p * e) / F.sum(p)).alias("fe_estimate"))
 
 
 def sample_size_weighted(site_est: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     n, e, v, k = F.col("n").cast("double"), F.col("estimate"), F.col("variance"), F.count(F.lit(1))
-    q, tau, i2 = _dl(1 / F.greatest(v, F.lit(C.VARIANCE_FLOOR)), e, k)
+    p = 1 / F.greatest(v, F.lit(C.VARIANCE_FLOOR))
+    q, tau, i2 = _dl(p, k)
     tot = F.sum(n)
-    g = site_est.groupBy(*by).agg((F.sum(n * e) / tot).alias("estimate"), (F.sum(n * n * v) / (tot * tot)).alias("var_fixed_effects"),
+    g = centred(site_est, by, p).groupBy(*by).agg((F.sum(n * e) / tot).alias("estimate"), (F.sum(n * n * v) / (tot * tot)).alias("var_fixed_effects"),
                                   (F.sum(n * n) / (tot * tot)).alias("_w2"), tau.alias("tau2"), q.alias("q"), i2.alias("i2"), F.sum("n").alias("n"))
     g = g.withColumn("var_random_effects", F.col("var_fixed_effects") + F.col("tau2") * F.col("_w2")).drop("_w2")
     return g.withColumns({"variance": F.greatest(F.col("var_random_effects"), F.lit(C.VARIANCE_FLOOR)), "method": F.lit("sample_size")})
@@ -114,14 +121,14 @@ def inverse_variance_weights(site_est: DataFrame, by: Sequence[str] = (), var_fl
 
 
 def inverse_variance_weighted(site_est: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    j = _precisions(site_est, by, C.VARIANCE_FLOOR)
+    j = centred(_precisions(site_est, by, C.VARIANCE_FLOOR), by, F.col("_prec"))
     r, e, tot = F.col("_prec"), F.col("estimate"), F.sum("_prec")
     theta = F.greatest(F.col("v_ot"), F.lit(C.VARIANCE_FLOOR))
     est = F.sum(r * e) / tot
-    between = F.sum(r * r * e * e) - 2 * est * F.sum(r * r * e) + est * est * F.sum(r * r)
+    between = F.sum(r * r * F.col("_gap") * F.col("_gap"))
     g = j.groupBy(*by).agg(
         est.alias("estimate"), (1 / tot).alias("model_variance"), (F.sum(r * r * theta / F.col("n")) / (tot * tot)).alias("within_site_var"),
-        F.greatest(between / (tot * tot), F.lit(0.0)).alias("between_site_var"), F.first("tau2").alias("tau2"), F.first("q").alias("q"), F.first("i2").alias("i2"), F.sum("n").alias("n"))
+        (between / (tot * tot)).alias("between_site_var"), F.first("tau2").alias("tau2"), F.first("q").alias("q"), F.first("i2").alias("i2"), F.sum("n").alias("n"))
     pooled = F.col("within_site_var") + F.col("between_site_var")
     return g.withColumns({"variance": F.greatest(F.col("model_variance"), pooled, F.lit(C.VARIANCE_FLOOR)), "method": F.lit("inverse_variance")})
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
-from ..operators.joins import small
+from ..operators.joins import settled
 from ..operators.moments import fold_moments, pool_moments
 from ..operators.scores import long_arms
 from ..operators.weights import quadratic_form, solve_weights
@@ -26,8 +26,8 @@ ACTIVE = 1e-10
 def _plan(saved: Saved, arm: int, lam: float, rule: str):
     """Per outer fold: pooled moments, weights, direction; per (outer, inner) fold: centres."""
     k = len(saved.sources)
-    inner = small(inner_moments(saved, (arm,)))
-    w = small(solve_weights(pool_moments(inner, k), lam, rule))
+    inner = settled(inner_moments(saved, (arm,)))
+    w = settled(solve_weights(pool_moments(inner, k), lam, rule))
     outer = fold_moments(long_arms(split_scores(saved.scores)[0], (arm,)), saved.sources, ("arm", "outer_fold"), floor=False).toPandas()
     sizes = np.array([saved.sizes[s] for s in saved.sources], dtype=float)
     centres = {(r.outer_fold, r.fold): (r.mu_t, np.array(r.mu_pred), np.array(r.delta)) for r in inner.toPandas().itertuples()}
@@ -112,7 +112,7 @@ def weight_layer(saved: Saved, arm: int = 2, lam: float = C.WALD_LAMBDA, rule: s
     outer, _ = split_scores(saved.scores)
     pseudo = pseudo_values(long_arms(outer, (arm,)), w, saved.sources, saved.sizes, n_eta=saved.options.k).select("obs_id", "site", "value")
     m = pseudo.groupBy("site").agg(F.avg("value").alias("_m"))
-    j = pseudo.join(F.broadcast(small(m)), "site").join(g, ["obs_id", "site"], "left")
+    j = pseudo.join(F.broadcast(settled(m)), "site").join(g, ["obs_id", "site"], "left")
     d, i = (F.col("value") - F.col("_m")) / float(saved.n_all), F.coalesce("gradient", F.lit(0.0))
     s = j.groupBy("site").agg(F.sum(d * d).alias("fixed"), F.sum(i * i).alias("indirect"), F.sum(d * i).alias("cross"), F.abs(F.sum(i)).alias("site_sum"))
     return s.agg(F.sum("fixed").alias("variance_fixed"), (F.sum("fixed") + F.sum("indirect") + 2 * F.sum("cross")).alias("variance_adjusted"), F.sum("indirect").alias("indirect_variance"),

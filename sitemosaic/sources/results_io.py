@@ -25,7 +25,8 @@ def read_run_results(spark: SparkSession, paths: Iterable[str],
         raise ValueError("at least one result file is required")
     frames = [spark.read.option("header", True).option("nullValue", "NA").csv(ps) for ps in groups.values()]
     df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
-    return df.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in df.columns if c in set(numeric)})
+    # a token that is no number fails the read instead of becoming a missing value
+    return df.withColumns({c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).cast("double") for c in df.columns if c in set(numeric)})
 
 
 def with_setting_from_path(df: DataFrame, path=None) -> DataFrame:
@@ -59,8 +60,9 @@ def write_results(result: DataFrame, path: str, include_scores: bool = False, sc
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Row-order and column-order independent fingerprint of a table."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
-    return df.select(h.alias("h")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.bit_xor("h").alias("xor_hash"),
-        F.sum(F.col("h").cast("decimal(38,0)")).alias("sum_hash"))
+    """Row-order and column-order independent fingerprint of a table: MD5 of each row's values as text, columns by name, NULLs
+    told apart from any text; two 48-bit parts of it are combined by exclusive or and by sum."""
+    cell = lambda c: F.when(F.col(f"`{c}`").isNull(), "n").otherwise(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")))
+    h = F.md5(F.concat_ws("\x1f", *[cell(c) for c in sorted(df.columns)]))
+    part = lambda at: F.conv(F.substring("h", at, 12), 16, 10).cast("long")
+    return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(part(1)).alias("xor_hash"), F.sum(part(13).cast("decimal(38,0)")).alias("sum_hash"))

@@ -144,3 +144,39 @@ def test_coding_expressions(spark):
     got = df.select(code_binary("v", ["YES"], ["NO"]).alias("b"), flag01("v").alias("f"), group_key("v").alias("g"), parse_bool("v").alias("p")).collect()
     assert [r.b for r in got] == [1, 0, None, None, None] and [r.f for r in got] == [0] * 5
     assert [r.g for r in got] == ["y es", "NO", "maybe", "<unspecified>", "<unspecified>"] and all(r.p is None for r in got)
+
+
+def test_null_keys_and_empty_groups_are_kept(spark):
+    from sitemosaic.operators import cohort as co
+    df = spark.createDataFrame([("a", 0.0), ("a", 2.0), (None, 1.0), (None, 3.0), ("b", None), ("b", None)], "g string, x double")
+    w = co.normalize_log_weights(df, "x", ["g"]).collect()
+    assert len(w) == 6 and abs(sum(r.weight for r in w if r.g is None) - 2) < 1e-12
+    q = {r.g: (r.med, r.hi) for r in co.grouped_quantiles(df, "x", "g", {"med": 0.5, "hi": 1.0}).collect()}
+    assert q == {"a": (1.0, 2.0), None: (2.0, 3.0), "b": (None, None)}
+    d = {r.g for r in co.weight_diagnostics(df, "x", "g").collect()}
+    assert d == {"a", "b", None}
+
+
+def test_quantiles_do_not_depend_on_the_slices(spark):
+    import numpy as np
+    from sitemosaic.operators import cohort as co
+    x = np.random.default_rng(1).normal(size=500).round(1)
+    df = spark.createDataFrame([(i % 3, float(v)) for i, v in enumerate(x)], "g int, x double")
+    for rows in (10, 100, 10_000):
+        got = {r.g: (r.a, r.b) for r in co.grouped_quantiles(df, "x", "g", {"a": 0.37, "b": 0.9}, slice_rows=rows).collect()}
+        for g in range(3):
+            assert np.allclose(got[g], np.quantile(x[g::3], [0.37, 0.9]))
+
+
+def test_many_levels_are_coded(spark):
+    from sitemosaic.operators import cohort as co
+    df = spark.range(1200).selectExpr("id", "concat('l', id) AS c")
+    assert len(co.one_hot(df, ["c"]).columns) == 1200
+
+
+def test_bad_number_fails(spark, tmp_path):
+    import pytest
+    from sitemosaic.sources import read_run_results
+    (tmp_path / "r.csv").write_text("sim_id,estimate\n1,0.5\n2,oops\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
+        read_run_results(spark, [str(tmp_path / "r.csv")]).collect()

@@ -362,3 +362,56 @@ def test_density_influence_is_the_numerical_derivative(spark):
                 return estimate(*m)
             num = (moved(1e-4) - moved(-1e-4)) / 2e-4 * len(ids)
             assert np.isclose(got[ids[k]], num, rtol=1e-3, atol=1e-5), (which, k)
+
+
+def test_units_and_modes_of_the_plan(spark):
+    """Repeated units stay in one fold; the grid follows the fitted mode; what is undefined is refused."""
+    import numpy as np
+    import pytest
+    from pyspark.sql import functions as F
+    from sitemosaic.plans import crossfit as cf
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        site = ("t", "s1", "s2")[i % 3]
+        x = float(rng.normal())
+        a = int(rng.random() < 1 / (1 + np.exp(-0.3 * x)))
+        rows.append((i, site, a, float(0.5 * a + x + rng.normal()), [x], [x], i // 18 + 1 if i % 2 else None))
+    obs = spark.createDataFrame(rows, "obs_id long, site string, a int, y double, w array<double>, z array<double>, group_id long")
+    o = cf.Options(k=3, family="gaussian", lam=0.01, aggregation="separate_arms", source_program="standard")
+    saved = cf.fit_and_score(obs, o)
+    spread = saved.data.join(obs.select("obs_id", "group_id"), "obs_id").filter("group_id IS NOT NULL").groupBy("site", "group_id").agg(F.count_distinct("fold").alias("n")).agg(F.max("n")).first()[0]
+    assert spread == 1 and saved.data.count() == 900
+    for mode in ("common_tate", "separate_arms", "joint_tate"):
+        s = cf.replace(saved, options=cf.replace(o, aggregation=mode))
+        want = cf.aggregate_tate(s, lam=1.0)[0].first()
+        got = cf.sensitivity_grid(s, [1.0], [o.radius]).first()
+        assert abs(got["estimate"] - want["estimate"]) < 1e-10 and abs(got["se"] - want["se"]) < 1e-10
+    with pytest.raises(ValueError, match="bootstrap"):
+        cf.weight_bootstrap(saved, 10)
+    with pytest.raises(ValueError, match="cross-validation"):
+        cf.learn_joint_weights(saved, "cv")
+    with pytest.raises(ValueError, match="three folds"):
+        cf.fit_and_score(obs, cf.replace(o, k=2))
+    moved = obs.withColumn("fold", (F.floor(F.col("obs_id") / 3) % 3 + 1).cast("int"))
+    with pytest.raises(ValueError, match="crosses"):
+        cf.fit_and_score(moved, o)
+
+
+def test_more_folds_than_bits(spark):
+    import numpy as np
+    from sitemosaic.operators import gram
+    rows = [(i, "s1", i % 2, float(i), [float(i % 7)], [float(i % 7)], i % 80 + 1) for i in range(400)]
+    data = gram.prepare(spark.createDataFrame(rows, "obs_id long, site string, a int, y double, w array<double>, z array<double>, fold int").selectExpr("*", "1 AS cv"))
+    m = gram.Model(key=("m",), site="s1", arm=None, drop=(70, 3), family="gaussian", response="y")
+    got = gram.accumulate(data, [m], np.zeros((1, 2)))
+    assert got[0, 0] == 390
+
+
+def test_heterogeneity_without_cancellation(spark):
+    import numpy as np
+    from sitemosaic.plans.estimators import dl_heterogeneity
+    e = np.array([1e5, 1e5 + 1e-3, 1e5 - 2e-3])
+    df = spark.createDataFrame([(f"s{i}", float(v), 1e-6, 10) for i, v in enumerate(e)], "site string, estimate double, variance double, n long")
+    got = dl_heterogeneity(df).first()
+    assert abs(got["q"] - ((e - e.mean()) ** 2).sum() * 1e6) < 1e-3
