@@ -1,109 +1,115 @@
 """Diagnostic variance of the learned aggregation weights.
 
-The weight rule is differentiated with respect to the mass of every
-weight-learning row. Small tables (moments, weights, outer increments) are shipped
-to the tasks; rows stay where they are and the result is one grouped sum.
+The weights of an outer fold solve a small problem whose inputs are pooled moments M of the inner rows. By the chain rule the
+result moves with a row's mass by the sum over moments of dJ/dM * (f_M(row) - M) / n, where f_M(row) is the row's own term in M:
+a square or product of centred scores, or a score. So the derivatives dJ/dM are a few numbers per outer fold, and a row's gradient is
+a quadratic polynomial in its scores, evaluated as one column expression.
 The reported standard error does not use it.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
-from ..operators.joins import settled
+from ..operators.joins import settled, sized
 from ..operators.moments import fold_moments, pool_moments
 from ..operators.scores import long_arms
 from ..operators.weights import quadratic_form, solve_weights
 from .crossfit import Saved, inner_moments, pseudo_values, split_scores
 
 ACTIVE = 1e-10
-
-
-def _plan(saved: Saved, arm: int, lam: float, rule: str):
-    """Per outer fold: pooled moments, weights, direction; per (outer, inner) fold: centres."""
+POLYNOMIAL = "outer_fold int, fold int, site string, centre double, square double, slope double, shift double, psi_centre array<double>, mixed array<double>, pairs array<array<double>>, psi_slope array<double>, n double"
+
+
+def moment_derivatives(r, gain: np.ndarray, lam: float, rule: str) -> tuple[dict, int]:
+    """dJ/dM for one row of pooled moments and solved weights; gain is dJ/d(weights). Also the number of penalties at their kink."""
+    k = len(gain)
+    unit = {"n_t": r.n_t, "n_s": r.n_s, "v_ot": 0.0, "v_t": np.zeros(k), "v_s": np.zeros(k), "c_ot": np.zeros(k), "c_cross": np.zeros((k, k))}
+    here = pd.DataFrame([{c: getattr(r, c) for c in unit}])
+    q, _, n_all = (x[0] for x in quadratic_form(here))
+    spread, gap = np.diag(q).copy(), np.array(r.mu_s) - r.mu_t
+    rate = float(r.n_t) ** (C.QUADRATIC_BIAS_POWER - 1) if rule == "quadratic_bias" else 0.0
+    on = np.ones(k, bool) if rule == "quadratic_bias" else np.abs(np.array(r.eta)) > ACTIVE
+    eta = np.where(on, np.array(r.eta), 0.0)
+    # an active weight answers a change of its stationarity equation through the inverse of the active block
+    back = np.zeros(k)
+    back[on] = np.linalg.solve((q + np.diag(rate * gap ** 2))[np.ix_(on, on)], gain[on]) if on.any() else 0.0
+    wald, root = np.array(r.wald), np.sqrt(np.maximum(spread, C.VARIANCE_FLOOR))
+    pull = back * np.sign(eta) * (lam * (lam * wald > 1) / (2 * n_all) if rule == "soft_penalty" else 0.0)
+    on_gap = pull * np.sign(gap) / root + 2 * rate * back * gap * eta
+    on_spread = np.where(spread >= C.VARIANCE_FLOOR, -pull * np.abs(gap) / (2 * root ** 3), 0.0)
+    # the quadratic and linear terms are linear in the moments: their derivatives are their values at unit moments
+    names, rows = [], []
+    for name, at in [("v_ot", None), *((c, i) for c in ("v_t", "v_s", "c_ot") for i in range(k)), *(("c_cross", (i, j)) for i in range(k) for j in range(i + 1, k))]:
+        row = {c: np.copy(v) if isinstance(v, np.ndarray) else v for c, v in unit.items()}
+        if at is None:
+            row[name] = 1.0
+        elif name == "c_cross":
+            row[name][at] = row[name][at[::-1]] = 1.0
+        else:
+            row[name][at] = 1.0
+        names.append((name, at))
+        rows.append(row)
+    uq, ul, _ = quadratic_form(pd.DataFrame(rows))
+    value = -(np.einsum("j,mjl,l->m", back, uq, eta) + ul @ back + np.einsum("mjj,j->m", uq, on_spread))
+    out = {"v_ot": 0.0, "v_t": np.zeros(k), "v_s": np.zeros(k), "c_ot": np.zeros(k), "c_cross": np.zeros((k, k)), "gap": -on_gap}
+    for (name, at), v in zip(names, value):
+        if at is None:
+            out[name] = v
+        elif name == "c_cross":
+            out[name][at] = out[name][at[::-1]] = v / 2
+        else:
+            out[name][at] = v
+    return out, int((np.abs(lam * wald - 1) < 1e-6).sum()) if rule != "quadratic_bias" else 0
+
+
+def polynomials(saved: Saved, arm: int, lam: float, rule: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """(weights, coefficients of the row gradient by outer fold, fold and site, their number, kinks): folds^2 x sites small rows."""
+    if lam == "cv":
+        raise ValueError("the weight layer needs a fixed cutoff")
     k = len(saved.sources)
     inner = settled(inner_moments(saved, (arm,)))
     w = settled(solve_weights(pool_moments(inner, k), lam, rule))
-    outer = fold_moments(long_arms(split_scores(saved.scores)[0], (arm,)), saved.sources, ("arm", "outer_fold"), floor=False).toPandas()
+    outer = fold_moments(long_arms(split_scores(saved.scores)[0], (arm,)), saved.sources, ("arm", "outer_fold"), floor=False).toPandas().set_index("outer_fold")
     sizes = np.array([saved.sizes[s] for s in saved.sources], dtype=float)
-    centres = {(r.outer_fold, r.fold): (r.mu_t, np.array(r.mu_pred), np.array(r.delta)) for r in inner.toPandas().itertuples()}
-    inc = {r.outer_fold: r.n_t * (np.array(r.mu_pred) - r.mu_t) / saved.sizes[C.TARGET] + np.array(r.n_s) * np.array(r.delta) / sizes for r in outer.itertuples()}
-    out = {}
-    pdf = w.toPandas()
-    q_all, _, n_all = quadratic_form(pdf)
-    for i, r in enumerate(pdf.itertuples()):
+    centres, rows, kinks = inner.toPandas(), [], 0
+    for r in w.toPandas().itertuples():
         if r.psd_ridge > 0:
             raise ValueError("the weight derivative is not available when the ridge is active")
-        eta, q, nt = np.array(r.eta), q_all[i].copy(), float(r.n_t)
-        disc = np.array(r.mu_s) - r.mu_t
-        rate = nt ** (C.QUADRATIC_BIAS_POWER - 1) if rule == "quadratic_bias" else 0.0
-        q[range(k), range(k)] += rate * disc ** 2
-        act = np.arange(k) if rule == "quadratic_bias" else np.flatnonzero(np.abs(eta) > ACTIVE)
-        h = np.zeros(k)
-        if len(act):
-            h[act] = np.linalg.solve(q[np.ix_(act, act)], inc[r.outer_fold][act])
-        v_t, v_s, n_s, c = np.array(r.v_t), np.array(r.v_s), np.array(r.n_s, dtype=float), np.array(r.c_ot)
-        s2 = (r.v_ot + v_t - 2 * c) / nt + v_s / n_s
-        s = np.sqrt(np.maximum(s2, C.VARIANCE_FLOOR))
-        wald = np.array(r.wald)
-        scale = lam * (lam * wald > 1) / (2 * n_all[i]) if rule == "soft_penalty" else np.zeros(k)
-        on = np.zeros(k)
-        on[act] = 1.0
-        out[r.outer_fold] = {"eta": eta * on, "h": h, "nt": nt, "n_s": n_s, "v_ot": r.v_ot, "v_t": v_t, "v_s": v_s, "c_ot": c, "cross": np.array([list(x) for x in r.c_cross]),
-                             "mu_t": r.mu_t, "mu_pred": np.array(r.mu_pred), "delta": np.array(r.delta), "disc": disc, "rate": rate, "s": s, "slope": (s2 >= C.VARIANCE_FLOOR) * 1.0,
-                             "pen": scale * np.sign(eta) * on, "kinks": int((np.abs(lam * wald - 1) < 1e-6).sum()) if rule != "quadratic_bias" else 0}
-    return w, out, centres
-
+        o = outer.loc[r.outer_fold]
+        gain = o.n_t * (np.array(o.mu_pred) - o.mu_t) / saved.sizes[C.TARGET] + np.array(o.n_s) * np.array(o.delta) / sizes
+        d, at_kink = moment_derivatives(r, gain, lam, rule)
+        kinks += at_kink
+        cross = np.array([list(x) for x in r.c_cross])
+        pairs, gap = d["c_cross"] + np.diag(d["v_t"]), d["gap"]
+        mean = d["v_ot"] * r.v_ot + d["c_ot"] @ np.array(r.c_ot) + d["v_t"] @ np.array(r.v_t) + (d["c_cross"] * cross).sum() + gap @ np.array(r.mu_pred) - gap.sum() * r.mu_t
+        for c in centres[centres.outer_fold == r.outer_fold].itertuples():
+            rows.append((int(r.outer_fold), int(c.fold), C.TARGET, float(c.mu_t), float(d["v_ot"]), float(-gap.sum()), float(-mean), [float(x) for x in c.mu_pred], d["c_ot"].tolist(), pairs.tolist(), gap.tolist(), float(r.n_t)))
+            for j, s in enumerate(saved.sources):
+                rows.append((int(r.outer_fold), int(c.fold), s, float(c.delta[j]), float(d["v_s"][j]), float(gap[j]), float(-d["v_s"][j] * r.v_s[j] - gap[j] * r.delta[j]), None, None, None, None, float(r.n_s[j])))
+    return w, saved.scores.sparkSession.createDataFrame(rows, POLYNOMIAL), len(rows), kinks
 
-def _target_gradient(p: dict, centre, phi: np.ndarray, psi: np.ndarray) -> np.ndarray:
-    c0, cs = phi - centre[0], psi - centre[1]
-    n, e, h = p["nt"], p["eta"], p["h"]
-    dvo = (c0 ** 2 - p["v_ot"]) / n
-    dco = (c0[:, None] * cs - p["c_ot"]) / n
-    dvt = (cs ** 2 - p["v_t"]) / n
-    off = cs * (cs @ e)[:, None] - cs ** 2 * e - p["cross"] @ e          # cross terms without the diagonal
-    dq = (e.sum() * (dvo[:, None] - dco) - (dco @ e)[:, None] + off / n + e * dvt) / n
-    dl = (dco - dvo[:, None]) / n
-    dd = (psi - p["mu_pred"]) / n - ((phi - p["mu_t"]) / n)[:, None]
-    ds2 = p["slope"] * (dvo[:, None] + dvt - 2 * dco) / n
-    d = -p["disc"]
-    dt = -np.sign(d) * dd / p["s"] - np.abs(d) * ds2 / (2 * p["s"] ** 3)
-    return -((dq + dl + p["pen"] * dt + 2 * p["rate"] * p["disc"] * dd * e) @ h)
 
-
-def _source_gradient(p: dict, j: int, centre, corr: np.ndarray) -> np.ndarray:
-    n = p["n_s"][j]
-    dv = ((corr - centre[2][j]) ** 2 - p["v_s"][j]) / n
-    dd = (corr - p["delta"][j]) / n
-    d = -p["disc"][j]
-    dt = -np.sign(d) * dd / p["s"][j] - abs(d) * p["slope"][j] * (dv / n) / (2 * p["s"][j] ** 3)
-    return -p["h"][j] * (p["eta"][j] * dv / n + p["pen"][j] * dt + 2 * p["rate"] * p["disc"][j] * dd * p["eta"][j])
+def _dot(a, b) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
 def weight_gradients(saved: Saved, arm: int = 2, lam: float = C.WALD_LAMBDA, rule: str = "soft_penalty") -> tuple[DataFrame, DataFrame, int]:
     """(obs_id, site, gradient), the weights, and the number of kinks; gradients sum to zero within a site."""
-    w, plan, centres = _plan(saved, arm, lam, rule)
-    at = {s: j for j, s in enumerate(saved.sources)}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            parts = []
-            for (o, fold, site), g in f.groupby(["outer_fold", "fold", "site"], sort=False):
-                c = centres[(o, fold)]
-                v = (_target_gradient(plan[o], c, g["phi"].to_numpy(float), np.array(g["psi"].to_list(), dtype=float)) if site == C.TARGET
-                     else _source_gradient(plan[o], at[site], c, g["corr"].to_numpy(float)))
-                parts.append(pd.DataFrame({"obs_id": g["obs_id"], "site": site, "gradient": v}))
-            if parts:
-                yield pd.concat(parts)
-
+    w, table, n, kinks = polynomials(saved, arm, lam, rule)
+    k = len(saved.sources)
     _, inner = split_scores(saved.scores)
-    rows = long_arms(inner, (arm,)).select("obs_id", "site", "fold", "outer_fold", "phi", "psi", "corr")
-    g = rows.mapInPandas(run, "obs_id long, site string, gradient double").groupBy("obs_id", "site").agg(F.sum("gradient").alias("gradient"))
-    return g, w, sum(p["kinks"] for p in plan.values())
+    rows = long_arms(inner, (arm,)).select("obs_id", "site", "fold", "outer_fold", "phi", "psi", "corr").join(sized(table, n, 8 * (k + 3) ** 2 + 64), ["outer_fold", "fold", "site"])
+    target = F.col("site") == C.TARGET
+    own = F.when(target, F.col("phi")).otherwise(F.col("corr"))
+    c = own - F.col("centre")
+    psi = F.zip_with("psi", "psi_centre", lambda x, m: x - m)
+    products = _dot(psi, F.zip_with("mixed", "pairs", lambda m, p: m * c + _dot(p, psi))) + _dot(F.col("psi_slope"), F.col("psi"))
+    value = F.col("square") * c * c + F.col("slope") * own + F.col("shift") + F.when(target, products).otherwise(0.0)
+    g = rows.select("obs_id", "site", (value / F.col("n")).alias("gradient")).groupBy("obs_id", "site").agg(F.sum("gradient").alias("gradient"))
+    return g, w, kinks
 
 
 def weight_layer(saved: Saved, arm: int = 2, lam: float = C.WALD_LAMBDA, rule: str = "soft_penalty") -> DataFrame:
