@@ -7,7 +7,8 @@ the rows as column expressions.
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import constants as C
@@ -33,41 +34,90 @@ def solve_ridge(m: np.ndarray, rhs: np.ndarray, ridge: float = C.RIDGE) -> np.nd
     return np.linalg.solve(r, rhs)
 
 
-def solve_curvature(gram: np.ndarray, design: np.ndarray, rhs: np.ndarray, checks: tuple = (), tol: float = 1e-7) -> tuple[np.ndarray, dict]:
-    """Direction H^-1 rhs. `gram` is the mean weighted Gram, `design` the mean unweighted one (intercept first).
+# Directions below the first are redundant columns; a kept one below the second makes the correction unstable; a derivative
+# may lie in the redundant space up to the third.
+REDUNDANT, STABLE, COMPATIBLE = 100 * np.finfo(float).eps, 1e-7, 1e-8
 
-    The rank is read from the centred and scaled design. With redundant columns the
-    solve stays in the identifiable space, and rhs and checks must lie in it.
+
+def design_factors(data: DataFrame, groups: list[tuple], p: int, x: str = "w", spread: int = 64) -> list[np.ndarray]:
+    """Triangular factors of the designs [1, x] of (site or None, arm or None) groups, by a tree of orthogonal factorisations.
+
+    Tasks reduce their rows to one (p+1) x (p+1) factor per group; factors are stacked and factored again over `spread` slices, then once
+    per group. Unlike a Gram matrix, a factor shows singular values down to rounding, and no rows are moved.
+    """
+    width = p + 1
+
+    def stack(held, rows):
+        rows = rows if held is None else np.concatenate([held, rows])
+        return np.linalg.qr(rows, mode="r") if len(rows) > width else rows
+
+    def emit(held):
+        keys = sorted(held)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([TaskContext.get().partitionId() % spread] * len(keys), pa.int32()), pa.array([held[k].ravel() for k in keys], pa.list_(pa.float64()))], ["g", "slice", "factor"])
+
+    def local(batches):
+        held = {}
+        for b in batches:
+            if b.num_rows:
+                m = np.concatenate([np.ones((b.num_rows, 1)), b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)], axis=1)
+                site, arm = np.array(b.column(0).to_pylist(), dtype=object), b.column(1).to_numpy(zero_copy_only=False)
+                for k, (s, a) in enumerate(groups):
+                    mine = (np.ones(len(m), bool) if s is None else site == s) & (True if a is None else arm == a)
+                    if mine.any():
+                        held[k] = stack(held.get(k), m[mine])
+        yield from emit(held)
+
+    def merge(batches):
+        held = {}
+        for b in batches:
+            for k, f in zip(b.column(0).to_pylist(), b.column(2)):
+                held[k] = stack(held.get(k), np.array(f.values).reshape(-1, width))
+        yield from emit(held)
+
+    schema = "g int, slice int, factor array<double>"
+    out = [np.zeros((0, width))] * len(groups)
+    tree = data.select("site", "a", F.col(x).alias("x")).mapInArrow(local, schema).repartition(spread, "g", "slice").mapInArrow(merge, schema)
+    for r in tree.repartition("g").mapInArrow(merge, schema).collect():
+        out[r["g"]] = np.array(r["factor"]).reshape(-1, width)
+    return out
+
+
+def solve_curvature(gram: np.ndarray, factor: np.ndarray, rhs: np.ndarray, checks: tuple = ()) -> tuple[np.ndarray, dict]:
+    """Direction gram^-1 rhs within the space that the design identifies.
+
+    `factor` is the triangular factor of the design, intercept first; `gram` the mean weighted Gram of the same columns. An orthogonal
+    factorisation has taken the intercept out of the other columns already, so their centred, scaled singular values are those of
+    the lower block with columns of unit length.
     """
     p = len(rhs)
-    mean = design[0].copy()
-    mean[0] = 0.0
-    a = np.eye(p)
-    a[0, 1:] = -mean[1:]
-    centred = a.T @ design @ a
-    s = np.sqrt(np.maximum(np.diag(centred), 0.0))
-    s[s <= 1e-12 * max(s.max(), 1.0)] = 1.0
-    a = a / s
-    d = a.T @ design @ a
-    val, vec = np.linalg.eigh((d + d.T) / 2)
-    sv = np.sqrt(np.maximum(val, 0.0) / val.max())
-    keep = sv > tol
-    if (sv[keep] < tol).any() or not keep.any():
-        raise CurvatureError("near-collinear design is not numerical redundancy")
-    basis, null = a @ vec[:, keep], vec[:, ~keep]
-    if null.size:
-        for v in (rhs, *checks):
-            t = a.T @ v
-            if np.abs(t).max() > 0 and np.linalg.norm(null.T @ t) > 1e-6 * np.linalg.norm(t):
-                raise CurvatureError("non-identifiable derivative")
+    lower = np.linalg.qr(factor, mode="r")[1:, 1:]
+    length = np.sqrt((lower ** 2).sum(0))
+    whole = np.sqrt((factor[:, 1:] ** 2).sum(0))
+    scale = np.where(length > 1e-12 * whole, length, np.where(whole > 0, whole, 1.0))  # of a constant column only rounding is left
+    mean = factor.T @ factor[:, :1]
+    mean = mean[1:, 0] / mean[0, 0]
+    change = np.eye(p)                      # columns: intercept; centred and scaled features
+    change[0, 1:] = -mean / scale
+    change[range(1, p), range(1, p)] = 1 / scale
+    _, size, axes = np.linalg.svd(np.concatenate([lower / scale, np.zeros((max(0, p - 1 - len(lower)), p - 1))]))
+    size = np.concatenate([[1.0], size])    # the intercept is orthogonal to the centred columns
+    space = np.zeros((p, p))
+    space[0, 0] = 1.0
+    space[1:, 1:] = axes.T
+    size = size / size.max()
+    kept = size > REDUNDANT * p
+    if (size[kept] < STABLE).any():
+        raise CurvatureError("columns are nearly, but not exactly, redundant: the correction would be unstable")
+    for v in (rhs, *checks):
+        u = space.T @ (change.T @ v)
+        if np.linalg.norm(u[~kept]) > COMPATIBLE * np.linalg.norm(u):
+            raise CurvatureError("a derivative is not identified: it leaves the space that the design spans")
+    basis = change @ space[:, kept]
     h = basis.T @ gram @ basis
     ev = np.linalg.eigvalsh((h + h.T) / 2)
-    if ev[0] <= 0 or np.sqrt(ev[0] / ev[-1]) < tol:
-        raise CurvatureError("unstable curvature in the identifiable space")
-    direct = keep.all() and np.linalg.cond(gram) < 1e12
-    x = np.linalg.solve(gram, rhs) if direct else basis @ np.linalg.solve(h, basis.T @ rhs)
-    return x, {"solver": "direct" if direct else "scaled" if keep.all() else "identifiable_subspace", "active_columns": p, "rank": int(keep.sum()),
-               "curvature_ratio": float(np.sqrt(ev[0] / ev[-1]))}
+    if not np.isfinite(ev).all() or ev[0] <= 0 or np.sqrt(ev[0] / ev[-1]) < STABLE:
+        raise CurvatureError("the curvature is unstable in the identified space")
+    return basis @ np.linalg.solve(h, basis.T @ rhs), {"solver": "full" if kept.all() else "identifiable_subspace", "active_columns": p, "rank": int(kept.sum()), "curvature_ratio": float(np.sqrt(ev[0] / ev[-1]))}
 
 
 def _vectors(spark, table: dict, names: list[str]) -> DataFrame:
@@ -138,9 +188,8 @@ def weighted_aipw(data: DataFrame, rows: DataFrame, ps: dict[str, Fitted], orr:
     or_models = [Model(("or", g), None if pooled else g, arm, family=family) for g in gs]
     beta = np.stack([ps[g].beta for g in gs] + [orr[g].beta for g in gs])
     both = sp_models + or_models
-    flat = [Model((m.key, "x"), m.site, m.arm, family="gaussian") for m in both]
-    _, nu, _, _, grad, hess = unpack(accumulate(data, both + flat, np.concatenate([beta, np.zeros_like(beta)]), "w"), p + 1)
-    plain = hess[len(both):]
+    _, nu, _, _, grad, hess = unpack(accumulate(data, both, beta, "w"), p + 1)
+    design = design_factors(data, [(m.site, m.arm) for m in both], p, "w")
     out, table = {}, {}
     for i, g in enumerate(gs):
         s, vec = stats[g], {}
@@ -154,7 +203,7 @@ def weighted_aipw(data: DataFrame, rows: DataFrame, ps: dict[str, Fitted], orr:
             else:
                 act = np.flatnonzero((np.abs(f.beta) > ACTIVE) | (np.arange(p + 1) == 0) | (f.lam == 0))
                 ix = np.ix_(act, act)
-                dirn[act], diag = solve_curvature(hess[k][ix] / n, plain[k][ix] / n, np.array(sens)[act] / s["d"])
+                dirn[act], diag = solve_curvature(hess[k][ix] / n, design[k][:, act], np.array(sens)[act] / s["d"])
                 vec |= {f"{kind}_c": 0.0, f"{kind}_off": float(-(grad[k] / n) @ dirn)}
                 out[(g, kind)] = diag
                 sd = np.sqrt(np.maximum([s[f"{var}{j}"] for j in range(p + 1)], 0.0))
@@ -202,9 +251,8 @@ def density_influence(data: DataFrame, rows: DataFrame, fits: list[Fitted], p: i
     gs = sorted(stats)
     ms = [Model(("t", g), g, None, family="tilt") for g in gs]
     beta = np.stack([by[g].beta for g in gs])
-    flat = [Model(("x", g), g, None, family="gaussian") for g in gs]
-    _, nu, _, _, _, hess = unpack(accumulate(data, ms + flat, np.concatenate([beta, np.zeros_like(beta)]), "z"), p + 1)
-    plain = hess[len(ms):]
+    _, nu, _, _, _, hess = unpack(accumulate(data, ms, beta, "z"), p + 1)
+    design = design_factors(data, [(g, None) for g in gs], p, "z")
     tgt = rows.filter(F.col("site") == C.TARGET)
     tmean = tgt.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]).first()
     tm = np.array([tmean[f"m{i}"] for i in range(p + 1)])
@@ -216,7 +264,7 @@ def density_influence(data: DataFrame, rows: DataFrame, fits: list[Fitted], p: i
         act = np.flatnonzero((np.abs(f.beta) > ACTIVE) | (np.arange(p + 1) == 0) | (f.lam == 0))
         ix = np.ix_(act, act)
         dirn = np.zeros(p + 1)
-        dirn[act], _ = solve_curvature(hess[i][ix] / nu[i], plain[i][ix] / nu[i], sens[act])
+        dirn[act], _ = solve_curvature(hess[i][ix] / nu[i], design[i][:, act], sens[act])
         off = float(np.array([s[f"e{j}"] for j in range(p + 1)]) @ dirn)
         table[g] = {"dn_dir": dirn, "dn_off": off, "dn_norm": -frac / s["d"] * s["v"], "dn_t": float(tm @ dirn)}
     vec = _vectors(rows.sparkSession, table, ["dn_dir", "dn_off", "dn_norm", "dn_t"]).withColumnRenamed("g", "src")

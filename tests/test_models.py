@@ -200,10 +200,30 @@ def test_redundant_columns_are_solved_in_the_identifiable_space():
     x = rng.normal(size=(300, 2))
     d = np.c_[np.ones(300), x, x[:, 0] + x[:, 1]]
     plain = d.T @ d / 300
-    direction, info = inf.solve_curvature(plain, plain, plain @ np.array([0.1, 0.2, 0.3, 0.0]))
+    factor = np.linalg.qr(d, mode="r")
+    direction, info = inf.solve_curvature(plain, factor, plain @ np.array([0.1, 0.2, 0.3, 0.0]))
     assert info["rank"] == 3 and np.allclose(plain @ direction, plain @ np.array([0.1, 0.2, 0.3, 0.0]))
     with pytest.raises(inf.CurvatureError):
-        inf.solve_curvature(plain, plain, np.array([0.0, 1.0, 0.0, 0.0]))
+        inf.solve_curvature(plain, factor, np.array([0.0, 1.0, 0.0, 0.0]))
+    # nearly redundant: neither dropped nor solved
+    near = np.c_[d[:, :3], d[:, 3] + 1e-9 * rng.normal(size=300)]
+    with pytest.raises(inf.CurvatureError, match="nearly"):
+        inf.solve_curvature(near.T @ near / 300, np.linalg.qr(near, mode="r"), plain @ np.array([0.1, 0.2, 0.3, 0.0]))
+    # a constant column is redundant
+    flat = np.c_[d[:, :3], np.full(300, 7.0)]
+    g = flat.T @ flat / 300
+    direction, info = inf.solve_curvature(g, np.linalg.qr(flat, mode="r"), g @ np.array([0.1, 0.2, 0.3, 0.0]))
+    assert info["rank"] == 3 and np.allclose(g @ direction, g @ np.array([0.1, 0.2, 0.3, 0.0]))
+
+
+def test_design_factors_equal_the_gram(spark):
+    rng = np.random.default_rng(2)
+    rows = [(("t", "s1")[i % 2], i % 3 % 2, [float(v) for v in rng.normal(size=3)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "site string, a int, w array<double>").repartition(7)
+    got = inf.design_factors(df, [("t", None), ("s1", 1), (None, None), ("none", None)], 3)
+    for f, keep in zip(got, (lambda r: r[0] == "t", lambda r: r[0] == "s1" and r[1] == 1, lambda r: True, lambda r: False)):
+        m = np.array([[1.0, *r[2]] for r in rows if keep(r)]).reshape(-1, 4)
+        assert np.allclose(f.T @ f, m.T @ m)
 
 
 @pytest.fixture(scope="module")
