@@ -356,7 +356,20 @@ def r1(spark, d):
     return rnd(ro.pool_fold_moments(m).withColumn("variance", F.round("variance", 9)), skip=("variance",))
 
 
-@query("R2_candidate_agreement")
+def agreement_sql(k: int = 4) -> str:
+    p = [f"p{i}" for i in range(1, k + 1)]
+    cov = {(i, j): f"c{i}_{j}" for i in range(k) for j in range(i, k)}
+    cell = [cov[min(i, j), max(i, j)] for i in range(k) for j in range(k)]
+    root = lambda xs: f"sqrt({' + '.join(f'({x}) * ({x})' for x in xs)})"
+    return (f"{SRC_SQL}, p AS (SELECT obs_id, " + ", ".join(f"max(b0 + b1 * x1) FILTER (WHERE c.site = 's{i + 1}') AS {v}" for i, v in enumerate(p))
+            + f" FROM base b, coef c WHERE b.site = 't' GROUP BY obs_id), q AS (SELECT *, ({' + '.join(p)}) / {k} AS m FROM p), "
+            + "s AS (SELECT count(*) AS n, var_pop(m) / count(*) AS cv, " + ", ".join(f"covar_pop({p[i]}, {p[j]}) / count(*) AS {c}" for (i, j), c in cov.items())
+            + f", sqrt(avg(({' + '.join(f'({v} - m) * ({v} - m)' for v in p)}) / {k})) AS dis FROM q) SELECT n, {R('cv', 'common_variance', 9)}, "
+            + R(f"{root([f'{c} - cv' for c in cell])} / {root(cell)}", "relative_covariance_error", 9) + ", "
+            + R("least(" + ", ".join(f"{c} / sqrt(c{i}_{i} * c{j}_{j})" for (i, j), c in cov.items() if i < j) + ")", "minimum_correlation", 9) + f", {R('dis', 'prediction_disagreement_rmse', 9)} FROM s")
+
+
+@query("R2_candidate_agreement", agreement_sql())
 def r2(spark, d):
     o = obs(spark, d)
     return rnd(ro.candidate_agreement(jo.predict_all_sources(o.filter("site = 't'"), source_coef(o), 1), 4), 9)

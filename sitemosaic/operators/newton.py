@@ -32,6 +32,7 @@ class Fitted:
     n_arm: float
     cv_mean: float = float("nan")
     path: list = field(default_factory=list)
+    excluded: int = 0                # penalties without a usable fit in every selection fold
 
 
 def lambda_grid(lambda_max: float, n: int, ratio: float) -> np.ndarray:
@@ -115,7 +116,7 @@ def _null_state(models, sums, p1, norm, moment):
 
 def fit_models(data: DataFrame, models: list[Model], x: str = "w", lam: float | list | None = 0.0, moments: dict | None = None,
                standardize: bool = False, norm: str = "used", nlambda: int = C.LAMBDA_GRID_SIZE, rule: str = "min", cv_folds: int = C.CV_FOLDS,
-               ratio: float | None = None, tol: float = C.SOLVER_TOL, max_passes: int = 60, lambda_floor: dict | None = None,
+               ratio: float | None = None, tol: float = C.SOLVER_TOL, lambda_floor: dict | None = None,
                on_fail: str = "raise", min_class: int = 0, degenerate: str = "constant") -> list[Fitted]:
     """Fit all models. lam: a number (one fit each), or None (penalty path with cross-validation).
 
@@ -224,10 +225,8 @@ def fit_models(data: DataFrame, models: list[Model], x: str = "w", lam: float |
     done = done | flat
     t = np.ones(S)
     failed = np.zeros(S, dtype=bool)
-    for _ in range(max_passes):
-        ids = np.flatnonzero(~done & ~failed)
-        if not len(ids):
-            break
+    stalled, idle = np.zeros(S, dtype=bool), np.zeros(S, dtype=int)
+    while len(ids := np.flatnonzero(~done & ~failed & ~stalled)):  # until the conditions hold or no step lowers the loss
         trial = B[ids] + t[ids, None] * (target[ids] - B[ids])
         s = accumulate(data, [every[i] for i in at[ids]], trial, x)
         _, _, _, ls, gr, he = unpack(s, p1)
@@ -240,6 +239,7 @@ def fit_models(data: DataFrame, models: list[Model], x: str = "w", lam: float |
         iters[ids] += 1
         ok = ids[good]
         if len(ok):
+            idle[ok] = np.where(FV[ok] - fv[good] > 1e-12 * np.maximum(1.0, np.abs(FV[ok])), 0, idle[ok] + 1)
             B[ok], G[ok], FV[ok], t[ok] = trial[good], gr[good], fv[good], 1.0
             kkt[ok] = kkt_residual(B[ok], G[ok], pen[ok])
             size = np.maximum(1.0, np.abs(moment[at[ok]]).max(axis=1))
@@ -254,11 +254,12 @@ def fit_models(data: DataFrame, models: list[Model], x: str = "w", lam: float |
                     failed[ok[go]] = True
         bad = ids[~good]
         t[bad] *= 0.5
-        stuck = bad[t[bad] < 1e-8]
-        # no decrease is left at working precision
-        done[stuck] = kkt[stuck] <= 1e4 * tol
-        failed[stuck] = ~done[stuck]
-    converged = done
+        stuck = np.concatenate([bad[t[bad] < 1e-8], ids[~done[ids] & (idle[ids] >= 10)]])
+        # no decrease is left at working precision: usable if close to the optimum, but not reported as converged
+        near = kkt[stuck] <= 1e4 * tol
+        stalled[stuck[near]] = True
+        failed[stuck[~near]] = True
+    converged, usable = done, done | stalled
     out = []
     chosen = np.zeros(nb, dtype=int)
     cv_mean = np.full((nb, L), np.nan)
@@ -267,18 +268,18 @@ def fit_models(data: DataFrame, models: list[Model], x: str = "w", lam: float |
         hs = accumulate(data, [every[i] for i in at[held_ids]], B[held_ids], x, derivatives=False, held=True)
         nv = np.maximum(hs[:, 1], 1.0) * scale[at[held_ids]]
         val = hs[:, 3] / nv + (moment[at[held_ids]] * B[held_ids]).sum(axis=1)
-        val = np.where(converged[held_ids] & (hs[:, 1] > 0), val, np.inf)
+        val = np.where(usable[held_ids] & (hs[:, 1] > 0), val, np.inf)
         val = val.reshape(nb, len(cvs), L)
         for i in range(nb):
             if constant_fit[i]:
                 continue
-            sc = np.where(converged[i * L:(i + 1) * L, None], val[i].T, np.inf)
+            sc = np.where(usable[i * L:(i + 1) * L, None], val[i].T, np.inf)
             chosen[i], cv_mean[i] = select_lambda(grids[i], sc, rule)
     for i, k in enumerate(base):
         j = i * L + chosen[i]
-        if not converged[j] and on_fail == "raise":
+        if not usable[j] and on_fail == "raise":
             raise FitError(f"fit did not converge for {k.key} (kkt {kkt[j]:.3g})")
         label = "degenerate_constant" if constant_fit[i] else rule if lam is None else "fixed"
         out.append(Fitted(k, B[j], float(grids[i, chosen[i]]), label, bool(converged[j]), int(iters[j]), float(kkt[j]),
-                          float(n_all[i]), float(n_used[i]), float(cv_mean[i, chosen[i]]), list(zip(grids[i], cv_mean[i]))))
+                          float(n_all[i]), float(n_used[i]), float(cv_mean[i, chosen[i]]), list(zip(grids[i], cv_mean[i])), int(np.count_nonzero(~np.isfinite(cv_mean[i]))) if lam is None and not constant_fit[i] else 0))
     return out
