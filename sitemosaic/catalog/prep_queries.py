@@ -223,7 +223,29 @@ def f5(spark, d):
     return rnd(co.fold_preprocess(f, ["v", "x2"], 3).select("obs_id", "outer_fold", "v", "x2"))
 
 
-@query("F6_bspline_features")
+def bspline_sql(columns=("x1", "x2"), knots: int = 5, degree: int = 3) -> str:
+    """The Cox-de Boor recursion, one query per degree; knots are inner quantiles and differ on these tables."""
+    stats, steps, out = [], [[] for _ in range(degree + 1)], []
+    for x in columns:
+        stats += [f"min({x}) AS {x}_lo", f"max({x}) AS {x}_hi"] + [f"quantile_cont({x}, {i + 1} / {knots + 1}e0) AS {x}_k{i + 1}" for i in range(knots)]
+        t = [f"{x}_lo"] * (degree + 1) + [f"{x}_k{i + 1}" for i in range(knots)] + [f"{x}_hi"] * (degree + 1)
+        have = [None if t[i] == t[i + 1] else f"{x}_b0_{i}" for i in range(len(t) - 1)]
+        steps[0] += [f"CASE WHEN {x} >= {t[i]} AND {x} {'<=' if i == len(t) - degree - 2 else '<'} {t[i + 1]} THEN 1e0 ELSE 0e0 END AS {b}" for i, b in enumerate(have) if b]
+        for d in range(1, degree + 1):
+            new = []
+            for i in range(len(t) - 1 - d):
+                terms = [f"({x} - {t[i]}) / ({t[i + d]} - {t[i]}) * {have[i]}"] if have[i] and t[i + d] != t[i] else []
+                terms += [f"({t[i + d + 1]} - {x}) / ({t[i + d + 1]} - {t[i + 1]}) * {have[i + 1]}"] if have[i + 1] and t[i + d + 1] != t[i + 1] else []
+                new.append(f"{x}_b{d}_{i}" if terms else None)
+                steps[d] += [f"{' + '.join(terms)} AS {new[-1]}"] if terms else []
+            have = new
+        out += [R(b or "0e0", f"{x}_bs{j + 1}") for j, b in enumerate(have[1:])]
+    ctes = [f"g0 AS (SELECT base.obs_id, base.a * 1e0 AS a, {', '.join(columns)}, q.*, {', '.join(steps[0])} FROM base, q)"]
+    ctes += [f"g{d} AS (SELECT *, {', '.join(steps[d])} FROM g{d - 1})" for d in range(1, degree + 1)]
+    return f"{WITH}, q AS (SELECT {', '.join(stats)} FROM base), {', '.join(ctes)} SELECT obs_id, a, {', '.join(out)} FROM g{degree}"
+
+
+@query("F6_bspline_features", bspline_sql())
 def f6(spark, d):
     return rnd(co.bspline_features(base(spark, d).select("obs_id", "x1", "x2", F.col("a").cast("double").alias("a")), ["x1", "x2", "a"]))
 
