@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pack_ints, ranges, unpack_ints
+from .common import pack_ints, ranges, slices, tidy, unpack_ints
 from .pretokens import assemble
 from .word_shuffle import by_distinct_word
 
@@ -70,16 +70,15 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", ids
     table = encoded.sparkSession.sparkContext.broadcast((b"".join(pieces), np.cumsum(lengths) - lengths, lengths))
     at = encoded.columns.index(ids)
 
+    @tidy
     def run(batches):
         body, first, length = table.value
         body = np.frombuffer(body, np.uint8)
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                values = [v or b"" for v in part.column(at).to_pylist()]
-                all_ids = np.frombuffer(b"".join(values), "<u4")
-                per = length[all_ids]
-                ends = np.concatenate([[0], np.cumsum(per)])[np.cumsum([len(v) // 4 for v in values])]
-                yield pa.RecordBatch.from_arrays([*part.columns, _binaries(body[ranges(first[all_ids], per)].tobytes(), ends)], [*part.schema.names, "decoded"])
+        for part in slices(batches, 256):
+            values = [v or b"" for v in part.column(at).to_pylist()]
+            all_ids = np.frombuffer(b"".join(values), "<u4")
+            per = length[all_ids]
+            ends = np.concatenate([[0], np.cumsum(per)])[np.cumsum([len(v) // 4 for v in values])]
+            yield pa.RecordBatch.from_arrays([*part.columns, _binaries(body[ranges(first[all_ids], per)].tobytes(), ends)], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary")

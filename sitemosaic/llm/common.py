@@ -1,6 +1,8 @@
 """Helpers of the corpus operators: shared storage, compact blocks, table access."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import struct
 import tempfile
@@ -8,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -91,6 +94,27 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum()), dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - out, sizes)
 
 
+def slices(batches, rows: int = 500) -> Iterator:
+    """Arrow batches in slices of a few rows, so that only a slice's values are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def tidy(run):
+    """A task's function that gives freed memory back to the system at its end: Python workers outlive their tasks, and those of earlier
+    stages would keep what they once needed."""
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+    return wrapped
+
+
 def text_bytes(column) -> Iterator[bytes]:
     """UTF-8 of an Arrow string column, null as empty."""
     for v in column.cast("binary") if column.type != "binary" else column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import pack_ints, shared_dir, shuffle_parts, stored, unpack_ints
+from .common import pack_ints, shared_dir, shuffle_parts, slices, stored, tidy, unpack_ints
 from .pretokens import assemble, chunk_of, grouped, rows_of
 from .token_counts import WordModel
 
@@ -44,6 +44,7 @@ def token_ids(docs: DataFrame, model: WordModel, end_id: int, key: str = "doc_id
     shared = docs.sparkSession.sparkContext.broadcast(model.source)
     key_type = to_arrow_type(docs.schema[key].dataType)
 
+    @tidy
     def run(batches):
         own = WordModel(shared.value)
         encode, normal = own.encoder(), own.normal()
@@ -199,10 +200,11 @@ def write_ids(docs: DataFrame, model: WordModel, end_id: int, path: str | None =
     code = spark.sparkContext.broadcast((symbols, lengths))
 
     def rows(batches) -> Iterator[tuple]:
-        for b in batches:
+        for b in slices(batches):
             for k, v in zip(b.column(0), b.column(1).to_pylist()):
                 yield k, unpack_ints(v)
 
+    @tidy
     def run(batches):
         encode = Code(*code.value).encoder()
         part, before = TaskContext.get().partitionId(), 0
@@ -226,9 +228,10 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id", key_type: str
     code = spark.sparkContext.broadcast((table["symbol"].to_numpy(np.int64), table["length"].to_numpy(np.int64)))
     blocks = spark.read.schema("part int, block int, before bigint, keys binary, sizes binary, points binary, bits binary").parquet(f"{path}/blocks")
 
+    @tidy
     def run(batches):
         decode = Code(*code.value).decoder()
-        for b in batches:
+        for b in slices(batches, 16):
             for part, before, keys, sizes, points, bits in zip(*(b.column(k).to_pylist() for k in range(6))):
                 keys = pa.ipc.open_stream(keys).read_all().column(0).combine_chunks()
                 sizes = unpack_ints(sizes).astype(np.int64)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import pack_ints, unpack_ints
+from .common import pack_ints, slices, tidy, unpack_ints
 from .pretokens import LETTER, STOP, classes, grouped, join, rows_of
 
 PLACES = 1 << 15
@@ -77,9 +77,10 @@ def held_out(key: str) -> Column:
 
 def document_frequencies(rows: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """Rows that have each place, and rows in all; each task adds up its own, so at most PLACES + 1 rows of each task are shuffled."""
+    @tidy
     def run(batches):
         total, n = np.zeros(PLACES + 1, np.int64), 0
-        for group in grouped((None, t or "") for b in batches for t in b.column(0).to_pylist()):
+        for group in grouped((None, t or "") for b in slices(batches) for t in b.column(0).to_pylist()):
             for p in places([t for _, t in group]):
                 seen = np.zeros(PLACES, bool)
                 seen[p] = True
@@ -150,8 +151,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     rate = F.element_at(F.create_map(*[F.lit(v) for x in languages for v in (x, min(1.0, per_language / sizes[x]))]), F.col("l"))
     sample = rows.filter(draw < rate).select("l", F.pmod(F.xxhash64("t", F.lit(3)), F.lit(4)).cast("int").alias("part"), "t")
 
+    @tidy
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(2).to_pylist()]
             out = [(i, *sparse(p, shared.value)) for i, p in enumerate(places(texts)) if len(p)]
             take = pa.array([i for i, _, _ in out], pa.int64())
@@ -171,9 +173,10 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [key, *passed]
 
+    @tidy
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             lang, score = [], []
             for group in grouped(((None, t) for t in texts)):

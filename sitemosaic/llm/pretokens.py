@@ -12,9 +12,9 @@ from typing import NamedTuple
 
 import numpy as np
 
-from .common import ranges
+from .common import ranges, slices
 
-CHUNK = 2_000_000
+CHUNK = 1_500_000
 END = 0x110000  # stands after each document
 OTHER, LETTER, NUMBER, SPACE, STOP = range(5)
 LONG = 64  # longer words are told apart by a cryptographic hash
@@ -150,7 +150,7 @@ def grouped(rows: Iterator[tuple], size=lambda row: len(row[1]), limit: int = CH
 
 def rows_of(batches) -> Iterator[tuple]:
     """(key, text) of Arrow batches with two columns; null text is empty."""
-    for b in batches:
+    for b in slices(batches):
         for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             yield k, t or ""
 

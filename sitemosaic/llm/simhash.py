@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, shuffle_parts, text_bytes
+from .common import checkpoint, shuffle_parts, slices, text_bytes, tidy
 
 DISTANCE = 4
 GOLAY = 0b101011100011  # generator polynomial of the [23, 12] code
@@ -59,8 +59,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     from pyspark.sql.pandas.types import to_arrow_type
     key_type = to_arrow_type(docs.schema[key].dataType)
 
+    @tidy
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1000):
             fp = np.array([fingerprint(t, k) for t in text_bytes(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(key_type), pa.array(fp.view(np.int64))], ["key", "fp"])
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, fp bigint")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, ranges, shuffle_parts
+from .common import checkpoint, ranges, shuffle_parts, slices, tidy
 from .pretokens import powers
 from .url_filter import bloom, possible
 
@@ -225,8 +225,9 @@ ANCHOR = "ah bigint, fh bigint, t1 bigint, t2 int, lo int, at int, hi int"
 
 
 def anchors(texts: DataFrame, length: int) -> DataFrame:
+    @tidy
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1000):
             cols = [[] for _ in range(5)]
             t1, t2 = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             count = np.zeros(b.num_rows, np.int64)
@@ -254,8 +255,9 @@ def fragments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     table, blocks = bloom(keys, "t1")
     few = possible(texts.select("body", "t1", "t2"), checkpoint(table), blocks, "t1").filter("possible").select("body", "t1", "t2").dropDuplicates(["t1", "t2"])
 
+    @tidy
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for body, t1, t2, cuts in zip(*(b.column(k) for k in range(4))):
                 body, t1, t2 = body.as_py(), t1.as_py(), t2.as_py()
@@ -293,6 +295,7 @@ def by_suffix_array(parts: DataFrame, length: int) -> DataFrame:
                 out += [(t1[i], t2[i], shift + a, shift + b) for a, b in runs_of(w, length)]
         return _spans(out)
 
+    @tidy
     def run(batches):
         held, size, last = [], 0, None
         for b in batches:
@@ -373,9 +376,10 @@ def remove(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "
     columns = ["key", *[f"p{i}" for i in range(len(passed))], "body", "spans"]
     hit, rest = hit.select(columns), base.filter("not possible").withColumn("spans", F.lit(None).cast("array<struct<first:int,end:int>>")).select(columns)
 
+    @tidy
     def run(batches):
         at = len(columns) - 2
-        for b in batches:
+        for b in slices(batches):
             kept, words = [], []
             for body, spans in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist()):
                 pieces, last = [], 0

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pack_bytes, pack_ints, shuffle_parts, unpack_bytes, unpack_ints
+from .common import pack_bytes, pack_ints, shuffle_parts, slices, tidy, unpack_bytes, unpack_ints
 from .pretokens import Chunk, chunk_of, grouped, rows_of
 
 WORDS_HELD = 1_000_000  # encoded words that a task remembers; beyond it starts anew (same results)
@@ -57,6 +57,7 @@ def by_distinct_word(docs: DataFrame, key: str, text: str, *, spaced: bool, enco
     n = parts or shuffle_parts(spark)
     two = docs.select(F.col(key), F.col(text))
 
+    @tidy
     def to_words(batches):
         for name, c, _ in chunks(batches, spaced, normal):
             part = (c.hashes % np.uint64(n)).astype(np.int64)
@@ -65,9 +66,10 @@ def by_distinct_word(docs: DataFrame, key: str, text: str, *, spaced: bool, enco
             rows = [(p, pack_bytes([c.words[i] for i in order[cuts[p]:cuts[p + 1]].tolist()])) for p in range(n) if cuts[p] < cuts[p + 1]]
             yield _batch([name] * len(rows), [p for p, _ in rows], [b for _, b in rows])
 
+    @tidy
     def to_ids(batches):
         encode, known = encoder(), {}
-        for b in batches:
+        for b in slices(batches, 64):
             blobs = []
             for blob in b.column(2).to_pylist():
                 got = []
@@ -85,12 +87,14 @@ def by_distinct_word(docs: DataFrame, key: str, text: str, *, spaced: bool, enco
                     blobs.append(b"i" + struct.pack("<I", len(sizes)) + sizes + pack_ints(np.concatenate(got)))
             yield _batch(b.column(0), b.column(1), blobs)
 
+    @tidy
     def to_positions(batches):
         for name, c, extra in chunks(batches, spaced, normal):
             part = (c.hashes % np.uint64(n)).astype(np.uint32)
             body = pickle.dumps((c.keys, extra, pack_ints(part), condense(c)))
             yield _batch([name], [-1], [body])
 
+    @tidy
     def together(batches):
         name, positions, ids = None, [], {}
 
@@ -118,7 +122,7 @@ def by_distinct_word(docs: DataFrame, key: str, text: str, *, spaced: bool, enco
                     at += len(flat[-1])
                 yield finish(keys, extra, condensed, counts, first, np.concatenate(flat) if flat else np.empty(0, np.uint32))
 
-        for b in batches:
+        for b in slices(batches, 64):
             for c, p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if c != name:
                     yield from emit()
