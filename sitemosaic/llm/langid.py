@@ -173,13 +173,13 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [key, *passed]
     names = [f"c{i}" for i in range(len(columns))]
-    at = columns.index(text) if text in columns else len(columns)  # a text that is passed on is not sent twice
+    where = columns.index(text) if text in columns else len(columns)  # a text that is passed on is not sent twice
 
     @tidy
     def run(batches):
         m = shared.value
         for b in slices(batches):
-            texts = [t or "" for t in b.column(at).to_pylist()]
+            texts = [t or "" for t in b.column(where).to_pylist()]
             lang, score = [], []
             for group in grouped(((None, t) for t in texts)):
                 for p in places([t for _, t in group]):
@@ -194,5 +194,5 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                     score.append(float(q[best]))
             yield pa.RecordBatch.from_arrays([*b.columns[:len(columns)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
     schema = ", ".join([f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, columns)] + ["lang_pred string", "score double"])
-    out = docs.select(*[F.col(c).alias(n) for n, c in zip(names, columns)], *([] if at < len(columns) else [F.col(text).alias("t")])).mapInArrow(run, schema)
+    out = docs.select(*[F.col(c).alias(n) for n, c in zip(names, columns)], *([] if where < len(columns) else [F.col(text).alias("t")])).mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "lang_pred", "score")
