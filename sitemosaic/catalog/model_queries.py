@@ -789,6 +789,13 @@ def e25(spark, d):
     return rnd(cf.source_table(s, w))
 
 
+@query("E26_weight_table", f"""{K1}, {TAU}, {solve_sql()} SELECT 2 AS arm, CAST(outer_fold AS VARCHAR) AS fold, 's1' AS source, {R('eta', 'weight')}, {R('wald', 'wald')}, {R('greatest(wald - 1, 0)', 'penalty')}, 1e0 AS inclusion FROM eta
+ UNION ALL SELECT 2, 'all', 's1', {R('avg(eta)', 'weight')}, {R('avg(wald)', 'wald')}, {R('avg(greatest(wald - 1, 0))', 'penalty')}, 1e0 FROM eta""")
+def e26w(spark, d):
+    s = known(spark, d, merged=True)
+    return rnd(cf.weight_table(cf.aggregate_tate(s, "common_tate")[1], s.sources))
+
+
 @query("E26_result_rows", f"""{WITH}, g AS (SELECT seg AS method, avg(y_num) AS e, CASE WHEN seg <> 'HOUSEHOLD' THEN sqrt(var_samp(y_num) / count(*)) END AS s FROM base GROUP BY seg)
  SELECT method, {R('CASE WHEN s IS NOT NULL THEN e END', 'estimate')}, {R('s', 'se')}, {R(f'e - {ZQ} * s', 'ci_lower')}, {R(f'e + {ZQ} * s', 'ci_upper')} FROM g""")
 def e26(spark, d):
@@ -847,3 +854,13 @@ def b5(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     dr = e.select(F.col("event_type").alias("k"), (F.col("value") / 100).alias("fixed"), (F.col("value") / 80 + F.col("event_id") % 7 / 100.0).alias("relearned"))
     return rnd(rs.summarize_draws(dr, ["k"]))
+
+
+@query("B5_source_summaries", f"""WITH e AS (SELECT event_id % 4 + 1 AS outer_fold, value / 100 AS w1, value / 90 - 0.1e0 AS w2, event_id % 13 / 4e0 AS z1, event_id % 7 / 2e0 AS z2 FROM events),
+ l AS (SELECT outer_fold, 's1' AS source, w1 AS w, z1 AS z FROM e UNION ALL SELECT outer_fold, 's2', w2, z2 FROM e)
+ SELECT CAST(outer_fold AS BIGINT) AS outer_fold, source, count(*) AS n_bootstrap, {R('avg(w)', 'weight_mean')}, {R('stddev_samp(w)', 'weight_sd')}, {R('avg(CASE WHEN z <= 2 THEN 1e0 ELSE 0e0 END)', 'inclusion_probability')}, {R('avg(z)', 'wald_mean')} FROM l GROUP BY ALL""")
+def b5s(spark, d):
+    i, v = F.col("event_id"), F.col("value")
+    z = F.array((i % 13) / 4.0, (i % 7) / 2.0)
+    w = spark.read.parquet(f"{d}/events.parquet").select((i % 4 + 1).alias("outer_fold"), i.alias("draw"), F.array(v / 100, v / 90 - 0.1).alias("eta"), z.alias("wald"), F.transform(z, lambda x: x <= 2).alias("included"))
+    return rnd(cf.bootstrap_sources(w, ["s1", "s2"]))

@@ -291,6 +291,15 @@ def result_rows(result: DataFrame, label: str | None = None) -> DataFrame:
                          on(F.col("estimate") - z).alias("ci_lower"), on(F.col("estimate") + z).alias("ci_upper"))
 
 
+def weight_table(weights: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """(arm, fold, source): weight, Wald statistic, penalty and inclusion of every outer fold, and their means as fold `all`."""
+    at = lambda c: F.get(c, F.col("j"))
+    e = weights.select("arm", F.col("outer_fold").cast("string").alias("fold"), "eta", "wald", "penalty", "included", F.posexplode(F.array(*[F.lit(s) for s in sources])).alias("j", "source"))
+    e = e.select("arm", "fold", "source", at("eta").alias("weight"), at("wald").alias("wald"), at("penalty").alias("penalty"), at("included").cast("double").alias("inclusion"))
+    mean = e.groupBy("arm", "source").agg(*[F.avg(c).alias(c) for c in ("weight", "wald", "penalty", "inclusion")])
+    return e.unionByName(mean.withColumn("fold", F.lit("all")))
+
+
 # -- weight bootstrap -------------------------------------------------------------------------------
 def weight_bootstrap(saved: Saved, b: int = C.WEIGHT_BOOTSTRAP_REPLICATES, seed: int = 1, relearn: bool = True, lam=None) -> DataFrame:
     """(draw, fixed, relearned) estimates under exponential row masses; nuisance models stay fixed."""
@@ -307,10 +316,7 @@ def weight_bootstrap(saved: Saved, b: int = C.WEIGHT_BOOTSTRAP_REPLICATES, seed:
     fixed = fixed_weight_draws(pseudo.select("obs_id", "site", (F.col("value") * scale).alias("value")), b, seed).withColumnRenamed("estimate", "fixed")
     if not relearn:
         return fixed
-    m = reweighted_moments(long_arms(inner, (2,)), saved.sources, b, seed)
-    # pooled with the draw's masses; sizes stay the row counts
-    pooled = pool_weighted(m, k)
-    eta = solve_weights(pooled, saved.options.cutoff_lambda if lam is None else lam, saved.options.screening).select("draw", "outer_fold", "eta", "wald", "included")
+    eta = relearned_weights(saved, b, seed, lam)
     # per (outer fold, site): mass sums of 1, phi, psi or correction, per draw
     vals = F.when(F.col("site") == C.TARGET, F.concat(F.array(F.lit(1.0), F.col("phi")), F.col("psi"))).otherwise(
         F.concat(F.array(F.lit(1.0), F.col("corr")), F.array(*[F.lit(0.0)] * k)))
@@ -328,6 +334,23 @@ def weight_bootstrap(saved: Saved, b: int = C.WEIGHT_BOOTSTRAP_REPLICATES, seed:
     return fixed.join(rel, "draw")
 
 
+def relearned_weights(saved: Saved, b: int = C.WEIGHT_BOOTSTRAP_REPLICATES, seed: int = 1, lam=None) -> DataFrame:
+    """(draw, outer_fold, eta, wald, included): the weights solved again under every draw's row masses."""
+    _, inner = split_scores(saved.scores)
+    m = reweighted_moments(long_arms(inner, (2,)), saved.sources, b, seed)
+    # pooled with the draw's masses; sizes stay the row counts
+    pooled = pool_weighted(m, len(saved.sources))
+    return solve_weights(pooled, saved.options.cutoff_lambda if lam is None else lam, saved.options.screening).select("draw", "outer_fold", "eta", "wald", "included")
+
+
+def bootstrap_sources(weights: DataFrame, sources: Sequence[str], by: Sequence[str] = ("outer_fold",)) -> DataFrame:
+    """Per fold and source over the draws: mean and sd of the weight, share of draws that include the source, mean Wald statistic."""
+    at = lambda c: F.get(c, F.col("j"))
+    e = weights.select(*by, "eta", "wald", "included", F.posexplode(F.array(*[F.lit(s) for s in sources])).alias("j", "source"))
+    return e.groupBy(*by, "source").agg(F.count(F.lit(1)).alias("n_bootstrap"), F.avg(at("eta")).alias("weight_mean"), F.stddev_samp(at("eta")).alias("weight_sd"),
+                                        F.avg(at("included").cast("double")).alias("inclusion_probability"), F.avg(at("wald")).alias("wald_mean"))
+
+
 def pool_weighted(m: DataFrame, k: int) -> DataFrame:
     """Pooling of reweighted inner moments: fields weighted by mass, sizes by row counts."""
     as_mass = m.withColumns({"_nt": F.col("n_t"), "_ns": F.col("n_s"), "n_t": F.col("mass_t"), "n_s": F.col("mass_s")})
