@@ -5,13 +5,10 @@ made by doc_id: they cannot be told apart, so nothing is decided about them. Nul
 """
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitemosaic.llm import bpe, decontaminate, langid, simhash, suffix_dedup
-from sitemosaic.llm.common import checkpoint, shared_dir, table
+from sitemosaic.llm.common import checkpoint, new_folder, table
 
 LEAST_SCORE = 0.5  # a text whose best language scores less is rejected
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -66,9 +63,9 @@ ORACLE_SQL = None  # SQL has no counterpart of the trained model, the fingerprin
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    root = os.path.join(shared_dir(spark), f"pipeline-{uuid.uuid4().hex}")
+    root = new_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
-        path = os.path.join(root, f"{k}-{name}")
+        path = f"{root}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -16,8 +16,6 @@ are read. No documents: an empty code and no blocks.
 from __future__ import annotations
 
 import io
-import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import pack_ints, shared_dir, shuffle_parts, slices, stored, tidy, unpack_ints
+from .common import new_folder, pack_ints, shuffle_parts, slices, stored, tidy, unpack_ints
 from .pretokens import assemble, chunk_of, grouped, rows_of
 from .token_counts import WordModel
 
@@ -191,7 +189,7 @@ def _keys_out(keys: pa.Array) -> bytes:
 def write_ids(docs: DataFrame, model: WordModel, end_id: int, path: str | None = None, key: str = "doc_id", text: str = "text") -> str:
     """Writes the files in ascending key order and returns their folder."""
     spark = docs.sparkSession
-    path = path or os.path.join(shared_dir(spark), f"ids-{uuid.uuid4().hex}")
+    path = path or new_folder(spark, "ids")
     ids = stored(token_ids(docs, model, end_id, key, text), "ids")
     counts = id_counts(ids).toPandas()  # one row per symbol: the vocabulary bounds it
     symbols = counts["symbol"].to_numpy(np.int64)
