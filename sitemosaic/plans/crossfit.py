@@ -261,7 +261,8 @@ def sensitivity_grid(saved: Saved, cutoffs: Sequence[float], radii: Sequence[flo
         phi = pseudo_values(long_arms(outer, arms), settled(w), saved.sources, saved.sizes, keys, saved.options.k * len(arms) * len(cutoffs), extra=("cutoff",))
         if mode != "common_tate":
             phi = phi.groupBy("obs_id", "site", "cutoff").agg(F.sum(F.when(F.col("arm") == 1, F.col("value")).otherwise(-F.col("value"))).alias("value"))
-        parts.append(stratified_variance(phi, ["cutoff"]).withColumn("radius", F.lit(float(r))))
+        parts.append(settled(stratified_variance(phi, ["cutoff"]).withColumn("radius", F.lit(float(r)))))
+        s.scores.unpersist()  # one radius' rows at a time
     return reduce(DataFrame.unionByName, parts)
 
 
