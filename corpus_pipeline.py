@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sitemosaic.llm import bpe, decontaminate, langid, simhash, suffix_dedup
 from sitemosaic.llm.common import checkpoint, new_folder, table
 
-LEAST_SCORE = 0.5  # a text whose best language scores less is rejected
+LEAST_SCORE = 0.4  # a text whose best language scores less is rejected; low, as short and mixed texts of known languages are to stay
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
