@@ -11,6 +11,7 @@ from sitemosaic.llm import bpe, decontaminate, langid, simhash, suffix_dedup
 from sitemosaic.llm.common import checkpoint, new_folder, table
 
 LEAST_SCORE = 0.4  # a text whose best language scores less is rejected; low, as short and mixed texts of known languages are to stay
+PASSAGE_WORDS = 51  # the least words of a passage that may not stand in the texts twice
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -33,8 +34,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every occurrence of a string of 400 bytes that occurs again is cut from the texts; n_chars follows the text."""
-    spans = suffix_dedup.repeated_spans(docs)
+    """Every occurrence of a string that occurs again and has over 50 words, or 400 bytes (for scripts without blanks), is cut from the
+    texts; n_chars follows the text."""
+    spans = suffix_dedup.repeated_spans(docs).unionByName(suffix_dedup.repeated_word_spans(docs, words=PASSAGE_WORDS))
+    spans = suffix_dedup.merged(spans.select("t1", "t2", F.inline("spans")))
     out = suffix_dedup.remove(docs, spans, passed=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
     out = out.withColumn("text", F.coalesce("kept_text", F.lit("")))
     if "n_chars" in docs.columns:

@@ -19,6 +19,9 @@ empty table gives an empty result.
 """
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -347,7 +350,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     else:
         parts = checkpoint(parts)
         spans = by_suffix_array(parts.join(crowd, "ah", "left_anti"), length).unionByName(by_counts(parts.join(crowd, "ah", "left_semi"), length))
-    spans = whole.distinct().unionByName(spans).groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("spans"))
+    return merged(whole.distinct().unionByName(spans))
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """t1, t2, spans: sorted, disjoint (first, end) of each text, from rows t1, t2, first, end."""
+    spans = spans.groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("spans"))
 
     def run(batches):  # sorted spans that touch or overlap become one
         for b in batches:
@@ -364,6 +372,76 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     return spans.mapInArrow(run, "t1 bigint, t2 int, spans array<struct<first:int,end:int>>")
 
 
+# -- passages by number of words ---------------------------------------------------
+WORD = 8  # bytes of a word's code
+LONG = 1000  # bytes; longer words have their code from a digest
+WIDE_HINTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")  # blanks outside ASCII
+
+
+def words_of(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word; words are what stands between blanks."""
+    blank = np.ones(len(body) + 2, np.int8)
+    blank[1:-1] = np.frombuffer(body, np.uint8) <= 32
+    if not body.isascii() and any(x in body for x in WIDE_HINTS):
+        for m in WIDE.finditer(body):
+            blank[m.start() + 1:m.end() + 1] = 1
+    edge = np.flatnonzero(np.diff(blank))
+    return edge[::2], edge[1::2]
+
+
+def word_codes(body: bytes) -> bytes:
+    """Eight bytes for each word, so that repeated words are repeated bytes."""
+    start, end = words_of(body)
+    code = np.empty(len(start), np.uint64)
+    far = end - start > LONG
+    for i in np.flatnonzero(far).tolist():
+        code[i] = int.from_bytes(hashlib.blake2b(body[start[i]:end[i]], digest_size=WORD).digest(), "little")
+    near = np.flatnonzero(~far)
+    b = np.frombuffer(body, np.uint8)
+    for part in np.split(near, np.flatnonzero(np.diff(start[near] // SEGMENT)) + 1) if len(near) else ():
+        at = start[part[0]]
+        code[part] = substring_hash(sums(b[at:end[part[-1]]]), start[part] - at, end[part] - at)
+    return code.tobytes()
+
+
+def with_codes(texts: DataFrame, words: int) -> DataFrame:
+    """body, t1, t2, codes of the texts of at least so many words."""
+    @tidy
+    def run(batches):
+        for b in slices(batches):
+            codes = [word_codes(v.as_py()) for v in b.column(0)]
+            part = pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.binary())], ["body", "t1", "t2", "codes"])
+            yield part.filter(pa.array([len(c) >= WORD * words for c in codes], pa.bool_()))
+    # a text of so many words has as many bytes and blanks between them
+    return texts.filter(F.octet_length("body") >= 2 * words - 1).select("body", "t1", "t2").mapInArrow(run, "body binary, t1 bigint, t2 int, codes binary")
+
+
+def repeated_word_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 51) -> DataFrame:
+    """The same spans for strings of `words` words that also start anywhere else, whatever their bytes and the blanks between their words.
+
+    Texts become strings of word codes, in which repeated_spans finds repeated strings of words x 8 bytes; a span's whole words are looked
+    up in the text. It reaches from the first byte of its first word to the last of its last."""
+    coded = with_codes(named(docs, key, text), words)
+    found = checkpoint(repeated_spans(coded.select("codes"), "codes", "codes", WORD * words).select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "spans"))
+    table, blocks = bloom(found.select("c1").distinct(), "c1")
+    coded = coded.select("body", "t1", "t2", F.xxhash64("codes").alias("c1"), F.hash(F.lit(7), "codes").alias("c2"))
+    some = possible(coded, checkpoint(table), blocks, "c1").filter("possible").dropDuplicates(["t1", "t2"]).join(found, ["c1", "c2"]).select("body", "t1", "t2", "spans")
+
+    @tidy
+    def run(batches):
+        for b in slices(batches):
+            rows = []
+            for body, t1, t2, spans in zip(*(b.column(k).to_pylist() for k in range(4))):
+                start, end = words_of(body)
+                for s in spans:
+                    first, last = -(-s["first"] // WORD), s["end"] // WORD - 1
+                    if last - first + 1 >= words:
+                        rows.append((t1, t2, int(start[first]), int(end[last])))
+            yield _spans(rows)
+    return merged(some.mapInArrow(run, SPAN))
+
+
 def remove(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text", passed: tuple = ()) -> DataFrame:
     """key, passed columns, n_bytes, spans, kept (bytes outside the spans), kept_text (the same as text, without characters that a cut
     has broken; null if the text is null or empty). Texts without spans do not move."""

@@ -85,3 +85,26 @@ def test_no_documents(spark, corpus):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     assert compare(QUERIES[name](spark, SF), duck(SF), ORACLES[name]) is None
+
+
+def test_short_passages(spark):
+    rng = random.Random(5)
+    fresh = lambda n, most=9: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, most))) for _ in range(n))
+    shared = {n: fresh(n, 6) for n in (50, 51, 55, 60)}
+    one = " ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(51))  # 101 bytes
+    shared |= {0: one, 1: fresh(53, 5).replace(" ", " "), 2: "".join(chr(0x4e00 + rng.randrange(5000)) for _ in range(140)), 3: fresh(10, 4) + " " + "w" * 1500 + " " + fresh(45, 4)}
+    assert all(len(shared[n].encode()) < 400 for n in shared if n not in (2, 3))
+    apart = shared[55].replace(" ", "\n")  # other blanks between the same words
+    rows = [(100 * n + i, f"{fresh(30)} {p} {fresh(30)}") for n, p in shared.items() for i in range(3)]
+    rows += [(9000, f"{fresh(9)} {apart} {fresh(9)}"), (9001, f"{fresh(20)} {shared[60]} {fresh(20)} {shared[60]}"), (9002, shared[51]), (9003, None), (None, shared[51])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.char_length("text"))
+    got = texts(cp.repeated_passages(spark, docs, ""))
+    for n, p in shared.items():
+        for i in range(3):
+            before, after = dict(rows)[100 * n + i].split(p)
+            if n in (2, 3):  # by bytes, where the cut may reach further by chance
+                assert p not in got[100 * n + i]
+            else:
+                assert got[100 * n + i] == (before + after if n != 50 else before + p + after), n
+    assert got[9000].split() == dict(rows)[9000].replace(apart, "").split()
+    assert shared[60] not in got[9001] and len(got[9001].split()) == 40 and got[9002] == got[9003] == got[None] == ""
