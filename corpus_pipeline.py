@@ -1,7 +1,9 @@
 """A corpus pipeline of the library's operators; each stage is written as Parquet and read again as the next one's documents.
 
 Every stage works on all documents that its predecessor kept, and its decisions take effect. Rows without doc_id stay where a decision is
-made by doc_id: they cannot be told apart, so nothing is decided about them. Null texts count as empty; an empty table stays empty.
+made by doc_id: they cannot be told apart, so nothing is decided about them. A doc_id may repeat: decisions are made by (doc_id, text hash),
+so rows of one doc_id with different texts are judged each by its own text, and of rows with the same doc_id and text one stays. Null texts
+count as empty; an empty table stays empty.
 """
 from __future__ import annotations
 
@@ -15,6 +17,14 @@ PASSAGE_WORDS = 51  # the least words of a passage that may not stand in the tex
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+HASH = "_text_hash"
+
+
+def with_hash(docs: DataFrame) -> DataFrame:
+    """Adds what tells rows of one doc_id apart."""
+    return docs.withColumn(HASH, F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts of no language that the documents' labels teach; all stay if there is no label."""
     model = langid.fit(docs)
@@ -26,10 +36,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the least doc_id."""
-    named = docs.filter(F.col("doc_id").isNotNull())
-    first = simhash.near_duplicates(named).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each SimHash group stays: the one with the least doc_id, of several texts with this doc_id the one with the least hash."""
+    named = with_hash(docs.filter(F.col("doc_id").isNotNull()))
+    rows = named.select(F.struct("doc_id", HASH).alias("row"), "text")
+    first = simhash.near_duplicates(rows, "row").filter("row = component_id").select("row.*").distinct()
+    kept = named.join(first, ["doc_id", HASH], "left_semi").dropDuplicates(["doc_id", HASH]).select(docs.columns)
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
@@ -47,9 +58,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a benchmark item covers a twentieth of the words or more go."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(decontaminate.contaminated())
-    found = checkpoint(found.select("doc_id").distinct())
-    return docs.join(decontaminate.small(found), "doc_id", "left_anti").select(docs.columns)
+    named = with_hash(docs)
+    rows = named.select(F.struct("doc_id", HASH).alias("row"), "text")
+    found = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), "row").filter(decontaminate.contaminated())
+    found = checkpoint(found.select("row.*").distinct())
+    return named.join(decontaminate.small(found), ["doc_id", HASH], "left_anti").select(docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,3 +108,20 @@ def test_short_passages(spark):
                 assert got[100 * n + i] == (before + after if n != 50 else before + p + after), n
     assert got[9000].split() == dict(rows)[9000].replace(apart, "").split()
     assert shared[60] not in got[9001] and len(got[9001].split()) == 40 and got[9002] == got[9003] == got[None] == ""
+
+
+def test_repeated_ids(spark, tmp_path):
+    rng = random.Random(8)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    item = fresh(30)
+    copied, alone, clean, dirty = fresh(80), fresh(80), fresh(80), f"{fresh(10)} {item} {fresh(10)}"
+    rows = [(1, copied), (5, copied), (5, alone), (6, alone + " x"), (7, clean), (7, dirty), (8, clean + " y"), (9, fresh(80)), (None, dirty), (None, dirty)]
+    rows += [rows[7]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    comp = plain_components([plain_fingerprint(t) for _, t in rows])
+    assert comp[2] == comp[3] and comp[4] == comp[6] and len(set(comp[:8])) == 5
+    kept = sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, str(tmp_path)).collect()), key=str)
+    assert kept == sorted([(1, copied), (5, alone), (7, clean), (7, dirty), rows[7], (None, dirty), (None, dirty)], key=str)
+    left = sorted(((r.doc_id, r.text) for r in cp.decontamination(spark, docs, str(tmp_path)).collect()), key=str)
+    assert left == sorted([r for r in rows if r != (7, dirty)], key=str)
