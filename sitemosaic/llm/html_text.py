@@ -233,12 +233,17 @@ def match(a: list, b: list, memo: dict) -> tuple[int, tuple]:
     key = (id(a), id(b))
     if key in memo:
         return memo[key]
-    m, n = len(a[1]), len(b[1])
+    # children whose label the other node's children lack have no pair; without them a wide template costs no more than the page
+    labels = {c[0] for c in b[1]}
+    left = [i for i, c in enumerate(a[1]) if c[0] in labels]
+    labels = {a[1][i][0] for i in left}
+    right = [j for j, c in enumerate(b[1]) if c[0] in labels]
+    m, n = len(left), len(right)
     best = [[0] * (n + 1) for _ in range(m + 1)]
     for i in range(1, m + 1):
         row, above = best[i], best[i - 1]
         for j in range(1, n + 1):
-            row[j] = max(above[j], row[j - 1], above[j - 1] + match(a[1][i - 1], b[1][j - 1], memo)[0])
+            row[j] = max(above[j], row[j - 1], above[j - 1] + match(a[1][left[i - 1]], b[1][right[j - 1]], memo)[0])
     pairs, i, j = [], m, n
     while i and j:
         if best[i][j] == best[i - 1][j]:
@@ -247,7 +252,7 @@ def match(a: list, b: list, memo: dict) -> tuple[int, tuple]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs.append((i, j))
+            pairs.append((left[i], right[j]))
     memo[key] = 1 + best[m][n], tuple(reversed(pairs))
     return memo[key]
 
@@ -265,7 +270,7 @@ class Template:
         return new
 
     def align(self, skeleton: str, extend: bool) -> list[int]:
-        """The slot of each skeleton node (-1: none)."""
+        """The slot of each skeleton node (-1: none, if the template is not extended)."""
         page = tree(skeleton)
         if self.root is None:
             self.root = self._slot(page)
@@ -317,17 +322,17 @@ def page_blocks(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
         run, f"key {kind}, url string, host string, skeleton string, nodes array<int>, kinds array<int>, texts array<string>, hashes array<bigint>")
 
 
-def aligned(skeletons: DataFrame, most: int = 16) -> DataFrame:
-    """host, skeleton, slots of distinct (host, skeleton, n): the most common skeletons make the template, all are aligned to it. Rows of a host stream by."""
+def aligned(skeletons: DataFrame) -> DataFrame:
+    """host, skeleton, slots of distinct (host, skeleton, n): most common first, each is aligned and adds its unmatched nodes to the host's template.
+    Slots keep their numbers, so earlier skeletons need no second alignment. Rows of a host stream by; only its template is held."""
     def run(batches):
-        at, template, used = None, None, 0
+        at, template = None, None
         for b in batches:
             out = []
             for h, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if h != at:
-                    at, template, used = h, Template(), 0
-                out.append(template.align(s, used < most))
-                used += 1
+                    at, template = h, Template()
+                out.append(template.align(s, True))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["host", "skeleton", "slots"])
     return skeletons.repartition("host").sortWithinPartitions("host", F.col("n").desc(), "skeleton").select("host", "skeleton").mapInArrow(run, "host string, skeleton string, slots array<int>")
 

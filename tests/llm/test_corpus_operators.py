@@ -325,6 +325,14 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_many_skeletons(spark):
+    notice = "<table><tr><td>Our notice to all readers</table>"
+    common = [(i, "http://f.org/", f"<div class='k{i // 3}'><p>Story {i}</div>") for i in range(90)]  # 30 skeletons of three pages
+    rare = [(200 + i, "http://f.org/", f"<div class='r{i}'><p>Tale {i}</div>{notice}") for i in range(25)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(common + rare, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"Story {i}" for i in range(90)} | {200 + i: f"Tale {i}" for i in range(25)}
+
+
 def test_simple_tree_matching():
     t = html_text.Template()
     assert t.align("a(b c(d))", True) == [0, 1, 2, 3]
