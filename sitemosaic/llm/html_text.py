@@ -3,7 +3,8 @@
 A page becomes a DOM tree; its skeleton keeps tags and classes, runs of siblings of one shape collapsed. The skeletons of a host's pages
 are aligned by simple tree matching (most common first; unmatched nodes are added to the host's template). Aligned nodes of all pages
 form a slot. A text that stands in the same slot of many pages of a host is constant: template, which goes; slots whose texts vary
-are content. Pages count once for each distinct content, so copies of an article do not make it look like template.
+are content. Pages of a host count once for each distinct content, so copies of an article do not make it look like template. The content is
+the set of texts of the kind that is wanted of the page (marked article, else what is not labelled), so menus, adverts and other labelled parts may differ.
 
 What varies is not always article: nodes in navigation, page headers and footers, asides, forms, notices, adverts and reader comments
 (told by tag, role, class or id) and blocks that are mostly links are left out in any case. Where a page marks its article (article or main),
@@ -22,7 +23,7 @@ import html as entities
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpoint
 from .url_filter import host
@@ -337,13 +338,20 @@ def aligned(skeletons: DataFrame) -> DataFrame:
     return skeletons.repartition("host").sortWithinPartitions("host", F.col("n").desc(), "skeleton").select("host", "skeleton").mapInArrow(run, "host string, skeleton string, slots array<int>")
 
 
+def wanted_kind() -> Column:
+    """The kind of a page's blocks that are content."""
+    return F.when(F.array_contains("kinds", MAIN), MAIN).otherwise(PLAIN)
+
+
 def template_texts(blocks: DataFrame, share: float, least: int, main_share: float, main_least: int) -> DataFrame:
     """host, skeleton, drops: (node, hash) of the constant texts of aligned slots."""
     lean = checkpoint(blocks.select("host", F.xxhash64("skeleton").alias("sk"), "skeleton", "nodes", "kinds", "hashes"))
     skeletons = lean.groupBy("host", "skeleton").agg(F.count("*").alias("n"), F.first("sk").alias("sk"))
     slots = checkpoint(aligned(skeletons.select("host", "skeleton", "n")).select("host", F.xxhash64("skeleton").alias("sk"), "slots"))
-    # a page counts once for each distinct content
-    once = lean.select("host", "sk", "nodes", "kinds", "hashes").distinct()
+    # a page counts once for each distinct content; one page stands for all that have it
+    want = wanted_kind()
+    content = F.array_sort(F.array_distinct(F.transform(F.filter(F.arrays_zip("kinds", "hashes"), lambda b: b["kinds"] == want), lambda b: b["hashes"])))
+    once = lean.groupBy("host", F.xxhash64(content).alias("content")).agg(F.min(F.struct("sk", "nodes", "kinds", "hashes")).alias("one")).select("host", "one.*")
     each = once.select("host", "sk", F.explode(F.array_distinct(F.arrays_zip("nodes", "kinds", "hashes"))).alias("b")).filter(F.col("b.kinds") != LABELLED)
     each = each.groupBy("host", "sk", F.col("b.nodes").alias("node"), F.col("b.kinds").alias("kind"), F.col("b.hashes").alias("hash")).agg(F.count("*").alias("n"))
     total = once.groupBy("host", "sk").agg(F.count("*").alias("pages"))
@@ -352,7 +360,9 @@ def template_texts(blocks: DataFrame, share: float, least: int, main_share: floa
     common = in_slot.groupBy("host", "slot", "hash").agg(F.sum("n").alias("n"), F.max("kind").alias("kind"), F.min("kind").alias("inside")).join(have, ["host", "slot"])
     inside = F.col("inside") == MAIN
     constant = common.filter((inside & (F.col("n") >= main_least) & (F.col("n") >= main_share * F.col("pages"))) | (~inside & (F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))).select("host", "slot", "hash")
-    return in_slot.join(constant, ["host", "slot", "hash"]).groupBy("host", "sk").agg(F.collect_set(F.struct("node", "hash")).alias("drops"))
+    # for every skeleton, also those of pages that another one stands for
+    of_skeleton = slots.select("host", "sk", F.posexplode("slots").alias("node", "slot")).filter("slot >= 0")
+    return of_skeleton.join(constant, ["host", "slot"]).groupBy("host", "sk").agg(F.collect_set(F.struct("node", "hash")).alias("drops"))
 
 
 SMALL = 200_000  # (host, skeleton) rows with template texts that are broadcast; more are joined by a shuffle
@@ -366,6 +376,6 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     size = drops.agg(F.count("*"), F.sum(F.size("drops"))).first()
     drops = F.broadcast(drops) if size[0] <= SMALL and (size[1] or 0) <= 4 * SMALL else drops
     out = blocks.join(drops, (F.col("host") == F.col("h")) & (F.xxhash64("skeleton") == F.col("s")), "left")
-    want = F.when(F.array_contains("kinds", MAIN), MAIN).otherwise(PLAIN)
+    want = wanted_kind()
     keep = F.filter(F.arrays_zip("nodes", "kinds", "texts", "hashes"), lambda b: (b["kinds"] == want) & ~F.coalesce(F.array_contains("drops", F.struct(b["nodes"].alias("node"), b["hashes"].alias("hash"))), F.lit(False)))
     return out.select(F.col("key").alias(key), F.col("url").alias(url), F.array_join(F.transform(keep, lambda b: b["texts"]), "\n\n").alias("text"))

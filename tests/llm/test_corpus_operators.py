@@ -333,6 +333,17 @@ def test_html_many_skeletons(spark):
     assert got == {i: f"Story {i}" for i in range(90)} | {200 + i: f"Tale {i}" for i in range(25)}
 
 
+def test_html_copies_under_other_menus(spark):
+    around = "<nav><a href='/{i}'>menu {i}</a></nav>{body}<div class='advert a{i}'><p>buy {i}</div><footer>foot {i}</footer>"
+    bare = "<div><p>Our notice</div><div><p>Story {k} begins.<p>And goes {k} on.</div>"
+    marked = "<article><p>Our notice<p>Story {k} begins.<p>And goes {k} on.</article>"
+    rows = [(i, "http://g.org/", around.format(i=i, body=bare.format(k=max(i, 12)))) for i in range(20)]  # 13 of 20 are copies
+    rows += [(100 + i, "http://h.org/", around.format(i=i, body=marked.format(k=max(i, 300)))) for i in range(312)]  # 301 of 312 are copies
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"Story {max(i, 12)} begins.\n\nAnd goes {max(i, 12)} on." for i in range(20))
+    assert all(got[100 + i] == f"Story {max(i, 300)} begins.\n\nAnd goes {max(i, 300)} on." for i in range(312))
+
+
 def test_simple_tree_matching():
     t = html_text.Template()
     assert t.align("a(b c(d))", True) == [0, 1, 2, 3]
