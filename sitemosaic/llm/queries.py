@@ -125,6 +125,12 @@ def op10(spark, d):
     return huffman.read_ids(spark, path).select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op11_class_lm")
+def op11(spark, d):
+    from . import class_lm
+    return class_lm.fit_score(table(spark, d, "documents"))[0]
+
+
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS s FROM documents),
 h AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
