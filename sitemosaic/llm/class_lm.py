@@ -8,8 +8,8 @@ Tokens: A-Z lower-cased; words are runs of anything but blank and bytes 9 to 13;
    blocks and sends it back to the blocks (`counted`). No word or count passes through the driver but the head's.
 2. Head: words with at least one of HEAD training tokens, so HEAD words at most whatever the corpus. Their bigram counts, all other words being
    one pseudo-word, are kept per word (`neighbours`). Exchange: a word goes to the class that raises the likelihood of the class bigrams most, by the exact change of the
-   sum of n log n over cells and margins. Tasks evaluate their words; half of the words may move in a round, and a round that lowers the likelihood is
-   taken back and halved.
+   sum of n log n over cells and margins. Groups of words do so side by side, in a group one word after the other; half of the groups' moves count in a round, and a
+   round that lowers the likelihood of all is taken back and halved.
 3. Each other word is exchanged once, against the head's classes: its neighbours over the whole corpus meet in one task (`tail_classes`).
 4. Class bigrams are counted over all training tokens (`ready`), smoothed by Witten-Bell towards the class frequencies. A word's count in its class is discounted
    absolutely by n1/(n1+2*n2); what is freed is the class's share for words without count, dealt out evenly among the number of unseen words that the counts
@@ -349,7 +349,7 @@ def exchange_gain(m: np.ndarray, a: int, right: np.ndarray, left: np.ndarray, ow
     return out
 
 
-def clusters(near: DataFrame, words: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+def clusters(near: DataFrame, words: int, classes: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """Class of every dense head number, and the class bigrams. 0 (all other words) has the last class, 1 (the end) class 0."""
     spark = near.sparkSession
     cls = 1 + np.arange(-2, words - 2) % max(1, classes - 2)
@@ -369,42 +369,19 @@ def clusters(near: DataFrame, words: int, classes: int) -> tuple[np.ndarray, np.
         shared = spark.sparkContext.broadcast((now, m))
 
         def run(batches):
-            now, m = shared.value
             for blob in (x for b in slices(batches, 1) for x in b.column(3).to_pylist()):
-                side = pickle.loads(blob)
-                mine = np.unique(np.concatenate([unpack_ints(s[0]) for s in side]))
-                mine = mine[mine > 1].astype(np.int64)
-                hist, own = [np.zeros((len(mine), classes)) for _ in range(2)], np.zeros(len(mine))
-                for k, (at, other, n) in enumerate(side):
-                    at, other, n = unpack_ints(at), unpack_ints(other), unpack_wide(n).astype(float)
-                    use = (at > 1) & (at != other)
-                    hist[k] = np.bincount(np.searchsorted(mine, at[use]) * classes + now[other[use]], n[use], len(mine) * classes).reshape(-1, classes)
-                    if k == 0:
-                        twice = (at > 1) & (at == other)
-                        own[np.searchsorted(mine, at[twice])] = n[twice]
-                best, gain = np.zeros(len(mine), np.int64), np.zeros(len(mine))
-                for a in np.unique(now[mine]).tolist():
-                    of = np.flatnonzero(now[mine] == a)
-                    for lo in range(0, len(of), 64):
-                        w = of[lo:lo + 64]
-                        d = exchange_gain(m, a, hist[0][w], hist[1][w], own[w])
-                        d[:, 0] = -np.inf
-                        best[w] = d.argmax(1)
-                        gain[w] = d[np.arange(len(w)), best[w]]
-                use = gain > 1e-9
-                yield pa.RecordBatch.from_arrays([pa.array(mine[use]), pa.array(best[use])], ["word", "to"])
+                word, to = exchanged(pickle.loads(blob), shared.value[0].copy(), shared.value[1].copy())
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(to)], ["word", "to"])
 
         got = near.mapInArrow(run, "word bigint, to bigint").toArrow()  # at most HEAD rows
         shared.unpersist()
         return got.column("word").to_numpy(), got.column("to").to_numpy()
 
     m = matrix(cls)
-    best, share = likelihood(m), 2
+    best, share, calm = likelihood(m), 2, 0
     for turn in range(ROUNDS):
         word, to = moves(cls, m)
-        use = (word * 0x9E3779B1 >> 7) % share == turn % share
-        if not len(word):
-            break
+        use = (word % groups) % share == turn % share
         new = cls.copy()
         new[word[use]] = to[use]
         m2 = matrix(new)
@@ -412,13 +389,42 @@ def clusters(near: DataFrame, words: int, classes: int) -> tuple[np.ndarray, np.
         if got < best:
             share *= 2
             continue
-        small = got - best < 1e-5 * abs(best) and use.any()
+        calm = calm + 1 if got - best < 1e-5 * abs(best) else 0
         cls, m, best = new, m2, got
-        if small:
+        if calm == share:  # every word had its turn
             break
     return cls, m
 
 
+def exchanged(sides: list, cls: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A group's words, one after the other, go to their best class; each sees the moves before it. (word, new class) of those that moved."""
+    classes = len(m)
+    sides = [tuple(f(x) for f, x in zip((unpack_ints, unpack_ints, unpack_wide), s)) for s in sides]
+    words = np.unique(np.concatenate([s[0] for s in sides])).astype(np.int64)
+    moved = []
+    for w in words[words > 1].tolist():
+        hist, own = [], 0.0
+        for k, (at, other, n) in enumerate(sides):
+            lo, hi = np.searchsorted(at, (w, w + 1))
+            o, c = other[lo:hi], n[lo:hi].astype(float)
+            if k == 0 and (twice := o == w).any():
+                own = float(c[twice][0])
+            hist.append(np.bincount(cls[o], np.where(o == w, 0.0, c), classes))
+        right, left = hist
+        a = int(cls[w])
+        gain = exchange_gain(m, a, right[None], left[None], np.array([own]))[0]
+        gain[0] = -np.inf
+        b = int(gain.argmax())
+        if gain[b] > 1e-9:
+            for c, sign in ((a, -1), (b, 1)):
+                m[c] += sign * right
+                m[:, c] += sign * left
+                m[c, c] += sign * own
+            cls[w] = b
+            moved.append(w)
+    return np.array(moved, np.int64), cls[moved].astype(np.int64)
+
+
 # -- 3: the other words ---------------------------------------------------------------
 def tail_classes(bodies: DataFrame, cls: np.ndarray, m: np.ndarray, parts: int) -> DataFrame:
     """Stored rows: `reply` to each block and part (class of its words outside the head, in the order of its dictionary), `stats` per part (blob: types and tokens of each class)."""
@@ -598,7 +604,7 @@ def fit_score(docs: DataFrame, held: Column | None = None, key: str = "doc_id",
     s = counts.filter("kind = 'stats'").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "abc"]).first()
     head = Head.of(counts)
     bodies = headed(code, counts, head)
-    cls, m = clusters(neighbours(bodies, parts), 1 + len(head.part), classes)
+    cls, m = clusters(neighbours(bodies, parts), 1 + len(head.part), classes, parts)
     tail = tail_classes(bodies, cls, m, parts)
     rest = summed(tail.filter("kind = 'stats'"), lambda bs: sum((np.frombuffer(x, np.float64) for b in bs for x in b.column(3).to_pylist()), np.zeros(2 * classes)), 2 * classes).reshape(2, classes)
     types = rest[0] + np.bincount(cls[1:], minlength=classes)
