@@ -94,16 +94,25 @@ def _terms(family, eta, y, factor, radius):
 
 
 def _pass_function(bc, derivatives: bool):
-    """Arrow batches of one partition -> one vector per model seen there."""
+    """Arrow batches of one partition -> one vector per model seen there: HEAD sums, then the gradient, then the Hessian of those with `rep`."""
 
     def run(batches):
         s = bc.value
-        site, arm, drop, cv, held, kind, beta = (s[k] for k in ("site", "arm", "drop", "cv", "held", "kind", "beta"))
+        site, arm, drop, cv, held, kind, beta, rep = (s[k] for k in ("site", "arm", "drop", "cv", "held", "kind", "beta", "rep"))
         m, p1 = beta.shape
         iu, ju = np.triu_indices(p1)
         q = len(iu)
-        acc = np.zeros((m, HEAD + (p1 + q if derivatives else 0)))
-        rows_at_once = max(64, 2_000_000 // max(q, 1))
+        acc = np.zeros((m, HEAD + (p1 if derivatives else 0)))
+        place = np.cumsum(rep) - 1
+        second = np.zeros((int(rep.sum()) if derivatives else 0, q))
+        users = {}  # cell -> models that count its rows, and those that use them by kind of loss
+
+        def of_cell(cs, ca, cf, cc):
+            match = ((site == -1) | (site == cs)) & (~drop[:, int(cf)] if cf < drop.shape[1] else True)
+            match &= np.where(held, cv == cc, (cv == 0) | (cv != cc))
+            use = match & ((arm == -1) | (arm == ca))
+            return np.flatnonzero(match).astype(np.int32), [(kd, np.flatnonzero(use & (kind == kd)).astype(np.int32)) for kd in np.unique(kind[use])]
+
         for b in batches:
             n = b.num_rows
             if not n:
@@ -121,22 +130,19 @@ def _pass_function(bc, derivatives: bool):
             order = np.argsort(inverse.ravel(), kind="stable")
             ends = np.cumsum(np.bincount(inverse.ravel(), minlength=len(cells)))
             start = 0
-            for (cs, ca, cf, cc), end in zip(cells, ends):
+            for (cs, ca, cf, cc), end in zip(cells.tolist(), ends):
                 idx = order[start:end]
                 start = end
-                match = ((site == -1) | (site == cs)) & (~drop[:, int(cf)] if cf < drop.shape[1] else True)
-                match &= np.where(held, cv == cc, (cv == 0) | (cv != cc))
-                if not match.any():
-                    continue
+                if (cs, ca, cf, cc) not in users:
+                    users[cs, ca, cf, cc] = of_cell(cs, ca, cf, cc)
+                match, kinds = users[cs, ca, cf, cc]
                 acc[match, 0] += len(idx)
-                use = match & ((arm == -1) | (arm == ca))
-                if not use.any():
-                    continue
-                for kd in np.unique(kind[use]):
+                for kd, mm in kinds:
                     fam, resp, plug_kind, pfam, radius, plug_radius, weighted = s["kinds"][kd]
-                    mm = np.flatnonzero(use & (kind == kd))
-                    for lo in range(0, len(idx), rows_at_once):
-                        r = idx[lo:lo + rows_at_once]
+                    full = rep[mm]
+                    step = max(16, min(2_000_000 // max(q, 1), 4_000_000 // len(mm)))
+                    for lo in range(0, len(idx), step):
+                        r = idx[lo:lo + step]
                         x = np.concatenate([np.ones((len(r), 1)), x_all[r]], axis=1)
                         eta = x @ beta[mm].T
                         yy = (a[r] if resp == "a" else y[r]).astype(float)[:, None]
@@ -151,61 +157,88 @@ def _pass_function(bc, derivatives: bool):
                         acc[mm, 2] += factor.sum(axis=0)
                         acc[mm, 3] += loss.sum(axis=0)
                         if derivatives:
-                            acc[mm, HEAD:HEAD + p1] += g.T @ x
-                            acc[mm, HEAD + p1:] += h.T @ (x[:, iu] * x[:, ju])
+                            acc[mm, HEAD:] += g.T @ x
+                            if full.any():
+                                second[place[mm[full]]] += (h if full.all() else h[:, full]).T @ (x[:, iu] * x[:, ju])
         seen = np.flatnonzero(acc[:, 0] > 0)
-        width = acc.shape[1]
         for lo in range(0, len(seen), 512):
             part = seen[lo:lo + 512]
-            values = pa.array(acc[part].ravel())
-            offsets = pa.array(np.arange(0, (len(part) + 1) * width, width, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.ListArray.from_arrays(offsets, values)], names=["model", "vec"])
+            rows = [np.concatenate([acc[i], second[place[i]]]) if derivatives and rep[i] else acc[i] for i in part.tolist()]
+            offsets = pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(s["block"][part]), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows)))], names=["model", "block", "vec"])
 
     return run
 
 
-def accumulate(data: DataFrame, models: list[Model], beta: np.ndarray, x: str = "w", derivatives: bool = True, held: bool = False) -> np.ndarray:
-    """Sums per model at the given coefficients; models go in chunks whose state stays small."""
-    m, p1 = beta.shape
-    width = HEAD + (p1 + p1 * (p1 + 1) // 2 if derivatives else 0)
-    chunk = max(1, STATE_BYTES // (8 * max(width, p1)))
-    out = np.zeros((m, width))
+def partial_sums(data: DataFrame, models: list[Model], beta: np.ndarray, x: str = "w", derivatives: bool = True, held: bool = False,
+                 at: np.ndarray | None = None, rep: np.ndarray | None = None, block: np.ndarray | None = None) -> DataFrame:
+    """(model, block, vec) of every task and row of beta: the sums stay on the executors.
+
+    at: the model of each row of beta (default one row each). rep: rows that give a Hessian too (default all)."""
+    at = np.arange(len(models)) if at is None else at
     spark = data.sparkSession
-    for lo in range(0, m, chunk):
-        part = models[lo:lo + chunk]
-        labels = sorted({k.site for k in part if k.site is not None})
-        codes = {v: i for i, v in enumerate(labels)}
-        folds = 1 + max([0, *(f for k in part for f in (*k.drop, *(x for x, _ in k.plug or ())))])
-        any_site = any(k.site is None for k in part)
-        kinds: dict[tuple, int] = {}
-        kind = [kinds.setdefault((k.family, k.response, k.plug_kind, k.plug_family, k.radius, k.plug_radius, k.weight), len(kinds)) for k in part]
-        state = {
-            "codes": codes, "site": np.array([-1 if k.site is None else codes[k.site] for k in part]),
-            "arm": np.array([-1 if k.arm is None else k.arm for k in part]), "cv": np.array([k.cv for k in part]),
-            "drop": np.array([[f in k.drop for f in range(folds)] for k in part], dtype=bool), "held": np.array([held and k.cv > 0 for k in part]),
-            "kind": np.array(kind), "kinds": {v: k for k, v in kinds.items()}, "beta": beta[lo:lo + chunk]}
-        if any(k.plug for k in part):
-            table, at, seen = [np.zeros(p1)], np.zeros((len(part), folds), dtype=np.int64), {}
-            for i, k in enumerate(part):
+    labels = sorted({k.site for k in models if k.site is not None})
+    codes = {v: i for i, v in enumerate(labels)}
+    folds = 1 + max([0, *(f for k in models for f in (*k.drop, *(x for x, _ in k.plug or ())))])
+    any_site = any(k.site is None for k in models)
+    kinds: dict[tuple, int] = {}
+    kind = [kinds.setdefault((k.family, k.response, k.plug_kind, k.plug_family, k.radius, k.plug_radius, k.weight), len(kinds)) for k in models]
+    drops: dict[tuple, np.ndarray] = {}
+    for k in models:
+        if k.drop not in drops:
+            drops[k.drop] = np.isin(np.arange(folds), k.drop)
+    of = lambda values, **kw: np.array(values, **kw)[at]
+    state = {
+        "codes": codes, "site": of([-1 if k.site is None else codes[k.site] for k in models]), "arm": of([-1 if k.arm is None else k.arm for k in models]),
+        "cv": of([k.cv for k in models]), "drop": of([drops[k.drop] for k in models]), "held": of([held and k.cv > 0 for k in models]),
+        "kind": of(kind), "kinds": {v: k for k, v in kinds.items()}, "beta": beta,
+        "rep": np.ones(len(at), dtype=bool) if rep is None else rep, "block": np.zeros(len(at), dtype=np.int32) if block is None else block.astype(np.int32)}
+    if any(k.plug for k in models):
+        table, plug_at, seen, rows = [np.zeros(beta.shape[1])], np.zeros((len(models), folds), dtype=np.int32), {}, {}
+        for i, k in enumerate(models):
+            if id(k.plug) not in rows:
+                row = np.zeros(folds, dtype=np.int32)
                 for f, coef in (k.plug or ()):
                     if id(coef) not in seen:
                         seen[id(coef)] = len(table)
                         table.append(np.asarray(coef, dtype=float))
                     if f == 0:
-                        at[i, :] = seen[id(coef)]
+                        row[:] = seen[id(coef)]
                     else:
-                        at[i, f] = seen[id(coef)]
-            state["plug"], state["plug_at"] = np.stack(table), at
-        bc = spark.sparkContext.broadcast(state)
-        rows = data if any_site or not labels else data.filter(F.col("site").isin(labels))
-        rows = rows.select("site", "a", "y", F.col(x).alias("x"), "fold", "cv", "weight")
-        sums = (rows.mapInArrow(_pass_function(bc, derivatives), "model int, vec array<double>").groupBy("model")
-                .agg(Summarizer.sum(array_to_vector("vec")).alias("v")).select("model", vector_to_array("v").alias("v")))
-        t = sums.toArrow()
+                        row[f] = seen[id(coef)]
+                rows[id(k.plug)] = row
+            plug_at[i] = rows[id(k.plug)]
+        state["plug"], state["plug_at"] = np.stack(table), plug_at[at]
+    bc = spark.sparkContext.broadcast(state)
+    rows = data if any_site or not labels else data.filter(F.col("site").isin(labels))
+    rows = rows.select("site", "a", "y", F.col(x).alias("x"), "fold", "cv", "weight")
+    return rows.mapInArrow(_pass_function(bc, derivatives), "model int, block int, vec array<double>")
+
+
+def accumulate(data: DataFrame, models: list[Model], beta: np.ndarray, x: str = "w", derivatives: bool = True, held: bool = False) -> np.ndarray:
+    """Sums per model at the given coefficients, on the driver; models go in chunks whose state stays small."""
+    m, p1 = beta.shape
+    width = HEAD + (p1 + p1 * (p1 + 1) // 2 if derivatives else 0)
+    chunk = max(1, STATE_BYTES // (8 * max(width, p1)))
+    out = np.zeros((m, width))
+    for lo in range(0, m, chunk):
+        t = (partial_sums(data, models[lo:lo + chunk], beta[lo:lo + chunk], x, derivatives, held).groupBy("model")
+             .agg(Summarizer.sum(array_to_vector("vec")).alias("v")).select("model", vector_to_array("v").alias("v"))).toArrow()
         ids = t.column("model").to_numpy()
-        for i, v in zip(ids, t.column("v").combine_chunks()):
-            out[lo + i] = np.asarray(v.values)
-        bc.unpersist()
+        if len(ids):
+            out[lo + ids] = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), width)
+    return out
+
+
+def held_out_sums(data: DataFrame, models: list[Model], at: np.ndarray, beta: np.ndarray, x: str = "w") -> np.ndarray:
+    """HEAD sums of each row of beta over the rows of its model's left-out selection fold."""
+    out = np.zeros((len(at), HEAD))
+    chunk = max(1, STATE_BYTES // (8 * max(HEAD, beta.shape[1])))
+    for lo in range(0, len(at), chunk):
+        used, which = np.unique(at[lo:lo + chunk], return_inverse=True)
+        rows = partial_sums(data, [models[i] for i in used], beta[lo:lo + chunk], x, derivatives=False, held=True, at=which)
+        t = rows.groupBy("model").agg(*[F.sum(F.col("vec")[j]).alias(f"s{j}") for j in range(HEAD)]).toArrow()
+        out[lo + t.column("model").to_numpy()] = np.stack([t.column(f"s{j}").to_numpy() for j in range(HEAD)], axis=1)
     return out
 
 

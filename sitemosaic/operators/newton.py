@@ -1,17 +1,24 @@
-"""Newton and L1 proximal-Newton fits of many models in lockstep.
+"""Newton and L1 proximal-Newton fits of many models and penalties in lockstep, solved on the executors.
 
-Every iteration is one distributed pass over the cached rows for all models
-still moving; the p x p problems that follow are solved on the summed arrays.
+1. One pass sums each cell (site, arm, fold, selection fold) once. A model's training sums are those of its cells, so a row is multiplied out once and not
+   once for every model that it trains. The models of a chunk meet their cells in one task, which finds the penalty grids, the null models and the first
+   step of every penalty. Least squares is finished there, held-out losses included.
+2. Every further pass sums loss and gradient of each (model, penalty) still moving. Neighbouring penalties of a model form a block and share one curvature, that of the
+   block's middle penalty, so the p x p sums grow with blocks and not with penalties; with few features every penalty has its own. A block's sums meet in one task, which
+   takes the L1 step by coordinate descent on the active coordinates.
+Only coefficients, losses and optimality residuals return to the driver; it accepts or halves the steps.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import pickle
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
-from .gram import Model, accumulate, unpack, with_cv
+from .gram import HEAD, STATE_BYTES, Model, held_out_sums, partial_sums, unpack, with_cv
 
 
 class FitError(ValueError):
@@ -61,21 +68,37 @@ def soft(x, t):
 
 
 def quadratic_l1(beta, g, h, pen, sweeps: int = 2000, tol: float = 1e-12):
-    """argmin of g.(b - beta) + (b - beta)'H(b - beta)/2 + sum pen|b|, all problems at once."""
+    """argmin of g.(b - beta) + (b - beta)'H(b - beta)/2 + sum pen|b|, all problems at once.
+
+    h: one H for all problems, or one each. After a full sweep only coordinates that are not zero move, until they rest; then all are tried again."""
+    shared = h.ndim == 2
     b = beta.copy()
-    diag = np.maximum(np.einsum("mjj->mj", h), 1e-300)
-    live = np.arange(len(b))
-    for _ in range(sweeps):
+    diag = np.maximum(np.broadcast_to(np.diagonal(h, axis1=-2, axis2=-1), b.shape), 1e-300)
+    bound = np.where(np.isfinite(pen), pen, np.inf)
+    live, r = np.arange(len(b)), g.copy()  # r: gradient of the quadratic at b
+
+    def sweep(coordinates):
         big = np.zeros(len(live))
-        for j in range(b.shape[1]):
-            grad = g[live, j] + np.einsum("mk,mk->m", h[live, j], b[live] - beta[live])
-            new = soft(diag[live, j] * b[live, j] - grad, pen[live, j]) / diag[live, j]
-            new = np.where(np.isfinite(pen[live, j]), new, 0.0)
-            big = np.maximum(big, np.abs(new - b[live, j]) * np.sqrt(diag[live, j]))
-            b[live, j] = new
+        for j in coordinates:
+            d = diag[live, j]
+            with np.errstate(invalid="ignore"):
+                new = np.where(np.isfinite(bound[live, j]), soft(d * b[live, j] - r[live, j], np.where(np.isfinite(bound[live, j]), bound[live, j], 0.0)) / d, 0.0)
+            step = new - b[live, j]
+            if step.any():
+                r[live] += step[:, None] * (h[j] if shared else h[live, j])
+                b[live, j] = new
+                big = np.maximum(big, np.abs(step) * np.sqrt(d))
+        return big
+
+    while sweeps > 0 and len(live):
+        big = sweep(range(b.shape[1]))
+        sweeps -= 1
         live = live[big > tol]
-        if not len(live):
-            break
+        active = np.flatnonzero((b[live] != 0).any(axis=0))
+        while len(live) and sweeps > 0 and len(active) < b.shape[1]:
+            sweeps -= 1
+            if sweep(active.tolist()).max() <= tol:
+                break
     return b
 
 
@@ -114,144 +137,331 @@ def _null_state(models, sums, p1, norm, moment):
     return beta, loss, g, h
 
 
+# -- on the executors ---------------------------------------------------------------
+@dataclass(frozen=True)
+class Shape:
+    """What the steps need besides sums: the same for all models of a call."""
+    p1: int
+    standardize: bool
+    norm: str
+    nlambda: int
+    ratio: float | None
+    path: bool          # a penalty grid with selection folds; else one given penalty
+
+
+@dataclass
+class Start:
+    """First state of a model: its grid's null model and the first step of each penalty."""
+    n_all: float
+    n_used: float
+    weight: float
+    ones: float
+    grid: np.ndarray
+    pf: np.ndarray
+    beta: np.ndarray
+    loss: float
+    target: np.ndarray
+    kkt: np.ndarray
+    held: np.ndarray | None = None   # held-out losses of least squares
+    error: str | None = None
+
+
+def _newton_step(b, g, h):
+    d = np.sqrt(np.maximum(np.diag(h), 1e-300))
+    hs = h / d[:, None] / d[None]
+    if np.linalg.eigvalsh(hs)[0] < 1e-12:
+        return None
+    return b - np.linalg.solve(hs, g / d) / d
+
+
+def _steps(b, g, h, lams, pf):
+    """Targets of several penalties of one model from one curvature; None if an unpenalised design is aliased."""
+    with np.errstate(invalid="ignore"):
+        pen = np.where(np.isfinite(pf), lams[:, None] * np.where(np.isfinite(pf), pf, 0.0), np.inf)
+    out = np.empty_like(b)
+    plain = lams == 0.0
+    for i in np.flatnonzero(plain):
+        step = _newton_step(b[i], g[i], h)
+        if step is None:
+            return None, pen
+        out[i] = step
+    if (~plain).any():
+        out[~plain] = quadratic_l1(b[~plain], g[~plain], h, pen[~plain])
+    return out, pen
+
+
+def _start(k: Model, sums, held_sums, shape: Shape, moment, grid, floor) -> Start:
+    n_all, n_used, w, loss0, g0, h0 = (v[0] for v in unpack(sums[None], shape.p1))
+    p1 = shape.p1
+    if n_used < 1:
+        return Start(n_all, n_used, w, 0, np.zeros(1), np.zeros(p1), np.zeros(p1), 0, np.zeros((1, p1)), np.zeros(1), error="no training rows")
+    denom = n_used if shape.norm == "used" else n_all
+    mean = h0[0] / h0[0, 0]
+    sd = np.sqrt(np.maximum(np.diag(h0) / h0[0, 0] - mean * mean, 0.0))
+    flat = sd <= 1e-10 * np.maximum(1.0, np.abs(mean))
+    pf = np.where(shape.standardize, np.where(flat, np.inf, sd), 1.0)
+    pf[0] = 0.0
+    beta, loss, g, h = (v[0] for v in _null_state([k], sums[None], p1, np.array([denom]), moment[None]))
+    loss = loss / denom + float(moment @ beta)
+    g, h = g / denom + moment, h / denom
+    if grid is None:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            lmax = np.nanmax(np.where(np.isfinite(pf[1:]), np.abs(g[1:]) / pf[1:], 0.0), initial=0.0)
+        ratio = shape.ratio or (C.LAMBDA_RATIO_TALL if n_used > p1 - 1 else C.LAMBDA_RATIO_WIDE)
+        grid = np.maximum(lambda_grid(max(lmax, C.LAMBDA_FLOOR), shape.nlambda, ratio), floor)
+    b = np.repeat(beta[None], len(grid), axis=0)
+    target, pen = _steps(b, np.repeat(g[None], len(grid), axis=0), h, grid, pf)
+    out = Start(n_all, n_used, w, 0.5 * w - g0[0], grid, pf, beta, loss, b if target is None else target, np.full(len(grid), np.inf), error="aliased or separated design" if target is None else None)
+    if k.family == "gaussian" and target is not None:
+        out.kkt = kkt_residual(target, g + (target - beta) @ h, pen)
+        if held_sums is not None:
+            nv_all, nv, _, l0, gv, hv = (v[0] for v in unpack(held_sums[None], p1))
+            scale = nv if shape.norm == "used" else nv * n_all / n_used
+            out.held = (l0 + target @ gv + 0.5 * np.einsum("lj,jk,lk->l", target, hv, target)) / max(scale, 1.0) + target @ moment if nv > 0 else np.full(len(grid), np.inf)
+    return out
+
+
+def _groups(batches):
+    """(block, {model: summed vec}) from rows sorted by block."""
+    at, sums = None, {}
+    for b in batches:
+        vec = b.column("vec")
+        flat, ends = vec.flatten().to_numpy(zero_copy_only=False), vec.offsets.to_numpy()
+        ends = ends - ends[0]
+        for i, (m, g) in enumerate(zip(b.column("model").to_pylist(), b.column("block").to_pylist())):
+            if g != at:
+                if at is not None:
+                    yield at, sums
+                at, sums = g, {}
+            v = flat[ends[i]:ends[i + 1]]
+            if m in sums:
+                sums[m] += v
+            else:
+                sums[m] = v.copy()
+    if at is not None:
+        yield at, sums
+
+
+def _met(rows: DataFrame, blocks: int) -> DataFrame:
+    """Partial sums of a block in one partition, one block after the other."""
+    n = min(blocks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, "block").sortWithinPartitions("block")
+
+
+CHUNK_BASES = 16
+
+
+def starts(data: DataFrame, bases: list[Model], cvs: list[list[int]], x: str, shape: Shape, moments: dict | None, grids: np.ndarray | None, floors: np.ndarray) -> list[list[Start]]:
+    """First states of every base model and of its copies without one selection fold, from sums over cells."""
+    folds = sorted({r["fold"] for r in data.select("fold").distinct().collect()})
+    cells, of_cell, members, chunk_of, last = [], {}, [], [], {}
+    chunks: list[list[int]] = []
+    for i, k in enumerate(bases):
+        kind = (k.site, k.arm, k.family, k.response, k.weight, k.radius, tuple(cvs[i])) if k.plug is None else ("plug", i)
+        if kind not in last or len(chunks[last[kind]]) >= CHUNK_BASES:
+            last[kind] = len(chunks)
+            chunks.append([])
+        chunks[last[kind]].append(i)
+        chunk_of.append(last[kind])
+        mine = []
+        for f in folds:
+            if f in k.drop:
+                continue
+            for c in cvs[i] or [0]:
+                name = (*kind[:-1], f, c) if k.plug is None else (i, f, c)
+                if name not in of_cell:
+                    of_cell[name] = len(cells)
+                    plug = None if k.plug is None else tuple((g, coef) for g, coef in k.plug if g in (0, f))
+                    cells.append(replace(k, drop=tuple(g for g in folds if g != f), cv=c, plug=plug))
+                mine.append((of_cell[name], c))
+        members.append(mine)
+    users: dict[int, list[int]] = {}
+    for i, mine in enumerate(members):
+        for j, _ in mine:
+            if chunk_of[i] not in (u := users.setdefault(j, [])):
+                u.append(chunk_of[i])
+    sc = data.sparkSession.sparkContext
+    p1 = shape.p1
+    width = HEAD + p1 + p1 * (p1 + 1) // 2
+    zero = np.zeros(p1)
+    todo = sc.broadcast((bases, cvs, members, chunks, users, [np.asarray(moments[k.key], float) if k.family == "tilt" else zero for k in bases], grids, floors))
+
+    def copies(batches, shift):
+        users = todo.value[4]
+        for b in batches:
+            ids = b.column("model").to_numpy() + shift
+            times = np.array([len(users[j]) for j in ids.tolist()])
+            take = np.repeat(np.arange(len(ids)), times)
+            block = np.array([u for j in ids.tolist() for u in users[j]], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[take].astype(np.int32)), pa.array(block), b.column("vec").take(pa.array(take))], ["model", "block", "vec"])
+
+    def solve(batches):
+        bases, cvs, members, chunks, _, moment, grids, floors = todo.value
+        for chunk, sums in _groups(batches):
+            for i in chunks[chunk]:
+                parts = {}
+                for j, c in members[i]:
+                    if j in sums:
+                        parts[c] = parts[c] + sums[j] if c in parts else sums[j]
+                none = np.zeros(width)
+                grid = None if grids is None else grids[i]
+                first = _start(bases[i], sum(parts.values(), none), None, shape, moment[i], grid, floors[i])
+                got = [first]
+                for c in cvs[i]:
+                    rest = sum((v for d, v in parts.items() if d != c), none)
+                    got.append(_start(bases[i], rest, parts.get(c, none), shape, moment[i], first.grid, 0.0))
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pickle.dumps([vars(s) for s in got])])], ["base", "blob"])
+
+    at_once = max(1, STATE_BYTES // (8 * width))
+    parts = []
+    for lo in range(0, len(cells), at_once):
+        part = cells[lo:lo + at_once]
+        rows = partial_sums(data, part, np.zeros((len(part), p1)), x, held=True)
+        parts.append(rows.mapInArrow(lambda b, lo=lo: copies(b, lo), "model int, block int, vec array<double>"))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    out: list = [None] * len(bases)
+    t = _met(rows, len(chunks)).mapInArrow(solve, "base int, blob binary").toArrow()
+    for i, blob in zip(t.column("base").to_pylist(), t.column("blob").to_pylist()):
+        out[i] = [Start(**s) for s in pickle.loads(blob)]
+    todo.unpersist()
+    return out
+
+
+def advance(data: DataFrame, every: list[Model], x: str, shape: Shape, at, block, trial, lams, pf, denom, moment):
+    """One pass at the trial coefficients: objective, residual and next target of each state (a row of trial)."""
+    p1 = shape.p1
+    q = p1 * (p1 + 1) // 2
+    out_fv, out_kkt, out_target = np.full(len(at), np.inf), np.full(len(at), np.inf), trial.copy()
+    failed = np.zeros(len(at), dtype=bool)
+    sc = data.sparkSession.sparkContext
+    starts_of = np.flatnonzero(np.diff(block, prepend=-1))
+    ends_of = np.append(starts_of[1:], len(at))
+    lo = 0
+    while lo < len(starts_of):
+        hi, size = lo, 0
+        while hi < len(starts_of) and (hi == lo or size + (ends_of[hi] - starts_of[hi]) * 2 * p1 + q <= STATE_BYTES // 8):
+            size += (ends_of[hi] - starts_of[hi]) * 2 * p1 + q
+            hi += 1
+        span = slice(starts_of[lo], ends_of[hi - 1])
+        rep = np.zeros(span.stop - span.start, dtype=bool)
+        rep[(starts_of[lo:hi] + ends_of[lo:hi]) // 2 - span.start] = True
+        lo = hi
+        todo = sc.broadcast((trial[span], lams[span], pf[span], denom[span], moment[span], rep))
+
+        def solve(batches, todo=todo):
+            b0, lam, pfs, den, mom, rep = todo.value
+            iu, ju = np.triu_indices(p1)
+            for _, sums in _groups(batches):
+                ids = np.array(sorted(sums))
+                lead = ids[rep[ids]]
+                h = np.zeros((p1, p1))
+                v = sums[int(lead[0])]
+                h[iu, ju] = h[ju, iu] = v[HEAD + p1:] / den[lead[0]]
+                vec = np.stack([sums[i][:HEAD + p1] for i in ids.tolist()])
+                b = b0[ids]
+                g = vec[:, HEAD:] / den[ids, None] + mom[ids]
+                target, pen = _steps(b, g, h, lam[ids], pfs[ids[0]])
+                fv = vec[:, 3] / den[ids] + (mom[ids] * b).sum(axis=1) + (np.where(np.isfinite(pen), pen, 0.0) * np.abs(b)).sum(axis=1)
+                kind = pa.list_(pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(fv), pa.array(kkt_residual(b, g, pen)), pa.array([None] * len(ids) if target is None else list(target), kind)], ["state", "fv", "kkt", "target"])
+
+        rows = partial_sums(data, every, trial[span], x, at=at[span], rep=rep, block=block[span])
+        t = _met(rows, len(starts_of)).mapInArrow(solve, "state int, fv double, kkt double, target array<double>").toArrow()
+        ids = t.column("state").to_numpy() + span.start
+        if len(ids):
+            out_fv[ids], out_kkt[ids] = t.column("fv").to_numpy(), t.column("kkt").to_numpy()
+            target = t.column("target").combine_chunks()
+            fine = ~np.asarray(target.is_null())
+            failed[ids[~fine]] = True
+            if fine.any():
+                out_target[ids[fine]] = target.flatten().to_numpy(zero_copy_only=False).reshape(-1, p1)
+        todo.unpersist()
+    return out_fv, out_kkt, out_target, failed
+
+
 def fit_models(data: DataFrame, models: list[Model], x: str = "w", lam: float | list | None = 0.0, moments: dict | None = None,
                standardize: bool = False, norm: str = "used", nlambda: int = C.LAMBDA_GRID_SIZE, rule: str = "min", cv_folds: int = C.CV_FOLDS,
                ratio: float | None = None, tol: float = C.SOLVER_TOL, lambda_floor: dict | None = None,
-               on_fail: str = "raise", min_class: int = 0, degenerate: str = "constant") -> list[Fitted]:
-    """Fit all models. lam: a number (one fit each), or None (penalty path with cross-validation).
+               on_fail: str = "raise", min_class: int = 0, degenerate: str = "constant", share: int | None = None) -> list[Fitted]:
+    """Fit all models. lam: a number (one fit each), or None (penalty path with cross-validation over the site's selection folds, at most cv_folds).
 
     standardize: penalise beta_j times the population sd of feature j over the model's own rows.
     norm: "used" divides by the rows of the arm, "all" by all rows of the training folds.
     moments[model.key] is the target moment of a tilt model, intercept first.
     min_class: binary responses with a smaller minority class become the constant mean (or fail).
+    share: neighbouring penalties with one curvature; by default one each for few features, an eighth of the coefficients for many.
     """
     if not models:
         return []
     p1 = int(data.select(x).first()[0].__len__()) + 1
-    base = list(models)
-    cvs = list(range(1, cv_folds + 1)) if lam is None else []
-    every = base + [with_cv(m, c) for m in base for c in cvs]
-    sums = accumulate(data, every, np.zeros((len(every), p1)), x)
-    n_all, n_used, w, loss0, g0, h0 = unpack(sums, p1)
-    if (n_used < 1).any():
-        bad = [every[i].key for i in np.flatnonzero(n_used < 1)][:3]
-        raise FitError(f"no training rows for {bad}")
-    nb = len(base)
+    base, nb, path = list(models), len(models), lam is None
+    cvs = [[] for _ in base]
+    if path:
+        most = {r["site"]: r["cv"] for r in data.groupBy("site").agg(F.max("cv").alias("cv")).collect()}
+        cvs = [list(range(1, 1 + min(cv_folds, max(most.values()) if k.site is None else most.get(k.site, cv_folds)))) for k in base]
+    shape = Shape(p1, standardize, norm, nlambda, ratio, path)
+    floors = np.array([(lambda_floor or {}).get(m.key, 0.0) for m in base])
+    grids = None if path else np.maximum(np.broadcast_to(np.asarray(lam, dtype=float), (nb,)), floors)[:, None]
+    first = starts(data, base, cvs, x, shape, moments, grids, floors)
+    empty = [base[i].key for i in range(nb) if first[i] is None or first[i][0].error == "no training rows"]
+    if empty:
+        raise FitError(f"no training rows for {empty[:3]}")
     constant_fit = np.zeros(nb, dtype=bool)
     if min_class:
         for i, k in enumerate(base):
-            if k.family == "binomial":
-                ones = 0.5 * w[i] - g0[i, 0]
-                constant_fit[i] = min(ones, w[i] - ones) < min_class - 0.5
+            s = first[i][0]
+            constant_fit[i] = k.family == "binomial" and min(s.ones, s.weight - s.ones) < min_class - 0.5
         if constant_fit.any() and degenerate == "error":
             raise FitError(f"too few rows in a class for {base[int(np.argmax(constant_fit))].key}")
-    frac = n_all[:nb] / n_used[:nb]
-    full = np.concatenate([np.arange(nb), np.repeat(np.arange(nb), len(cvs))]).astype(int)
-    scale = np.ones(len(every)) if norm == "used" else frac[full]
-    denom = n_used * scale
-    moment = np.zeros((len(every), p1))
-    for i, k in enumerate(every):
-        if k.family == "tilt":
-            moment[i] = moments[k.key]
-    mean = h0[:, 0, :] / h0[:, 0, :1]
-    var = np.einsum("mjj->mj", h0) / h0[:, 0, :1] - mean * mean
-    sd = np.sqrt(np.maximum(var, 0.0))
-    constant = sd <= 1e-10 * np.maximum(1.0, np.abs(mean))
-    pf = np.where(standardize, sd, 1.0)
-    pf = np.where(constant & standardize, np.inf, pf)
-    pf[:, 0] = 0.0
-    beta, loss, g, h = _null_state(every, sums, p1, denom, moment)
-    loss = loss / denom + (moment * beta).sum(axis=1)
-    g = g / denom[:, None] + moment
-    h = h / denom[:, None, None]
-    if lam is None:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            lmax = np.nanmax(np.where(np.isfinite(pf[:nb, 1:]), np.abs(g[:nb, 1:]) / pf[:nb, 1:], 0.0), axis=1)
-        lmax = np.maximum(lmax, C.LAMBDA_FLOOR)
-        rr = [ratio or (C.LAMBDA_RATIO_TALL if n_used[i] > p1 - 1 else C.LAMBDA_RATIO_WIDE) for i in range(nb)]
-        grids = np.stack([lambda_grid(lmax[i], nlambda, rr[i]) for i in range(nb)])
-    else:
-        vals = np.broadcast_to(np.asarray(lam, dtype=float), (nb,))
-        grids = vals[:, None]
-    if lambda_floor:
-        floors = np.array([lambda_floor.get(m.key, 0.0) for m in base])
-        grids = np.maximum(grids, floors[:, None])
-    L = grids.shape[1]
-    # one state per (model, penalty)
-    at = np.repeat(np.arange(len(every)), L)
-    lams = grids[full[at], np.tile(np.arange(L), len(every))]
-    with np.errstate(invalid="ignore"):
-        pen = np.where(np.isfinite(pf[at]), lams[:, None] * np.where(np.isfinite(pf[at]), pf[at], 0.0), np.inf)
-    fam = np.array([k.family for k in every])[at]
-    plain = lams == 0.0
-
-    def step(ids, b, gr, he):
-        out = np.empty_like(b)
-        z = plain[ids]
-        if z.any():
-            hz = he[z]
-            d = np.sqrt(np.maximum(np.einsum("mjj->mj", hz), 1e-300))
-            hs = hz / d[:, :, None] / d[:, None, :]
-            low = np.linalg.eigvalsh(hs)[:, 0]
-            if (low < 1e-12).any():
-                bad = every[at[ids[z][np.argmin(low)]]].key
-                raise FitError(f"aliased or separated design for {bad}")
-            out[z] = b[z] - np.linalg.solve(hs, (gr[z] / d)[:, :, None])[:, :, 0] / d
-        if (~z).any():
-            out[~z] = quadratic_l1(b[~z], gr[~z], he[~z], pen[ids[~z]])
-        return out
-
+    L = len(first[0][0].grid)
+    every, full, flat_starts = [], [], []
+    for i, k in enumerate(base):      # a model, then its copies without one selection fold
+        for c, s in zip([0, *cvs[i]], first[i]):
+            if s.error and not constant_fit[i] and on_fail == "raise" and (c == 0 or s.error != "no training rows"):
+                raise FitError(f"{s.error} for {k.key}")
+            every.append(k if c == 0 else with_cv(k, c))
+            full.append(i)
+            flat_starts.append(s)
+    full = np.array(full)
+    main = np.searchsorted(full, np.arange(nb))
+    M = len(every)
+    at, lams = np.repeat(np.arange(M), L), np.concatenate([first[i][0].grid for i in full])
+    pf, moment = np.stack([s.pf for s in flat_starts]), np.stack([np.asarray(moments[k.key], float) if k.family == "tilt" else np.zeros(p1) for k in every])
+    denom = np.array([s.n_used if norm == "used" else s.n_all for s in flat_starts])
     S = len(at)
-    B, G, LS = beta[at].copy(), g[at].copy(), loss[at].copy()
-
-    def penalty(ids, b):
-        return (np.where(np.isfinite(pen[ids]), pen[ids], 0.0) * np.abs(b)).sum(axis=1)
-
-    all_ids = np.arange(S)
-    FV = LS + penalty(all_ids, B)
-    target = B.copy()
-    moving = all_ids[~constant_fit[full[at]]]
-    if len(moving):
-        target[moving] = step(moving, B[moving], G[moving], h[at[moving]])
-    iters, kkt = np.zeros(S, dtype=int), np.full(S, np.inf)
-    done = fam == "gaussian"
+    B = np.repeat(np.stack([s.beta for s in flat_starts]), L, axis=0)
+    target = np.concatenate([s.target if len(s.target) == L else np.zeros((L, p1)) for s in flat_starts])
+    with np.errstate(invalid="ignore"):
+        FV = np.repeat([s.loss for s in flat_starts], L) + (np.where(np.isfinite(pf[at]), lams[:, None] * np.where(np.isfinite(pf[at]), pf[at], 0.0), 0.0) * np.abs(B)).sum(axis=1)
+    kkt, iters = np.full(S, np.inf), np.zeros(S, dtype=int)
+    gaussian = np.array([k.family == "gaussian" for k in every])[at]
     flat = constant_fit[full[at]]
-    target[flat] = B[flat]
+    failed = np.repeat([s.error is not None for s in flat_starts], L) & ~flat
+    done = gaussian | flat
+    if gaussian.any():                # exact quadratic: no further pass
+        ids = np.flatnonzero(gaussian & ~flat)
+        B[ids], kkt[ids], iters[ids] = target[ids], np.concatenate([s.kkt if len(s.kkt) == L else np.full(L, np.inf) for s in flat_starts])[ids], 1
     kkt[flat] = 0.0
-    if done.any():                    # exact quadratic: no further pass
-        ids = np.flatnonzero(done)
-        gg = G[ids] + np.einsum("mjk,mk->mj", h[at[ids]], target[ids] - B[ids])
-        B[ids], kkt[ids], iters[ids] = target[ids], kkt_residual(target[ids], gg, pen[ids]), 1
-    done = done | flat
+    share = share or max(1, p1 // 8)
+    blocks = at * (L // share + 1) + np.tile(np.arange(L) // share, M)
     t = np.ones(S)
-    failed = np.zeros(S, dtype=bool)
     stalled, idle = np.zeros(S, dtype=bool), np.zeros(S, dtype=int)
+    size = np.maximum(1.0, np.abs(moment).max(axis=1))[at]
     while len(ids := np.flatnonzero(~done & ~failed & ~stalled)):  # until the conditions hold or no step lowers the loss
         trial = B[ids] + t[ids, None] * (target[ids] - B[ids])
-        s = accumulate(data, [every[i] for i in at[ids]], trial, x)
-        _, _, _, ls, gr, he = unpack(s, p1)
-        d = denom[at[ids]]
-        ls = ls / d + (moment[at[ids]] * trial).sum(axis=1)
-        gr = gr / d[:, None] + moment[at[ids]]
-        he = he / d[:, None, None]
-        fv = ls + penalty(ids, trial)
+        used, which = np.unique(at[ids], return_inverse=True)
+        fv, res, nxt, alias = advance(data, [every[i] for i in used], x, shape, which, blocks[ids], trial, lams[ids], pf[at[ids]], denom[at[ids]], moment[at[ids]])
+        if alias.any() and on_fail == "raise":
+            raise FitError(f"aliased or separated design for {every[at[ids[int(np.argmax(alias))]]].key}")
+        failed[ids[alias]] = True
         good = np.isfinite(fv) & (fv <= FV[ids] + 1e-12 * np.maximum(1.0, np.abs(FV[ids])))
         iters[ids] += 1
         ok = ids[good]
-        if len(ok):
-            idle[ok] = np.where(FV[ok] - fv[good] > 1e-12 * np.maximum(1.0, np.abs(FV[ok])), 0, idle[ok] + 1)
-            B[ok], G[ok], FV[ok], t[ok] = trial[good], gr[good], fv[good], 1.0
-            kkt[ok] = kkt_residual(B[ok], G[ok], pen[ok])
-            size = np.maximum(1.0, np.abs(moment[at[ok]]).max(axis=1))
-            done[ok] = kkt[ok] <= tol * size
-            go = ~done[ok]
-            if go.any():
-                try:
-                    target[ok[go]] = step(ok[go], B[ok[go]], G[ok[go]], he[good][go])
-                except FitError:
-                    if on_fail == "raise":
-                        raise
-                    failed[ok[go]] = True
+        idle[ok] = np.where(FV[ok] - fv[good] > 1e-12 * np.maximum(1.0, np.abs(FV[ok])), 0, idle[ok] + 1)
+        B[ok], FV[ok], t[ok], kkt[ok], target[ok] = trial[good], fv[good], 1.0, res[good], nxt[good]
+        done[ok] = kkt[ok] <= tol * size[ok]
         bad = ids[~good]
         t[bad] *= 0.5
         stuck = np.concatenate([bad[t[bad] < 1e-8], ids[~done[ids] & (idle[ids] >= 10)]])
@@ -259,27 +469,32 @@ def fit_models(data: DataFrame, models: list[Model], x: str = "w", lam: float |
         near = kkt[stuck] <= 1e4 * tol
         stalled[stuck[near]] = True
         failed[stuck[~near]] = True
-    converged, usable = done, done | stalled
+    usable = (done | stalled) & ~failed
     out = []
     chosen = np.zeros(nb, dtype=int)
     cv_mean = np.full((nb, L), np.nan)
-    if lam is None:
-        held_ids = np.flatnonzero(at >= nb)
-        hs = accumulate(data, [every[i] for i in at[held_ids]], B[held_ids], x, derivatives=False, held=True)
-        nv = np.maximum(hs[:, 1], 1.0) * scale[at[held_ids]]
-        val = hs[:, 3] / nv + (moment[at[held_ids]] * B[held_ids]).sum(axis=1)
-        val = np.where(usable[held_ids] & (hs[:, 1] > 0), val, np.inf)
-        val = val.reshape(nb, len(cvs), L)
+    if path:
+        value = np.full(S, np.inf)
+        held = np.flatnonzero(~gaussian & ~flat & usable & (at != main[full[at]]))
+        if len(held):
+            hs = held_out_sums(data, every, at[held], B[held], x)
+            n_all, n_used = (np.array([getattr(s, c) for s in flat_starts])[main][full[at[held]]] for c in ("n_all", "n_used"))
+            nv = np.maximum(hs[:, 1], 1.0) * (1.0 if norm == "used" else n_all / n_used)
+            value[held] = np.where(hs[:, 1] > 0, hs[:, 3] / nv + (moment[at[held]] * B[held]).sum(axis=1), np.inf)
+        for j, s in enumerate(flat_starts):
+            if s.held is not None:
+                value[j * L:(j + 1) * L] = s.held
         for i in range(nb):
             if constant_fit[i]:
                 continue
-            sc = np.where(usable[i * L:(i + 1) * L, None], val[i].T, np.inf)
-            chosen[i], cv_mean[i] = select_lambda(grids[i], sc, rule)
+            lo, k = main[i] * L, len(cvs[i])
+            sc = np.where(usable[lo:lo + L, None], value[lo + L:lo + L + k * L].reshape(k, L).T, np.inf)
+            chosen[i], cv_mean[i] = select_lambda(first[i][0].grid, sc, rule)
     for i, k in enumerate(base):
-        j = i * L + chosen[i]
+        j, s = main[i] * L + chosen[i], first[i][0]
         if not usable[j] and on_fail == "raise":
             raise FitError(f"fit did not converge for {k.key} (kkt {kkt[j]:.3g})")
-        label = "degenerate_constant" if constant_fit[i] else rule if lam is None else "fixed"
-        out.append(Fitted(k, B[j], float(grids[i, chosen[i]]), label, bool(converged[j]), int(iters[j]), float(kkt[j]),
-                          float(n_all[i]), float(n_used[i]), float(cv_mean[i, chosen[i]]), list(zip(grids[i], cv_mean[i])), int(np.count_nonzero(~np.isfinite(cv_mean[i]))) if lam is None and not constant_fit[i] else 0))
+        label = "degenerate_constant" if constant_fit[i] else rule if path else "fixed"
+        out.append(Fitted(k, B[j], float(s.grid[chosen[i]]), label, bool(done[j] and not failed[j]), int(iters[j]), float(kkt[j]),
+                          float(s.n_all), float(s.n_used), float(cv_mean[i, chosen[i]]), list(zip(s.grid, cv_mean[i])), int(np.count_nonzero(~np.isfinite(cv_mean[i]))) if path and not constant_fit[i] else 0))
     return out
