@@ -84,6 +84,12 @@ def fold_sql(k: int, src: str = "base", seed: int = 7) -> str:
             f" % {k} + 1 AS INTEGER) AS fold FROM {src})")
 
 
+def cv_sql(src: str = "base", outer: str = "'000'", seed: int = 11, name: str = "v") -> str:
+    """CTEs: the source plus its penalty-selection fold, as many per site as the smaller arm carries."""
+    return (f"vk AS (SELECT site, min(least(n, greatest(4, least(5, n // 5)))) AS k FROM (SELECT site, a, count(*) AS n FROM {src} GROUP BY site, a) GROUP BY site),"
+            f" {name} AS (SELECT {src}.*, CAST((row_number() OVER (PARTITION BY {src}.site, a ORDER BY {outer}, md5(concat('{seed}:', obs_id)), obs_id) - 1) % k + 1 AS INTEGER) AS cv FROM {src} JOIN vk ON vk.site = {src}.site)")
+
+
 # -- result-shaped table from events -------------------------------------------------
 def results(spark, d) -> DataFrame:
     """Each event is one replicate of every method; numbers are arithmetic on its columns."""

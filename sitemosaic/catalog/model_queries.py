@@ -12,7 +12,7 @@ from ..operators.folds import assign_cv_folds
 from ..operators.gram import prepare
 from ..operators.newton import fit_models  # noqa: F401
 from ..plans import crossfit as cf, estimators as es
-from .base import BASE_SQL, R, base, fold_sql, obs, query, rnd
+from .base import BASE_SQL, R, base, cv_sql, fold_sql, obs, query, rnd
 
 WITH = "WITH " + BASE_SQL
 ARMS = (1, 0)
@@ -107,7 +107,39 @@ def n1b(spark, d):
 @query("N2_fit_lasso_glm")
 def n2(spark, d):
     data = data_of(spark, d, y="y_bin", features=("x1", "x2", "x3"))
-    return coef_rows(spark, fi.fit_lasso_glm(data, fi.keys("or", fi.sites_of(data), ARMS, [(k,) for k in (1, 2, 3)]), "binomial", nlambda=10))
+    return coef_rows(spark, fi.fit_lasso_glm(data, fi.keys("or", fi.sites_of(data), ARMS, [(k,) for k in (1, 2, 3)]), "binomial"))
+
+
+def lasso_sql(rule: str) -> str:
+    """One-feature least squares with an absolute penalty: closed form per penalty, selection by the held-out folds."""
+    pick = "min(i)" if rule == "1se" else "arg_min(i, (m, i))"
+    near = "WHERE m <= bm + bs" if rule == "1se" else ""
+    return f"""{WITH}, {cv_sql()}, c AS (SELECT site, a AS arm, cv, count(*) AS n, sum(x1) AS sx, sum(y_num) AS sy, sum(x1 * x1) AS sxx, sum(x1 * y_num) AS sxy, sum(y_num * y_num) AS syy FROM v GROUP BY ALL),
+ s AS (SELECT site, arm, 0 AS cv, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM c GROUP BY ALL
+  UNION ALL SELECT site, arm, b.cv, sum(c.n), sum(c.sx), sum(c.sy), sum(c.sxx), sum(c.sxy) FROM c JOIN (SELECT site, arm, cv FROM c) b USING (site, arm) WHERE c.cv <> b.cv GROUP BY ALL),
+ k AS (SELECT site, arm, cv, n, sx / n AS mx, sy / n AS my, sxx / n - power(sx / n, 2) AS vx, sxy / n - sx / n * sy / n AS cxy FROM s),
+ l AS (SELECT site, arm, CAST(r.i AS INTEGER) AS i, exp(ln(greatest(abs(cxy) / sqrt(vx), 1e-6)) + r.i / 99e0 * ln(1e-4)) AS la FROM k, range(100) r(i) WHERE cv = 0),
+ b AS (SELECT k.*, i, la, sign(cxy) * greatest(abs(cxy) - la * sqrt(vx), 0) / vx AS b1 FROM k JOIN l USING (site, arm)),
+ h AS (SELECT b.site, b.arm, i, b.cv, (c.syy + c.n * power(my - b1 * mx, 2) + b1 * b1 * c.sxx - 2 * (my - b1 * mx) * c.sy - 2 * b1 * c.sxy + 2 * (my - b1 * mx) * b1 * c.sx) / 2 / c.n AS loss FROM b JOIN c ON c.site = b.site AND c.arm = b.arm AND c.cv = b.cv),
+ g AS (SELECT site, arm, i, avg(loss) AS m, stddev_samp(loss) / sqrt(count(*)) AS se FROM h GROUP BY ALL), t AS (SELECT site, arm, min(m) AS bm, arg_min(se, (m, i)) AS bs FROM g GROUP BY ALL),
+ w AS (SELECT site, arm, {pick} AS i FROM g JOIN t USING (site, arm) {near} GROUP BY ALL)
+ SELECT site, arm, {R('la', 'lambda', 9)}, {R('my - b1 * mx', 'b0')}, {R('b1', 'b1')}, CAST(n AS BIGINT) AS n_arm FROM b JOIN w USING (site, arm, i) WHERE cv = 0"""
+
+
+def one_feature(spark, d, rule):
+    data = prepare(assign_cv_folds(obs(spark, d)))
+    c = fi.coef_frame(spark, fi.fit_lasso_glm(data, fi.keys("or", fi.sites_of(data), ARMS, [()]), "gaussian", rule=rule))
+    return rnd(c.select("site", "arm", F.round("lambda", 9).alias("lambda"), F.col("beta")[0].alias("b0"), F.col("beta")[1].alias("b1"), "n_arm"), skip=("lambda",))
+
+
+@query("N2_fit_lasso_glm_one_feature", lasso_sql("1se"))
+def n2b(spark, d):
+    return one_feature(spark, d, "1se")
+
+
+@query("N4_fit_outcome_one_feature", lasso_sql("min"))
+def n4b(spark, d):
+    return one_feature(spark, d, "min")
 
 
 @query("N3_constant_fallback", f"""{WITH} SELECT site, a, count(*) AS n, count(*) FILTER (WHERE y_bin = 1) AS ones, {R('avg(y_bin)', 'mean')},
@@ -119,7 +151,7 @@ def n3(spark, d):
 @query("N4_fit_outcome")
 def n4(spark, d):
     data = data_of(spark, d, features=("x1", "x2", "x3"))
-    c = fi.coef_frame(spark, fi.fit_outcome(data, fi.keys("or", fi.sites_of(data), ARMS, [(k,) for k in (1, 2, 3)]), "gaussian", nlambda=20))
+    c = fi.coef_frame(spark, fi.fit_outcome(data, fi.keys("or", fi.sites_of(data), ARMS, [(k,) for k in (1, 2, 3)]), "gaussian"))
     return rnd(c.select("site", "arm", F.concat_ws(",", "drop").alias("dropped"), "lambda", "lambda_scaled", F.col("beta")[0].alias("b0"), "rule", "n", "n_arm"))
 
 
@@ -152,12 +184,12 @@ def plugs_for(data, fits_by, ks, folds=(1, 2, 3)):
 def n7(spark, d):
     data = data_of(spark, d, y="y_bin", features=("x1", "x2"))
     src = ["s1", "s2", "s3", "s4"]
-    ks = fi.keys("dr_cal", src, ARMS, [(1,)])
-    init = fi._by_key(fi.fit_outcome(data, fi.keys("or_init", src, ARMS, [(1, 2), (1, 3)]), "binomial", nlambda=8))
+    ks = fi.keys("dr_cal", src, ARMS, [(1,), (2,), (3,)])
+    init = fi._by_key(fi.fit_outcome(data, fi.keys("or_init", src, ARMS, [(1, 2), (1, 3), (2, 3)]), "binomial"))
     pl = plugs_for(data, init, ks)
     parts = fi.slope_moments(data, [(C.TARGET, None, c, coef, [1, 2, 3]) for k in ks for c, coef in pl[k]], "binomial", C.RADIUS)
     moments = {k: np.mean([parts[2 * i + j][0] / parts[2 * i + j][1] for j in range(2)], axis=0) for i, k in enumerate(ks)}
-    return coef_rows(spark, fi.fit_calibrated_density_ratio(data, ks, moments, pl, "binomial", nlambda=8))
+    return coef_rows(spark, fi.fit_calibrated_density_ratio(data, ks, moments, pl, "binomial"))
 
 
 GAM = {1: np.array([-0.9, 0.02]), 0: np.array([-0.5, 0.02])}
@@ -188,29 +220,29 @@ def n8b(spark, d):
 @query("N9_refined_variants")
 def n9(spark, d):
     data = data_of(spark, d, y="y_bin", features=("x1", "x2"))
-    ks = fi.keys("or_ref", ["s1", "s2", "s3", "s4"], ARMS, [(1,)])
+    ks = fi.keys("or_ref", ["s1", "s2", "s3", "s4"], ARMS, [(1,), (2,), (3,)])
     g = {1: np.array([-0.9, 0.02, 0.0]), 0: np.array([-0.5, 0.02, 0.0])}
-    return coef_rows(spark, fi.fit_weighted_outcome(data, ks, {k: ((0, g[k[2]]),) for k in ks}, "binomial", calibrated=False, nlambda=8))
+    return coef_rows(spark, fi.fit_weighted_outcome(data, ks, {k: ((0, g[k[2]]),) for k in ks}, "binomial", calibrated=False))
 
 
 @query("N10_calibrate_source")
 def n10(spark, d):
-    data = data_of(spark, d, y="y_bin", features=("x1", "x2"))
-    r = fi.calibrate_source(data, ["s1", "s2", "s3", "s4"], ARMS, [(k,) for k in (1, 2, 3)], "binomial", nlambda=6)
+    data = data_of(spark, d, C.OUTER_FOLDS, y="y_bin", features=("x1", "x2"))
+    r = fi.calibrate_source(data, ["s1", "s2", "s3", "s4"], ARMS, [(k,) for k in range(1, 1 + C.OUTER_FOLDS)], "binomial")
     return coef_rows(spark, r["dr"] + r["or"])
 
 
 @query("N11_calibrate_target")
 def n11(spark, d):
-    data = data_of(spark, d, y="y_bin", features=("x1", "x2"))
-    r = fi.calibrate_target(data, ARMS, [(k,) for k in (1, 2, 3)], "binomial", init="calibrated", nlambda=6)
+    data = data_of(spark, d, C.OUTER_FOLDS, y="y_bin", features=("x1", "x2"))
+    r = fi.calibrate_target(data, ARMS, [(k,) for k in range(1, 1 + C.OUTER_FOLDS)], "binomial", init="calibrated")
     return coef_rows(spark, r["ps"] + r["or"])
 
 
 @query("N12_fit_standard_source")
 def n12(spark, d):
-    data = data_of(spark, d, y="y_bin", features=("x1", "x2"))
-    r = fi.fit_standard_source(data, ["s1", "s2", "s3", "s4"], ARMS, [(k,) for k in (1, 2, 3)], "binomial", nlambda=6)
+    data = data_of(spark, d, C.OUTER_FOLDS, y="y_bin", features=("x1", "x2"))
+    r = fi.fit_standard_source(data, ["s1", "s2", "s3", "s4"], ARMS, [(k,) for k in range(1, 1 + C.OUTER_FOLDS)], "binomial")
     return coef_rows(spark, r["dr"] + r["or"])
 
 
@@ -566,8 +598,8 @@ def e4(spark, d):
 
 
 def arm_results(spark, d, method, **kw):
-    o = assign_cv_folds(obs(spark, d, y="y_bin", features=("x1", "x2"), folds=3))
-    r, _ = es.compare_methods(o, [method], "binomial", 3, variance="analytic", **kw)
+    o = assign_cv_folds(obs(spark, d, y="y_bin", features=("x1", "x2"), folds=C.OUTER_FOLDS))
+    r, _ = es.compare_methods(o, [method], "binomial", C.OUTER_FOLDS, variance="analytic", **kw)
     return rnd(r.select("method", "estimate", "se", "mu1", "mu0", "cross_arm_correlation", "n"))
 
 
@@ -578,12 +610,12 @@ def e5(spark, d):
 
 @query("E6_federated_dr")
 def e6(spark, d):
-    return arm_results(spark, d, "federated_dr", nlambda=8)
+    return arm_results(spark, d, "federated_dr")
 
 
 @query("E7_pooled_dr")
 def e7(spark, d):
-    return arm_results(spark, d, "pooled_dr", nlambda=8)
+    return arm_results(spark, d, "pooled_dr")
 
 
 @query("E8_known_nuisance_dr", f"""{WITH}, b AS (SELECT obs_id, CASE WHEN site = 't' THEN 't' ELSE 's1' END AS site, a, y_num AS y, 2.4e0 + 0.02e0 * x1 AS m, greatest(least(x2 / 2, 0.9e0), 0.1e0) AS p, exp(-(-0.9e0 + 0.02e0 * x1)) AS w FROM base),
@@ -623,8 +655,8 @@ def e10(spark, d):
 
 @query("E10_compare_all_methods")
 def e10b(spark, d):
-    o = assign_cv_folds(obs(spark, d, y="y_bin", features=("x1", "x2"), folds=3))
-    r, _ = es.compare_methods(o, family="binomial", k=3, nlambda=6, b=500)
+    o = assign_cv_folds(obs(spark, d, y="y_bin", features=("x1", "x2"), folds=C.OUTER_FOLDS))
+    r, _ = es.compare_methods(o, family="binomial", k=C.OUTER_FOLDS)
     return rnd(r.select("method", "estimate", "se", "se_analytic", "variance_method", "n"))
 
 
@@ -743,7 +775,7 @@ def e20(spark, d):
     return rnd(weight_layer(known(spark, d), lam=2.0), 12)
 
 
-OPT = cf.Options(k=3, nlambda=6)
+OPT = cf.Options()
 
 
 @query("E21_crossfit_mean")
@@ -756,6 +788,12 @@ def e22(spark, d):
     return res_cols(cf.crossfit_tate(obs(spark, d, y="y_bin", features=("x1", "x2")), OPT)[0], "method")
 
 
+@query("E22_crossfit_tate_coarse")
+def e22c(spark, d):
+    """Three folds and six penalties: comparable with earlier timings."""
+    return res_cols(cf.crossfit_tate(obs(spark, d, y="y_bin", features=("x1", "x2")), cf.Options(k=3, nlambda=6))[0], "method")
+
+
 @query("E22_crossfit_tate_three_layers")
 def e22b(spark, d):
     o = cf.Options(k=3, lam=0.005, layers=3, source_program="standard")
@@ -824,7 +862,7 @@ def boot_inputs(spark, d):
 @query("B1_multiplier_bootstrap_se")
 def b1b(spark, d):
     infl, w = boot_inputs(spark, d)
-    return rnd(rs.multiplier_bootstrap(infl, w, 2000, 1), 8)
+    return rnd(rs.multiplier_bootstrap(infl, w, C.BOOTSTRAP_REPLICATES, 1), 8)
 
 
 @query("B2_resolve_variance", f"""{WITH}, g AS (SELECT nation, var_samp(y_num) / count(*) AS va, CASE nation % 4 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 0e0 ELSE sqrt(var_samp(y_num) / count(*)) * 1.1e0 END AS sb FROM base GROUP BY nation),
@@ -840,12 +878,12 @@ def b2(spark, d):
 @query("B3_fixed_weight_bootstrap")
 def b3(spark, d):
     s = known(spark, d)
-    return rnd(cf.weight_bootstrap(s, 200, relearn=False).agg(F.count(F.lit(1)).alias("draws"), F.avg("fixed").alias("mean"), F.stddev_samp("fixed").alias("se")))
+    return rnd(cf.weight_bootstrap(s, relearn=False).agg(F.count(F.lit(1)).alias("draws"), F.avg("fixed").alias("mean"), F.stddev_samp("fixed").alias("se")))
 
 
 @query("B4_relearned_weight_bootstrap")
 def b4(spark, d):
-    return rnd(cf.weight_bootstrap(known(spark, d), 100))
+    return rnd(cf.weight_bootstrap(known(spark, d)))
 
 
 @query("B5_summarize_draws", f"""WITH d AS (SELECT event_type AS k, value / 100 AS f, value / 80 + (event_id % 7) / 100e0 AS r FROM events)

@@ -6,7 +6,7 @@ from ..operators import cohort as co, folds as fo, validation as va
 from ..plans.cohort_plan import CohortRecipe, build_cohort, build_sites
 from ..sources import (CohortSpec, read_cohort_csv, read_run_results, site_cohort, table_fingerprint,
                        with_setting_from_path, write_results)
-from .base import BASE_SQL, R, RESULTS_SQL, base, fold_sql, obs, query, results, rnd, scratch
+from .base import BASE_SQL, R, RESULTS_SQL, base, cv_sql, fold_sql, obs, query, results, rnd, scratch
 
 WITH = "WITH " + BASE_SQL
 
@@ -440,3 +440,8 @@ def k3(spark, d):
 @query("K4_cv_fold_count", f"{WITH} SELECT cust, CAST(least(count(*), greatest(4, least(5, count(*) // 5))) AS INTEGER) AS folds FROM base GROUP BY cust")
 def k4(spark, d):
     return base(spark, d).groupBy("cust").agg(F.count(F.lit(1)).alias("n")).select("cust", fo.cv_fold_count("n").alias("folds"))
+
+
+@query("K4_selection_folds", f"{WITH}, {fold_sql(10)}, {cv_sql('f', 'fold')} SELECT obs_id, site, fold, cv FROM v")
+def k4b(spark, d):
+    return fo.assign_cv_folds(obs(spark, d, folds=10)).select("obs_id", "site", "fold", "cv")

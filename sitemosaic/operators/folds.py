@@ -65,7 +65,24 @@ def cv_fold_count(n, min_per_fold: int = 5, max_folds: int = C.CV_FOLDS, min_fol
     return F.least(n, F.greatest(F.lit(min_folds), inner)).cast("int")
 
 
-def assign_cv_folds(obs: DataFrame, folds: int = C.CV_FOLDS, seed: int = 11, id_col: str = "obs_id", out: str = "cv") -> DataFrame:
-    """Penalty-selection folds: a hash of the unit, so repeated units stay together and nothing is shuffled."""
-    unit = F.coalesce(F.col("group_id"), F.col(id_col)) if "group_id" in obs.columns else F.col(id_col)
-    return obs.withColumn(out, (F.pmod(F.xxhash64(F.lit(seed), unit), F.lit(folds)) + 1).cast("int"))
+def assign_cv_folds(obs: DataFrame, folds: int = C.CV_FOLDS, seed: int = 11, id_col: str = "obs_id", out: str = "cv", digits: int = PREFIX_DIGITS) -> DataFrame:
+    """Penalty-selection folds, as many per site as its smaller arm carries (at most `folds`).
+
+    Rows are numbered within (site, arm) in order of (outer fold, hash), so the folds of an arm differ by one row at most, and by few without any outer
+    fold: no selection fold of an arm is empty. Numbering goes by slices, as for the outer folds. Repeated units stay together: a unit is one row then.
+    """
+    outer = F.lpad(F.coalesce(F.col("fold").cast("string"), F.lit("0")), 3, "0") if "fold" in obs.columns else F.lit("000")
+    arms = obs.groupBy("site", "a").agg(F.count(F.lit(1)).alias("_n"))
+    count = arms.groupBy("site").agg(F.min(cv_fold_count("_n", max_folds=folds)).alias("_k"))
+
+    def numbered(rows: DataFrame, key: str, strata: Sequence[str]) -> DataFrame:
+        ranked = balanced_number(rows.withColumn("_h", F.concat("_outer", hash_order(seed, key))), strata, "_h", key, digits + 3)
+        return attach(ranked, count, ["site"]).withColumn(out, (F.col("_rank") % F.col("_k") + 1).cast("int")).drop("_rank", "_h", "_k", "_outer")
+
+    obs = obs.withColumn("_outer", outer)
+    if "group_id" not in obs.columns or obs.filter(F.col("group_id").isNotNull()).isEmpty():
+        return numbered(obs, id_col, ["site", "a"])
+    unit = F.coalesce(F.concat(F.lit("g"), F.col("group_id").cast("string")), F.concat(F.lit("o"), F.col(id_col).cast("string")))
+    obs = obs.withColumn("_unit", unit)
+    units = numbered(obs.groupBy("site", "_unit").agg(F.max("a").alias("a"), F.min("_outer").alias("_outer")), "_unit", ["site", "a"])
+    return attach(obs.drop("_outer"), units.select("site", "_unit", out), ["site", "_unit"]).drop("_unit")

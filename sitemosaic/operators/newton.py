@@ -67,27 +67,26 @@ def soft(x, t):
     return np.sign(x) * np.maximum(np.abs(x) - t, 0.0)
 
 
-def quadratic_l1(beta, g, h, pen, sweeps: int = 2000, tol: float = 1e-12):
+def quadratic_l1(beta, g, h, pen, of=None, sweeps: int = 2000, tol: float = 1e-12):
     """argmin of g.(b - beta) + (b - beta)'H(b - beta)/2 + sum pen|b|, all problems at once.
 
-    h: one H for all problems, or one each. After a full sweep only coordinates that are not zero move, until they rest; then all are tried again."""
-    shared = h.ndim == 2
+    h: matrices; problem i has h[of[i]] (default h[i]). After a full sweep only coordinates that are not zero in some problem move, until they rest; then all are tried again."""
+    of = np.arange(len(beta)) if of is None else of
     b = beta.copy()
-    diag = np.maximum(np.broadcast_to(np.diagonal(h, axis1=-2, axis2=-1), b.shape), 1e-300)
-    bound = np.where(np.isfinite(pen), pen, np.inf)
+    diag = np.maximum(np.einsum("mjj->mj", h)[of], 1e-300)
+    free = np.isfinite(pen)
+    bound = np.where(free, pen, 0.0)
     live, r = np.arange(len(b)), g.copy()  # r: gradient of the quadratic at b
 
     def sweep(coordinates):
         big = np.zeros(len(live))
         for j in coordinates:
-            d = diag[live, j]
-            with np.errstate(invalid="ignore"):
-                new = np.where(np.isfinite(bound[live, j]), soft(d * b[live, j] - r[live, j], np.where(np.isfinite(bound[live, j]), bound[live, j], 0.0)) / d, 0.0)
-            step = new - b[live, j]
-            if step.any():
-                r[live] += step[:, None] * (h[j] if shared else h[live, j])
-                b[live, j] = new
-                big = np.maximum(big, np.abs(step) * np.sqrt(d))
+            d, old = diag[live, j], b[live, j]
+            new = np.where(free[live, j], soft(d * old - r[live, j], bound[live, j]) / d, 0.0)
+            step = new - old
+            r[live] += step[:, None] * h[of[live], j]
+            b[live, j] = new
+            big = np.maximum(big, np.abs(step) * np.sqrt(d))
         return big
 
     while sweeps > 0 and len(live):
@@ -166,28 +165,23 @@ class Start:
     error: str | None = None
 
 
-def _newton_step(b, g, h):
-    d = np.sqrt(np.maximum(np.diag(h), 1e-300))
-    hs = h / d[:, None] / d[None]
-    if np.linalg.eigvalsh(hs)[0] < 1e-12:
-        return None
-    return b - np.linalg.solve(hs, g / d) / d
-
-
-def _steps(b, g, h, lams, pf):
-    """Targets of several penalties of one model from one curvature; None if an unpenalised design is aliased."""
+def _steps(b, g, h, of, lams, pf):
+    """Targets of many states, state i from the curvature h[of[i]]; their penalties; unpenalised states with an aliased design."""
     with np.errstate(invalid="ignore"):
         pen = np.where(np.isfinite(pf), lams[:, None] * np.where(np.isfinite(pf), pf, 0.0), np.inf)
-    out = np.empty_like(b)
-    plain = lams == 0.0
-    for i in np.flatnonzero(plain):
-        step = _newton_step(b[i], g[i], h)
-        if step is None:
-            return None, pen
-        out[i] = step
-    if (~plain).any():
-        out[~plain] = quadratic_l1(b[~plain], g[~plain], h, pen[~plain])
-    return out, pen
+    out, aliased = b.copy(), np.zeros(len(b), dtype=bool)
+    plain = np.flatnonzero(lams == 0.0)
+    if len(plain):
+        hz = h[of[plain]]
+        d = np.sqrt(np.maximum(np.einsum("mjj->mj", hz), 1e-300))
+        hs = hz / d[:, :, None] / d[:, None, :]
+        aliased[plain] = ~(np.linalg.eigvalsh(hs)[:, 0] >= 1e-12)
+        fine = ~aliased[plain]
+        out[plain[fine]] -= np.linalg.solve(hs[fine], (g[plain] / d)[fine][:, :, None])[:, :, 0] / d[fine]
+    rest = np.flatnonzero(lams != 0.0)
+    if len(rest):
+        out[rest] = quadratic_l1(b[rest], g[rest], h, pen[rest], of[rest])
+    return out, pen, aliased
 
 
 def _start(k: Model, sums, held_sums, shape: Shape, moment, grid, floor) -> Start:
@@ -210,9 +204,9 @@ def _start(k: Model, sums, held_sums, shape: Shape, moment, grid, floor) -> Star
         ratio = shape.ratio or (C.LAMBDA_RATIO_TALL if n_used > p1 - 1 else C.LAMBDA_RATIO_WIDE)
         grid = np.maximum(lambda_grid(max(lmax, C.LAMBDA_FLOOR), shape.nlambda, ratio), floor)
     b = np.repeat(beta[None], len(grid), axis=0)
-    target, pen = _steps(b, np.repeat(g[None], len(grid), axis=0), h, grid, pf)
-    out = Start(n_all, n_used, w, 0.5 * w - g0[0], grid, pf, beta, loss, b if target is None else target, np.full(len(grid), np.inf), error="aliased or separated design" if target is None else None)
-    if k.family == "gaussian" and target is not None:
+    target, pen, aliased = _steps(b, np.repeat(g[None], len(grid), axis=0), h[None], np.zeros(len(grid), dtype=int), grid, pf)
+    out = Start(n_all, n_used, w, 0.5 * w - g0[0], grid, pf, beta, loss, target, np.full(len(grid), np.inf), error="aliased or separated design" if aliased.any() else None)
+    if k.family == "gaussian" and not aliased.any():
         out.kkt = kkt_residual(target, g + (target - beta) @ h, pen)
         if held_sums is not None:
             nv_all, nv, _, l0, gv, hv = (v[0] for v in unpack(held_sums[None], p1))
@@ -353,30 +347,37 @@ def advance(data: DataFrame, every: list[Model], x: str, shape: Shape, at, block
         def solve(batches, todo=todo):
             b0, lam, pfs, den, mom, rep = todo.value
             iu, ju = np.triu_indices(p1)
-            for _, sums in _groups(batches):
-                ids = np.array(sorted(sums))
+
+            def out(held):
+                ids = np.concatenate([np.array(sorted(sums)) for sums in held])
+                of = np.repeat(np.arange(len(held)), [len(sums) for sums in held])
                 lead = ids[rep[ids]]
-                h = np.zeros((p1, p1))
-                v = sums[int(lead[0])]
-                h[iu, ju] = h[ju, iu] = v[HEAD + p1:] / den[lead[0]]
-                vec = np.stack([sums[i][:HEAD + p1] for i in ids.tolist()])
+                every = {i: v for sums in held for i, v in sums.items()}
+                h = np.zeros((len(held), p1, p1))
+                h[:, iu, ju] = h[:, ju, iu] = np.stack([every[i][HEAD + p1:] for i in lead.tolist()]) / den[lead, None]
+                vec = np.stack([every[i][:HEAD + p1] for i in ids.tolist()])
                 b = b0[ids]
                 g = vec[:, HEAD:] / den[ids, None] + mom[ids]
-                target, pen = _steps(b, g, h, lam[ids], pfs[ids[0]])
+                target, pen, aliased = _steps(b, g, h, of, lam[ids], pfs[ids])
                 fv = vec[:, 3] / den[ids] + (mom[ids] * b).sum(axis=1) + (np.where(np.isfinite(pen), pen, 0.0) * np.abs(b)).sum(axis=1)
-                kind = pa.list_(pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(fv), pa.array(kkt_residual(b, g, pen)), pa.array([None] * len(ids) if target is None else list(target), kind)], ["state", "fv", "kkt", "target"])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ids) + 1) * p1, p1, dtype=np.int32)), pa.array(target.ravel()))
+                return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(fv), pa.array(kkt_residual(b, g, pen)), flat, pa.array(aliased)], ["state", "fv", "kkt", "target", "aliased"])
+
+            held, most = [], max(1, min(2048, 2_000_000 // (p1 * p1)))
+            for _, sums in _groups(batches):
+                held.append(sums)
+                if len(held) >= most:
+                    yield out(held)
+                    held = []
+            if held:
+                yield out(held)
 
         rows = partial_sums(data, every, trial[span], x, at=at[span], rep=rep, block=block[span])
-        t = _met(rows, len(starts_of)).mapInArrow(solve, "state int, fv double, kkt double, target array<double>").toArrow()
+        t = _met(rows, len(starts_of)).mapInArrow(solve, "state int, fv double, kkt double, target array<double>, aliased boolean").toArrow()
         ids = t.column("state").to_numpy() + span.start
         if len(ids):
-            out_fv[ids], out_kkt[ids] = t.column("fv").to_numpy(), t.column("kkt").to_numpy()
-            target = t.column("target").combine_chunks()
-            fine = ~np.asarray(target.is_null())
-            failed[ids[~fine]] = True
-            if fine.any():
-                out_target[ids[fine]] = target.flatten().to_numpy(zero_copy_only=False).reshape(-1, p1)
+            out_fv[ids], out_kkt[ids], failed[ids] = t.column("fv").to_numpy(), t.column("kkt").to_numpy(), t.column("aliased").to_numpy()
+            out_target[ids] = t.column("target").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, p1)
         todo.unpersist()
     return out_fv, out_kkt, out_target, failed
 
