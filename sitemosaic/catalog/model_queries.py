@@ -353,9 +353,7 @@ def known(spark, d, merged=False, k=3, radius=5.0, options=None):
     coef, n = sc.score_coefficients(spark, pairs, src, {(s, a, dd): GAM[a] for s in src for a in ARMS for dd in drops}, {(s, a, dd): al[(s, a, dd)] for s in src for a in ARMS for dd in drops},
                                     {(a, dd): ps for a in ARMS for dd in drops}, {(a, dd): al[(C.TARGET, a, dd)] for a in ARMS for dd in drops})
     o = options or cf.Options(k=k, family="gaussian")
-    saved = cf.Saved(None, src, sizes, o, data, coef, n, 1)
-    saved.scores = cf.rescore(saved, radius)
-    return saved
+    return cf.at_radius(cf.Saved(None, src, sizes, o, data, coef, n, 1), radius)
 
 
 def known_sql(merged: bool, k: int = 3, radius: str = "5") -> str:

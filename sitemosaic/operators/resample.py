@@ -27,6 +27,12 @@ def hash_bits(ids: np.ndarray, draw, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def masses(ids: np.ndarray, b: int, seed: int) -> np.ndarray:
+    """Exponential row masses of all draws."""
+    u = (hash_bits(ids, np.arange(b), seed) >> np.uint64(11)).astype(np.float64) + 0.5
+    return -np.log(u * 2.0 ** -53)
+
+
 def _draw_sums(rows: DataFrame, group: str, cols: str, b: int, seed: int, kind: str) -> DataFrame:
     """(group, vec): sums over rows of multiplier[draw] * value[col], laid out draw-major; B x columns numbers per task and group."""
 
@@ -52,8 +58,7 @@ def _draw_sums(rows: DataFrame, group: str, cols: str, b: int, seed: int, kind:
                         bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(r), -1), axis=1)[:, :b]
                         mult = bits.astype(np.float64) * 2.0 - 1.0
                     else:
-                        u = (hash_bits(ids[r], np.arange(b), seed) >> np.uint64(11)).astype(np.float64) + 0.5
-                        mult = -np.log(u * 2.0 ** -53)
+                        mult = masses(ids[r], b, seed)
                     out += mult.T @ x[r]
         for lab, v in acc.items():
             flat = pa.array(v.ravel())
@@ -112,29 +117,21 @@ def _products(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(1 + k) for j in range(i, 1 + k)]
 
 
-def reweighted_moments(scores_long: DataFrame, sources: Sequence[str], b: int, seed: int = 1) -> DataFrame:
+def reweighted_moments(sums: DataFrame, sources: Sequence[str], b: int, arm: int = 2) -> DataFrame:
     """Inner-fold moments of every draw under exponential masses: (draw, arm, outer_fold, fold, moments...).
 
-    Per (arm, outer fold, fold, site) each task keeps B x (products) sums; rows are
-    never multiplied by B.
+    sums: (outer_fold, fold, site, n, vec), draw-major sums of mass * (1, values, products): B x (products) numbers per fold and site,
+    rows are never multiplied by B.
     """
     k = len(sources)
     prod = _products(k)
-    g = F.concat_ws("|", F.col("arm").cast("string"), F.col("outer_fold").cast("string"), F.col("fold").cast("string"), "site")
-    x = [F.col("phi")] + [F.col("psi")[i] for i in range(k)]
-    target = scores_long.filter(F.col("site") == C.TARGET).select("obs_id", g.alias("g"), F.array(F.lit(1.0), *x, *[x[i] * x[j] for i, j in prod]).alias("v"))
-    source = scores_long.filter(F.col("site") != C.TARGET).select("obs_id", g.alias("g"), F.array(F.lit(1.0), F.col("corr"), F.col("corr") * F.col("corr")).alias("v"))
-    counts = scores_long.groupBy("arm", "outer_fold", "fold", "site").agg(F.count(F.lit(1)).alias("n"))
 
     def unfold(rows, width):
-        s = _draw_sums(rows, "g", "v", b, seed, "mass")
-        parts = F.split("g", "\\|")
-        e = s.select(parts[0].cast("int").alias("arm"), parts[1].cast("int").alias("outer_fold"), parts[2].cast("int").alias("fold"), parts[3].alias("site"),
-                     F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("draw"), "vec")
-        return e.select("arm", "outer_fold", "fold", "site", "draw", F.slice("vec", F.col("draw") * width + 1, width).alias("v"))
+        e = rows.select(F.lit(arm).alias("arm"), "outer_fold", "fold", "site", "n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("draw"), "vec")
+        return e.select("arm", "outer_fold", "fold", "site", "n", "draw", F.slice("vec", F.col("draw") * width + 1, width).alias("v"))
 
     keys = ["arm", "outer_fold", "fold"]
-    t = unfold(target, 2 + k + len(prod)).join(counts, [*keys, "site"])
+    t = unfold(sums.filter(F.col("site") == C.TARGET), 2 + k + len(prod))
     w = F.col("v")[0]
     mean = lambda i: F.col("v")[1 + i] / w
     cov = {pq: F.col("v")[2 + k + n] / w - mean(pq[0]) * mean(pq[1]) for n, pq in enumerate(prod)}
@@ -142,7 +139,7 @@ def reweighted_moments(scores_long: DataFrame, sources: Sequence[str], b: int, s
     t = t.select(*keys, "draw", F.col("n").alias("n_t"), w.alias("mass_t"), mean(0).alias("mu_t"), F.array(*[mean(i + 1) for i in range(k)]).alias("mu_pred"), c(0, 0).alias("v_ot"),
                  F.array(*[c(i + 1, i + 1) for i in range(k)]).alias("v_t"), F.array(*[c(0, i + 1) for i in range(k)]).alias("c_ot"),
                  F.array(*[F.array(*[F.lit(0.0) if i == j else c(i + 1, j + 1) for j in range(k)]) for i in range(k)]).alias("c_cross"))
-    s = unfold(source, 3).join(counts, [*keys, "site"])
+    s = unfold(sums.filter(F.col("site") != C.TARGET), 3)
     m = F.col("v")[1] / F.col("v")[0]
     s = s.select(*keys, "draw", "site", "n", F.col("v")[0].alias("mass"), m.alias("d"), (F.col("v")[2] / F.col("v")[0] - m * m).alias("vs"))
     pick = lambda col: F.array(*[F.max(F.when(F.col("site") == x, F.col(col))) for x in sources])

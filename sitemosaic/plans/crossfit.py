@@ -4,7 +4,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
@@ -12,8 +11,9 @@ from ..operators import fits as fi
 from ..operators.folds import assign_cv_folds, assign_folds, assign_group_folds
 from ..operators.gram import prepare
 from ..operators.joins import settled, sized
-from ..operators.moments import fold_moments, joint_moments, pool_joint_moments, pool_moments
+from ..operators.moments import fold_moments, pool_joint_moments, pool_moments
 from ..operators.resample import fixed_weight_draws, reweighted_moments
+from ..operators.score_moments import arm_moments, contrast_draw_sums, score_stats, two_arm_moments
 from ..operators.scores import long_arms, score_coefficients, score_rows
 from ..operators.validation import assert_groups_in_fold, validate_cohort, validate_folds, validate_radius
 from ..operators.weights import select_weight_lambda, solve_joint_weights, solve_weights, wald_discrepancy
@@ -58,6 +58,8 @@ class Saved:
     n_coef: int = 0
     p: int = 0
     fits: dict = field(default_factory=dict)
+    radius: float = C.RADIUS                        # of inference
+    stats: dict = field(default_factory=dict)       # radius -> moments of the score vectors on the inner folds
 
     @property
     def n_all(self) -> int:
@@ -111,15 +113,29 @@ def fit_and_score(obs: DataFrame, o: Options, validate: bool = True) -> Saved:
     coef, n = score_coefficients(data.sparkSession, pairs, sources, gamma, alpha, tps, tor)
     p = len(next(iter(alpha.values()))) - 1
     saved = Saved(None, sources, sizes, o, data, coef, n, p, {"source": src, "target": tgt})
-    saved.scores = rescore(saved, inf_r)
-    return saved
+    return at_radius(saved, inf_r)
 
 
-def rescore(saved: Saved, radius: float) -> DataFrame:
-    """Scores under another inference radius; no model is refitted."""
+def at_radius(saved: Saved, radius: float) -> Saved:
+    """The same models under another inference radius; nothing is refitted. The score rows (observation x outer fold) are a plan over the cached
+    observations and are never stored: the evaluation rows are one per observation, and what the weights learn from are moments."""
     o = saved.options
     s = score_rows(saved.data, saved.coef, saved.n_coef, saved.p, len(saved.sources), o.family, radius, o.target_program, o.target_radius)
-    return s.persist(StorageLevel.MEMORY_AND_DISK)
+    return replace(saved, scores=s, radius=radius)
+
+
+def inner_stats(saved: Saved, radii: Sequence[float] | None = None) -> DataFrame:
+    """Moments of the score vectors that teach the weights, for all radii from one pass; kept for the next use."""
+    radii = [saved.radius] if radii is None else sorted(set(radii))
+    missing = [r for r in radii if r not in saved.stats]
+    if missing:
+        o = saved.options
+        s = settled(score_stats(saved.data, saved.coef, saved.sources, o.family, missing, o.target_program, o.target_radius))
+        saved.stats.update({r: s.filter(F.col("radius") == r) for r in missing})
+    out = saved.stats[radii[0]]
+    for r in radii[1:]:
+        out = out.unionByName(saved.stats[r])
+    return out
 
 
 # -- moments and weights --------------------------------------------------------------------
@@ -130,8 +146,7 @@ def split_scores(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def inner_moments(saved: Saved, arms: Sequence[int]) -> DataFrame:
-    _, inner = split_scores(saved.scores)
-    return fold_moments(long_arms(inner, arms), saved.sources, floor=False)
+    return arm_moments(inner_stats(saved), len(saved.sources), arms).drop("radius")
 
 
 def learn_weights(saved: Saved, arm_set: Sequence[int], lam=None, screening: str | None = None) -> DataFrame:
@@ -151,12 +166,11 @@ def learn_weights(saved: Saved, arm_set: Sequence[int], lam=None, screening: str
 
 def learn_joint_weights(saved: Saved, lam=None, screening: str | None = None) -> DataFrame:
     """(outer_fold, eta of 2K): both arms from one quadratic."""
-    _, inner = split_scores(saved.scores)
     k = len(saved.sources)
     o = saved.options
     if (o.cutoff_lambda if lam is None else lam) == "cv":
         raise ValueError("the two-arm weights take a number as cutoff, not cross-validation")
-    return solve_joint_weights(pool_joint_moments(joint_moments(inner, saved.sources), k), o.cutoff_lambda if lam is None else lam, screening or o.screening)
+    return solve_joint_weights(pool_joint_moments(two_arm_moments(inner_stats(saved), k).drop("radius"), k), o.cutoff_lambda if lam is None else lam, screening or o.screening)
 
 
 # -- pseudo-values and results ------------------------------------------------------------------
@@ -218,8 +232,7 @@ def aggregate_tate(saved: Saved, mode: str | None = None, lam=None, screening: s
     w = settled(w)
     # both arms' values of a row are summed with opposite signs
     phi = pseudo_values(long_arms(outer, (1, 0)), w, saved.sources, saved.sizes, ("arm", "outer_fold"), 2 * saved.options.k)
-    tau = phi.groupBy("obs_id", "site").agg(F.sum(F.when(F.col("arm") == 1, F.col("value")).otherwise(-F.col("value"))).alias("value"))
-    return stratified_variance(tau).withColumn("method", F.lit(mode)), w
+    return stratified_variance(contrast(phi)).withColumn("method", F.lit(mode)), w
 
 
 def crossfit_mean(obs: DataFrame, arm: int, o: Options) -> tuple[DataFrame, Saved]:
@@ -235,37 +248,44 @@ def crossfit_tate(obs: DataFrame, o: Options) -> tuple[DataFrame, Saved]:
 def reaggregate(saved: Saved, cutoff: float | None = None, radius: float | None = None, mode: str | None = None, screening: str | None = None) -> DataFrame:
     """New cutoff, aggregation mode or inference radius from saved scores; nothing is refitted."""
     if radius is not None:
-        saved = replace(saved, scores=rescore(saved, radius))
+        saved = at_radius(saved, radius)
     return aggregate_tate(saved, mode, 1.0 / cutoff if cutoff else None, screening)[0]
 
 
 def sensitivity_grid(saved: Saved, cutoffs: Sequence[float], radii: Sequence[float]) -> DataFrame:
-    """TATE for every cutoff x inference radius, in the fitted aggregation mode: one score table per radius, all cutoffs in one job."""
+    """TATE for every cutoff x inference radius, in the fitted aggregation mode.
+
+    One pass gives the moments of all radii, one solve all weights; the evaluation rows are read once per radius for all cutoffs."""
     from functools import reduce
     k, parts, mode, rule = len(saved.sources), [], saved.options.aggregation, saved.options.screening
     if mode not in ("common_tate", "separate_arms", "joint_tate"):
         raise ValueError(f"unknown mode {mode!r}")
     arms = (2,) if mode == "common_tate" else (1, 0)
     keys = ("outer_fold",) if mode == "common_tate" else ("arm", "outer_fold")
+    radii = sorted({float(r) for r in radii})
+    stats = inner_stats(saved, radii)
+    cut = F.explode(F.array(*[F.lit(float(c)) for c in cutoffs]))
 
     def grid(m):
-        return m.withColumn("cutoff", F.explode(F.array(*[F.lit(float(c)) for c in cutoffs]))).withColumn("lam_c", 1 / F.col("cutoff"))
-
-    for r in sorted(set(radii)):
-        s = replace(saved, scores=rescore(saved, r))
-        outer, inner = split_scores(s.scores)
-        if mode == "joint_tate":
-            w = _by_arm(solve_joint_weights(grid(pool_joint_moments(joint_moments(inner, saved.sources), k)), "lam_c", rule), k, ("cutoff",))
-        else:
-            w = solve_weights(grid(pool_moments(inner_moments(s, arms), k)), "lam_c", rule)
-        phi = pseudo_values(long_arms(outer, arms), settled(w), saved.sources, saved.sizes, keys, saved.options.k * len(arms) * len(cutoffs), extra=("cutoff",))
-        if mode != "common_tate":
-            phi = phi.groupBy("obs_id", "site", "cutoff").agg(F.sum(F.when(F.col("arm") == 1, F.col("value")).otherwise(-F.col("value"))).alias("value"))
-        parts.append(settled(stratified_variance(phi, ["cutoff"]).withColumn("radius", F.lit(float(r)))))
-        s.scores.unpersist()  # one radius' rows at a time
+        return m.withColumn("cutoff", cut).withColumn("lam_c", 1 / F.col("cutoff"))
+
+    if mode == "joint_tate":
+        w = _by_arm(solve_joint_weights(grid(pool_joint_moments(two_arm_moments(stats, k), k, ("radius", "outer_fold"))), "lam_c", rule), k, ("cutoff", "radius"))
+    else:
+        w = solve_weights(grid(pool_moments(arm_moments(stats, k, arms), k, ("radius", "arm", "outer_fold"))), "lam_c", rule)
+    w = settled(w)
+    for r in radii:
+        outer, _ = split_scores(at_radius(saved, r).scores)
+        phi = pseudo_values(long_arms(outer, arms), w.filter(F.col("radius") == r), saved.sources, saved.sizes, keys, saved.options.k * len(arms) * len(cutoffs), extra=("cutoff",))
+        parts.append(stratified_variance(phi if mode == "common_tate" else contrast(phi, ("cutoff",)), ["cutoff"]).withColumn("radius", F.lit(r)))
     return reduce(DataFrame.unionByName, parts)
 
 
+def contrast(phi: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Arm 1 minus arm 0 of each row's pseudo-value."""
+    return phi.groupBy("obs_id", "site", *by).agg(F.sum(F.when(F.col("arm") == 1, F.col("value")).otherwise(-F.col("value"))).alias("value"))
+
+
 def source_table(saved: Saved, weights: DataFrame, arm: int = 2) -> DataFrame:
     """Per source: estimate, weight, fold spread, Wald statistics, activation and inclusion shares, discrepancies."""
     outer, _ = split_scores(saved.scores)
@@ -307,7 +327,7 @@ def weight_bootstrap(saved: Saved, b: int = C.WEIGHT_BOOTSTRAP_REPLICATES, seed:
     from ..operators.resample import _draw_sums
     if saved.options.aggregation != "common_tate" or (saved.options.cutoff_lambda if lam is None else lam) == "cv":
         raise ValueError("the weight bootstrap is defined for weights of the contrast with a fixed cutoff")
-    outer, inner = split_scores(saved.scores)
+    outer, _ = split_scores(saved.scores)
     lo = long_arms(outer, (2,))
     w = settled(learn_weights(saved, (2,), lam).select("outer_fold", "eta"))
     k, n = len(saved.sources), saved.n_all
@@ -337,8 +357,9 @@ def weight_bootstrap(saved: Saved, b: int = C.WEIGHT_BOOTSTRAP_REPLICATES, seed:
 
 def relearned_weights(saved: Saved, b: int = C.WEIGHT_BOOTSTRAP_REPLICATES, seed: int = 1, lam=None) -> DataFrame:
     """(draw, outer_fold, eta, wald, included): the weights solved again under every draw's row masses."""
-    _, inner = split_scores(saved.scores)
-    m = reweighted_moments(long_arms(inner, (2,)), saved.sources, b, seed)
+    o = saved.options
+    sums = contrast_draw_sums(saved.data, saved.coef, saved.sources, o.family, saved.radius, b, seed, o.target_program, o.target_radius)
+    m = reweighted_moments(settled(sums), saved.sources, b)
     # pooled with the draw's masses; sizes stay the row counts
     pooled = pool_weighted(m, len(saved.sources))
     return solve_weights(pooled, saved.options.cutoff_lambda if lam is None else lam, saved.options.screening).select("draw", "outer_fold", "eta", "wald", "included")
