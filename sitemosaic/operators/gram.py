@@ -160,21 +160,29 @@ def _pass_function(bc, derivatives: bool):
                             acc[mm, HEAD:] += g.T @ x
                             if full.any():
                                 second[place[mm[full]]] += (h if full.all() else h[:, full]).T @ (x[:, iu] * x[:, ju])
-        seen = np.flatnonzero(acc[:, 0] > 0)
+        # a row per group of neighbouring models: all their sums, then all their Hessians
+        bounds = s["bounds"]
+        reps = np.concatenate([[0], np.cumsum(rep)])
+        seen = np.flatnonzero(np.add.reduceat(acc[:, 0], bounds[:-1]) > 0) if m else np.empty(0, np.int64)
         for lo in range(0, len(seen), 512):
             part = seen[lo:lo + 512]
-            rows = [np.concatenate([acc[i], second[place[i]]]) if derivatives and rep[i] else acc[i] for i in part.tolist()]
+            rows = []
+            for i in part.tolist():
+                rows.append(acc[bounds[i]:bounds[i + 1]].ravel())
+                if derivatives:
+                    rows[-1] = np.concatenate([rows[-1], second[reps[bounds[i]]:reps[bounds[i + 1]]].ravel()])
             offsets = pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(s["block"][part]), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows)))], names=["model", "block", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows)))], names=["model", "vec"])
 
     return run
 
 
 def partial_sums(data: DataFrame, models: list[Model], beta: np.ndarray, x: str = "w", derivatives: bool = True, held: bool = False,
-                 at: np.ndarray | None = None, rep: np.ndarray | None = None, block: np.ndarray | None = None) -> DataFrame:
-    """(model, block, vec) of every task and row of beta: the sums stay on the executors.
+                 at: np.ndarray | None = None, rep: np.ndarray | None = None, bounds: np.ndarray | None = None) -> DataFrame:
+    """(model, vec) of every task and row of beta: the sums stay on the executors.
 
-    at: the model of each row of beta (default one row each). rep: rows that give a Hessian too (default all)."""
+    at: the model of each row of beta (default one row each). rep: rows that give a Hessian too (default all).
+    bounds: rows of beta from bounds[i] up to bounds[i + 1] come as one row `i`, their sums before their Hessians (default each alone)."""
     at = np.arange(len(models)) if at is None else at
     spark = data.sparkSession
     labels = sorted({k.site for k in models if k.site is not None})
@@ -192,7 +200,7 @@ def partial_sums(data: DataFrame, models: list[Model], beta: np.ndarray, x: str
         "codes": codes, "site": of([-1 if k.site is None else codes[k.site] for k in models]), "arm": of([-1 if k.arm is None else k.arm for k in models]),
         "cv": of([k.cv for k in models]), "drop": of([drops[k.drop] for k in models]), "held": of([held and k.cv > 0 for k in models]),
         "kind": of(kind), "kinds": {v: k for k, v in kinds.items()}, "beta": beta,
-        "rep": np.ones(len(at), dtype=bool) if rep is None else rep, "block": np.zeros(len(at), dtype=np.int32) if block is None else block.astype(np.int32)}
+        "rep": np.ones(len(at), dtype=bool) if rep is None else rep, "bounds": np.arange(len(at) + 1) if bounds is None else bounds}
     if any(k.plug for k in models):
         table, plug_at, seen, rows = [np.zeros(beta.shape[1])], np.zeros((len(models), folds), dtype=np.int32), {}, {}
         for i, k in enumerate(models):
@@ -212,7 +220,7 @@ def partial_sums(data: DataFrame, models: list[Model], beta: np.ndarray, x: str
     bc = spark.sparkContext.broadcast(state)
     rows = data if any_site or not labels else data.filter(F.col("site").isin(labels))
     rows = rows.select("site", "a", "y", F.col(x).alias("x"), "fold", "cv", "weight")
-    return rows.mapInArrow(_pass_function(bc, derivatives), "model int, block int, vec array<double>")
+    return rows.mapInArrow(_pass_function(bc, derivatives), "model int, vec array<double>")
 
 
 def accumulate(data: DataFrame, models: list[Model], beta: np.ndarray, x: str = "w", derivatives: bool = True, held: bool = False) -> np.ndarray:

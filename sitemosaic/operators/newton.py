@@ -179,8 +179,14 @@ def _steps(b, g, h, of, lams, pf):
         fine = ~aliased[plain]
         out[plain[fine]] -= np.linalg.solve(hs[fine], (g[plain] / d)[fine][:, :, None])[:, :, 0] / d[fine]
     rest = np.flatnonzero(lams != 0.0)
-    if len(rest):
-        out[rest] = quadratic_l1(b[rest], g[rest], h, pen[rest], of[rest])
+    if len(rest):  # the free intercept is solved out: coordinate descent sees centred features and needs few sweeps
+        b0, g0, at = b[rest], g[rest], of[rest]
+        h00 = np.maximum(h[:, 0, 0], 1e-300)
+        cross = h[:, 0, 1:]
+        inner = h[:, 1:, 1:] - cross[:, :, None] * cross[:, None, :] / h00[:, None, None]
+        new = quadratic_l1(b0[:, 1:], g0[:, 1:] - cross[at] * (g0[:, :1] / h00[at, None]), inner, pen[rest, 1:], at)
+        out[rest, 1:] = new
+        out[rest, 0] = b0[:, 0] - (g0[:, 0] + (cross[at] * (new - b0[:, 1:])).sum(axis=1)) / h00[at]
     return out, pen, aliased
 
 
@@ -239,10 +245,10 @@ def _groups(batches):
 def _met(rows: DataFrame, blocks: int) -> DataFrame:
     """Partial sums of a block in one partition, one block after the other."""
     n = min(blocks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(n, "block").sortWithinPartitions("block")
+    return rows.select("model", "block", "vec").repartition(n, "block").sortWithinPartitions("block")
 
 
-CHUNK_BASES = 16
+CHUNK_BASES = 6
 
 
 def starts(data: DataFrame, bases: list[Model], cvs: list[list[int]], x: str, shape: Shape, moments: dict | None, grids: np.ndarray | None, floors: np.ndarray) -> list[list[Start]]:
@@ -326,36 +332,35 @@ def starts(data: DataFrame, bases: list[Model], cvs: list[list[int]], x: str, sh
 def advance(data: DataFrame, every: list[Model], x: str, shape: Shape, at, block, trial, lams, pf, denom, moment):
     """One pass at the trial coefficients: objective, residual and next target of each state (a row of trial)."""
     p1 = shape.p1
-    q = p1 * (p1 + 1) // 2
+    q, width = p1 * (p1 + 1) // 2, HEAD + p1
     out_fv, out_kkt, out_target = np.full(len(at), np.inf), np.full(len(at), np.inf), trial.copy()
     failed = np.zeros(len(at), dtype=bool)
     sc = data.sparkSession.sparkContext
-    starts_of = np.flatnonzero(np.diff(block, prepend=-1))
-    ends_of = np.append(starts_of[1:], len(at))
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    rep = np.zeros(len(at), dtype=bool)
+    rep[(first + np.append(first[1:], len(at))) // 2] = True
+    lead = np.cumsum(np.isin(np.arange(len(at)), first)) - 1   # block of each state, counted through
+    bounds = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))  # states of a model
+    cost = np.add.reduceat(2 * p1 + q * rep, bounds[:-1])
     lo = 0
-    while lo < len(starts_of):
-        hi, size = lo, 0
-        while hi < len(starts_of) and (hi == lo or size + (ends_of[hi] - starts_of[hi]) * 2 * p1 + q <= STATE_BYTES // 8):
-            size += (ends_of[hi] - starts_of[hi]) * 2 * p1 + q
-            hi += 1
-        span = slice(starts_of[lo], ends_of[hi - 1])
-        rep = np.zeros(span.stop - span.start, dtype=bool)
-        rep[(starts_of[lo:hi] + ends_of[lo:hi]) // 2 - span.start] = True
+    while lo < len(bounds) - 1:
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(cost[lo:]), STATE_BYTES // 8, side="right")))
+        span = slice(bounds[lo], bounds[hi])
+        mine = bounds[lo:hi + 1] - span.start
         lo = hi
-        todo = sc.broadcast((trial[span], lams[span], pf[span], denom[span], moment[span], rep))
+        todo = sc.broadcast((trial[span], lams[span], pf[span], denom[span], moment[span], rep[span], lead[span], mine))
 
         def solve(batches, todo=todo):
-            b0, lam, pfs, den, mom, rep = todo.value
+            b0, lam, pfs, den, mom, rep, lead, mine = todo.value
             iu, ju = np.triu_indices(p1)
 
             def out(held):
-                ids = np.concatenate([np.array(sorted(sums)) for sums in held])
-                of = np.repeat(np.arange(len(held)), [len(sums) for sums in held])
-                lead = ids[rep[ids]]
-                every = {i: v for sums in held for i, v in sums.items()}
-                h = np.zeros((len(held), p1, p1))
-                h[:, iu, ju] = h[:, ju, iu] = np.stack([every[i][HEAD + p1:] for i in lead.tolist()]) / den[lead, None]
-                vec = np.stack([every[i][:HEAD + p1] for i in ids.tolist()])
+                ids = np.concatenate([np.arange(mine[g], mine[g + 1]) for g, _ in held])
+                vec = np.concatenate([v[:width * (mine[g + 1] - mine[g])].reshape(-1, width) for g, v in held])
+                hv = np.concatenate([v[width * (mine[g + 1] - mine[g]):].reshape(-1, q) for g, v in held])
+                h = np.zeros((len(hv), p1, p1))
+                h[:, iu, ju] = h[:, ju, iu] = hv / den[ids[rep[ids]], None]
+                _, of = np.unique(lead[ids], return_inverse=True)
                 b = b0[ids]
                 g = vec[:, HEAD:] / den[ids, None] + mom[ids]
                 target, pen, aliased = _steps(b, g, h, of, lam[ids], pfs[ids])
@@ -363,17 +368,18 @@ def advance(data: DataFrame, every: list[Model], x: str, shape: Shape, at, block
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ids) + 1) * p1, p1, dtype=np.int32)), pa.array(target.ravel()))
                 return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(fv), pa.array(kkt_residual(b, g, pen)), flat, pa.array(aliased)], ["state", "fv", "kkt", "target", "aliased"])
 
-            held, most = [], max(1, min(2048, 2_000_000 // (p1 * p1)))
-            for _, sums in _groups(batches):
-                held.append(sums)
-                if len(held) >= most:
-                    yield out(held)
-                    held = []
+            held, size, most = [], 0, max(1, min(4096, 4_000_000 // (p1 * p1)))
+            for g, sums in _groups(batches):
+                held.append((g, sums[g]))
+                size += mine[g + 1] - mine[g]
+                if size >= most:
+                    yield out(sorted(held, key=lambda x: x[0]))
+                    held, size = [], 0
             if held:
-                yield out(held)
+                yield out(sorted(held, key=lambda x: x[0]))
 
-        rows = partial_sums(data, every, trial[span], x, at=at[span], rep=rep, block=block[span])
-        t = _met(rows, len(starts_of)).mapInArrow(solve, "state int, fv double, kkt double, target array<double>, aliased boolean").toArrow()
+        rows = partial_sums(data, every, trial[span], x, at=at[span], rep=rep[span], bounds=mine).withColumn("block", F.col("model"))
+        t = _met(rows, len(mine) - 1).mapInArrow(solve, "state int, fv double, kkt double, target array<double>, aliased boolean").toArrow()
         ids = t.column("state").to_numpy() + span.start
         if len(ids):
             out_fv[ids], out_kkt[ids], failed[ids] = t.column("fv").to_numpy(), t.column("kkt").to_numpy(), t.column("aliased").to_numpy()
