@@ -332,6 +332,21 @@ def i3(spark, d):
     return rnd(long.groupBy("outer_fold", "inner_fold", "arm").agg(F.count(F.lit(1)).alias("n"), F.avg("phi").alias("estimate"), F.round(F.var_pop("phi"), 5).alias("v_ot")))
 
 
+@query("I3_training_scores", f"""{WITH}, {fold_sql(4)}, {K3.replace('(3)', '(3), (4)')}, pr AS (SELECT k.k AS outer_fold, c.k AS inner_fold FROM ks k, ks c WHERE k.k <> c.k UNION ALL SELECT k, NULL FROM ks),
+ al AS (SELECT a AS arm, outer_fold, inner_fold, regr_intercept(y_num, x1) AS b0, regr_slope(y_num, x1) AS b1 FROM f, pr WHERE site = 't' AND fold <> outer_fold AND fold <> coalesce(inner_fold, 0) GROUP BY ALL),
+ s AS (SELECT outer_fold, inner_fold, CASE WHEN fold = coalesce(inner_fold, outer_fold) THEN 'evaluation' ELSE 'training' END AS role, arm,
+  b0 + b1 * x1 + CASE WHEN a = arm THEN (y_num - b0 - b1 * x1) / CASE arm WHEN 1 THEN 0.4e0 ELSE 0.6e0 END ELSE 0 END AS phi FROM f JOIN al ON site = 't' AND (inner_fold IS NULL OR fold <> outer_fold))
+ SELECT outer_fold, inner_fold, role, count(*) FILTER (WHERE arm = 1) AS n, {R('avg(phi) FILTER (WHERE arm = 1)', 'mu1')}, {R('avg(phi) FILTER (WHERE arm = 0)', 'mu0')}, {R('var_pop(phi) FILTER (WHERE arm = 1)', 'v1', 5)} FROM s GROUP BY ALL""")
+def i3b(spark, d):
+    t = data_of(spark, d, k=4).filter("site = 't'")
+    combos = [(k, c) for k in range(1, 5) for c in (None, *range(1, 5)) if c != k]
+    drops = sorted({tuple(sorted({k} | ({c} if c else set()))) for k, c in combos})
+    fits = fi._by_key(fi.fit_glm(t, fi.keys("or", [C.TARGET], ARMS, drops), "gaussian"))
+    ps = {dd: np.array([math.log(0.4 / 0.6), 0.0]) for dd in drops}
+    s = es.complement_scores(t, combos, ps, {(a, dd): fits[(C.TARGET, a, dd)].beta for a in ARMS for dd in drops}, "gaussian", range(1, 5), training=True)
+    return rnd(s.groupBy("outer_fold", "inner_fold", "role").agg(F.count(F.lit(1)).alias("n"), F.avg("phi1").alias("mu1"), F.avg("phi0").alias("mu0"), F.round(F.var_pop("phi1"), 5).alias("v1")))
+
+
 @query("I4_target_reference", f"{XF} SELECT n, {R('e', 'estimate')}, {R('sqrt(s2)', 'se')}, {R('s2', 'variance', 8)} FROM st WHERE site = 't'")
 def i4(spark, d):
     data = prepare(obs(spark, d, folds=5))
@@ -825,6 +840,12 @@ def e25(spark, d):
     return rnd(cf.source_table(s, w))
 
 
+@query("E26_pairwise_table", f"""{KN}, {TAU}, p AS (SELECT src, sum(n_t * mp) / sum(n_t) + sum(n_s * de) / sum(n_s) AS e, sum(n_t * mu_t) / sum(n_t) AS t FROM mm2 WHERE fold = outer_fold GROUP BY src)
+ SELECT src AS source, {R('e', 'estimate')}, CAST(NULL AS DOUBLE) AS se, {R('t', 'target_estimate')}, {R('power(t - e, 2)', 'gap_squared')} FROM p""")
+def e26p(spark, d):
+    return rnd(cf.pairwise_table(known(spark, d)))
+
+
 @query("E26_weight_table", f"""{K1}, {TAU}, {solve_sql()} SELECT 2 AS arm, CAST(outer_fold AS VARCHAR) AS fold, 's1' AS source, {R('eta', 'weight')}, {R('wald', 'wald')}, {R('greatest(wald - 1, 0)', 'penalty')}, 1e0 AS inclusion FROM eta
  UNION ALL SELECT 2, 'all', 's1', {R('avg(eta)', 'weight')}, {R('avg(wald)', 'wald')}, {R('avg(greatest(wald - 1, 0))', 'penalty')}, 1e0 FROM eta""")
 def e26w(spark, d):

@@ -302,6 +302,20 @@ def source_table(saved: Saved, weights: DataFrame, arm: int = 2) -> DataFrame:
         F.avg(at("included").cast("double")).alias("inclusion_fraction"), F.avg(F.abs(gap)).alias("discrepancy_mean_abs"), F.max(F.abs(gap)).alias("discrepancy_max_abs"))
 
 
+def pairwise_table(saved: Saved, arm: int = 2) -> DataFrame:
+    """Per source: its assisted estimate of the target, the target-only one and their squared gap. Predictions are pooled by target rows of the evaluation folds,
+    corrections by source rows; the pairwise estimate carries no standard error of its own."""
+    o, k = saved.options, len(saved.sources)
+    own = saved.coef.filter(F.col("fold") == F.col("outer_fold"))
+    m = arm_moments(score_stats(saved.data, own, saved.sources, o.family, [saved.radius], o.target_program, o.target_radius, inner=False), k, (arm,))
+    nt = F.col("n_t")
+    g = m.agg((F.sum(nt * F.col("mu_t")) / F.sum(nt)).alias("target"), *[f for i in range(k) for f in (
+        (F.sum(nt * F.col("mu_pred")[i]) / F.sum(nt) + F.sum(F.col("n_s")[i] * F.col("delta")[i]) / F.sum(F.col("n_s")[i])).alias(f"e{i}"),)])
+    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"e{i}").alias("estimate")) for i, s in enumerate(saved.sources)])).alias("s")
+    return g.select("target", rows).select("s.source", "s.estimate", F.lit(None).cast("double").alias("se"), F.col("target").alias("target_estimate"),
+                                           F.pow(F.col("target") - F.col("s.estimate"), 2).alias("gap_squared"))
+
+
 def result_rows(result: DataFrame, label: str | None = None) -> DataFrame:
     """method, estimate, se and the interval; rows without a finite estimate and se keep NULLs."""
     fin = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))

@@ -63,6 +63,31 @@ def crossfit_site_scores(data: DataFrame, k: int, family: str, nuisance: str = "
     return j.select("obs_id", "site", "a", "fold", aipw("y", "a", m[1], pi, 1).alias("phi1"), aipw("y", "a", m[0], 1 - pi, 0).alias("phi0"))
 
 
+def complement_scores(data: DataFrame, combos: Sequence[tuple[int, int | None]], ps: dict, outcome: dict, family: str, folds: Sequence[int], training: bool = False) -> DataFrame:
+    """Scores of models fitted without an outer fold (and an inner one): on the evaluation fold, which is the inner one if there is one, and on request on the training rows too.
+
+    ps[excluded], outcome[(arm, excluded)] are coefficients. One pass scores both roles; a row of (outer, inner) has role `evaluation` or `training`, and the excluded
+    outer fold of an inner pair has neither.
+    """
+    fl = lambda b: [float(v) for v in b]
+    ad, i = T.ArrayType(T.DoubleType()), T.IntegerType()
+    schema = T.StructType([T.StructField("fold", i), T.StructField("outer_fold", i), T.StructField("inner_fold", i), T.StructField("role", T.StringType()),
+                           T.StructField("ps", ad), T.StructField("b1", ad), T.StructField("b0", ad)])
+    rows = []
+    for outer, inner in combos:
+        d = (outer,) if inner is None else tuple(sorted((outer, inner)))
+        for f in folds:
+            role = "evaluation" if f == (outer if inner is None else inner) else "training" if training and f not in d else None
+            if role:
+                rows.append((f, outer, inner, role, fl(ps[d]), fl(outcome[(1, d)]), fl(outcome[(0, d)])))
+    p, pz = len(rows[0][5]) - 1, len(rows[0][4]) - 1
+    j = data.join(sized(data.sparkSession.createDataFrame(rows, schema), len(rows), 24 * (p + 2)), "fold")
+    pi = clip_propensity(logistic(linear_predictor("z", "ps", pz)))
+    m = {a: clip_outcome(mean_response(linear_predictor("w", f"b{a}", p), family), family) for a in (1, 0)}
+    return j.select("obs_id", "site", "a", "fold", "outer_fold", "inner_fold", "role", pi.alias("propensity"), m[1].alias("m1"), m[0].alias("m0"),
+                    aipw("y", "a", m[1], pi, 1).alias("phi1"), aipw("y", "a", m[0], 1 - pi, 0).alias("phi0"))
+
+
 def site_table(scores: DataFrame, value: str = "phi", by: Sequence[str] = ("site",)) -> DataFrame:
     """site_est(site, estimate, v, variance, n): v is the population variance of the score, variance = v / n."""
     g = scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("estimate"), F.var_pop(value).alias("v_ot"))
