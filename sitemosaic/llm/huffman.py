@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import new_folder, pack_ints, shuffle_parts, slices, stored, tidy, unpack_ints
-from .pretokens import assemble, chunk_of, grouped, rows_of
+from .pretokens import END, assemble, borders, distinct, grouped, rows_of
 from .token_counts import WordModel
 
 BLOCK = 1 << 18
@@ -36,8 +37,60 @@ _known: dict = {}
 
 
 # -- ids ---------------------------------------------------------------------------
+class Numbering(dict):
+    """Words to numbers in order of first sight."""
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
+
+
+class Encoder:
+    """Ids of texts: cut at ASCII white space, which no match of the pattern holds; a cut's ids are found once and remembered by its bytes."""
+
+    def __init__(self, model: WordModel):
+        self.encode, self.type = model.encoder(), np.uint16 if model.small else np.uint32
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.words = Numbering(), {}
+        self.counts, self.flat = np.empty(0, np.int64), np.empty(0, self.type)
+
+    def learn(self) -> None:
+        """Ids of the cuts that are new: their pre-tokens, each distinct one encoded once."""
+        new = list(islice(self.number, len(self.counts), None))
+        if not new:
+            return
+        cp = np.frombuffer((b"\n".join(new) + b"\n").decode().encode("utf-32-le"), np.uint32).copy()
+        cp[cp == 10] = END  # each cut is a document of its own
+        starts, ends, cut = borders(cp, False)
+        words, _, codes = distinct(cp, starts, ends)
+        known, encode, got = self.words, self.encode, []
+        for w in words:
+            v = known.get(w)
+            if v is None:
+                v = known[w] = np.array(encode(w), self.type).tobytes()
+            got.append(v)
+        counts = np.fromiter(map(len, got), np.int64, len(got)) // np.dtype(self.type).itemsize
+        ids, ends = assemble(codes, np.bincount(cut, minlength=len(new)), counts, np.cumsum(counts) - counts, np.frombuffer(b"".join(got), self.type))
+        self.counts, self.flat = np.concatenate([self.counts, np.diff(ends, prepend=0)]), np.concatenate([self.flat, ids])
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order, and where each text ends in them."""
+        if len(self.number) > HELD:
+            self.forget()
+        find, codes, sizes = self.number.__getitem__, [], []
+        for t in texts:
+            cuts = t.encode().split()
+            codes.append(np.fromiter(map(find, cuts), np.uint32, len(cuts)))
+            sizes.append(len(cuts))
+        self.learn()
+        return assemble(np.concatenate(codes) if codes else np.empty(0, np.uint32), np.array(sizes, np.int64), self.counts, np.cumsum(self.counts) - self.counts, self.flat)
+
+
 def token_ids(docs: DataFrame, model: WordModel, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids (packed): the tokenizer's ids of each text and end_id. Strings of special tokens give their id, as the tokenizer's default has it."""
+    """key, ids (packed): the tokenizer's ids of each text and end_id. Strings of special tokens give their id, as the tokenizer's default has it.
+    A task's last rows carry its counts instead: symbols and numbers (packed)."""
     from pyspark.sql.pandas.types import to_arrow_type
     shared = docs.sparkSession.sparkContext.broadcast(model.source)
     key_type = to_arrow_type(docs.schema[key].dataType)
@@ -45,8 +98,11 @@ def token_ids(docs: DataFrame, model: WordModel, end_id: int, key: str = "doc_id
     @tidy
     def run(batches):
         own = WordModel(shared.value)
-        encode, normal = own.encoder(), own.normal()
-        known = _known.setdefault(hash(own.source), {})  # lives as long as the Python worker
+        normal = own.normal()
+        if hash(own.source) not in _known:  # lives as long as the Python worker
+            _known[hash(own.source)] = Encoder(own)
+        encode = _known[hash(own.source)]
+        total = np.zeros(1, np.int64)
         for rows in grouped(rows_of(batches)):
             pieces, suffix, last = [], [], []
             for _, t in rows:  # a text is cut at special strings; each piece is followed by that id or the end id
@@ -59,39 +115,30 @@ def token_ids(docs: DataFrame, model: WordModel, end_id: int, key: str = "doc_id
                     pieces.append(lowered)
                     suffix.append(end_id)
                 last.append(len(pieces) - 1)
-            c = chunk_of([], pieces, False)
-            new = [w for w in c.words if w not in known]
-            if len(known) + len(new) > HELD:
-                known.clear()
-                new = c.words
-            for w in new:
-                known[w] = np.array(encode(w), np.uint16 if own.small else np.uint32).tobytes()
-            got = [known[w] for w in c.words]
-            width = 2 if own.small else 4
-            counts = np.fromiter(map(len, got), np.int64, len(got)) // width
-            flat = np.frombuffer(b"".join(got), np.uint16 if own.small else np.uint32).astype(np.uint32)
-            ids, ends = assemble(c.codes, c.sizes, counts, np.cumsum(counts) - counts, flat)
-            ids = np.insert(ids, ends, np.array(suffix, np.uint32))
+            ids, ends = encode(pieces)
+            ids = np.insert(ids.astype(np.uint32), ends, np.array(suffix, np.uint32))
             ends = (ends + np.arange(1, len(ends) + 1))[last]
             starts = np.concatenate([[0], ends[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], key_type), pa.array([pack_ints(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())], ["key", "ids"])
+            n = np.bincount(ids)
+            if len(n) > len(total):
+                total, n = n.astype(np.int64), total
+            total[:len(n)] += n
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], key_type), pa.array([pack_ints(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()), pa.nulls(len(rows), pa.binary())], ["key", "ids", "counts"])
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.nulls(1, pa.binary()), pa.array([np.stack([at, total[at]]).astype(np.int64).tobytes()], pa.binary())], ["key", "ids", "counts"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, ids binary")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, ids binary, counts binary")
 
 
 def id_counts(ids: DataFrame) -> DataFrame:
-    """symbol, n over all documents; each task adds up its own first."""
+    """symbol, n over all documents, from what the tasks have counted."""
     def run(batches):
-        total = np.zeros(1, np.int64)
         for b in batches:
             for v in b.column(0).to_pylist():
-                n = np.bincount(unpack_ints(v))
-                if len(n) > len(total):
-                    total, n = n.astype(np.int64), total
-                total[:len(n)] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["symbol", "n"])
-    return ids.select("ids").mapInArrow(run, "symbol int, n bigint").groupBy("symbol").agg(F.sum("n").alias("n"))
+                at, n = np.frombuffer(v, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n)], ["symbol", "n"])
+    return ids.filter("counts IS NOT NULL").select("counts").mapInArrow(run, "symbol int, n bigint").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 # -- the code ----------------------------------------------------------------------
@@ -214,7 +261,7 @@ def write_ids(docs: DataFrame, model: WordModel, end_id: int, path: str | None =
                 _keys_out(keys), pack_ints(np.fromiter((len(v) for _, v in group), np.uint32, len(group))), pack_ints(points), bits))], ["part", "block", "before", "keys", "sizes", "points", "bits"])
             before += len(every)
 
-    (ids.repartitionByRange(shuffle_parts(spark), F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "ids")
+    (ids.filter("ids IS NOT NULL").select("key", "ids").repartitionByRange(shuffle_parts(spark), F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "ids")
         .mapInArrow(run, "part int, block int, before bigint, keys binary, sizes binary, points binary, bits binary").write.option("compression", "none").parquet(f"{path}/blocks"))
     return path
 

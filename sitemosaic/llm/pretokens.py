@@ -30,15 +30,15 @@ class Chunk(NamedTuple):
 
 @lru_cache(1)
 def classes() -> np.ndarray:
-    """Class of every code point, from the Unicode properties that the pattern names."""
-    import regex
+    """Class of every code point as the tokenizer library has it: the library itself says which characters match the properties that the pattern names,
+    so its Unicode version counts and not that of another module."""
+    import tiktoken
     out = np.zeros(END + 1, np.uint8)
-    low = "".join(map(chr, range(0xD800)))
-    high = "".join(map(chr, range(0xE000, END)))
-    for code, prop in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for first, chars in ((0, low), (0xE000, high)):
-            for m in regex.finditer(prop, chars):
-                out[first + m.start():first + m.end()] = code
+    every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, END)))
+    single = {bytes([i]): i for i in range(256)}
+    for code, prop in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        probe = tiktoken.Encoding("probe", pat_str=prop, mergeable_ranks=single, special_tokens={})  # what does not match gives no ids
+        out[np.frombuffer(bytes(probe.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = code
     out[END] = STOP
     return out
 

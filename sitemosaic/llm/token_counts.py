@@ -9,6 +9,7 @@ import json
 import os
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,18 @@ from .common import pack_ints, unpack_ints
 from .word_shuffle import by_distinct_word
 
 
+@lru_cache(1)
+def unknown_here() -> np.ndarray:
+    """Characters that Python's Unicode tables do not have; the library's, which may be newer, decide about texts with them."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+
+
+@lru_cache(1)
+def library_normalizer():
+    from tokenizers import Regex, normalizers
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+
+
 def byte_alphabet() -> dict[int, str]:
     """Printable characters that stand for the 256 bytes: a byte's own character if it is printable Latin-1, else the next after 255."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,6 +62,8 @@ class WordModel:
                 if ids:
                     text = find.sub(" ", text)
             if not text.isascii():
+                if unknown_here()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
+                    return library_normalizer().normalize_str(text), ids
                 text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each character is lowered by itself
             return text.lower(), ids
         return run
