@@ -3,7 +3,7 @@
 Every stage works on all documents that its predecessor kept, and its decisions take effect. Rows without doc_id stay where a decision is
 made by doc_id: they cannot be told apart, so nothing is decided about them. A doc_id may repeat: decisions are made by (doc_id, text hash),
 so rows of one doc_id with different texts are judged each by its own text, and of rows with the same doc_id and text one stays. Null texts
-count as empty; an empty table stays empty.
+count as empty; an empty table stays empty. Columns of other names pass through all stages but the last, whatever they are called.
 """
 from __future__ import annotations
 
@@ -18,6 +18,19 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 HASH = "_text_hash"
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage):
+    """The stage, with all other columns of the documents under names that nothing else uses while it runs: they cannot clash with what it adds."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        name = {c: c if c in OWN else f"_extra{i}" for i, c in enumerate(docs.columns)}
+        back = {v: c for c, v in name.items()}
+        out = stage(spark, docs.select(*[quoted(c).alias(v) for c, v in name.items()]), sf_dir)
+        return out.select(*[quoted(c).alias(back.get(c, c)) for c in out.columns])
+    run.__doc__, run.__name__ = stage.__doc__, stage.__name__
+    return run
 
 
 def with_hash(docs: DataFrame) -> DataFrame:
@@ -25,6 +38,7 @@ def with_hash(docs: DataFrame) -> DataFrame:
     return docs.withColumn(HASH, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
+@apart
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts of no language that the documents' labels teach; all stay if there is no label."""
     model = langid.fit(docs)
@@ -35,6 +49,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(columns)
 
 
+@apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the least doc_id, of several texts with this doc_id the one with the least hash."""
     named = with_hash(docs.filter(F.col("doc_id").isNotNull()))
@@ -44,6 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
+@apart
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every occurrence of a string that occurs again and has over 50 words, or 400 bytes (for scripts without blanks), is cut from the
     texts; n_chars follows the text."""
@@ -56,6 +72,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.select(docs.columns)
 
 
+@apart
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a benchmark item covers a twentieth of the words or more go."""
     named = with_hash(docs)
@@ -65,6 +82,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return named.join(decontaminate.small(found), ["doc_id", HASH], "left_anti").select(docs.columns)
 
 
+@apart
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text (little-endian unsigned 32-bit integers), and digests of the ids and of the bytes that they decode to."""
     import public_tokenizers
