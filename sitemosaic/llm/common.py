@@ -28,6 +28,17 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch, for maps whose rows are whole texts: a batch stands in the executor and in its worker."""
+    now = spark.conf.get(BATCH_SETTING, None)
+    size = int(now.rstrip("b")) if now and now.rstrip("b").lstrip("-").isdigit() else -1
+    if not 0 < size <= most:
+        spark.conf.set(BATCH_SETTING, f"{most}b")
+
+
 # -- integers and strings as compressed blocks -------------------------------------
 def pack_ints(a: np.ndarray) -> bytes:
     """Unsigned 32-bit integers: byte planes (as many as the largest value needs), compressed."""

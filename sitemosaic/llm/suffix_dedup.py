@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, ranges, shuffle_parts, slices, tidy
+from .common import checkpoint, ranges, shuffle_parts, slices, small_batches, tidy
 from .pretokens import powers
 from .url_filter import bloom, possible
 
@@ -34,7 +34,7 @@ LENGTH = 400
 GRAM = 64
 SYMBOL = 16
 CROWD = 3000
-BUNDLE = 200_000    # symbols
+BUNDLE = 80_000     # symbols
 SEGMENT = 1 << 20   # bytes; longer texts are read in overlapping segments
 PLACE = np.uint64(SEGMENT - 1)
 
@@ -230,7 +230,7 @@ ANCHOR = "ah bigint, fh bigint, t1 bigint, t2 int, lo int, at int, hi int"
 def anchors(texts: DataFrame, length: int) -> DataFrame:
     @tidy
     def run(batches):
-        for b in slices(batches, 1000):
+        for b in slices(batches, 250):
             cols = [[] for _ in range(5)]
             t1, t2 = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             count = np.zeros(b.num_rows, np.int64)
@@ -333,6 +333,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """t1, t2, spans: sorted, disjoint (first, end) byte spans of every text that has some."""
     if length < GRAM + SYMBOL or length > 900:
         raise ValueError("the length must be between 80 and 900")
+    small_batches(docs.sparkSession)
     texts = named(docs, key, text)
     every = anchors(texts, length)
     again = checkpoint(every.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah"))
@@ -422,6 +423,7 @@ def repeated_word_spans(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     Texts become strings of word codes, in which repeated_spans finds repeated strings of words x 8 bytes; a span's whole words are looked
     up in the text. It reaches from the first byte of its first word to the last of its last."""
+    small_batches(docs.sparkSession)
     coded = with_codes(named(docs, key, text), words)
     found = checkpoint(repeated_spans(coded.select("codes"), "codes", "codes", WORD * words).select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "spans"))
     table, blocks = bloom(found.select("c1").distinct(), "c1")

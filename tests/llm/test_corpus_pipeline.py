@@ -125,3 +125,20 @@ def test_repeated_ids(spark, tmp_path):
     assert kept == sorted([(1, copied), (5, alone), (7, clean), (7, dirty), rows[7], (None, dirty), (None, dirty)], key=str)
     left = sorted(((r.doc_id, r.text) for r in cp.decontamination(spark, docs, str(tmp_path)).collect()), key=str)
     assert left == sorted([r for r in rows if r != (7, dirty)], key=str)
+
+
+def test_columns_of_any_name_pass(spark, corpus, tmp_path):
+    d, _ = corpus
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    extra = ["lang_pred", "score", "kept", "kept_text", "spans", "n_bytes", "_text_hash", "possible", "t1", "key", "body", "row", "component_id", "_extra0", "a.b"]
+    more = docs
+    for c in extra:
+        more = more.withColumn(c, F.lit("clash"))
+    for k, (name, stage) in enumerate(cp.STAGES[:-1]):
+        stage(spark, docs, d).write.parquet(f"{tmp_path}/plain{k}")
+        stage(spark, more, d).write.parquet(f"{tmp_path}/more{k}")
+        docs, more = spark.read.parquet(f"{tmp_path}/plain{k}"), spark.read.parquet(f"{tmp_path}/more{k}")
+        assert more.columns == docs.columns + extra, name
+        assert sorted(map(str, more.select(docs.columns).collect())) == sorted(map(str, docs.collect())), name
+        assert more.select([F.col(f"`{c}`") for c in extra]).distinct().count() == 1
+    assert cp.STAGES[-1][1](spark, more, d).count() == docs.count()
