@@ -121,7 +121,14 @@ def unlzw(data: bytes) -> bytes:
 
 
 PACK = {NONE: bytes, LZW: lzw, DEFLATE: lambda b: zlib.compress(b, 3), PACKBITS: packbits}
-UNPACK = {NONE: bytes, LZW: unlzw, DEFLATE: lambda b: zlib.decompress(b), OLD_DEFLATE: lambda b: zlib.decompress(b), PACKBITS: unpackbits}
+EXPANDS = {NONE: 1, LZW: 2800, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}  # the most bytes that a stored byte can stand for
+
+
+def inflate(b: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(b, most)
+
+
+UNPACK = {NONE: bytes, LZW: unlzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpackbits}
 
 
 # -- reading -----------------------------------------------------------------------
@@ -155,19 +162,28 @@ def image(b: bytes, f: dict) -> tuple[int, int, int, int, bytes]:
     unpack = UNPACK.get(one(COMPRESSION, NONE))
     if unpack is None or bits not in (8, 16) or len(set(f.get(BITS, (1,)))) > 1 or not width or not height:
         raise ValueError("this compression or sample size is not read")
+    if not 0 < samples <= 64 or not all(isinstance(x, int) for x in (width, height)):
+        raise ValueError("no such number of samples")
     dtype = np.dtype(f["order"] + f"u{bits // 8}")
     planes, deep = (samples, 1) if one(PLANAR, 1) == 2 else (1, samples)
-    out = np.zeros((planes, height, width, deep), dtype.newbyteorder("<"))
     tiled = TILE_OFFSETS in f
     tw, th = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+    if not (isinstance(tw, int) and isinstance(th, int) and tw > 0 and th > 0):
+        raise ValueError("a strip or tile has no size")
     across, down = -(-width // tw), -(-height // th)
     offsets, counts = (f[TILE_OFFSETS], f[TILE_COUNTS]) if tiled else (f[STRIP_OFFSETS], f[STRIP_COUNTS])
+    if len(offsets) != planes * across * down or len(counts) != len(offsets):
+        raise ValueError("strips or tiles are missing or too many")
+    whole = planes * across * down * tw * th * deep * dtype.itemsize if tiled else height * width * samples * dtype.itemsize
+    if whole > EXPANDS[one(COMPRESSION, NONE)] * (sum(min(n, len(b)) for n in counts) + 64):
+        raise ValueError("the file cannot hold that many samples")  # before memory is taken for them
+    out = np.zeros((planes, height, width, deep), dtype.newbyteorder("<"))
     for k, (at, n) in enumerate(zip(offsets, counts)):
         plane, rest = divmod(k, across * down)
         y, x = rest // across * th, rest % across * tw
         rows = th if tiled else min(th, height - y)
-        raw = unpack(b[at:at + n])
         need = rows * tw * deep * dtype.itemsize
+        raw = inflate(b[at:at + n], need) if unpack is inflate else unpack(b[at:at + n])
         if len(b) < at + n or len(raw) < need:
             raise ValueError("a strip or tile is cut short")
         part = np.frombuffer(raw[:need], dtype).reshape(rows, tw, deep)
@@ -203,7 +219,7 @@ def pages(media: DataFrame, column: str = "media") -> DataFrame:
             for k, f in enumerate(directories(value)):
                 w, h, s, bits, pixels = image(value, f)
                 yield k + 1, w, h, s, bits, pixels, features(np.frombuffer(pixels, f"<u{bits // 8}")), None
-        except (ValueError, struct.error, zlib.error, IndexError, KeyError) as e:
+        except (ValueError, struct.error, zlib.error, IndexError, KeyError, TypeError, ArithmeticError, MemoryError) as e:
             yield 0, None, None, None, None, None, None, str(e) or type(e).__name__
 
     def run(batches):

@@ -225,3 +225,29 @@ def test_boxes_outside_the_windows_stay_closed():
     best = hard_negatives.Best(300_000, 500_000, 3)
     tree.search(-1, 2, np.array([1000, 0, 0]), [best], same=False)
     assert tree.opened <= 2 and len(best.score) == 3 and (best.score >= 400_000).all()
+
+
+# -- malformed images -----------------------------------------------------------------
+def test_malformed_tiff_is_an_error_row(spark):
+    import struct
+
+    from sitemosaic.llm import tiff
+    good = tiff.write([bytes(range(256)) * 20])
+    fields = tiff.directories(good)[0]
+    assert tiff.image(good, fields)[4] == bytes(range(256)) * 20
+
+    def changed(tag, value):
+        b = bytearray(good)
+        at, = struct.unpack_from("<I", b, 4)
+        n, = struct.unpack_from("<H", b, at)
+        for k in range(n):
+            if struct.unpack_from("<H", b, at + 2 + 12 * k)[0] == tag:
+                kind, = struct.unpack_from("<H", b, at + 4 + 12 * k)
+                struct.pack_into("<H2x" if kind == 3 else "<I", b, at + 10 + 12 * k, value)
+        return bytes(b)
+
+    bad = [changed(tiff.ROWS_PER_STRIP, 0), changed(tiff.IMAGE_WIDTH, 65535), changed(tiff.IMAGE_LENGTH, 65535), changed(tiff.SAMPLES, 0), changed(tiff.COMPRESSION, 77), good[:len(good) // 2], good[:9], b"II", b"MM\x00*" + b"\xff" * 40]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate([good, *bad, None, b""])], "i int, media binary")
+    rows = tiff.pages(df).collect()
+    assert [(r.i, r.page, r.error) for r in rows if r.i == 0] == [(0, 1, None)]
+    assert sorted(r.i for r in rows if r.error) == list(range(1, 1 + len(bad))) and all(r.pixels is None for r in rows if r.error)
