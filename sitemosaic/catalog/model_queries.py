@@ -704,7 +704,24 @@ def e13(spark, d):
     return solved(spark, d, "soft_penalty", 2.0)
 
 
-@query("E13_solve_weights_four_sources")
+def descent_sql(lam: str = "1e0", sources: int = 4, sweeps: int = 300) -> str:
+    """eta of a several-source problem: coordinate descent on its quadratic with absolute penalties, a coordinate per recursion step."""
+    ks = range(1, sources + 1)
+    e = lambda f, sep=", ": sep.join(f(i) for i in ks)
+    return f"""{XC}, c4 AS (SELECT outer_fold, j, k, c FROM cx UNION ALL SELECT outer_fold, k, j, c FROM cx),
+ w4 AS (SELECT *, (v_ot + v_t - 2 * c_ot) / n_t + v_s / n_s AS d2, abs(mu_t - mu_s) / sqrt(greatest((v_ot + v_t - 2 * c_ot) / n_t + v_s / n_s, 1e-6)) AS wald, n_t + sum(n_s) OVER (PARTITION BY outer_fold) AS n_all FROM pl),
+ h4 AS (SELECT a.outer_fold, a.src AS j, b.src AS k, 2 * CASE WHEN a.src = b.src THEN a.d2 ELSE (a.v_ot - a.c_ot - b.c_ot + c) / a.n_t END AS h FROM w4 a JOIN w4 b ON a.outer_fold = b.outer_fold LEFT JOIN c4 ON c4.outer_fold = a.outer_fold AND c4.j = a.src AND c4.k = b.src),
+ r4 AS (SELECT w4.outer_fold, CAST(substring(src, 2) AS INTEGER) AS c, any_value(2 * (c_ot - v_ot) / n_t) AS g, any_value(greatest({lam} * wald - 1, 0) / n_all) AS pen, max(h) FILTER (WHERE k = src) AS hd, {e(lambda i: f"max(h) FILTER (WHERE k = 's{i}') AS h{i}")} FROM w4 JOIN h4 ON h4.outer_fold = w4.outer_fold AND h4.j = w4.src GROUP BY ALL),
+ it4 AS (SELECT DISTINCT outer_fold, 0 AS i, {e(lambda i: f"0e0 AS e{i}")} FROM pl UNION ALL
+  SELECT outer_fold, i + 1, {e(lambda i: f"CASE WHEN c = {i} THEN sign(z) * greatest(abs(z) - pen, 0) / hd ELSE e{i} END")} FROM (
+   SELECT it4.*, c, pen, hd, hd * CASE c {e(lambda i: f"WHEN {i} THEN e{i}", " ")} END - (g + {e(lambda i: f"h{i} * e{i}", " + ")}) AS z FROM it4 JOIN r4 ON r4.outer_fold = it4.outer_fold AND c = i % {sources} + 1 WHERE i < {sweeps * sources})),
+ eta4 AS (SELECT outer_fold, unnest([{e(lambda i: f"'s{i}'")}]) AS src, unnest([{e(lambda i: f"e{i}")}]) AS eta FROM it4 WHERE i = {sweeps * sources})"""
+
+
+KR = KN.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("E13_solve_weights_four_sources", f"{KR}, {TAU}, {descent_sql('2e0')} SELECT 2 AS arm, w4.outer_fold, w4.src, {R('wald', 'wald')}, {R('eta', 'eta')} FROM w4 JOIN eta4 ON eta4.outer_fold = w4.outer_fold AND eta4.src = w4.src")
 def e13b(spark, d):
     return solved(spark, d, "soft_penalty", 2.0, merged=False)
 
@@ -750,7 +767,14 @@ def e18(spark, d):
     return res_cols(cf.aggregate_tate(known(spark, d, merged=True), "common_tate")[0], "method")
 
 
-@query("E18_aggregate_tate_four_sources")
+PHI4 = """n4 AS (SELECT site, count(*) AS n FROM f GROUP BY site), t4 AS (SELECT outer_fold, 1 - sum(eta) AS rest FROM eta4 GROUP BY outer_fold),
+ s4 AS (SELECT pj2.obs_id, pj2.outer_fold, sum(eta * psi) AS s FROM pj2 JOIN eta4 USING (outer_fold, src) WHERE fold = outer_fold GROUP BY ALL),
+ pv4 AS (SELECT tg2.obs_id, 't' AS site, ((SELECT sum(n) FROM n4) * 1e0 / (SELECT n FROM n4 WHERE site = 't')) * (rest * phi + s) AS v FROM tg2 JOIN s4 USING (obs_id, outer_fold) JOIN t4 USING (outer_fold) WHERE fold = outer_fold
+  UNION ALL SELECT obs_id, src, ((SELECT sum(n) FROM n4) * 1e0 / n4.n) * eta * corr FROM co2 JOIN eta4 USING (outer_fold, src) JOIN n4 ON n4.site = src WHERE fold = outer_fold),
+ rs AS (SELECT sum(n1) AS n, sum(n1 * m) / sum(n1) AS est, sum(n1 * v) / power(sum(n1), 2) AS var FROM (SELECT site, count(*) AS n1, avg(v) AS m, var_pop(v) AS v FROM pv4 GROUP BY site))"""
+
+
+@query("E18_aggregate_tate_four_sources", f"{KR}, {TAU}, {descent_sql()}, {PHI4} SELECT 'common_tate' AS method, {RES} FROM rs")
 def e18b(spark, d):
     return res_cols(cf.aggregate_tate(known(spark, d), "common_tate")[0], "method")
 
@@ -878,7 +902,25 @@ def boot_inputs(spark, d):
     return infl, n.crossJoin(tot).select(F.lit("mean").alias("method"), "site", (F.col("n") / F.col("total")).alias("weight"))
 
 
-@query("B1_multiplier_bootstrap_se")
+def hash_sql(id_: str, draw: str, seed: int = 1, src: str = "r") -> str:
+    """CTEs h0 to h3: the 64-bit mix of (id, draw, seed) that the draws use, modulo 2^64 in wide integers, as column h."""
+    m0, m1, m2 = rs.MIX
+    wide = lambda x, m: f"CAST((CAST({x} AS UHUGEINT) * CAST({m} AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
+    low = lambda x: f"CAST({x} % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
+    total = " + ".join(f"CAST({wide(x, m)} AS UHUGEINT)" for x, m in ((id_, m1), (draw, m0), (seed, m2)))
+    return f"""h0 AS (SELECT *, {low(f'({total})')} AS x FROM {src}), h1 AS (SELECT * REPLACE ({wide('xor(x, x >> 30)', m1)} AS x) FROM h0),
+ h2 AS (SELECT * REPLACE ({wide('xor(x, x >> 27)', m2)} AS x) FROM h1), h3 AS (SELECT * EXCLUDE (x), xor(x, x >> 31) AS h FROM h2)"""
+
+
+def signs_sql(draws: int) -> str:
+    """Sum per site of sign * value for every draw: 64 signs of a hash word, bytes from the low end, in each byte the high bit first."""
+    bits = ", ".join(f"sum(CASE WHEN (h >> {8 * (i // 8) + 7 - i % 8}) & 1 = 1 THEN v ELSE -v END)" for i in range(64))
+    return f"""r AS (SELECT site, v, w, obs_id, b FROM c, range({-(-draws // 64)}) t(b)), {hash_sql('obs_id', 'b')},
+ s AS (SELECT site, any_value(w) AS w, b, [{bits}] AS s FROM h3 GROUP BY site, b), d AS (SELECT b * 64 + i AS draw, sum(w * s[i + 1]) AS total FROM s, range(64) t(i) GROUP BY ALL)"""
+
+
+@query("B1_multiplier_bootstrap_se", f"""{WITH}, c AS (SELECT site, obs_id, (y_num - avg(y_num) OVER (PARTITION BY site)) / count(*) OVER (PARTITION BY site) AS v, count(*) OVER (PARTITION BY site) * 1e0 / count(*) OVER () AS w FROM base),
+ {signs_sql(C.BOOTSTRAP_REPLICATES)} SELECT 'mean' AS method, {R('stddev_samp(total)', 'se_bootstrap', 8)}, count(*) AS n_bootstrap FROM d WHERE draw < {C.BOOTSTRAP_REPLICATES}""")
 def b1b(spark, d):
     infl, w = boot_inputs(spark, d)
     return rnd(rs.multiplier_bootstrap(infl, w, C.BOOTSTRAP_REPLICATES, 1), 8)
@@ -894,7 +936,10 @@ def b2(spark, d):
     return rnd(r, skip=("variance",))
 
 
-@query("B3_fixed_weight_bootstrap")
+@query("B3_fixed_weight_bootstrap", f"""{KR}, {TAU}, {descent_sql()}, {PHI4}, z AS (SELECT obs_id, pv4.site, v * n4.n / (SELECT sum(n) FROM n4) AS v FROM pv4 JOIN n4 ON n4.site = pv4.site),
+ r AS (SELECT obs_id, site, v, b FROM z, range({C.WEIGHT_BOOTSTRAP_REPLICATES}) t(b)), {hash_sql('obs_id', 'b')}, m AS (SELECT site, b, v, -ln((CAST(h >> 11 AS DOUBLE) + 0.5e0) * power(2e0, -53)) AS mass FROM h3),
+ q AS (SELECT b, site, sum(mass * v) / sum(mass) AS x FROM m GROUP BY b, site), d AS (SELECT b, sum(x) AS fixed FROM q GROUP BY b)
+ SELECT count(*) AS draws, {R('avg(fixed)', 'mean')}, {R('stddev_samp(fixed)', 'se')} FROM d""")
 def b3(spark, d):
     s = known(spark, d)
     return rnd(cf.weight_bootstrap(s, relearn=False).agg(F.count(F.lit(1)).alias("draws"), F.avg("fixed").alias("mean"), F.stddev_samp("fixed").alias("se")))
