@@ -15,12 +15,8 @@ def clean(r):
 
 
 def full_sql(src="res"):
-    """Replicates with all five methods present: no method of the event is missing."""
-    return f"full_ AS (SELECT * FROM {src} WHERE sim_id % 101 NOT IN (0, 97, 98, 99, 100))"
-
-
-def full(r):
-    return r.filter(~(F.col("sim_id") % 101).isin(0, 97, 98, 99, 100))
+    """Replicates with a finite row of every method."""
+    return f"full_ AS (SELECT * FROM {src} WHERE sim_id IN (SELECT sim_id FROM {src} GROUP BY sim_id HAVING count(bias) = 5))"
 
 
 # -- J -------------------------------------------------------------------------------
@@ -233,12 +229,12 @@ def m9(spark, d):
     return rnd(me.rank_rmse(s).withColumn("rmse_rank", F.col("rmse_rank").cast("long")))
 
 
-@query("M10_paired_mse", f"""{RES}, {full_sql()}, p AS (SELECT {', '.join('a.' + c for c in SET)}, b.method AS benchmark_method, a.bias * a.bias - b.bias * b.bias AS d FROM full_ a JOIN full_ b USING (sim_id)
+@query("M10_paired_mse", f"""{RES}, {full_sql()}, p AS (SELECT {', '.join('a.' + c for c in SET)}, b.method AS benchmark_method, CASE WHEN sim_id IN (SELECT sim_id FROM full_) THEN a.bias * a.bias - b.bias * b.bias END AS d FROM res a JOIN res b USING (sim_id)
  WHERE a.method = 'one_round' AND b.method <> 'one_round')
- SELECT {SETS}, 'one_round' AS method, benchmark_method, count(*) AS n_paired_replications, {R('avg(d)', 'mean_squared_error_difference')}, {R('stddev_samp(d) / sqrt(count(*))', 'squared_error_difference_mcse')},
- {R('avg(d) / (stddev_samp(d) / sqrt(count(*)))', 'squared_error_difference_z', 5)}, {R('avg(CASE WHEN d < 0 THEN 1e0 ELSE 0e0 END)', 'method_lower_squared_error_fraction')} FROM p GROUP BY ALL""")
+ SELECT {SETS}, 'one_round' AS method, benchmark_method, count(d) AS n_paired_replications, count(*) - count(d) AS n_incomplete, {R('avg(d)', 'mean_squared_error_difference')}, {R('stddev_samp(d) / sqrt(count(d))', 'squared_error_difference_mcse')},
+ {R('avg(d) / (stddev_samp(d) / sqrt(count(d)))', 'squared_error_difference_z', 5)}, {R('avg(CASE WHEN d < 0 THEN 1e0 WHEN d >= 0 THEN 0e0 END)', 'method_lower_squared_error_fraction')} FROM p GROUP BY ALL""")
 def m10(spark, d):
-    g = me.paired_mse(full(results(spark, d)), "one_round", ["target_only", "sample_size", "inverse_variance", "federated_dr"])
+    g = me.paired_mse(results(spark, d), "one_round", ["target_only", "sample_size", "inverse_variance", "federated_dr"], incomplete="drop")
     return rnd(g.withColumn("squared_error_difference_z", F.round("squared_error_difference_z", 5)))
 
 

@@ -9,8 +9,6 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .. import constants as C
@@ -306,14 +304,18 @@ def weight_diagnostics(df: DataFrame, weight: str = "weight", by: str = "site",
 
 
 def range_slice(x: str, cuts: Sequence[float]) -> Column:
-    """Number of cut points below x, by vectorised binary search."""
-    edges = np.array(sorted({float(c) for c in cuts}))
+    """Number of cut points below x: a balanced tree of comparisons, which stays in generated code."""
+    edges, v = sorted({float(c) for c in cuts}), F.col(x)
 
-    @F.pandas_udf(T.IntegerType())
-    def slice_of(v: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, v.to_numpy(), side="left").astype("int32"))
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(v > edges[mid], between(mid + 1, hi)).otherwise(between(lo, mid))
 
-    return slice_of(F.col(x))
+    if len(edges) <= 256:
+        return between(0, len(edges))
+    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < v))
 
 
 def grouped_quantiles(df: DataFrame, x: str, by, probs: Mapping[str, float], slice_rows: int = 100_000) -> DataFrame:
@@ -328,8 +330,8 @@ def grouped_quantiles(df: DataFrame, x: str, by, probs: Mapping[str, float], sli
     slices = min(10_000, max(2, -(-rows // slice_rows)))
     cuts = df.agg(F.percentile_approx(x, [i / slices for i in range(1, slices)], 10 * slices)).first()[0] or []
     keyed = df.filter(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x")).withColumn("_s", range_slice("_x", cuts))
-    per = keyed.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_n"))
     d = keyed.groupBy(*by, "_s", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    per = d.groupBy(*by, "_s").agg(F.sum("_c").alias("_n"))  # from the counted values: the rows are read once for both
     before = W.partitionBy(*by).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     off = per.select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col("_s").alias("_t"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
                      F.sum("_n").over(W.partitionBy(*by)).alias("_tot"))

@@ -295,23 +295,26 @@ def rank_rmse(d: DataFrame, keys: Sequence[str] | None = None, target: str = "ta
     return d.withColumns({"rmse_rank": F.when(F.col("rmse").isNotNull(), r), "rmse_relative_to_target": F.col("rmse") / t})
 
 
-def paired_mse(r: DataFrame, method: str, benchmarks: Sequence[str], keys: Sequence[str] | None = None, check: bool = True) -> DataFrame:
+def paired_mse(r: DataFrame, method: str, benchmarks: Sequence[str], keys: Sequence[str] | None = None, incomplete: str = "raise") -> DataFrame:
     """Paired squared-error differences of one method against each benchmark.
 
-    One shuffle puts the methods of a replicate on one row; no join per benchmark.
+    One shuffle puts the methods of a replicate on one row; no join per benchmark. A replicate without exactly one finite row of every method is incomplete: it
+    fails the call, or with incomplete="drop" it is left out of all pairs (n_incomplete counts such replicates of the setting).
     """
+    if incomplete not in ("raise", "drop"):
+        raise ValueError("incomplete is 'raise' or 'drop'")
     keys = list(keys) if keys else settings(r)
     names = [method, *benchmarks]
     pick = [f for m in names for f in (F.max(F.when(F.col("method") == m, F.col("bias"))).alias(f"b_{m}"), F.count_if(F.col("method") == m).alias(f"n_{m}"))]
     wide = r.filter(F.col("method").isin(names)).groupBy(*keys, "sim_id").agg(*pick)
-    if check:
-        bad = " OR ".join(f"n_{m} <> 1 OR b_{m} IS NULL OR isnan(b_{m})" for m in names)
-        if wide.filter(bad + " OR sim_id IS NULL").limit(1).collect():
-            raise ValueError("each setting needs one finite row per method and replicate")
-    long = wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(b).alias("benchmark_method"), (
-        F.col(f"b_{method}") * F.col(f"b_{method}") - F.col(f"b_{b}") * F.col(f"b_{b}")).alias("d")) for b in benchmarks])).alias("s")).select(*keys, "s.*")
+    bad = F.expr(" OR ".join(f"n_{m} <> 1 OR b_{m} IS NULL OR isnan(b_{m})" for m in names) + " OR sim_id IS NULL")
+    if incomplete == "raise" and wide.filter(bad).limit(1).collect():
+        raise ValueError("each setting needs one finite row per method and replicate")
+    wide = wide.withColumn("_bad", bad)
+    long = wide.select(*keys, "_bad", F.explode(F.array(*[F.struct(F.lit(b).alias("benchmark_method"), F.when(~F.col("_bad"), (
+        F.col(f"b_{method}") * F.col(f"b_{method}") - F.col(f"b_{b}") * F.col(f"b_{b}"))).alias("d")) for b in benchmarks])).alias("s")).select(*keys, "_bad", "s.*")
     g = long.groupBy(*keys, "benchmark_method").agg(
-        F.count("d").alias("n_paired_replications"), F.avg("d").alias("mean_squared_error_difference"),
+        F.count("d").alias("n_paired_replications"), F.count_if("_bad").alias("n_incomplete"), F.avg("d").alias("mean_squared_error_difference"),
         (F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("squared_error_difference_mcse"),
         F.avg((F.col("d") < 0).cast("double")).alias("method_lower_squared_error_fraction"))
     se = F.col("squared_error_difference_mcse")

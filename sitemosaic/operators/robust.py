@@ -84,11 +84,18 @@ def quorum_intervals(iv: DataFrame, m: int, by: Sequence[str] = (), slices: int
     run = F.sum(F.col("s") - F.col("e")).over(w.rowsBetween(W.unboundedPreceding, 0))
     c = pts.join(off, [*by, "_k"]).withColumn("right", F.col("_off") + run)
     c = c.withColumn("left", F.col("right") - F.col("s") + F.col("e")).withColumn("at", F.col("left") + F.col("s"))
-    # an opening endpoint reaches the quorum, a closing one leaves it; opens and closes alternate
-    opens = c.filter((F.col("left") < m) & (F.col("at") >= m))
-    closes = c.filter((F.col("at") >= m) & (F.col("right") < m))
-    number = lambda d, n: d.select(*by, F.col("v").alias(n), F.row_number().over(W.partitionBy(*by).orderBy("v")).alias("i"))
-    out = number(opens, "lower").join(number(closes, "upper"), [*by, "i"]).drop("i")
+    # an opening endpoint reaches the quorum, a closing one leaves it; opens and closes alternate, so an opening pairs with the next event
+    opens, closes = (F.col("left") < m) & (F.col("at") >= m), (F.col("at") >= m) & (F.col("right") < m)
+    kinds = F.filter(F.array(F.when(opens, F.lit(0)), F.when(closes, F.lit(1))), lambda x: x.isNotNull())
+    event = c.filter(opens | closes).select(*by, "_k", "v", F.explode(kinds).alias("close"))
+    here = event.withColumn("_next", F.lead("v").over(W.partitionBy(*by, "_k").orderBy("v", "close")))
+    # a slice's last opening closes at the first event of the next slice that has any; one row per group and slice
+    firsts = event.groupBy(*by, "_k").agg(F.min("v").alias("_first"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("_k")
+    grid = firsts.select(*by).distinct().select(*by, every)
+    later = W.partitionBy(*by).orderBy("_k").rowsBetween(1, W.unboundedFollowing)
+    carried = grid.join(firsts, [*by, "_k"], "left").select(*by, "_k", F.min("_first").over(later).alias("_later"))
+    out = here.filter("close = 0").join(carried, [*by, "_k"]).select(*by, F.col("v").alias("lower"), F.coalesce("_next", "_later").alias("upper"))
     return out.drop("_all")
 
 
