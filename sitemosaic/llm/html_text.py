@@ -31,6 +31,7 @@ from .url_filter import host
 # HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math canvas object textarea title select".split())
+REST = frozenset("script style title textarea".split())  # unclosed, they take the rest of the page
 BLOCK = frozenset("html body p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main header footer nav aside form fieldset blockquote pre figure figcaption address details summary hr menu dialog center".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSED_IN = frozenset("ul ol dl table div section article main body nav aside form".split())
@@ -39,7 +40,8 @@ ASIDE = frozenset("nav footer aside form menu dialog button head".split())
 NOT_ARTICLE = frozenset("ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promotion banner cookie cookies consent notice notices gdpr popup modal newsletter subscribe subscription share sharing social sidebar widget widgets related recommended recommendations comment comments commentlist respond disqus replies breadcrumb breadcrumbs menu nav navbar navigation topbar masthead footer pager pagination login signup search toolbar alert contentinfo complementary dialog form".split())
 HEADER = frozenset("header banner masthead topbar".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+MARK = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+)|([^\s=\"'/]+)")
 WORD = re.compile(r"[a-z0-9]+")
 
@@ -62,6 +64,58 @@ def attributes(source: str) -> dict:
     return {(m[1] or m[3]).lower(): entities.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(source)} if source.strip(" /") else {}
 
 
+class Tags:
+    """The tags, comments and declarations of a page, each found once from left to right: (start, end, slash, name, attributes); name is empty for what is no tag.
+
+    A quote opens a value only after an equals sign, and only if it is closed later; a tag whose quotes swallow all that follows ends at its first `>`, and from then on
+    quotes are not regarded. So every step moves on, however odd the page."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def end_of(self, at: int) -> int:
+        page, p = self.page, at
+        while self.quotes:
+            m = MARK.search(page, p)
+            if not m:
+                self.quotes = False
+                break
+            c, p = m.group(), m.end()
+            if c == ">":
+                return p
+            if page[at:m.start()].rstrip()[-1:] == "=" if m.start() - at < 200 else page[m.start() - 1] == "=":
+                if self.last[c] >= p:
+                    p = page.find(c, p) + 1
+        return page.find(">", at) + 1
+
+    def __iter__(self):
+        page, at = self.page, 0
+        while True:
+            at = page.find("<", at)
+            if at < 0:
+                return
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4) + 3
+                end = end if end > 2 else len(page)
+                yield at, end, "", "", ""
+                at = end
+                continue
+            if at > self.last[">"]:  # no tag can end any more
+                return
+            m = OPENING.match(page, at)
+            if m:
+                end = self.end_of(m.end())
+                jump = yield at, end, m[1], m[2], page[m.end():end - 1]
+                at = max(end, jump or 0)
+            elif page[at + 1:at + 2] in ("!", "?"):
+                end = page.find(">", at) + 1
+                yield at, end, "", "", ""
+                at = end
+            else:
+                at += 1
+
+
 def parse(page: str) -> tuple[Node, list]:
     """The tree and its text blocks [node, pieces, characters in links]; unclosed and crossing tags are mended."""
     root = Node("html", "html", PLAIN, None)
@@ -74,6 +128,8 @@ def parse(page: str) -> tuple[Node, list]:
             return
         if "&" in t:
             t = entities.unescape(t)
+        if stack[-1].kind == LABELLED and stack[-1].tag not in BLOCK and next(n for n in reversed(stack) if n.tag in BLOCK).kind != LABELLED:
+            return  # a button or another labelled inline element inside a block
         if fresh:
             if t.isspace():
                 return
@@ -91,17 +147,20 @@ def parse(page: str) -> tuple[Node, list]:
             fresh = fresh or n.tag in BLOCK
         del stack[k:]
 
+    tags, jump, unclosed = iter(Tags(page)), None, set()
     while True:
-        m = TOKEN.search(page, at)
-        if not m:
+        try:
+            start, end, slash, name, source = tags.send(jump)
+        except StopIteration:
             text(page[at:])
             return root, blocks
-        text(page[at:m.start()])
-        at = m.end()
-        if not m[2]:
+        jump = None
+        text(page[at:start])
+        at = end
+        if not name:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if slash:
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
             if k:
                 close(k)
@@ -110,8 +169,15 @@ def parse(page: str) -> tuple[Node, list]:
         if tag in ("html", "body"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if tag in ("svg", "math") and source.endswith("/"):
+                continue
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if end:
+                at = jump = end.end()
+            elif tag in REST:
+                at = jump = len(page)
+            else:  # never closed: only its start tag goes
+                unclosed.add(tag)
             continue
         if tag in BLOCK and stack[-1].tag != "html":
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in BLOCK), 0)
@@ -130,11 +196,12 @@ def parse(page: str) -> tuple[Node, list]:
                 if not fresh:
                     blocks[-1][1].append(" ")
             continue
-        has = attributes(m[3]) if m[3] else {}
+        has = attributes(source) if source else {}
         names = set(WORD.findall(f"{has.get('class', '')} {has.get('id', '')} {has.get('role', '')}".lower())) if has else set()
         up = stack[-1]
         opens = tag in ("article", "main") or "main" in names and tag == "div"
-        marked = tag in ASIDE or bool(names & NOT_ARTICLE) or "hidden" in has or has.get("aria-hidden") == "true" or "display:none" in has.get("style", "").replace(" ", "")
+        own = set(f"{has.get('class', '')} {has.get('id', '')} {has.get('role', '')}".lower().split()) if opens else names  # of a marked article only whole words count: `long-form` is none
+        marked = tag in ASIDE or bool(own & NOT_ARTICLE) or "hidden" in has or has.get("aria-hidden") == "true" or "display:none" in has.get("style", "").replace(" ", "")
         marked = marked or up.kind != MAIN and not opens and (tag == "header" or bool(names & HEADER))
         kind = LABELLED if marked or up.kind == LABELLED else MAIN if opens or up.kind == MAIN else PLAIN
         label = re.sub(r"[\s()]", "_", ".".join([tag, *sorted(has.get("class", "").split())]))

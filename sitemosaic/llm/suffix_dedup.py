@@ -9,7 +9,7 @@
    anchors make a bundle, whose suffix array is built by linear grouping: suffix groups of equal Lyndon prefix are settled in
    descending order, each pushing up the groups of its members' previous smaller suffixes; one ascending pass then emits every group's
    order. Neighbours in the suffix array that agree on 24 symbols may hold equal windows (any window covers 24 aligned symbols); those
-   windows are compared by content, at equal offsets, and the equal ones give spans.
+   windows are compared by a 64-bit hash of their bytes, at equal offsets, and the equal ones give spans.
    An anchor with more than CROWD different fragments is not held by one task: its windows' hashes are counted by a shuffle instead.
 4. Spans of a text are merged and its bytes removed.
 

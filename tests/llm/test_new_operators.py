@@ -251,3 +251,39 @@ def test_malformed_tiff_is_an_error_row(spark):
     rows = tiff.pages(df).collect()
     assert [(r.i, r.page, r.error) for r in rows if r.i == 0] == [(0, 1, None)]
     assert sorted(r.i for r in rows if r.error) == list(range(1, 1 + len(bad))) and all(r.pixels is None for r in rows if r.error)
+
+
+# -- odd pages ------------------------------------------------------------------------
+def test_odd_html():
+    import time
+
+    from sitemosaic.llm import html_text
+    texts = lambda p: [(kind, t) for _, kind, t in html_text.blocks_of(p)[1]]
+    m, p, no = html_text.MAIN, html_text.PLAIN, html_text.LABELLED
+    assert texts('<article class="post with-sidebar"><p>One</p></article>') == [(m, "One")] == texts('<main class="long-form"><p>One</p></main>')
+    assert texts('<article class="comment"><p>One</p></article>') == [(no, "One")]
+    assert texts('<article><p>One</p><svg class="i"/><p>Two</p><canvas><p>Three</p></article>') == [(m, "One"), (m, "Two"), (m, "Three")]
+    assert texts("<article><p><a title=it's>x</a> y <button>Buy</button> z</p></article>") == [(m, "x y z")]
+    assert texts('<p>a <b title="1 > 0" id=\'>\'>b</b> c < d</p><script>x<y</script><!-- no --><p>e') == [(p, "a b c < d"), (p, "e")]
+    assert texts("<p>a<script>never closed <p>b") == [(p, "a")] and texts('<p title="open>a</p><p>b</p>')[-1] == (p, "b")
+    for hostile in ('<a "' * 250_000, "<a b=" * 200_000, "<!-" * 350_000, "<a b='>" * 140_000, "<svg>" * 150_000, "<" * 1_000_000, '<a b="' * 170_000 + ">"):
+        start = time.process_time()
+        html_text.parse(hostile)
+        assert time.process_time() - start < 8, hostile[:20]
+
+
+def test_planted_passages_by_bytes(spark):
+    """A passage that stands in two texts goes if it has 400 bytes with the blanks around it, whatever its words; shorter ones stay, also of over 50 words."""
+    from sitemosaic.llm import suffix_dedup
+    rng = random.Random(21)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    planted = [" ".join("".join(rng.choice("klmnopqr") for _ in range(rng.randint(3, 6 + i % 7))) for _ in range(51 + i % 13)) for i in range(40)]
+    rows = [(2 * i + k, f"{fresh(30)}{'!?'[k]} {x} {'+-'[k]}{fresh(30)}") for i, x in enumerate(planted) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup.remove(docs, suffix_dedup.repeated_spans(docs)).collect()}
+    short = [i for i, x in enumerate(planted) if len(x) + 2 < suffix_dedup.LENGTH]
+    assert 5 < len(short) < 35
+    for i, x in enumerate(planted):
+        for k in (0, 1):
+            assert (x in kept[2 * i + k]) == (i in short)
+            assert kept[2 * i + k] == (rows[2 * i + k][1] if i in short else rows[2 * i + k][1].replace(f" {x} ", ""))
