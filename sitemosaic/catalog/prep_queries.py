@@ -205,6 +205,16 @@ def f3(spark, d):
     return co.one_hot(base(spark, d).select("obs_id", "seg", "status"), ["seg", "status"])
 
 
+@query("F3_one_hot_sparse", f"""{WITH}, lo AS (SELECT obs_id, 'seg' AS c, seg AS l FROM base UNION ALL SELECT obs_id, 'status', status FROM base UNION ALL SELECT obs_id, 'cust', CAST(cust AS VARCHAR) FROM base),
+ lv AS (SELECT DISTINCT c, l FROM lo), d AS (SELECT c, l, row_number() OVER (PARTITION BY c ORDER BY md5(concat('0:', l)), l) - 1 AS i FROM (SELECT *, min(l) OVER (PARTITION BY c) AS f FROM lv) WHERE l <> f)
+ SELECT obs_id, count(i) AS n_hot, coalesce(string_agg(c || ':' || i, ',' ORDER BY c, i), '') AS hot FROM lo LEFT JOIN d USING (c, l) GROUP BY obs_id""")
+def f3b(spark, d):
+    b, cols = base(spark, d).select("obs_id", "seg", "status", "cust"), ["seg", "status", "cust"]
+    hot = co.one_hot_sparse(b, "obs_id", cols, co.level_dictionary(b, cols))
+    text = F.array_join(F.transform("hot", lambda p: F.concat(p["column"], F.lit(":"), p["index"].cast("string"))), ",")
+    return hot.select("obs_id", F.size("hot").cast("long").alias("n_hot"), text.alias("hot"))
+
+
 @query("F4_standardize", f"""{WITH} SELECT obs_id, {R('(x1 - avg(x1) OVER ()) / stddev_pop(x1) OVER ()', 'x1')},
  {R('(x2 - avg(x2) OVER ()) / stddev_pop(x2) OVER ()', 'x2')}, 0e0 AS one FROM base""")
 def f4(spark, d):

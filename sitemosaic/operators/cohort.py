@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from .. import constants as C
 from ..functions import clip, col
+from .folds import balanced_number, hash_order
 from .joins import attach
 from .quantiles import exact_quantiles
 
@@ -156,6 +157,27 @@ def one_hot(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence[st
     return out.select(*[c for c in df.columns if c not in cols], *hot)
 
 
+def level_dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, level, index): a number within its column for every level but the first, for any number of levels.
+
+    Levels are numbered by hash slices, so neither the driver nor one task holds a column's levels."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in cols])).alias("s")).select("s.*")
+    levels = long.filter("level IS NOT NULL").groupBy("column", "level").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    first = levels.groupBy("column").agg(F.min("level").alias("_first"))
+    rest = attach(levels, first, ["column"]).filter(F.col("level") != F.col("_first")).drop("_first")
+    ranked = balanced_number(rest.withColumn("_h", hash_order(0, "level")), ["column"], "_h", "level")
+    return ranked.select("column", "level", F.col("_rank").cast("long").alias("index"))
+
+
+def one_hot_sparse(df: DataFrame, key: str, cols: Sequence[str], dictionary: DataFrame) -> DataFrame:
+    """(key, hot): treatment coding as the sorted (column, index) pairs that are 1. Rows stay with their reference levels, NULL and unknown levels as no pair.
+
+    The key must be unique. The join is on (column, level), whose sizes adaptive execution knows and whose hot levels it splits."""
+    long = df.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in cols])).alias("s")).select(key, "s.*")
+    hot = long.join(dictionary, ["column", "level"], "left").select(key, F.when(F.col("index").isNotNull(), F.struct("column", "index")).alias("_p"))
+    return hot.groupBy(key).agg(F.sort_array(F.collect_list("_p")).alias("hot"))
+
+
 def standardize(df: DataFrame, cols: Sequence[str], ddof: int = 0, train_pred: Column | None = None) -> DataFrame:
     """Centre and scale. ddof=0: constant columns keep scale 1. ddof=1: constant columns are only centred."""
     sd = F.stddev_pop if ddof == 0 else F.stddev_samp
