@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitemosaic.llm import bpe, decontaminate, langid, simhash, suffix_dedup
-from sitemosaic.llm.common import checkpoint, new_folder, table
+from sitemosaic.llm.common import checkpoint, new_folder, small_batches, table
 
 LEAST_SCORE = 0.4  # a text whose best language scores less is rejected; low, as short and mixed texts of known languages are to stay
 PASSAGE_WORDS = 51  # the least words of a passage that may not stand in the texts twice
@@ -18,12 +18,14 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 HASH = "_text_hash"
+BATCH = 8 << 20  # bytes of an Arrow batch: a batch of texts stands in the executor and in its worker, in every stage
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def apart(stage):
     """The stage, with all other columns of the documents under names that nothing else uses while it runs: they cannot clash with what it adds."""
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark, BATCH)
         quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
         name = {c: c if c in OWN else f"_extra{i}" for i, c in enumerate(docs.columns)}
         back = {v: c for c, v in name.items()}
