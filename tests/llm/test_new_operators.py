@@ -287,3 +287,31 @@ def test_planted_passages_by_bytes(spark):
         for k in (0, 1):
             assert (x in kept[2 * i + k]) == (i in short)
             assert kept[2 * i + k] == (rows[2 * i + k][1] if i in short else rows[2 * i + k][1].replace(f" {x} ", ""))
+
+
+# -- characters as the libraries have them ----------------------------------------------
+def test_code_points_of_the_libraries():
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from sitemosaic.llm import bpe, pretokens, token_counts
+    from sitemosaic.llm.huffman import Encoder
+    from sitemosaic.llm.queries import vocabulary
+    points = [*range(0x3100), *range(0xA640, 0xAC00), *range(0x10400, 0x11000), *range(0x16E00, 0x17000), *range(0x1E000, 0x1F000)]
+    texts = [f"a{chr(c)}'s{chr(c)} {chr(c)}1" for c in points]
+    model = token_counts.read_model(vocabulary("word_bpe_49k.json"))
+    want = [e.ids for e in Tokenizer.from_str(model.source).encode_batch(texts, add_special_tokens=False)]
+    normal = model.normal()
+    lowered = [normal(t)[0] for t in texts]
+    ids, ends = Encoder(model)(lowered)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+    c = pretokens.chunk_of(list(range(len(texts))), lowered, False)
+    encode = model.encoder()
+    assert np.add.reduceat(np.array([len(encode(w)) for w in c.words])[c.codes], np.cumsum(c.sizes) - c.sizes).tolist() == list(map(len, want))
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    c = pretokens.chunk_of(list(range(len(texts))), texts, True)
+    words, at = [e.encode_ordinary(w.decode()) for w in c.words], 0
+    for t, n in zip(texts, c.sizes.tolist()):
+        assert [i for k in c.codes[at:at + n].tolist() for i in words[k]] == e.encode_ordinary(t), hex(ord(t[1]))
+        at += n
