@@ -4,7 +4,7 @@ from pyspark.sql import functions as F, types as T
 from .. import functions as fx
 from ..operators import cohort as co, folds as fo, validation as va
 from ..plans.cohort_plan import CohortRecipe, build_cohort, build_sites
-from ..sources import (CohortSpec, read_cohort_csv, read_run_results, site_cohort, table_fingerprint,
+from ..sources import (CohortSpec, read_cohort_csv, read_run_results, site_cohort, table_fingerprint, wrapped_long,
                        with_setting_from_path, write_results)
 from .base import BASE_SQL, R, RESULTS_SQL, base, cv_sql, fold_sql, obs, query, results, rnd, scratch
 
@@ -75,7 +75,7 @@ def s5(spark, d):
  SELECT count(*) AS n_rows, bit_xor(x) AS xor_hash, CAST(sum(y) AS BIGINT) AS sum_hash FROM n""")
 def s6(spark, d):
     b = base(spark, d).select("obs_id", "site", "a", "nation", F.when(F.col("seg") != "BUILDING", F.col("seg")).alias("seg"))
-    return table_fingerprint(b).withColumn("sum_hash", F.col("sum_hash").cast("long"))
+    return table_fingerprint(b).withColumn("sum_hash", wrapped_long("sum_hash"))
 
 
 # -- P -------------------------------------------------------------------------------

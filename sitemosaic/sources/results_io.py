@@ -5,7 +5,7 @@ from collections import defaultdict
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Columns that are numeric even when a file holds no number in them.
 NUMERIC_RESULT_COLUMNS = (
@@ -66,3 +66,9 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     h = F.md5(F.concat_ws("\x1f", *[cell(c) for c in sorted(df.columns)]))
     part = lambda at: F.conv(F.substring("h", at, 12), 16, 10).cast("long")
     return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(part(1)).alias("xor_hash"), F.sum(part(13).cast("decimal(38,0)")).alias("sum_hash"))
+
+
+def wrapped_long(c: str) -> Column:
+    """A sum that is not negative as a 64-bit number: the same below 2^63, its low 64 bits in two's complement above."""
+    low = F.col(c) % F.lit(str(2 ** 64)).cast("decimal(38,0)")
+    return F.when(low >= F.lit(str(2 ** 63)).cast("decimal(38,0)"), low - F.lit(str(2 ** 64)).cast("decimal(38,0)")).otherwise(low).cast("long")

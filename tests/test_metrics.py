@@ -91,3 +91,11 @@ def test_boundary_flags_append_once(spark):
     d = spark.createDataFrame([("ok", 95.0, None, 1.0), ("nuisance_outcome_boundary_detected", 1.0, 1.0, 99.0)],
                               "diagnostic_status string, max_initial_dr_abs_coefficient double, max_calibrated_dr_abs_coefficient double, max_calibrated_outcome_abs_coefficient double")
     assert [r.diagnostic_status for r in me.augment_qc(d, 100.0).collect()] == ["nuisance_density_ratio_boundary_detected", "nuisance_outcome_boundary_detected"]
+
+
+def test_wrapped_sum_keeps_small_sums_and_never_overflows(spark):
+    from sitemosaic.sources.results_io import wrapped_long
+    sums = [0, 5, 2 ** 63 - 1, 2 ** 63, 2 ** 64, 2 ** 64 + 7, 10 ** 30]
+    d = spark.createDataFrame([(str(v),) for v in sums], "s string").select(F.col("s").cast("decimal(38,0)").alias("s"))
+    want = [(v + 2 ** 63) % 2 ** 64 - 2 ** 63 for v in sums]
+    assert [r[0] for r in d.select(wrapped_long("s")).collect()] == want
