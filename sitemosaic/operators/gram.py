@@ -68,6 +68,43 @@ def _matrix(col) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
+BUFFER_BYTES = 16 << 20  # rows of small batches are put together: a cell is then worth its numpy calls
+
+
+def buffered(batches):
+    """Batches joined up to a size: fewer, longer runs of rows per cell."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= BUFFER_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def by_cell(tables, codes: dict):
+    """((features, arm, response, weight), (site code, arm, fold, selection fold), row numbers) of each cell of each table."""
+    for t in tables:
+        col = lambda c: t.column(c).combine_chunks()
+        x_all = _matrix(col("x"))
+        sites = col("site").dictionary_encode()
+        code = np.array([codes.get(v, -9) for v in sites.dictionary.to_pylist()] or [-9])[sites.indices.to_numpy(zero_copy_only=False)]
+        a, y, fold, cvf, rw = (col(c).to_numpy(zero_copy_only=False) for c in ("a", "y", "fold", "cv", "weight"))
+        parts = [np.unique(v, return_inverse=True) for v in (code, a, fold, cvf)]
+        sizes = [len(v) for v, _ in parts]
+        flat = np.ravel_multi_index([i.ravel() for _, i in parts], sizes)
+        order = np.argsort(flat.astype(np.uint16) if np.prod(sizes) < 65_536 else flat, kind="stable")
+        ends = np.cumsum(np.bincount(flat, minlength=int(np.prod(sizes))))
+        start = 0
+        for at, end in enumerate(ends.tolist()):
+            if end > start:
+                yield (x_all, a, y, rw), tuple(v[i].item() for (v, _), i in zip(parts, np.unravel_index(at, sizes))), order[start:end]
+            start = end
+
+
 def _row_factor(kind, pfam, radius, eta):
     if kind == "slope":
         if pfam != "binomial":
@@ -113,53 +150,34 @@ def _pass_function(bc, derivatives: bool):
             use = match & ((arm == -1) | (arm == ca))
             return np.flatnonzero(match).astype(np.int32), [(kd, np.flatnonzero(use & (kind == kd)).astype(np.int32)) for kd in np.unique(kind[use])]
 
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            x_all = _matrix(b.column("x"))
-            sites = b.column("site").dictionary_encode()
-            code = np.array([s["codes"].get(v, -9) for v in sites.dictionary.to_pylist()] or [-9])[sites.indices.to_numpy(zero_copy_only=False)]
-            a = b.column("a").to_numpy(zero_copy_only=False)
-            y = b.column("y").to_numpy(zero_copy_only=False)
-            fold = b.column("fold").to_numpy(zero_copy_only=False)
-            cvf = b.column("cv").to_numpy(zero_copy_only=False)
-            rw = b.column("weight").to_numpy(zero_copy_only=False)
-            cell = np.stack([code, a, fold, cvf], axis=1)
-            cells, inverse = np.unique(cell, axis=0, return_inverse=True)
-            order = np.argsort(inverse.ravel(), kind="stable")
-            ends = np.cumsum(np.bincount(inverse.ravel(), minlength=len(cells)))
-            start = 0
-            for (cs, ca, cf, cc), end in zip(cells.tolist(), ends):
-                idx = order[start:end]
-                start = end
-                if (cs, ca, cf, cc) not in users:
-                    users[cs, ca, cf, cc] = of_cell(cs, ca, cf, cc)
-                match, kinds = users[cs, ca, cf, cc]
-                acc[match, 0] += len(idx)
-                for kd, mm in kinds:
-                    fam, resp, plug_kind, pfam, radius, plug_radius, weighted = s["kinds"][kd]
-                    full = rep[mm]
-                    step = max(16, min(2_000_000 // max(q, 1), 4_000_000 // len(mm)))
-                    for lo in range(0, len(idx), step):
-                        r = idx[lo:lo + step]
-                        x = np.concatenate([np.ones((len(r), 1)), x_all[r]], axis=1)
-                        eta = x @ beta[mm].T
-                        yy = (a[r] if resp == "a" else y[r]).astype(float)[:, None]
-                        if plug_kind:
-                            factor = _row_factor(plug_kind, pfam, plug_radius, x @ s["plug"][s["plug_at"][mm, int(cf) if cf < s["plug_at"].shape[1] else 0]].T)
-                        else:
-                            factor = np.ones_like(eta)
-                        if weighted:
-                            factor = factor * rw[r][:, None]
-                        loss, g, h = _terms(fam, eta, yy, factor, radius)
-                        acc[mm, 1] += len(r)
-                        acc[mm, 2] += factor.sum(axis=0)
-                        acc[mm, 3] += loss.sum(axis=0)
-                        if derivatives:
-                            acc[mm, HEAD:] += g.T @ x
-                            if full.any():
-                                second[place[mm[full]]] += (h if full.all() else h[:, full]).T @ (x[:, iu] * x[:, ju])
+        for (x_all, a, y, rw), (cs, ca, cf, cc), idx in by_cell(buffered(batches), s["codes"]):
+            if (cs, ca, cf, cc) not in users:
+                users[cs, ca, cf, cc] = of_cell(cs, ca, cf, cc)
+            match, kinds = users[cs, ca, cf, cc]
+            acc[match, 0] += len(idx)
+            for kd, mm in kinds:
+                fam, resp, plug_kind, pfam, radius, plug_radius, weighted = s["kinds"][kd]
+                full = rep[mm]
+                step = max(16, min(250_000 // max(q, 1), 250_000 // len(mm)))
+                for lo in range(0, len(idx), step):
+                    r = idx[lo:lo + step]
+                    x = np.concatenate([np.ones((len(r), 1)), x_all[r]], axis=1)
+                    eta = x @ beta[mm].T
+                    yy = (a[r] if resp == "a" else y[r]).astype(float)[:, None]
+                    if plug_kind:
+                        factor = _row_factor(plug_kind, pfam, plug_radius, x @ s["plug"][s["plug_at"][mm, int(cf) if cf < s["plug_at"].shape[1] else 0]].T)
+                    else:
+                        factor = np.ones_like(eta)
+                    if weighted:
+                        factor = factor * rw[r][:, None]
+                    loss, g, h = _terms(fam, eta, yy, factor, radius)
+                    acc[mm, 1] += len(r)
+                    acc[mm, 2] += factor.sum(axis=0)
+                    acc[mm, 3] += loss.sum(axis=0)
+                    if derivatives:
+                        acc[mm, HEAD:] += g.T @ x
+                        if full.any():
+                            second[place[mm[full]]] += (h if full.all() else h[:, full]).T @ (x[:, iu] * x[:, ju])
         # a row per group of neighbouring models: all their sums, then all their Hessians
         bounds = s["bounds"]
         reps = np.concatenate([[0], np.cumsum(rep)])

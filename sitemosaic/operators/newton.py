@@ -6,6 +6,8 @@
 2. Every further pass sums loss and gradient of each (model, penalty) still moving. Neighbouring penalties of a model form a block and share one curvature, that of the
    block's middle penalty, so the p x p sums grow with blocks and not with penalties; with few features every penalty has its own. A block's sums meet in one task, which
    takes the L1 step by coordinate descent on the active coordinates.
+3. With few features no further pass per step is needed: one pass sums power series of the loss per cell (series.py), and the task where a model's sums meet takes all
+   its steps and its held-out losses from them. States that leave the reach of the series' references take another such pass, and those of 2 after that.
 Only coefficients, losses and optimality residuals return to the driver; it accepts or halves the steps.
 """
 from __future__ import annotations
@@ -15,9 +17,12 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
+from . import series as se
 from .gram import HEAD, STATE_BYTES, Model, held_out_sums, partial_sums, unpack, with_cv
 
 
@@ -251,16 +256,29 @@ def _met(rows: DataFrame, blocks: int) -> DataFrame:
 CHUNK_BASES = 6
 
 
-def starts(data: DataFrame, bases: list[Model], cvs: list[list[int]], x: str, shape: Shape, moments: dict | None, grids: np.ndarray | None, floors: np.ndarray) -> list[list[Start]]:
-    """First states of every base model and of its copies without one selection fold, from sums over cells."""
+@dataclass
+class Plan:
+    """Cells of the models: which model adds up which, and where they meet."""
+    cells: list[Model]
+    fold: list[int]              # outer fold and kind of each cell
+    kind: list[int]
+    members: list[list[tuple[int, int]]]
+    chunks: list[list[int]]
+    users: dict[int, list[int]]
+    of_base: list[int]           # kind of each base model
+
+
+def plan_cells(data: DataFrame, bases: list[Model], cvs: list[list[int]]) -> Plan:
     folds = sorted({r["fold"] for r in data.select("fold").distinct().collect()})
     cells, of_cell, members, chunk_of, last = [], {}, [], [], {}
+    fold_of, kind_of, of_base, kinds = [], [], [], {}
     chunks: list[list[int]] = []
     for i, k in enumerate(bases):
         kind = (k.site, k.arm, k.family, k.response, k.weight, k.radius, tuple(cvs[i])) if k.plug is None else ("plug", i)
         if kind not in last or len(chunks[last[kind]]) >= CHUNK_BASES:
             last[kind] = len(chunks)
             chunks.append([])
+        of_base.append(kinds.setdefault(kind, len(kinds)))
         chunks[last[kind]].append(i)
         chunk_of.append(last[kind])
         mine = []
@@ -273,6 +291,8 @@ def starts(data: DataFrame, bases: list[Model], cvs: list[list[int]], x: str, sh
                     of_cell[name] = len(cells)
                     plug = None if k.plug is None else tuple((g, coef) for g, coef in k.plug if g in (0, f))
                     cells.append(replace(k, drop=tuple(g for g in folds if g != f), cv=c, plug=plug))
+                    fold_of.append(f)
+                    kind_of.append(of_base[i])
                 mine.append((of_cell[name], c))
         members.append(mine)
     users: dict[int, list[int]] = {}
@@ -280,21 +300,28 @@ def starts(data: DataFrame, bases: list[Model], cvs: list[list[int]], x: str, sh
         for j, _ in mine:
             if chunk_of[i] not in (u := users.setdefault(j, [])):
                 u.append(chunk_of[i])
+    return Plan(cells, fold_of, kind_of, members, chunks, users, of_base)
+
+
+def _copies(batches, users, shift=0, per=1):
+    """A row for each chunk of models that adds up the row's cell; `per` rows belong to a cell."""
+    for b in batches:
+        ids = b.column("model").to_numpy() + shift
+        times = np.array([len(users[j // per]) for j in ids.tolist()], dtype=int)
+        take = np.repeat(np.arange(len(ids)), times)
+        block = np.array([u for j in ids.tolist() for u in users[j // per]], dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[take].astype(np.int32)), pa.array(block), b.column("vec").take(pa.array(take))], ["model", "block", "vec"])
+
+
+def starts(data: DataFrame, bases: list[Model], cvs: list[list[int]], plan: Plan, x: str, shape: Shape, moments: dict | None, grids: np.ndarray | None, floors: np.ndarray) -> list[list[Start]]:
+    """First states of every base model and of its copies without one selection fold, from sums over cells."""
+    cells, members, chunks, users = plan.cells, plan.members, plan.chunks, plan.users
     sc = data.sparkSession.sparkContext
     p1 = shape.p1
     width = HEAD + p1 + p1 * (p1 + 1) // 2
     zero = np.zeros(p1)
     todo = sc.broadcast((bases, cvs, members, chunks, users, [np.asarray(moments[k.key], float) if k.family == "tilt" else zero for k in bases], grids, floors))
 
-    def copies(batches, shift):
-        users = todo.value[4]
-        for b in batches:
-            ids = b.column("model").to_numpy() + shift
-            times = np.array([len(users[j]) for j in ids.tolist()])
-            take = np.repeat(np.arange(len(ids)), times)
-            block = np.array([u for j in ids.tolist() for u in users[j]], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[take].astype(np.int32)), pa.array(block), b.column("vec").take(pa.array(take))], ["model", "block", "vec"])
-
     def solve(batches):
         bases, cvs, members, chunks, _, moment, grids, floors = todo.value
         for chunk, sums in _groups(batches):
@@ -317,7 +344,7 @@ def starts(data: DataFrame, bases: list[Model], cvs: list[list[int]], x: str, sh
     for lo in range(0, len(cells), at_once):
         part = cells[lo:lo + at_once]
         rows = partial_sums(data, part, np.zeros((len(part), p1)), x, held=True)
-        parts.append(rows.mapInArrow(lambda b, lo=lo: copies(b, lo), "model int, block int, vec array<double>"))
+        parts.append(rows.mapInArrow(lambda b, lo=lo: _copies(b, todo.value[4], lo), "model int, block int, vec array<double>"))
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
@@ -388,6 +415,161 @@ def advance(data: DataFrame, every: list[Model], x: str, shape: Shape, at, block
     return out_fv, out_kkt, out_target, failed
 
 
+@dataclass
+class Moves:
+    """Where each state (model, penalty) stands."""
+    B: np.ndarray
+    FV: np.ndarray
+    t: np.ndarray
+    kkt: np.ndarray
+    target: np.ndarray
+    iters: np.ndarray
+    idle: np.ndarray
+    size: np.ndarray
+    done: np.ndarray
+    failed: np.ndarray
+    stalled: np.ndarray
+    aliased: np.ndarray
+
+    def of(self, ids) -> "Moves":
+        return Moves(**{k: v[ids] for k, v in vars(self).items()})
+
+    def put(self, ids, part: dict) -> None:
+        for k, v in part.items():
+            getattr(self, k)[ids] = v
+
+    def moving(self) -> np.ndarray:
+        return ~self.done & ~self.failed & ~self.stalled
+
+    def trial(self, ids) -> np.ndarray:
+        return self.B[ids] + self.t[ids, None] * (self.target[ids] - self.B[ids])
+
+    def accept(self, ids, trial, fv, res, nxt, alias, tol: float) -> None:
+        """Takes or halves the steps of these states."""
+        self.failed[ids[alias]] = self.aliased[ids[alias]] = True
+        good = np.isfinite(fv) & (fv <= self.FV[ids] + 1e-12 * np.maximum(1.0, np.abs(self.FV[ids])))
+        self.iters[ids] += 1
+        ok = ids[good]
+        self.idle[ok] = np.where(self.FV[ok] - fv[good] > 1e-12 * np.maximum(1.0, np.abs(self.FV[ok])), 0, self.idle[ok] + 1)
+        self.B[ok], self.FV[ok], self.t[ok], self.kkt[ok], self.target[ok] = trial[good], fv[good], 1.0, res[good], nxt[good]
+        self.done[ok] = self.kkt[ok] <= tol * self.size[ok]
+        bad = ids[~good]
+        self.t[bad] *= 0.5
+        stuck = np.concatenate([bad[self.t[bad] < 1e-8], ids[~self.done[ids] & (self.idle[ids] >= 10)]])
+        # no decrease is left at working precision: usable if close to the optimum, but not reported as converged
+        near = self.kkt[stuck] <= 1e4 * tol
+        self.stalled[stuck[near]] = True
+        self.failed[stuck[~near]] = True
+
+
+SERIES_PASSES = 6
+
+
+def settle(data: DataFrame, plan: Plan, bases: list[Model], cvs: list[list[int]], main: np.ndarray, x: str, shape: Shape, moves: Moves, lams, pf, denom, moment, tol: float) -> np.ndarray:
+    """Moves states to their optimum by series of the loss, as far as these reach; their held-out losses (NaN: not from here). Arrays pf, denom, moment: by model and copy."""
+    p1, L = shape.p1, len(lams) // len(pf)
+    held = np.full(len(lams), np.nan)
+    if p1 not in se.ORDER or not moves.moving().any():
+        return held
+    scale = se.scaling(data, x, p1 - 1)
+    if scale is None:
+        return held
+    sc = data.sparkSession.sparkContext
+    of_base = np.array(plan.of_base)
+    spans = [slice(main[i] * L, (main[i] + 1 + len(cvs[i])) * L) for i in range(len(bases))]
+    state_base = np.repeat(np.arange(len(bases)), [s.stop - s.start for s in spans])
+    gone = np.zeros(len(lams), dtype=bool)
+    for _ in range(SERIES_PASSES):
+        live = np.flatnonzero(moves.moving() & ~gone)
+        if not len(live):
+            break
+        kind = of_base[state_base[live]]
+        points = moves.trial(live) @ scale.T
+        refs = {int(k): se.references(points[kind == k], se.reach(bases[plan.of_base.index(k)].family, p1)) for k in np.unique(kind)}
+        busy = set(np.unique(state_base[live]).tolist())
+        states = {i: (moves.of(spans[i]), lams[spans[i]], pf[main[i]:main[i] + 1 + len(cvs[i])], denom[main[i]:main[i] + 1 + len(cvs[i])],
+                      moment[main[i]:main[i] + 1 + len(cvs[i])], gone[spans[i]]) for i in busy}
+        todo = sc.broadcast((cvs, plan.members, plan.chunks, plan.users, plan.of_base, [k.family for k in bases], refs, states, scale))
+
+        def solve(batches, todo=todo):
+            cvs, members, chunks, _, of_base, families, refs, states, scale = todo.value
+            for chunk, sums in _groups(batches):
+                for i in chunks[chunk]:
+                    if i in states:
+                        part, loss = _settle_model(members[i], cvs[i], refs[of_base[i]], sums, se.reach(families[i], len(scale)), scale, L, *states[i], tol)
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pickle.dumps((part, loss))])], ["base", "blob"])
+
+        wanted = [j for j in range(len(plan.cells)) if plan.kind[j] in refs]
+        at_once = max(1, STATE_BYTES // (8 * se.REFERENCES * len(se.terms(p1).k)))
+        rows = None
+        for lo in range(0, len(wanted), at_once):
+            more = se.series_sums(data, [(j, plan.cells[j], plan.fold[j], refs[plan.kind[j]]) for j in wanted[lo:lo + at_once]], scale, x)
+            rows = more if rows is None else rows.unionByName(more)
+        rows = rows.groupBy("model").agg(Summarizer.sum(array_to_vector("vec")).alias("v")).select("model", vector_to_array("v").alias("vec"))
+        rows = rows.mapInArrow(lambda b, todo=todo: _copies(b, todo.value[3], per=se.REFERENCES), "model int, block int, vec array<double>")
+        t = _met(rows, len(plan.chunks)).mapInArrow(solve, "base int, blob binary").toArrow()
+        for i, blob in zip(t.column("base").to_pylist(), t.column("blob").to_pylist()):
+            part, loss = pickle.loads(blob)
+            gone[spans[i]] = part.pop("gone")
+            moves.put(spans[i], part)
+            held[spans[i]] = np.where(np.isnan(loss), held[spans[i]], loss)
+        todo.unpersist()
+    return held
+
+
+def _settle_model(members, cvs, refs, sums, far, scale, L, moves: Moves, lams, pf, denom, moment, gone, tol):
+    """All steps of a model and of its copies from the series of their cells."""
+    p1 = len(scale)
+    t = se.terms(p1)
+    moves = Moves(**{k: v.copy() for k, v in vars(moves).items()})   # the broadcast stays as it is
+    at = np.repeat(np.arange(len(pf)), L)
+    by_cv: dict[tuple[int, int], np.ndarray] = {}
+    for j, c in members:
+        for r in range(len(refs)):
+            v = sums.get(j * se.REFERENCES + r)
+            if v is not None:
+                by_cv[c, r] = by_cv[c, r] + v if (c, r) in by_cv else v
+    none = np.zeros(len(t.k) + 1)
+    fact = np.append(t.fact, 1.0)
+    own = np.array([[fact * sum((v for (c, q), v in by_cv.items() if q == r and (m == 0 or c != cvs[m - 1])), none) for r in range(len(refs))] for m in range(len(pf))])
+
+    def place(b):
+        d = (b @ scale.T)[:, None, :] - refs[None]
+        length = np.abs(d).sum(axis=2)
+        near = length.argmin(axis=1)
+        rows = np.arange(len(b))
+        return near, d[rows, near], length[rows, near] <= far
+
+    gone, away = gone.copy(), np.zeros(len(lams), dtype=bool)
+    gone |= ~np.isfinite(own).all(axis=(1, 2))[at]
+    while len(ids := np.flatnonzero(moves.moving() & ~gone & ~away)):
+        trial = moves.trial(ids)
+        near, d, inside = place(trial)
+        away[ids[~inside]] = True
+        ids, trial, near, d = ids[inside], trial[inside], near[inside], d[inside]
+        if not len(ids):
+            continue
+        fv, g, h = np.empty(len(ids)), np.empty((len(ids), p1)), np.empty((len(ids), p1, p1))
+        group = at[ids] * len(refs) + near
+        for q in np.unique(group):
+            on = group == q
+            fv[on], g[on], h[on] = t.derivatives(own[q // len(refs), q % len(refs), :-1], d[on], scale)
+        den, mom = denom[at[ids]], moment[at[ids]]
+        nxt, pen, aliased = _steps(trial, g / den[:, None] + mom, h / den[:, None, None], np.arange(len(ids)), lams[ids], pf[at[ids]])
+        fv = fv / den + (mom * trial).sum(axis=1) + (np.where(np.isfinite(pen), pen, 0.0) * np.abs(trial)).sum(axis=1)
+        moves.accept(ids, trial, fv, kkt_residual(trial, g / den[:, None] + mom, pen), nxt, aliased, tol)
+    loss = np.full(len(lams), np.nan)
+    near, d, inside = place(moves.B)
+    settled = (moves.done | moves.stalled) & ~moves.failed & inside & ~gone
+    for m, c in enumerate(cvs, 1):
+        for r in range(len(refs)):
+            on = np.flatnonzero(settled & (at == m) & (near == r))
+            if len(on):
+                v = fact * by_cv.get((c, r), none)
+                loss[on] = t.value(v[:-1], d[on]) / v[-1] if v[-1] > 0 else np.inf
+    return {**{k: v for k, v in vars(moves).items() if k != "size"}, "gone": gone}, loss
+
+
 def fit_models(data: DataFrame, models: list[Model], x: str = "w", lam: float | list | None = 0.0, moments: dict | None = None,
                standardize: bool = False, norm: str = "used", nlambda: int = C.LAMBDA_GRID_SIZE, rule: str = "min", cv_folds: int = C.CV_FOLDS,
                ratio: float | None = None, tol: float = C.SOLVER_TOL, lambda_floor: dict | None = None,
@@ -411,7 +593,8 @@ def fit_models(data: DataFrame, models: list[Model], x: str = "w", lam: float |
     shape = Shape(p1, standardize, norm, nlambda, ratio, path)
     floors = np.array([(lambda_floor or {}).get(m.key, 0.0) for m in base])
     grids = None if path else np.maximum(np.broadcast_to(np.asarray(lam, dtype=float), (nb,)), floors)[:, None]
-    first = starts(data, base, cvs, x, shape, moments, grids, floors)
+    plan = plan_cells(data, base, cvs)
+    first = starts(data, base, cvs, plan, x, shape, moments, grids, floors)
     empty = [base[i].key for i in range(nb) if first[i] is None or first[i][0].error == "no training rows"]
     if empty:
         raise FitError(f"no training rows for {empty[:3]}")
@@ -453,29 +636,18 @@ def fit_models(data: DataFrame, models: list[Model], x: str = "w", lam: float |
     kkt[flat] = 0.0
     share = share or max(1, p1 // 8)
     blocks = at * (L // share + 1) + np.tile(np.arange(L) // share, M)
-    t = np.ones(S)
-    stalled, idle = np.zeros(S, dtype=bool), np.zeros(S, dtype=int)
-    size = np.maximum(1.0, np.abs(moment).max(axis=1))[at]
-    while len(ids := np.flatnonzero(~done & ~failed & ~stalled)):  # until the conditions hold or no step lowers the loss
-        trial = B[ids] + t[ids, None] * (target[ids] - B[ids])
+    s = Moves(B, FV, np.ones(S), kkt, target, iters, np.zeros(S, dtype=int), np.maximum(1.0, np.abs(moment).max(axis=1))[at], done, failed, np.zeros(S, dtype=bool), np.zeros(S, dtype=bool))
+    held_loss = settle(data, plan, base, cvs, main, x, shape, s, lams, pf, denom, moment, tol)
+    if s.aliased.any() and on_fail == "raise":
+        raise FitError(f"aliased or separated design for {every[at[int(np.argmax(s.aliased))]].key}")
+    while len(ids := np.flatnonzero(s.moving())):  # until the conditions hold or no step lowers the loss
+        trial = s.trial(ids)
         used, which = np.unique(at[ids], return_inverse=True)
         fv, res, nxt, alias = advance(data, [every[i] for i in used], x, shape, which, blocks[ids], trial, lams[ids], pf[at[ids]], denom[at[ids]], moment[at[ids]])
+        s.accept(ids, trial, fv, res, nxt, alias, tol)
         if alias.any() and on_fail == "raise":
             raise FitError(f"aliased or separated design for {every[at[ids[int(np.argmax(alias))]]].key}")
-        failed[ids[alias]] = True
-        good = np.isfinite(fv) & (fv <= FV[ids] + 1e-12 * np.maximum(1.0, np.abs(FV[ids])))
-        iters[ids] += 1
-        ok = ids[good]
-        idle[ok] = np.where(FV[ok] - fv[good] > 1e-12 * np.maximum(1.0, np.abs(FV[ok])), 0, idle[ok] + 1)
-        B[ok], FV[ok], t[ok], kkt[ok], target[ok] = trial[good], fv[good], 1.0, res[good], nxt[good]
-        done[ok] = kkt[ok] <= tol * size[ok]
-        bad = ids[~good]
-        t[bad] *= 0.5
-        stuck = np.concatenate([bad[t[bad] < 1e-8], ids[~done[ids] & (idle[ids] >= 10)]])
-        # no decrease is left at working precision: usable if close to the optimum, but not reported as converged
-        near = kkt[stuck] <= 1e4 * tol
-        stalled[stuck[near]] = True
-        failed[stuck[~near]] = True
+    stalled = s.stalled
     usable = (done | stalled) & ~failed
     out = []
     chosen = np.zeros(nb, dtype=int)
@@ -483,10 +655,13 @@ def fit_models(data: DataFrame, models: list[Model], x: str = "w", lam: float |
     if path:
         value = np.full(S, np.inf)
         held = np.flatnonzero(~gaussian & ~flat & usable & (at != main[full[at]]))
+        n_all, n_used = (np.array([getattr(s, c) for s in flat_starts])[main][full[at]] for c in ("n_all", "n_used"))
+        per = np.ones(S) if norm == "used" else n_all / n_used
+        value[held] = held_loss[held] / per[held] + (moment[at[held]] * B[held]).sum(axis=1)
+        held = held[np.isnan(held_loss[held])]
         if len(held):
             hs = held_out_sums(data, every, at[held], B[held], x)
-            n_all, n_used = (np.array([getattr(s, c) for s in flat_starts])[main][full[at[held]]] for c in ("n_all", "n_used"))
-            nv = np.maximum(hs[:, 1], 1.0) * (1.0 if norm == "used" else n_all / n_used)
+            nv = np.maximum(hs[:, 1], 1.0) * per[held]
             value[held] = np.where(hs[:, 1] > 0, hs[:, 3] / nv + (moment[at[held]] * B[held]).sum(axis=1), np.inf)
         for j, s in enumerate(flat_starts):
             if s.held is not None:

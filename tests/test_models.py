@@ -435,3 +435,52 @@ def test_heterogeneity_without_cancellation(spark):
     df = spark.createDataFrame([(f"s{i}", float(v), 1e-6, 10) for i, v in enumerate(e)], "site string, estimate double, variance double, n long")
     got = dl_heterogeneity(df).first()
     assert abs(got["q"] - ((e - e.mean()) ** 2).sum() * 1e6) < 1e-3
+
+
+def test_series_give_the_fits_of_row_passes(spark, monkeypatch):
+    """Paths and held-out losses from series equal those of passes over rows, which the series replace."""
+    x, site, a, y = toy(n=3000, p=2)
+    x = np.random.default_rng(5).permutation(np.clip(x[:, :1], -2, 2))
+    f = prepare(frame(spark, x, site, a, y))
+    g = {"plug": np.array([0.1, 0.2])}
+    target = np.array([1.0, 0.1])
+
+    def all_fits():
+        ps = fi.fit_propensity(f, fi.keys("ps", ["s1", "s2"], (1,), [(1,), (2,)]), nlambda=6)
+        dk = fi.keys("dr", ["s1"], (1, 0), [(1,)])
+        dr = fi.fit_density_ratio(f, dk, {k: target for k in dk}, nlambda=6)
+        wk = fi.keys("or", ["s1"], (1,), [(3,)])
+        return ps + dr + fi.fit_weighted_outcome(f, wk, {k: ((0, g["plug"]),) for k in wk}, "binomial", nlambda=6)
+
+    passes = []
+    advance = nw.advance
+    monkeypatch.setattr(nw, "advance", lambda *args, **kw: passes.append(1) or advance(*args, **kw))
+    monkeypatch.setattr(nw, "held_out_sums", lambda *args, **kw: pytest.fail("held-out losses come from the series"))
+    got = all_fits()
+    assert not passes
+    monkeypatch.undo()
+    monkeypatch.setattr(nw.se, "ORDER", {})
+    for one, want in zip(got, all_fits()):
+        assert np.allclose(one.beta, want.beta, atol=1e-9) and one.lam == pytest.approx(want.lam) and one.converged == want.converged
+        assert np.allclose([v for _, v in one.path], [v for _, v in want.path], rtol=1e-9)
+
+
+def test_arm_correlation_of_the_query_has_no_floor(spark, tmp_path):
+    """Variances of the arm means below the floor: the registered query follows its SQL, which has none."""
+    import duckdb
+
+    from sitemosaic import catalog
+    from sitemosaic.catalog.base import table
+    for name in ("nation", "customer", "orders"):
+        rows = table(spark, "/root/testdata/sf0.001", name)
+        if name == "orders":
+            rows = rows.withColumn("o_totalprice", F.col("o_totalprice") / 1e4)
+        rows.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    con = duckdb.connect()
+    for name in ("nation", "customer", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = catalog.QUERIES["E9_combine_arms"](spark, str(tmp_path)).first()
+    rel = con.execute(catalog.ORACLES["E9_combine_arms"])
+    want = dict(zip([c[0] for c in rel.description], rel.fetchone()))
+    assert want["mu1_se"] ** 2 < C.VARIANCE_FLOOR
+    assert got["cross_arm_correlation"] == pytest.approx(want["cross_arm_correlation"], abs=1e-5)
