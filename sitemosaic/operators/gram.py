@@ -196,8 +196,8 @@ def _pass_function(bc, derivatives: bool):
 
 
 def partial_sums(data: DataFrame, models: list[Model], beta: np.ndarray, x: str = "w", derivatives: bool = True, held: bool = False,
-                 at: np.ndarray | None = None, rep: np.ndarray | None = None, bounds: np.ndarray | None = None) -> DataFrame:
-    """(model, vec) of every task and row of beta: the sums stay on the executors.
+                 at: np.ndarray | None = None, rep: np.ndarray | None = None, bounds: np.ndarray | None = None, then=None, schema: str = "model int, vec array<double>") -> DataFrame:
+    """(model, vec) of every task and row of beta: the sums stay on the executors. `then` maps these batches in the same Python worker.
 
     at: the model of each row of beta (default one row each). rep: rows that give a Hessian too (default all).
     bounds: rows of beta from bounds[i] up to bounds[i + 1] come as one row `i`, their sums before their Hessians (default each alone)."""
@@ -238,7 +238,8 @@ def partial_sums(data: DataFrame, models: list[Model], beta: np.ndarray, x: str
     bc = spark.sparkContext.broadcast(state)
     rows = data if any_site or not labels else data.filter(F.col("site").isin(labels))
     rows = rows.select("site", "a", "y", F.col(x).alias("x"), "fold", "cv", "weight")
-    return rows.mapInArrow(_pass_function(bc, derivatives), "model int, vec array<double>")
+    run = _pass_function(bc, derivatives)
+    return rows.mapInArrow(run if then is None else lambda batches: then(run(batches)), schema)
 
 
 def accumulate(data: DataFrame, models: list[Model], beta: np.ndarray, x: str = "w", derivatives: bool = True, held: bool = False) -> np.ndarray:

@@ -343,8 +343,7 @@ def starts(data: DataFrame, bases: list[Model], cvs: list[list[int]], plan: Plan
     parts = []
     for lo in range(0, len(cells), at_once):
         part = cells[lo:lo + at_once]
-        rows = partial_sums(data, part, np.zeros((len(part), p1)), x, held=True)
-        parts.append(rows.mapInArrow(lambda b, lo=lo: _copies(b, todo.value[4], lo), "model int, block int, vec array<double>"))
+        parts.append(partial_sums(data, part, np.zeros((len(part), p1)), x, held=True, then=lambda b, lo=lo: _copies(b, todo.value[4], lo), schema="model int, block int, vec array<double>"))
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
