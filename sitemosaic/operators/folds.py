@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as C
@@ -70,7 +71,10 @@ def assign_cv_folds(obs: DataFrame, folds: int = C.CV_FOLDS, seed: int = 11, id_
 
     Rows are numbered within (site, arm) in order of (outer fold, hash), so the folds of an arm differ by one row at most, and by few without any outer
     fold: no selection fold of an arm is empty. Numbering goes by slices, as for the outer folds. Repeated units stay together: a unit is one row then.
+    Rows with an outer fold are cached (with spill to disk): they are read several times, and each reading would number them again.
     """
+    if "fold" in obs.columns:
+        obs = obs.persist(StorageLevel.MEMORY_AND_DISK)
     outer = F.lpad(F.coalesce(F.col("fold").cast("string"), F.lit("0")), 3, "0") if "fold" in obs.columns else F.lit("000")
     arms = obs.groupBy("site", "a").agg(F.count(F.lit(1)).alias("_n"))
     count = arms.groupBy("site").agg(F.min(cv_fold_count("_n", max_folds=folds)).alias("_k"))

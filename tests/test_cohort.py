@@ -180,3 +180,14 @@ def test_bad_number_fails(spark, tmp_path):
     (tmp_path / "r.csv").write_text("sim_id,estimate\n1,0.5\n2,oops\n")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
         read_run_results(spark, [str(tmp_path / "r.csv")]).collect()
+
+
+def test_selection_folds_read_the_numbered_rows_from_the_cache(spark):
+    o = spark.range(400).select(F.col("id").alias("obs_id"), F.concat(F.lit("s"), F.col("id") % 2).alias("site"), (F.col("id") % 3 == 0).cast("int").alias("a"))
+    plain = fo.assign_folds(o, 3)
+    got = fo.assign_cv_folds(plain)
+    assert plain.is_cached
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan
+    fresh = fo.assign_cv_folds(fo.assign_folds(o, 3).localCheckpoint()).select("obs_id", "fold", "cv")
+    assert got.select("obs_id", "fold", "cv").exceptAll(fresh).isEmpty() and got.count() == 400
