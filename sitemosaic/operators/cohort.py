@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from .. import constants as C
 from ..functions import clip, col
+from ..storage import checkpoint
 from .folds import balanced_number, hash_order
 from .joins import attach
 from .quantiles import exact_quantiles
@@ -340,14 +341,64 @@ def range_slice(x: str, cuts: Sequence[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < v))
 
 
-def grouped_quantiles(df: DataFrame, x: str, by, probs: Mapping[str, float], slice_rows: int = 100_000) -> DataFrame:
-    """Exact interpolated quantiles of x per group, by counting ranks over range slices of x; NULL for a group without values.
+def _interpolated(by: Sequence[str], probs: Mapping[str, float]) -> tuple[list[Column], list[Column]]:
+    """Aggregates over counted values (_x, ranks _lo to _hi of _tot) and, from them, the interpolated quantiles."""
+    aggs = []
+    for name, p in probs.items():
+        h = F.lit(p) * (F.col("_tot") - 1)
+        aggs += [F.max(F.when((F.col("_lo") <= e) & (e < F.col("_hi")), F.col("_x"))).alias(f"{name}_{t}")
+                 for t, e in (("l", F.floor(h)), ("h", F.ceil(h)))]
+        aggs.append(F.max(h - F.floor(h)).alias(f"{name}_f"))
+    return aggs, [(F.col(f"{n}_l") + (F.col(f"{n}_h") - F.col(f"{n}_l")) * F.col(f"{n}_f")).alias(n) for n in probs]
+
+
+def bracket_counts(rows: DataFrame, by: Sequence[str], brackets: DataFrame, k: int) -> DataFrame:
+    """Counts of the values of column _x: each value inside one of its group's k brackets (_e: low and high ends, none for a group that is counted
+    whole) by itself, the values of each stretch outside them as one row without _x. _s orders the stretches."""
+    j = attach(rows, brackets, by)
+    lo, hi = [F.col("_e")[2 * i] for i in range(k)], [F.col("_e")[2 * i + 1] for i in range(k)]
+    inside, at = F.col("_e").isNull(), F.lit(0)
+    for a, b in zip(lo, hi):
+        inside = inside | ((F.col("_x") >= a) & (F.col("_x") <= b))
+        at = at + (F.col("_x") >= a).cast("int") + (F.col("_x") > b).cast("int")
+    at = F.when(F.col("_e").isNull(), 0).otherwise(at)
+    return j.select(*by, at.alias("_s"), F.when(inside, F.col("_x")).alias("_x")).groupBy(*by, "_s", "_x").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def grouped_quantiles(df: DataFrame, x: str, by, probs: Mapping[str, float], slice_rows: int = 100_000, accuracy: int = 10_000) -> DataFrame:
+    """Exact interpolated quantiles of x per group; NULL for a group without values. Keys may be NULL.
+
+    A sketch brackets each quantile of a group of over 4 * accuracy rows, and only values inside brackets are counted one by one and ordered
+    (about 4 / accuracy of the group per quantile); values outside are counted in the tasks that read them. A group whose sketch missed an order
+    statistic, which the counts show, is ranked over range slices of about `slice_rows` rows instead.
+    """
+    by, k = [by] if isinstance(by, str) else list(by), len(probs)
+    ends = [q for p in probs.values() for q in (max(p - 2 / accuracy, 0.0), min(p + 2 / accuracy, 1.0))]
+    n = F.count(x)
+    # fixed before use: a sketch computed again may differ
+    brackets = checkpoint(df.groupBy(*by).agg(n.alias("_tot"), F.when(n > 4 * accuracy, F.percentile_approx(x, ends, accuracy)).alias("_e")))
+    rows = df.filter(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x"))
+    counted = attach(bracket_counts(rows, by, brackets.select(*by, "_e"), k), brackets.select(*by, "_tot"), by)
+    run = W.partitionBy(*by).orderBy("_s", F.col("_x").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    ranked = counted.withColumn("_hi", F.sum("_c").over(run)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    aggs, values = _interpolated(by, probs)
+    q = ranked.groupBy(*by).agg(*aggs).withColumnsRenamed({c: f"_q_{c}" for c in by})
+    q = checkpoint(brackets.select(*by, "_tot").join(q, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by], "left"))
+    missed = (F.col("_tot") > 0) & F.greatest(*[F.col(f"{m}_{t}").isNull() for m in probs for t in "lh"])
+    out = q.filter(~missed).select(*by, *values)
+    again = q.filter(missed).select(*by)
+    if again.isEmpty():
+        return out
+    return out.unionByName(ranked_quantiles(attach(df.select(*by, x), again, by), x, by, probs, slice_rows))
+
+
+def ranked_quantiles(df: DataFrame, x: str, by: Sequence[str], probs: Mapping[str, float], slice_rows: int = 100_000) -> DataFrame:
+    """The same by counting ranks over range slices of x.
 
     Slices of about `slice_rows` rows come from one sketch over all rows, so a group
     holding most rows is still spread over every slice; equal values are counted
-    before any ordering. Keys may be NULL.
+    before any ordering.
     """
-    by = [by] if isinstance(by, str) else list(by)
     rows = df.agg(F.count(x)).first()[0]
     slices = min(10_000, max(2, -(-rows // slice_rows)))
     cuts = df.agg(F.percentile_approx(x, [i / slices for i in range(1, slices)], 10 * slices)).first()[0] or []
@@ -361,16 +412,11 @@ def grouped_quantiles(df: DataFrame, x: str, by, probs: Mapping[str, float], sli
     j = d.join(off, cond).select(*by, "_s", "_x", "_c", "_off", "_tot")
     run = W.partitionBy(*by, "_s").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
     ranked = j.withColumn("_hi", F.col("_off") + F.sum("_c").over(run)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    aggs = []
-    for name, p in probs.items():
-        h = F.lit(p) * (F.col("_tot") - 1)
-        aggs += [F.max(F.when((F.col("_lo") <= e) & (e < F.col("_hi")), F.col("_x"))).alias(f"{name}_{t}")
-                 for t, e in (("l", F.floor(h)), ("h", F.ceil(h)))]
-        aggs.append(F.max(h - F.floor(h)).alias(f"{name}_f"))
+    aggs, values = _interpolated(by, probs)
     q = ranked.groupBy(*by).agg(*aggs).withColumnsRenamed({k: f"_q_{k}" for k in by})
     every = df.select(*by).distinct()
     q = every.join(q, [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in by], "left")
-    return q.select(*by, *[(F.col(f"{n}_l") + (F.col(f"{n}_h") - F.col(f"{n}_l")) * F.col(f"{n}_f")).alias(n) for n in probs])
+    return q.select(*by, *values)
 
 
 def weighted_imbalance(df: DataFrame, p: int, weight: str = "weight", by: str = "site", z: str = "z") -> DataFrame:

@@ -191,3 +191,26 @@ def test_selection_folds_read_the_numbered_rows_from_the_cache(spark):
     assert "InMemoryTableScan" in plan
     fresh = fo.assign_cv_folds(fo.assign_folds(o, 3).localCheckpoint()).select("obs_id", "fold", "cv")
     assert got.select("obs_id", "fold", "cv").exceptAll(fresh).isEmpty() and got.count() == 400
+
+
+def test_quantiles_of_large_groups_count_only_values_in_brackets(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=20_000)
+    rows = [("big", float(v)) for v in x] + [(None, float(v)) for v in x[:9000] * 3] + [("small", float(v)) for v in x[:7]] + [("ties", float(i % 3)) for i in range(5000)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {r.g: (r.lo, r.med, r.top) for r in co.grouped_quantiles(df, "x", "g", {"lo": .05, "med": .5, "top": 1.0}, accuracy=500).collect()}
+    for g in ("big", None, "small", "ties"):
+        assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g], [.05, .5, 1.0])), g
+    assert got["none"] == (None, None, None)
+    ends = df.filter("g = 'big'").groupBy("g").agg(F.percentile_approx("x", [.496, .504], 500).alias("_e"))
+    counted = co.bracket_counts(df.filter("g = 'big'").withColumnRenamed("x", "_x"), ["g"], ends, 1).collect()
+    assert len(counted) < 600 and sum(r._c for r in counted) == 20_000
+
+
+def test_a_missed_bracket_is_ranked_exactly(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=900)
+    df = spark.createDataFrame([("a", float(v)) for v in x], "g string, x double")
+    real = co.bracket_counts
+    monkeypatch.setattr(co, "bracket_counts", lambda rows, by, b, k: real(rows, by, b.withColumn("_e", F.array(*[F.lit(9.0)] * (2 * k))), k))
+    got = co.grouped_quantiles(df, "x", "g", {"med": 0.5, "hi": 0.9}, accuracy=50).collect()
+    assert np.allclose([got[0].med, got[0].hi], np.quantile(x, [.5, .9]))
