@@ -99,3 +99,20 @@ def test_wrapped_sum_keeps_small_sums_and_never_overflows(spark):
     d = spark.createDataFrame([(str(v),) for v in sums], "s string").select(F.col("s").cast("decimal(38,0)").alias("s"))
     want = [(v + 2 ** 63) % 2 ** 64 - 2 ** 63 for v in sums]
     assert [r[0] for r in d.select(wrapped_long("s")).collect()] == want
+
+
+def test_counting_ids_does_not_carry_the_sums(spark):
+    import re
+    from sitemosaic.operators import metrics as me
+    r = spark.range(40).selectExpr("'m' AS method", "CAST(id % 2 AS int) AS p", "CASE WHEN id % 4 = 3 THEN NULL ELSE id % 10 END AS sim_id", "0.5 + id AS estimate", "CAST(id AS double) AS bias",
+                                   "1e0 AS se", "true AS coverage", "0.5e0 AS truth", "id - 2e0 AS ci_lower", "id + 2e0 AS ci_upper")
+    d = me.diagnose_results(r, keys=["method", "p"], reference=False)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    for line in plan.split("\n"):
+        if "Aggregate(keys=[" in line and re.search(r"sim_id#\d+", line.split("functions=")[0]):
+            assert "functions=[]" in line
+    got = {x.p: (x.n_rows, x.n_unique_replications, x.n_duplicate_replications) for x in d.collect()}
+    rows = r.collect()
+    for p in (0, 1):
+        ids = [x.sim_id for x in rows if x.p == p and x.sim_id is not None]
+        assert got[str(p)] == (20, len(set(ids)), len(ids) - len(set(ids)))
