@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import pack_ints, ranges, slices, tidy, unpack_ints
-from .pretokens import assemble
+from .pretokens import CHUNK, assemble
 from .word_shuffle import by_distinct_word
 
 
@@ -30,9 +30,10 @@ def _binaries(flat: bytes, ends: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text", parts: int | None = None, limit: int = CHUNK, decoded: bool = False) -> DataFrame:
     """key, ids: token ids as little-endian unsigned 32-bit integers (binary). The text is cut by the public byte-level pattern
-    (contractions; letters, digits or other characters with a blank before; white space) and each piece is merged by rank."""
+    (contractions; letters, digits or other characters with a blank before; white space) and each piece is merged by rank.
+    limit: code points of a chunk. decoded: adds the bytes that the ids decode to, in the worker that puts the ids together."""
     table = docs.sparkSession.sparkContext.broadcast(ranks)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -49,7 +50,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text:
     from pyspark.sql.pandas.types import to_arrow_type
     key_type = to_arrow_type(docs.schema[key].dataType)
     out = by_distinct_word(docs, key, text, spaced=True, encoder=encoder, finish=finish, condense=lambda c: (pack_ints(c.codes), c.sizes),
-                           schema=f"key {kind}, ids binary", parts=parts)
+                           schema=f"key {kind}, ids binary" + ", decoded binary" * decoded, parts=parts, limit=limit,
+                           then=_decoder(docs.sparkSession, ranks, 1) if decoded else None)
     return out.withColumnRenamed("key", key)
 
 
@@ -60,15 +62,14 @@ def ids_array(ids: str) -> "F.Column":
     return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.hex(flip(i)), 16, 10).cast("int")))
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """All columns and decoded (binary): the tokens' bytes by position."""
+def _decoder(spark, ranks: dict[bytes, int], at: int):
+    """The task that adds the bytes of the ids in the column at this place."""
     size = max(ranks.values(), default=-1) + 1
     pieces = [b""] * size
     for token, i in ranks.items():
         pieces[i] = token
     lengths = np.fromiter(map(len, pieces), np.int64, size)
-    table = encoded.sparkSession.sparkContext.broadcast((b"".join(pieces), np.cumsum(lengths) - lengths, lengths))
-    at = encoded.columns.index(ids)
+    table = spark.sparkContext.broadcast((b"".join(pieces), np.cumsum(lengths) - lengths, lengths))
 
     @tidy
     def run(batches):
@@ -81,4 +82,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", ids
             ends = np.concatenate([[0], np.cumsum(per)])[np.cumsum([len(v) // 4 for v in values])]
             yield pa.RecordBatch.from_arrays([*part.columns, _binaries(body[ranges(first[all_ids], per)].tobytes(), ends)], [*part.schema.names, "decoded"])
 
+    return run
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """All columns and decoded (binary): the tokens' bytes by position."""
+    run = _decoder(encoded.sparkSession, ranks, encoded.columns.index(ids))
     return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary")

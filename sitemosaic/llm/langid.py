@@ -24,6 +24,7 @@ from .pretokens import LETTER, STOP, classes, grouped, join, rows_of
 PLACES = 1 << 15
 PER_LANGUAGE = 1000
 UNKNOWN = "und"
+BUNDLE = 200_000  # code points of texts whose grams are hashed at once, about 100 bytes each
 
 
 @dataclass
@@ -80,7 +81,7 @@ def document_frequencies(rows: DataFrame, text: str) -> tuple[np.ndarray, int]:
     @tidy
     def run(batches):
         total, n = np.zeros(PLACES + 1, np.int64), 0
-        for group in grouped((None, t or "") for b in slices(batches) for t in b.column(0).to_pylist()):
+        for group in grouped(((None, t or "") for b in slices(batches) for t in b.column(0).to_pylist()), limit=BUNDLE):
             for p in places([t for _, t in group]):
                 seen = np.zeros(PLACES, bool)
                 seen[p] = True
@@ -181,7 +182,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
         for b in slices(batches):
             texts = [t or "" for t in b.column(where).to_pylist()]
             lang, score = [], []
-            for group in grouped(((None, t) for t in texts)):
+            for group in grouped(((None, t) for t in texts), limit=BUNDLE):
                 for p in places([t for _, t in group]):
                     if not len(p) or not m.languages:
                         lang.append(UNKNOWN)

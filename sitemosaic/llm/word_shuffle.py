@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import pack_bytes, pack_ints, shuffle_parts, slices, tidy, unpack_bytes, unpack_ints
-from .pretokens import Chunk, chunk_of, grouped, rows_of
+from .pretokens import CHUNK, Chunk, chunk_of, grouped, rows_of
 
 WORDS_HELD = 1_000_000  # encoded words that a task remembers; beyond it starts anew (same results)
 ROW = "chunk binary, part int, blob binary"
@@ -34,9 +34,9 @@ def chunk_name(c: Chunk, extra) -> bytes:
     return h.digest()
 
 
-def chunks(batches, spaced: bool, normal: Callable | None):
+def chunks(batches, spaced: bool, normal: Callable | None, limit: int = CHUNK):
     """Chunks with their names; normal: text -> (text, number), applied first."""
-    for rows in grouped(rows_of(batches)):
+    for rows in grouped(rows_of(batches), limit=limit):
         texts, extra = [t for _, t in rows], []
         if normal:
             texts, extra = map(list, zip(*map(normal, texts)))
@@ -49,17 +49,18 @@ def _batch(names, parts, blobs):
 
 
 def by_distinct_word(docs: DataFrame, key: str, text: str, *, spaced: bool, encoder: Callable, finish: Callable, schema: str,
-                     normal: Callable | None = None, condense: Callable | None = None, parts: int | None = None) -> DataFrame:
+                     normal: Callable | None = None, condense: Callable | None = None, parts: int | None = None, limit: int = CHUNK, then: Callable | None = None) -> DataFrame:
     """encoder() -> function(word bytes) -> ids (uint32 array), or the word's number of ids (int).
     condense(chunk) -> what finish needs of the positions; finish(keys, extra, condensed, counts, first, flat) -> Arrow batch:
-    word w has counts[w] ids, which stand in flat from first[w] on."""
+    word w has counts[w] ids, which stand in flat from first[w] on.
+    limit: code points of a chunk. then: maps these batches in the same Python worker."""
     spark = docs.sparkSession
     n = parts or shuffle_parts(spark)
     two = docs.select(F.col(key), F.col(text))
 
     @tidy
     def to_words(batches):
-        for name, c, _ in chunks(batches, spaced, normal):
+        for name, c, _ in chunks(batches, spaced, normal, limit):
             part = (c.hashes % np.uint64(n)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(n + 1))
@@ -89,7 +90,7 @@ def by_distinct_word(docs: DataFrame, key: str, text: str, *, spaced: bool, enco
 
     @tidy
     def to_positions(batches):
-        for name, c, extra in chunks(batches, spaced, normal):
+        for name, c, extra in chunks(batches, spaced, normal, limit):
             part = (c.hashes % np.uint64(n)).astype(np.uint32)
             body = pickle.dumps((c.keys, extra, pack_ints(part), condense(c)))
             yield _batch([name], [-1], [body])
@@ -135,4 +136,4 @@ def by_distinct_word(docs: DataFrame, key: str, text: str, *, spaced: bool, enco
 
     words = two.mapInArrow(to_words, ROW).repartition(n, "part").mapInArrow(to_ids, ROW)
     positions = two.mapInArrow(to_positions, ROW)
-    return words.unionByName(positions).repartition(n, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(together, schema)
+    return words.unionByName(positions).repartition(n, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(together if then is None else lambda batches: then(together(batches)), schema)

@@ -142,3 +142,16 @@ def test_columns_of_any_name_pass(spark, corpus, tmp_path):
         assert sorted(map(str, more.select(docs.columns).collect())) == sorted(map(str, docs.collect())), name
         assert more.select([F.col(f"`{c}`") for c in extra]).distinct().count() == 1
     assert cp.STAGES[-1][1](spark, more, d).count() == docs.count()
+
+
+def test_encoding_and_decoding_share_a_worker(spark):
+    import public_tokenizers
+    from sitemosaic.llm import bpe
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    texts = ["", None, "two words", "Größe 12\u00a0x" * 40, "z" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    both = bpe.encode(docs, ranks, parts=3, limit=50, decoded=True)
+    assert {r.doc_id: bytes(r.decoded).decode() for r in both.collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in both.collect()} == {r.doc_id: r.ids for r in bpe.encode(docs, ranks, parts=3).collect()}
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 4  # words, ids, positions, and one for putting together and decoding
