@@ -16,6 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
+from ..tasks import tidy
 
 STATE_BYTES = 96 << 20  # bound of the per-task accumulator and of the broadcast coefficients
 HEAD = 4                # n_all, n_used, sum of weights, loss
@@ -68,7 +69,7 @@ def _matrix(col) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
-BUFFER_BYTES = 16 << 20  # rows of small batches are put together: a cell is then worth its numpy calls
+BUFFER_BYTES = 6 << 20  # rows of small batches are put together: a cell is then worth its numpy calls; sorting them takes several times as much
 
 
 def buffered(batches):
@@ -133,6 +134,7 @@ def _terms(family, eta, y, factor, radius):
 def _pass_function(bc, derivatives: bool):
     """Arrow batches of one partition -> one vector per model seen there: HEAD sums, then the gradient, then the Hessian of those with `rep`."""
 
+    @tidy
     def run(batches):
         s = bc.value
         site, arm, drop, cv, held, kind, beta, rep = (s[k] for k in ("site", "arm", "drop", "cv", "held", "kind", "beta", "rep"))

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
+from ..tasks import tidy
 from .gram import Model, _matrix, _row_factor, buffered, by_cell
 
 ORDER = {2: 16, 3: 12, 4: 10}   # coefficients of a model: order of the series
@@ -169,6 +170,7 @@ def series_sums(data: DataFrame, cells: list[tuple[int, Model, int, np.ndarray]]
     cols = [np.array([s[i] for s in slots], dtype=np.int64) for i in range(7)]
     bc = spark.sparkContext.broadcast((codes, cols, np.stack([s[7] for s in slots]), {v: k for k, v in kinds.items()}, np.stack(table) if table else None, scale))
 
+    @tidy
     def run(batches):
         codes, (site, arm, fold, cv, kind, plug, number, _), beta, kinds, table, scale = (lambda s: (s[0], (*s[1], None), *s[2:]))(bc.value)
         t = terms(p1)

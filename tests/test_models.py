@@ -484,3 +484,12 @@ def test_arm_correlation_of_the_query_has_no_floor(spark, tmp_path):
     want = dict(zip([c[0] for c in rel.description], rel.fetchone()))
     assert want["mu1_se"] ** 2 < C.VARIANCE_FLOOR
     assert got["cross_arm_correlation"] == pytest.approx(want["cross_arm_correlation"], abs=1e-5)
+
+
+def test_rows_put_together_for_a_cell_stay_small():
+    import numpy as np
+    import pyarrow as pa
+    from sitemosaic.operators.gram import buffered
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(125_000.0))], ["x"])
+    tables = list(buffered([batch] * 24))
+    assert max(t.nbytes for t in tables) <= 8 << 20 and sum(t.num_rows for t in tables) == 24 * 125_000
