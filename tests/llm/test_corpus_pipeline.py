@@ -1,5 +1,6 @@
 """The pipeline's stages on a small corpus, each against brute force, and the registered queries with SQL."""
 import random
+import re
 import sys
 from pathlib import Path
 
@@ -155,3 +156,34 @@ def test_encoding_and_decoding_share_a_worker(spark):
     assert {r.doc_id: r.ids for r in both.collect()} == {r.doc_id: r.ids for r in bpe.encode(docs, ranks, parts=3).collect()}
     plan = both._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 4  # words, ids, positions, and one for putting together and decoding
+
+
+def test_repeated_passages_feeds_no_worker_from_another(spark, monkeypatch):
+    from sitemosaic.llm import suffix_dedup
+    rng = random.Random(11)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    p = fresh(60)
+    rows = [(i, f"{fresh(20)} {p} {fresh(20)}") for i in range(4)] + [(9, fresh(90))]
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpoint(df)
+    checkpoint = suffix_dedup.checkpoint
+    monkeypatch.setattr(suffix_dedup, "checkpoint", noted)
+    out = cp.repeated_passages(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert not any(p in r.text for r in out.collect())
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    maps = 0
+    for plan in plans:
+        above = []  # (depth, name) of the nodes over this one
+        for line in plan.splitlines():
+            m = re.match(r"[\s:+\-*()\d]*", line)
+            depth, name = m.end(), line[m.end():].split(" ")[0].split("(")[0]
+            above = [a for a in above if a[0] < depth]
+            if name == "MapInArrow":
+                maps += 1
+                last = max((k for k, (_, n) in enumerate(above) if n.endswith("Exchange")), default=-1)
+                assert "MapInArrow" not in [n for _, n in above[last + 1:]], plan
+            above.append((depth, name))
+    assert maps >= 7
