@@ -66,14 +66,15 @@ def cv_fold_count(n, min_per_fold: int = 5, max_folds: int = C.CV_FOLDS, min_fol
     return F.least(n, F.greatest(F.lit(min_folds), inner)).cast("int")
 
 
-def assign_cv_folds(obs: DataFrame, folds: int = C.CV_FOLDS, seed: int = 11, id_col: str = "obs_id", out: str = "cv", digits: int = PREFIX_DIGITS) -> DataFrame:
+def assign_cv_folds(obs: DataFrame, folds: int = C.CV_FOLDS, seed: int = 11, id_col: str = "obs_id", out: str = "cv", digits: int = PREFIX_DIGITS, cache: bool = True) -> DataFrame:
     """Penalty-selection folds, as many per site as its smaller arm carries (at most `folds`).
 
     Rows are numbered within (site, arm) in order of (outer fold, hash), so the folds of an arm differ by one row at most, and by few without any outer
     fold: no selection fold of an arm is empty. Numbering goes by slices, as for the outer folds. Repeated units stay together: a unit is one row then.
     Rows with an outer fold are cached (with spill to disk): they are read several times, and each reading would number them again.
+    cache=False: not here, as they come from files.
     """
-    if "fold" in obs.columns:
+    if cache and "fold" in obs.columns:
         obs = obs.persist(StorageLevel.MEMORY_AND_DISK)
     outer = F.lpad(F.coalesce(F.col("fold").cast("string"), F.lit("0")), 3, "0") if "fold" in obs.columns else F.lit("000")
     arms = obs.groupBy("site", "a").agg(F.count(F.lit(1)).alias("_n"))

@@ -16,6 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
+from ..storage import stored
 from ..tasks import tidy
 
 STATE_BYTES = 96 << 20  # bound of the per-task accumulator and of the broadcast coefficients
@@ -48,18 +49,20 @@ class Model:
 ROWS_PER_TASK = 500_000
 
 
-def prepare(obs: DataFrame, fold: str = "fold", cv: str = "cv", weight: str | None = None) -> DataFrame:
+def prepare(obs: DataFrame, fold: str = "fold", cv: str = "cv", weight: str | None = None, files: bool = False) -> DataFrame:
     """The columns a pass reads, cached with spill to disk and read by as many tasks as the row count warrants.
 
     Counting fills the cache; merging cached partitions is narrow, so small data does
     not pay for hundreds of tasks in every pass and large data keeps its own partitions.
+    files: in Parquet files instead, for plans that put many steps on these rows and executors that need their memory for other things.
     """
     cols = obs.columns
     f = F.col(fold).cast("int") if fold in cols else F.lit(0)
     c = F.col(cv).cast("int") if cv in cols else F.lit(0)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     data = obs.select("obs_id", "site", F.col("a").cast("int").alias("a"), F.col("y").cast("double").alias("y"), "w", "z", f.alias("fold"),
-                      c.alias("cv"), w.alias("weight")).persist(StorageLevel.MEMORY_AND_DISK)
+                      c.alias("cv"), w.alias("weight"))
+    data = stored(data) if files else data.persist(StorageLevel.MEMORY_AND_DISK)
     tasks = max(obs.sparkSession.sparkContext.defaultParallelism, -(-data.count() // ROWS_PER_TASK))
     return data.coalesce(tasks)
 

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import constants as C
 from ..functions import clip, clip_outcome, clip_propensity, linear_predictor, mean_response, mean_slope
-from .cohort import normalize_log_weights
 from .fits import coef_frame, fit_density_ratio, keys, target_moments  # noqa: F401
 from .gram import Model, accumulate, unpack
 from .joins import sized
@@ -137,15 +136,32 @@ def _dotx(dir_: str, p: int, x: str = "w") -> Column:
 
 
 # -- density weights --------------------------------------------------------------------
+def site_weights(data: DataFrame, tilts: dict[str, np.ndarray], p: int) -> DataFrame:
+    """Adds tilt_eta and raw_weight: exp(-tilt_eta) shifted by the site's maximum, floored, with mean one per site.
+
+    Maxima and means are a number per site and come back to the rows in the table of the tilts: the rows stay one scan without a shuffle,
+    which every reader can repeat, instead of a join of the rows with themselves that has to be held.
+    """
+    rows, table, eta = data.drop("weight"), {s: {"tilt": b} for s, b in tilts.items()}, linear_predictor("z", "tilt", p)
+    weight = F.exp(F.greatest(-eta - F.col("_top"), F.lit(C.LOG_SMALLEST_NORMAL)))
+
+    def joined(*names):
+        tab = _vectors(data.sparkSession, table, ["tilt", *names]).withColumnRenamed("g", "site")
+        return rows.join(sized(tab, len(table), 8 * (p + 6)), "site")
+
+    top = {r["site"]: r["v"] for r in joined().groupBy("site").agg(F.max(-eta).alias("v")).collect()}
+    table = {s: table[s] | {"_top": v} for s, v in top.items()}
+    mean = {r["site"]: r["v"] for r in joined("_top").groupBy("site").agg(F.avg(weight).alias("v")).collect()}
+    table = {s: table[s] | {"_mean": v} for s, v in mean.items()}
+    return joined("_top", "_mean").withColumn("tilt_eta", eta).withColumn("raw_weight", weight / F.col("_mean")).drop("tilt", "_top", "_mean")
+
+
 def density_ratio_weights(data: DataFrame, sources: list[str], lam: float | None = None, **kw) -> tuple[DataFrame, list[Fitted]]:
     """All-row tilt of each source to the target: adds tilt_eta, raw_weight (mean one) and weight (clipped); target rows weigh 1."""
     ks = keys("dr", sources, (1,), [()])
     fits = fit_density_ratio(data, ks, target_moments(data, ks), lam, float("inf"), all_rows=True, **kw)
     p = len(fits[0].beta) - 1
-    table = _vectors(data.sparkSession, {f.model.site: {"tilt": f.beta} for f in fits} | {C.TARGET: {"tilt": np.zeros(p + 1)}}, ["tilt"])
-    rows = data.drop("weight").join(sized(table.withColumnRenamed("g", "site"), len(sources) + 1, 8 * (p + 4)), "site")
-    rows = rows.withColumn("tilt_eta", linear_predictor("z", "tilt", p)).withColumn("_lw", -F.col("tilt_eta"))
-    rows = normalize_log_weights(rows, "_lw", ["site"], "raw_weight").drop("_lw", "tilt")
+    rows = site_weights(data, {f.model.site: f.beta for f in fits} | {C.TARGET: np.zeros(p + 1)}, p)
     t = F.col("site") == C.TARGET
     return rows.withColumn("weight", F.when(t, 1.0).otherwise(clip("raw_weight", *C.DR_WEIGHT_CLIP))), fits
 
@@ -162,11 +178,12 @@ def aipw_rows(rows: DataFrame, ps: dict[str, Fitted], orr: dict[str, Fitted], p:
 
 
 def weighted_aipw(data: DataFrame, rows: DataFrame, ps: dict[str, Fitted], orr: dict[str, Fitted], p: int, family: str, arm: int,
-                  pooled: bool = False) -> tuple[DataFrame, dict[str, dict]]:
+                  pooled: bool = False, keep: bool = True) -> tuple[DataFrame, dict[str, dict]]:
     """Rows with `influence` and `phi`, and per group: estimate, variance, n, normalizer.
 
     data: the cached rows the models were fitted on. rows: the same rows with a
-    `weight`; groups are sites, or all rows together when pooled.
+    `weight`; groups are sites, or all rows together when pooled. keep=False: the
+    rows are not cached, as reading `rows` again costs no more than a scan.
     """
     rows = rows.withColumn("g", F.lit("*") if pooled else F.col("site"))
     r = aipw_rows(rows, ps, orr, p, family, arm)
@@ -226,16 +243,22 @@ def weighted_aipw(data: DataFrame, rows: DataFrame, ps: dict[str, Fitted], orr:
 
     infl = (F.col("weight") * (F.col("phi") - F.col("est")) / F.col("d") + correction("ps", F.col("a"), F.col("raw_ps"))
             + F.when(F.col("sel") == 1, F.col("ratio") * correction("or", F.col("y"), F.col("raw_or"))).otherwise(0.0))
-    # read again by the density part, the arm contrast and the bootstrap
-    return j.withColumn("influence", infl).drop(*names[:-3], "ratio").persist(StorageLevel.MEMORY_AND_DISK), table
+    j = j.withColumn("influence", infl).drop(*names[:-3], "ratio")
+    return (j.persist(StorageLevel.MEMORY_AND_DISK) if keep else j), table  # read again by the density part, the arm contrast and the bootstrap
 
 
 # -- density influence ------------------------------------------------------------------------
 def density_influence(data: DataFrame, rows: DataFrame, fits: list[Fitted], p: int, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Source and target rows of density_parts, each with its own column."""
+    j, t = density_parts(data, rows, fits, p, total), F.col("site") == C.TARGET
+    return j.filter(~t).drop("parts"), j.filter(t).drop("density_part")
+
+
+def density_parts(data: DataFrame, rows: DataFrame, fits: list[Fitted], p: int, total: float | None = None) -> DataFrame:
     """Source and target parts of the estimated density weights' influence.
 
-    rows: output of weighted_aipw with tilt_eta and raw_weight. Source part per
-    source row; target rows keep their columns and get `parts`, one entry per source.
+    rows: output of weighted_aipw with tilt_eta and raw_weight. Source rows get
+    `density_part`; target rows get `parts`, one entry per source.
     total: pooled row count, for which the source fraction n_j / total applies.
     """
     src = rows.filter(F.col("site") != C.TARGET)
@@ -267,12 +290,13 @@ def density_influence(data: DataFrame, rows: DataFrame, fits: list[Fitted], p: i
         dirn[act], _ = solve_curvature(hess[i][ix] / nu[i], design[i][:, act], sens[act])
         off = float(np.array([s[f"e{j}"] for j in range(p + 1)]) @ dirn)
         table[g] = {"dn_dir": dirn, "dn_off": off, "dn_norm": -frac / s["d"] * s["v"], "dn_t": float(tm @ dirn)}
-    vec = _vectors(rows.sparkSession, table, ["dn_dir", "dn_off", "dn_norm", "dn_t"]).withColumnRenamed("g", "src")
-    j = src.join(sized(vec.withColumnRenamed("src", "site"), len(gs), 8 * (p + 8)), "site")
+    # one row per site: a source has its vector, the target those of all sources as one array, so that no row is repeated
+    fl = lambda v: [float(u) for u in v]
+    packed = [(g, fl(table[g]["dn_dir"]), table[g]["dn_t"]) for g in gs]
+    vec = rows.sparkSession.createDataFrame([(g, fl(table[g]["dn_dir"]), float(table[g]["dn_off"]), float(table[g]["dn_norm"]), None) for g in gs] + [(C.TARGET, None, None, None, packed)],
+                                            "site string, dn_dir array<double>, dn_off double, dn_norm double, dn_all array<struct<src: string, dn_dir: array<double>, dn_t: double>>")
+    t = F.col("site") == C.TARGET
     part = F.exp(-F.col("tilt_eta")) * _dotx("dn_dir", p, "z") - F.col("dn_off") + F.col("dn_norm") * (norm - 1)
-    source = j.withColumn("density_part", part).drop("dn_dir", "dn_off", "dn_norm", "dn_t")
-    # the sources' vectors travel to the target rows as one array: no row is repeated
-    packed = vec.agg(F.sort_array(F.collect_list(F.struct("src", "dn_dir", "dn_t"))).alias("_v"))
-    parts = F.transform("_v", lambda m: F.struct(m["src"].alias("source"), (m["dn_t"] - linear_predictor("z", m["dn_dir"], p)).alias("density_part")))
-    target = tgt.crossJoin(F.broadcast(packed)).withColumn("parts", parts).drop("_v")
-    return source, target
+    parts = F.transform("dn_all", lambda m: F.struct(m["src"].alias("source"), (m["dn_t"] - linear_predictor("z", m["dn_dir"], p)).alias("density_part")))
+    j = rows.join(sized(vec, len(gs) + 1, 16 * len(gs) * (p + 8)), "site")
+    return j.withColumns({"density_part": F.when(~t, part), "parts": F.when(t, parts)}).drop("dn_dir", "dn_off", "dn_norm", "dn_all")

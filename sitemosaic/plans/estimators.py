@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -11,17 +10,20 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .. import constants as C
 from ..functions import clip_outcome, clip_propensity, linear_predictor, logistic, mean_response
 from ..operators import fits as fi, influence as inf, resample as rs
-from ..operators.cohort import normalize_log_weights
 from ..operators.gram import prepare
 from ..operators.joins import attach, sized
 from ..operators.scores import aipw
+from ..storage import stored
 
 METHODS = ("target_only", "sample_size", "inverse_variance", "tilted_aipw", "federated_dr", "pooled_dr")
 
 
 @dataclass
 class ArmResult:
-    """estimate, analytic variance and influence blocks (site, obs_id, influence) with block weights of one arm."""
+    """estimate, analytic variance and influence blocks (site, obs_id, influence) with block weights of one arm.
+
+    pair: (site, obs_id, i1, i0), the influence of both arms side by side where one scan of the rows gives them.
+    """
     method: str
     arm: int
     estimate: float
@@ -30,10 +32,23 @@ class ArmResult:
     weights: dict[str, float]
     n: int = 0
     extra: dict = field(default_factory=dict)
+    pair: DataFrame | None = None
+
 
+def both_arms(rows: DataFrame, arm_of) -> tuple[ArmResult, ArmResult]:
+    """Results of arm_of(rows, arm), which also gives its rows with `value`, the influence. The first arm's influence goes along with the rows that the second arm is
+    worked out on: both come from one scan, where a join of the arms would shuffle and sort all rows of each."""
+    kept = rows.columns
+    r1, j = arm_of(rows, 1)
+    r0, j = arm_of(j.select(*kept, F.col("value").alias("i1")), 0)
+    pair = j.select("site", "obs_id", "i1", F.col("value").alias("i0"))
+    for r in (r1, r0):
+        r.pair, r.influence = pair, _of_arm(pair, r.arm, r.weights)
+    return r1, r0
 
-def weight_frame(spark, method: str, weights: dict[str, float]) -> DataFrame:
-    return spark.createDataFrame([(method, s, float(w)) for s, w in weights.items()], "method string, site string, weight double")
+
+def _of_arm(pair: DataFrame, arm: int, weights: dict[str, float]) -> DataFrame:
+    return pair.filter(F.col("site").isin(list(weights))).select("site", "obs_id", F.col(f"i{arm}").alias("influence"))
 
 
 # -- site-level AIPW by cross-fitting -----------------------------------------------------
@@ -170,25 +185,25 @@ def site_method_arms(scores: DataFrame, methods: Sequence[str]) -> dict[str, tup
     rows = site_table(long, by=("arm", "site")).collect()
     spark = scores.sparkSession
     t = spark.createDataFrame(rows, "arm int, site string, n long, estimate double, v_ot double, variance double")
-    infl = long.join(sized(t.select("arm", "site", F.col("estimate").alias("_m")), len(rows), 64), ["arm", "site"]).select(
-        "arm", "site", "obs_id", (F.col("phi") - F.col("_m")).alias("influence"))
+    mean = {(r["arm"], r["site"]): r["estimate"] for r in rows}
+    means = spark.createDataFrame([(s, mean[1, s], mean[0, s]) for a, s in mean if a == 1], "site string, _m1 double, _m0 double")
+    pair = scores.join(sized(means, len(rows), 64), "site").select("site", "obs_id", *[(F.col(f"phi{a}") - F.col(f"_m{a}")).alias(f"i{a}") for a in (1, 0)])
     n = sum(r["n"] for r in rows if r["arm"] == 1)
     agg = {"sample_size": sample_size_weighted, "inverse_variance": inverse_variance_weighted}
     out = {}
     for m in methods:
         if m == "target_only":
             one = {r["arm"]: r for r in rows if r["site"] == C.TARGET}
-            pair = [ArmResult(m, a, one[a]["estimate"], max(one[a]["variance"], C.VARIANCE_FLOOR),
-                              infl.filter((F.col("arm") == a) & (F.col("site") == C.TARGET)).drop("arm"), {C.TARGET: 1.0}, one[a]["n"]) for a in (1, 0)]
+            arms = [ArmResult(m, a, one[a]["estimate"], max(one[a]["variance"], C.VARIANCE_FLOOR), _of_arm(pair, a, {C.TARGET: 1.0}), {C.TARGET: 1.0}, one[a]["n"], pair=pair) for a in (1, 0)]
         else:
             g = {r["arm"]: r for r in agg[m](t, ("arm",)).collect()}
             if m == "sample_size":
                 w = {(r["arm"], r["site"]): r["n"] / n for r in rows}
             else:
                 w = {(r["arm"], r["site"]): r["block_weight"] for r in inverse_variance_weights(t, ("arm",)).collect()}
-            pair = [ArmResult(m, a, g[a]["estimate"], g[a]["variance"], infl.filter(F.col("arm") == a).drop("arm"), {s: x for (b, s), x in w.items() if b == a}, n,
-                              {k: g[a][k] for k in ("tau2", "q", "i2")}) for a in (1, 0)]
-        out[m] = tuple(pair)
+            of = {a: {s: x for (b, s), x in w.items() if b == a} for a in (1, 0)}
+            arms = [ArmResult(m, a, g[a]["estimate"], g[a]["variance"], _of_arm(pair, a, of[a]), of[a], n, {k: g[a][k] for k in ("tau2", "q", "i2")}, pair) for a in (1, 0)]
+        out[m] = tuple(arms)
     return out
 
 
@@ -210,17 +225,14 @@ def tilted_fits(data: DataFrame, family: str) -> dict:
             "dr": by(fi.fit_density_ratio(data, dk, mom, 0.0, float("inf"))), "zbar": mom[dk[0]]}
 
 
-def tilted_aipw_arm(data: DataFrame, arm: int, family: str, p: int, fits: dict | None = None) -> ArmResult:
+def tilted_aipw_arm(data: DataFrame, rows: DataFrame, arm: int, family: str, p: int, f: dict) -> tuple[ArmResult, DataFrame]:
     """Unpenalised nuisances, exponential tilt of the arm to the target, size weights, shared target influence."""
-    f = fits or tilted_fits(data, family)
     sites, zbar = f["sites"], f["zbar"]
     sources = [s for s in sites if s != C.TARGET]
     ps, orr = {s: f["ps"][(s, 1)] for s in sites}, {s: f["or"][(s, arm)] for s in sites}
     dr = {s: f["dr"][(s, arm)] for s in sources}
-    tab = inf._vectors(data.sparkSession, {s: {"tilt": dr[s].beta if s in dr else np.zeros(p + 1)} for s in sites}, ["tilt"]).withColumnRenamed("g", "site")
-    rows = data.drop("weight").join(sized(tab, len(sites), 8 * (p + 4)), "site").withColumn("_lw", -linear_predictor("z", "tilt", p))
-    rows = normalize_log_weights(rows, "_lw", ["site"], "weight").drop("_lw", "tilt")
-    r, table = inf.weighted_aipw(data, rows, ps, orr, p, family, arm)
+    rows = inf.site_weights(rows, {s: dr[s].beta if s in dr else np.zeros(p + 1) for s in sites}, p).drop("tilt_eta").withColumnRenamed("raw_weight", "weight")
+    r, table = inf.weighted_aipw(data, rows, ps, orr, p, family, arm, keep=False)
     zc = [F.lit(0.0)] + [F.col("z")[j] - float(zbar[j + 1]) for j in range(p)]
     w, aw = F.col("weight"), F.when(F.col("a") == arm, F.col("weight")).otherwise(0.0)
     pairs = [(i, j) for i in range(1, p + 1) for j in range(i, p + 1)]
@@ -243,9 +255,10 @@ def tilted_aipw_arm(data: DataFrame, arm: int, family: str, p: int, fits: dict |
     j = r.join(sized(vec, len(sites), 8 * (p + 4)), "site")
     lin = sum([zc[i] * F.col("adj")[i] for i in range(2, p + 1)], zc[1] * F.col("adj")[1])
     part = F.when(F.col("site") == C.TARGET, lin).otherwise(aw * lin)
-    infl = j.select("site", "obs_id", (F.col("influence") + part).alias("influence"))
+    j = j.withColumn("value", F.col("influence") + part)
+    infl = j.select("site", "obs_id", F.col("value").alias("influence"))
     est = sum(wt[s] * table[s]["estimate"] for s in sites)
-    return ArmResult("tilted_aipw", arm, est, max(block_variance(infl, wt), C.VARIANCE_FLOOR), infl, wt, n_all)
+    return ArmResult("tilted_aipw", arm, est, max(block_variance(infl, wt), C.VARIANCE_FLOOR), infl, wt, n_all), j
 
 
 def base_fits(data: DataFrame, groups: list[str], family: str, **kw) -> dict:
@@ -255,40 +268,38 @@ def base_fits(data: DataFrame, groups: list[str], family: str, **kw) -> dict:
     return {"ps": ps, **{a: {g: orr[(g, a)] for g in groups} for a in (1, 0)}}
 
 
-def federated_dr_arm(data: DataFrame, weighted: DataFrame, dr: list, arm: int, family: str, p: int, base: dict) -> ArmResult:
+def federated_dr_arm(data: DataFrame, rows: DataFrame, dr: list, arm: int, family: str, p: int, base: dict) -> tuple[ArmResult, DataFrame]:
     """Density-weighted site AIPW, inverse-variance pooling of the sites with a finite positive variance."""
     sites = sorted(base["ps"])
-    r, table = inf.weighted_aipw(data, weighted, base["ps"], base[arm], p, family, arm)
-    src, tgt = inf.density_influence(data, r, dr, p)
-    si = src.select("site", "obs_id", (F.col("influence") + F.col("density_part")).alias("influence"))
-    ti = r.filter(F.col("site") == C.TARGET).select("site", "obs_id", "influence")
-    second = F.avg(F.col("influence") * F.col("influence")) - F.when(F.first("site") == C.TARGET, 0.0).otherwise(F.avg("influence") * F.avg("influence"))
-    var = {x["site"]: x["v"] for x in si.unionByName(ti).groupBy("site").agg((second / F.count(F.lit(1))).alias("v")).collect()}
+    r, table = inf.weighted_aipw(data, rows, base["ps"], base[arm], p, family, arm, keep=False)
+    j, t = inf.density_parts(data, r, dr, p), F.col("site") == C.TARGET
+    own = F.when(t, F.col("influence")).otherwise(F.col("influence") + F.col("density_part"))
+    second = F.avg(own * own) - F.when(F.first("site") == C.TARGET, 0.0).otherwise(F.avg(own) * F.avg(own))
+    var = {x["site"]: x["v"] for x in j.groupBy("site").agg((second / F.count(F.lit(1))).alias("v")).collect()}
     valid = [s for s in sites if np.isfinite(table[s]["estimate"]) and np.isfinite(var[s]) and var[s] > 0]
     prec = sum(1 / var[s] for s in valid)
     w = {s: 1 / var[s] / prec for s in valid}
     wmap = F.create_map(*[F.lit(v) for kv in w.items() for v in kv])
     extra = F.aggregate("parts", F.lit(0.0), lambda t, m: t + m["density_part"] * F.coalesce(wmap[m["source"]], F.lit(0.0)))
-    shared = tgt.select("site", "obs_id", (F.col("influence") * w.get(C.TARGET, 0.0) + extra).alias("influence"))
-    infl = shared.unionByName(si.filter(F.col("site").isin(valid)))
+    j = j.withColumn("value", F.when(t, F.col("influence") * w.get(C.TARGET, 0.0) + extra).otherwise(own))
     blocks = {C.TARGET: 1.0} | {s: w[s] for s in valid if s != C.TARGET}
+    infl = j.filter(F.col("site").isin(list(blocks))).select("site", "obs_id", F.col("value").alias("influence"))
     est = sum(w[s] * table[s]["estimate"] for s in valid)
     return ArmResult("federated_dr", arm, est, max(block_variance(infl, blocks), C.VARIANCE_FLOOR), infl, blocks, sum(table[s]["n"] for s in valid),
-                     {"dropped_sites": [s for s in sites if s not in valid], "weights": w})
+                     {"dropped_sites": [s for s in sites if s not in valid], "weights": w}), j
 
 
-def pooled_dr_arm(data: DataFrame, weighted: DataFrame, dr: list, arm: int, family: str, p: int, base: dict) -> ArmResult:
+def pooled_dr_arm(data: DataFrame, rows: DataFrame, dr: list, arm: int, family: str, p: int, base: dict) -> tuple[ArmResult, DataFrame]:
     """One weighted AIPW over all rows with per-source density corrections and site-stratified variance."""
-    r, table = inf.weighted_aipw(data, weighted, base["ps"], base[arm], p, family, arm, pooled=True)
+    r, table = inf.weighted_aipw(data, rows, base["ps"], base[arm], p, family, arm, pooled=True, keep=False)
     n_all = table["*"]["n"]
     n = {x["site"]: x["count"] for x in data.groupBy("site").count().collect()}
-    src, tgt = inf.density_influence(data, r, dr, p, total=n_all)
-    nf = weight_frame(data.sparkSession, "n", {s: n_all / c for s, c in n.items()}).select("site", F.col("weight").alias("_f"))
-    si = src.join(sized(nf, len(n), 32), "site").select("site", "obs_id", (F.col("influence") + F.col("_f") * F.col("density_part")).alias("influence"))
+    of_site = F.create_map(*[F.lit(v) for s, c in n.items() for v in (s, n_all / c)])
     extra = F.aggregate("parts", F.lit(0.0), lambda t, m: t + m["density_part"]) * (n_all / n[C.TARGET])
-    ti = tgt.select("site", "obs_id", (F.col("influence") + extra).alias("influence"))
-    infl, w = ti.unionByName(si), {s: c / n_all for s, c in n.items()}
-    return ArmResult("pooled_dr", arm, table["*"]["estimate"], max(block_variance(infl, w), C.VARIANCE_FLOOR), infl, w, n_all)
+    part = F.when(F.col("site") == C.TARGET, extra).otherwise(of_site[F.col("site")] * F.col("density_part"))
+    j = inf.density_parts(data, r, dr, p, total=n_all).withColumn("value", F.col("influence") + part)
+    infl, w = j.select("site", "obs_id", F.col("value").alias("influence")), {s: c / n_all for s, c in n.items()}
+    return ArmResult("pooled_dr", arm, table["*"]["estimate"], max(block_variance(infl, w), C.VARIANCE_FLOOR), infl, w, n_all), j
 
 
 # -- arms and comparison ---------------------------------------------------------------------------
@@ -298,13 +309,16 @@ def combine_arms(r1: ArmResult, r0: ArmResult) -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"{r1.method}: the arms have different sites")
     spark = r1.influence.sparkSession
     wf = spark.createDataFrame([(s, float(r1.weights[s]), float(r0.weights[s])) for s in r1.weights], "site string, w1 double, w0 double")
-    a = r1.influence.select("site", "obs_id", F.col("influence").alias("i1"))
-    b = r0.influence.select("site", "obs_id", F.col("influence").alias("i0"))
-    j = a.join(b, ["site", "obs_id"], "full_outer").join(sized(wf, len(r1.weights), 48), "site")
+    if r1.pair is not None and r1.pair is r0.pair:
+        j = r1.pair
+    else:
+        a = r1.influence.select("site", "obs_id", F.col("influence").alias("i1"))
+        b = r0.influence.select("site", "obs_id", F.col("influence").alias("i0"))
+        j = a.join(b, ["site", "obs_id"], "full_outer")
+    j = j.join(sized(wf, len(r1.weights), 48), "site")
     bad = F.when(F.col("i1").isNull() | F.col("i0").isNull(), F.raise_error(F.lit("the arms have different rows")))
     tau = F.coalesce(bad.cast("double"), F.col("w1") * F.col("i1") - F.col("w0") * F.col("i0"))
-    # read twice: analytic variance and bootstrap
-    j = j.select("site", "obs_id", (F.col("w1") * F.col("i1")).alias("u1"), (F.col("w0") * F.col("i0")).alias("u0"), tau.alias("influence")).persist()
+    j = j.select("site", "obs_id", (F.col("w1") * F.col("i1")).alias("u1"), (F.col("w0") * F.col("i0")).alias("u0"), tau.alias("influence"))
     g = j.groupBy("site").agg(*[(F.var_pop(c) / F.count(F.lit(1))).alias(f"v_{c}") for c in ("u1", "u0", "influence")])
     v = g.agg(F.sum("v_u1").alias("v1"), F.sum("v_u0").alias("v0"), F.greatest(F.sum("v_influence"), F.lit(C.VARIANCE_FLOOR)).alias("variance_analytic"))
     cov = (F.col("v1") + F.col("v0") - F.col("variance_analytic")) / 2
@@ -325,7 +339,7 @@ def compare_methods(obs: DataFrame, methods: Sequence[str] = METHODS, family: st
     unknown = set(methods) - set(METHODS)
     if unknown:
         raise ValueError(f"unknown methods {sorted(unknown)}")
-    data = prepare(obs)
+    data = prepare(obs, files=True)
     p = len(data.select("w").first()[0])
     spark = data.sparkSession
     arms: dict[str, tuple[ArmResult, ArmResult]] = {}
@@ -334,20 +348,20 @@ def compare_methods(obs: DataFrame, methods: Sequence[str] = METHODS, family: st
         arms |= site_method_arms(scores, [m for m in methods if m in ("target_only", "sample_size", "inverse_variance")])
     if "tilted_aipw" in methods:
         tf = tilted_fits(data, family)
-        arms["tilted_aipw"] = (tilted_aipw_arm(data, 1, family, p, tf), tilted_aipw_arm(data, 0, family, p, tf))
+        arms["tilted_aipw"] = both_arms(data.drop("weight"), lambda rows, arm: tilted_aipw_arm(data, rows, arm, family, p, tf))
     if set(methods) & {"federated_dr", "pooled_dr"}:
         sites = fi.sites_of(data)
         weighted, dr = inf.density_ratio_weights(data, [s for s in sites if s != C.TARGET], **kw)
-        weighted = weighted.persist()
         for m, fn, groups in (("federated_dr", federated_dr_arm, sites), ("pooled_dr", pooled_dr_arm, ["*"])):
             if m in methods:
                 bf = base_fits(data, groups, family, **kw)
-                arms[m] = (fn(data, weighted, dr, 1, family, p, bf), fn(data, weighted, dr, 0, family, p, bf))
+                arms[m] = both_arms(weighted, lambda rows, arm: fn(data, rows, dr, arm, family, p, bf))
     both = [combine_arms(*arms[m]) for m in methods]
-    res = reduce(DataFrame.unionByName, [x for x, _ in both])
+    # method after method: the driver then holds the plan of one
+    res = spark.createDataFrame([r for x, _ in both for r in x.collect()], both[0][0].schema)
     if variance == "bootstrap":
-        infl = reduce(DataFrame.unionByName, [x for _, x in both])
-        w = infl.select("method", "site").distinct().withColumn("weight", F.lit(1.0))
+        infl = stored(*[x for _, x in both])  # read for the means and for the draws
+        w = spark.createDataFrame([(m, s, 1.0) for m in methods for s in arms[m][0].weights], "method string, site string, weight double")
         res = res.join(rs.multiplier_bootstrap(infl, w, b, seed), "method", "left")
     else:
         res = res.withColumns({"se_bootstrap": F.lit(None).cast("double"), "n_bootstrap": F.lit(None).cast("long")})

@@ -159,6 +159,45 @@ def test_arms_with_different_rows_or_sites_fail(spark):
         es.combine_arms(r(f([1, 2]), {"t": 1.0}), r(f([1, 3]), {"t": 1.0}))[0].collect()
 
 
+def test_both_arms_come_from_one_scan_and_the_driver_keeps_small_plans(spark):
+    """E7, E10: the contrast needs no join of the arms and no cached rows of its own, and its plan does not repeat the plan of its input."""
+    from dataclasses import replace
+    x, site, a, y = toy(600, 5, p=2)
+    ms = ["target_only", "inverse_variance", "tilted_aipw", "federated_dr", "pooled_dr"]
+    f = frame(spark, x, site, a, y)
+    for _ in range(6):  # a long way from the tables to the rows
+        f = f.join(f.groupBy("site").count().drop("count"), "site")
+    res, arms = es.compare_methods(f, ms, "binomial", 4, b=50, lam=0.01)
+    got = {r["method"]: r for r in res.collect()}
+    assert set(got) == set(ms) and all(r["variance_method"] == "bootstrap" for r in got.values())
+    assert res._jdf.queryExecution().analyzed().toString().count("\n") < 100
+    for m in ms:
+        one, infl = es.combine_arms(*arms[m])
+        r1, r0 = (replace(r, pair=None) for r in arms[m])
+        two, joined = es.combine_arms(r1, r0)
+        u, v = one.first(), two.first()
+        assert all(np.isclose(u[c], v[c], rtol=1e-9, atol=1e-15) for c in ("estimate", "variance_analytic", "mu1_se", "mu0_se", "cross_arm_correlation"))
+        assert np.isclose(u["variance_analytic"] ** 0.5, got[m]["se_analytic"]) or u["variance_analytic"] <= C.VARIANCE_FLOOR
+        assert infl.count() == joined.count() == ((site == "t").sum() if m == "target_only" else len(a))
+        plan = infl._jdf.queryExecution().optimizedPlan().toString()
+        assert "FullOuter" not in plan and plan.count("Relation [") == 1  # files, or the cached scores
+
+
+def test_weights_of_sites_equal_the_general_ones(spark):
+    from sitemosaic.operators.cohort import normalize_log_weights
+    x, site, a, y = toy(300, 6, p=2)
+    f = frame(spark, x, site, a, y)
+    tilts = {"t": np.zeros(3), "s1": np.array([0.2, -0.5, 0.3]), "s2": np.array([-1.0, 400.0, 0.1]), "gone": np.ones(3)}
+    got = inf.site_weights(f, tilts, 2)
+    eta = F.when(F.col("site") == "t", 0.0)
+    for s in ("s1", "s2"):
+        eta = eta.when(F.col("site") == s, float(tilts[s][0]) + F.col("z")[0] * float(tilts[s][1]) + F.col("z")[1] * float(tilts[s][2]))
+    want = {r["obs_id"]: r["raw"] for r in normalize_log_weights(f.withColumn("lw", -eta), "lw", ["site"], "raw").collect()}
+    rows = got.collect()
+    assert len(rows) == len(a) and all(np.isclose(r["raw_weight"], want[r["obs_id"]], rtol=1e-12, atol=0) for r in rows)
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
 def brute_estimate(x, a, y, w, mass):
     """Weighted AIPW with maximum-likelihood nuisances under row masses."""
     d = np.c_[np.ones(len(a)), x]
