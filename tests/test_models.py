@@ -183,6 +183,14 @@ def test_both_arms_come_from_one_scan_and_the_driver_keeps_small_plans(spark):
         assert "FullOuter" not in plan and plan.count("Relation [") == 1  # files, or the cached scores
 
 
+def test_pooled_dr_holds_no_rows_in_the_executors(spark):
+    from sitemosaic.catalog import QUERIES
+    held = lambda: set(spark.sparkContext._jsc.getPersistentRDDs())
+    before = held()
+    got = QUERIES["E7_pooled_dr"](spark, "/root/testdata/sf0.01").first()
+    assert got["n"] == 15_000 and held() <= before
+
+
 def test_weights_of_sites_equal_the_general_ones(spark):
     from sitemosaic.operators.cohort import normalize_log_weights
     x, site, a, y = toy(300, 6, p=2)
